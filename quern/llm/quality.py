@@ -22,7 +22,7 @@ WINDOW = 8
 #: Bands per script: least and most characters a token, largest share of byte-fallback tokens, least normalised token
 #: entropy. Entropy and characters a token say little about short texts: below MIN_TOKENS only the byte share counts.
 BANDS = {
-    "latin": (1.3, 7.5, 0.20, 0.45),
+    "latin": (1.9, 7.5, 0.20, 0.45),
     "cyrillic": (0.8, 6.0, 0.45, 0.45),
     "greek": (0.6, 6.0, 0.55, 0.45),
     "cjk": (0.3, 3.0, 0.90, 0.45),
