@@ -41,7 +41,7 @@ def dictionaries(train: DataFrame, id_col: str = "doc_id", text: str = "text", l
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    least = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int((min(1.0, 1.5 * docs / n) * 2.0 - 1.0) * (2**63 - 1)))))
+    least = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(2**63 - 1, -(2**63) + 3 * docs * 2**63 // n))))
     got: dict[str, list] = {}
     for r in rows.where(F.col("h") <= least[F.col("lang")]).toLocalIterator():
         got.setdefault(r["lang"], []).append((r["h"], r["text"]))
