@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,12 @@ _MAGIC = b"WARC/1."
 _URN = "urn:quern:page:"
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, records: int = RECORDS, date: str = "1970-01-01T00:00:00Z") -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, records: int = RECORDS, compression: str = "gzip", date: str = "1970-01-01T00:00:00Z") -> None:
     """One record a row: a response, or a revisit if a smaller id has an equal payload of at least least bytes.
 
     A null payload is empty, a null url leaves its header out, line ends in a url are percent-encoded. A null id is
     written as an empty one. Rows that repeat the smallest id of a payload are responses too. Files hold at most
-    records records. The payloads move once, to meet the smallest id of their digest; a hot digest is split there.
+    records records, each file one gzip stream unless compression is "none". The payloads move once, to meet the smallest id of their digest; a hot digest is split there.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumns({"n": F.octet_length("body"), "digest": F.sha2("body", 256)})
@@ -48,7 +49,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
         F.when(revisit, F.lit(len(HTTP))).otherwise(F.col("n") + len(HTTP)).cast("string"), F.lit(crlf * 2),
     )
     value = F.concat(head, F.lit(HTTP), F.when(revisit, "").otherwise(F.col("body")))
-    rows.select(value.alias("value")).write.option("lineSep", crlf * 2).option("maxRecordsPerFile", records).text(path)
+    rows.select(value.alias("value")).write.option("lineSep", crlf * 2).option("maxRecordsPerFile", records).option("compression", compression).text(path)
 
 
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, list]:
@@ -87,8 +88,23 @@ def reachable(at: np.ndarray, to: np.ndarray) -> np.ndarray:
     return reach[:n]
 
 
+def plain(data: bytes) -> bytes:
+    """An archive's bytes; those of all its members if it is compressed, as a whole or record by record."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    parts = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        parts.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join(parts)
+
+
 def records_of(data: bytes):
-    """(headers, block) of each record on the chain from the file's start. Magic inside a payload is never one."""
+    """(headers, block) of each record on the chain from the file's start. Magic inside a payload is never one.
+
+    Offsets are those of the uncompressed bytes."""
+    data = plain(data)
     at, to, heads = candidates(data)
     for k in np.flatnonzero(reachable(at, to)):
         i, end, start, stop = heads[k]
