@@ -25,7 +25,7 @@ from .quality import _BYTE, _mix, _powers, string_slices
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # grams in a window
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Distinct contexts of one anchor that one task sorts; the contexts of a more frequent anchor are sorted in slices.
 GROUP = 2000
 #: Bytes that one suffix array covers.
@@ -124,7 +124,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, _U),) * 2
     if size < LENGTH:
         return none
-    up, down = _powers(max(1 << 22, 1 << size.bit_length()))
+    up, down = _powers(max(1 << 19, 1 << size.bit_length()))
     h = np.zeros(size + 1, _U)
     np.cumsum(_BYTE[data] * up[:size], out=h[1:])
     g = _mix((h[GRAM:] - h[:-GRAM]) * down[: size - GRAM + 1])
@@ -185,8 +185,12 @@ _SPANS = "doc bigint, gram bigint, at array<int>, more array<int>, settled boole
 def settle(rows: np.ndarray):
     """Yields (settled, gram, doc, at, more, crowd): anchors whose context an earlier document has, then those of the
     first document of each distinct context of a gram that other documents have too. crowd: that gram's contexts."""
-    order = np.lexsort((rows["at"], rows["doc"], rows["context"], rows["gram"]))
-    r = rows[order]
+    gram = np.ascontiguousarray(rows["gram"])
+    order = np.argsort(gram)
+    same = np.zeros(len(gram) + 1, bool)
+    same[1:-1] = gram[order][1:] == gram[order][:-1]
+    rows = rows[order[same[1:] | same[:-1]]]  # grams of one anchor have nothing to meet
+    r = rows[np.lexsort([np.ascontiguousarray(rows[k]) for k in ("at", "doc", "context", "gram")])]
     n = len(r)
     if not n:
         return
