@@ -119,9 +119,10 @@ def linear_grouping(text) -> list[int]:
 
 
 def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the texts data[off[i]:off[i + 1]]: (text, first window, last window, gram hash, context hash) of each anchor."""
+    """Of the texts data[off[i]:off[i + 1]]: (text, first window, last window, gram hash, context hash, the gram's place
+    in the context) of each anchor."""
     size = len(data)
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, _U),) * 2
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),)
     if size < LENGTH:
         return none
     up, down = _powers(max(1 << 19, 1 << size.bit_length()))
@@ -152,7 +153,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     gram = low[first]
     span = (stop - first).astype(_U)
     context = _mix((h[stop + LENGTH] - h[first]) * down[first] + _mix(span + _U(77)))
-    return text, first - off[text], stop - off[text], gram, context
+    return text, first - off[text], stop - off[text], gram, context, at[first] - first
 
 
 def _part(docs: DataFrame, buckets: int) -> DataFrame:
@@ -162,12 +163,12 @@ def _part(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, off in string_slices(batch.column(1), SLICE):
-                text, first, last, gram, context = anchors(data, off)
+                text, first, last, gram, context, inner = anchors(data, off)
                 if not len(text):
                     continue
                 # equal contexts of a document stay: each is removed or kept at its own place
                 rows = np.empty(len(text), RECORD)
-                rows["gram"], rows["context"], rows["doc"], rows["at"], rows["more"] = gram, context, ids[i:j][text], first, last - first
+                rows["gram"], rows["context"], rows["doc"], rows["at"], rows["more"], rows["inner"] = gram, context, ids[i:j][text], first, last - first, inner
                 b = (gram % _U(buckets)).astype(np.int64)
                 order = np.argsort(b, kind="stable")
                 rows, b = rows[order], b[order]
@@ -178,8 +179,8 @@ def _part(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(pack, "bucket int, rows binary")
 
 
-RECORD = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("more", "u1")])
-_SPANS = "doc bigint, gram bigint, at array<int>, more array<int>, settled boolean, crowd int"
+RECORD = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("more", "u1"), ("inner", "u1")])
+_SPANS = "doc bigint, gram bigint, at array<int>, more array<int>, settled boolean, crowd int, inner int"
 
 
 def settle(rows: np.ndarray):
@@ -209,41 +210,50 @@ def settle(rows: np.ndarray):
     yield r[left], crowd[of][left]
 
 
-def _by_document(rows: np.ndarray, settled: bool, crowd: np.ndarray | None, small: int = 1 << 18):
+def _by_document(rows: np.ndarray, settled: bool, crowd: np.ndarray | None):
     """Rows of _SPANS: settled anchors, a row a document; the others, a row each."""
+    names = ["doc", "gram", "at", "more", "settled", "crowd", "inner"]
     if settled:
         rows = rows[np.lexsort((rows["at"], rows["doc"]))]
         cut = np.flatnonzero(np.diff(rows["doc"], prepend=rows["doc"][0] - 1)) if len(rows) else np.zeros(0, np.int64)
         off = np.append(cut, len(rows)).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(rows[k].astype(np.int32))) for k in ("at", "more")]
         n = len(cut)
-        return pa.table([pa.array(rows["doc"][cut]), pa.nulls(n, pa.int64()), *lists, pa.array(np.ones(n, bool)), pa.nulls(n, pa.int32())], names=["doc", "gram", "at", "more", "settled", "crowd"])
+        return pa.table([pa.array(rows["doc"][cut]), pa.nulls(n, pa.int64()), *lists, pa.array(np.ones(n, bool)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=names)
     n = len(rows)
     one = pa.array(np.arange(n + 1, dtype=np.int32))
     lists = [pa.ListArray.from_arrays(one, pa.array(rows[k].astype(np.int32))) for k in ("at", "more")]
-    return pa.table([pa.array(rows["doc"]), pa.array(rows["gram"].view("<i8") if rows["gram"].flags.c_contiguous else np.ascontiguousarray(rows["gram"]).view("<i8")), *lists, pa.array(np.zeros(n, bool)), pa.array(crowd.astype(np.int32))], names=["doc", "gram", "at", "more", "settled", "crowd"])
+    return pa.table([pa.array(rows["doc"]), pa.array(np.ascontiguousarray(rows["gram"]).view("<i8")), *lists, pa.array(np.zeros(n, bool)), pa.array(crowd.astype(np.int32)), pa.array(rows["inner"].astype(np.int32))], names=names)
 
 
-def classes(contexts: list[bytes]) -> list[list[tuple[int, int]]]:
+def classes(contexts: list[bytes], inner: list[int]) -> list[list[tuple[int, int]]]:
     """Windows (context, start) that hold equal 50-byte strings, by a suffix array over all contexts. Only classes of
-    windows of two contexts or more."""
+    windows of two contexts or more.
+
+    Every window of a context holds its gram, which starts at inner, whole. So equal grams are one symbol of the sorted
+    string, and windows are equal if their bytes before and after it are.
+    """
     out: list[list[tuple[int, int]]] = []
     joined: list[int] = []
     of: list[int] = []
     base: list[int] = []
-    for k, c in enumerate(contexts):
+    symbol: dict[bytes, int] = {}
+    for k, (c, i) in enumerate(zip(contexts, inner)):
         base.append(len(joined))
-        joined += [x + 1 for x in c]
+        gram = c[i : i + GRAM]
+        joined += [x + 1 for x in c[:i]]
+        joined.append(symbol.setdefault(gram, 257 + len(symbol)))
+        joined += [x + 1 for x in c[i + GRAM :]]
         joined.append(0)
-        of += [k] * (len(c) + 1)
-    raw = b"\0".join(contexts) + b"\0"
+        of += [k] * (len(joined) - base[-1])
     last = None
     for s in linear_grouping(joined):
         k = of[s]
         start = s - base[k]
-        if start + LENGTH > len(contexts[k]):
+        c = contexts[k]
+        if start > inner[k] or start + LENGTH > len(c):
             continue
-        window = raw[s : s + LENGTH]
+        window = c[start : start + LENGTH]
         if window == last:
             out[-1].append((k, start))
         else:
@@ -252,14 +262,14 @@ def classes(contexts: list[bytes]) -> list[list[tuple[int, int]]]:
     return [c for c in out if len({k for k, _ in c}) > 1]
 
 
-def _sorted_groups(keys: list, docs: list[int], contexts: list[bytes]):
+def _sorted_groups(keys: list, docs: list[int], contexts: list[bytes], inner: list[int]):
     """Per context, the starts of windows that a smaller document's context has too, over blocks of whole groups."""
     removed: list[list[int]] = [[] for _ in docs]
     block: list[int] = []
     length = 0
 
     def run() -> None:
-        for c in classes([contexts[i] for i in block]):
+        for c in classes([contexts[i] for i in block], [inner[i] for i in block]):
             least = min(docs[block[k]] for k, _ in c)
             for k, start in c:
                 if docs[block[k]] > least:
@@ -290,57 +300,57 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     settled = found.where("settled").select("doc", "at", "more")
 
     # the contexts of the others, cut out of their documents' texts
-    asked = found.where("NOT settled").select("doc", "gram", F.col("at")[0].alias("at"), F.col("more")[0].alias("more"), "crowd")
-    asked = asked.groupBy("doc").agg(F.collect_list(F.struct("gram", "at", "more", "crowd")).alias("asked"))
+    asked = found.where("NOT settled").select("doc", "gram", F.col("at")[0].alias("at"), F.col("more")[0].alias("more"), "crowd", "inner")
+    asked = asked.groupBy("doc").agg(F.collect_list(F.struct("gram", "at", "more", "crowd", "inner")).alias("asked"))
 
     def cut(texts: pa.Array, wanted: pa.Array) -> pa.Array:
         out = []
         for t, w in zip(texts.to_pylist(), wanted.to_pylist()):
             data = t.encode()
             out.append([x | {"context": data[x["at"] : x["at"] + x["more"] + LENGTH]} for x in w])
-        return pa.array(out, pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32()), ("more", pa.int32()), ("crowd", pa.int32()), ("context", pa.binary())])))
+        return pa.array(out, pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32()), ("more", pa.int32()), ("crowd", pa.int32()), ("inner", pa.int32()), ("context", pa.binary())])))
 
-    cutter = arrow_udf(cut, "array<struct<gram:bigint,at:int,more:int,crowd:int,context:binary>>")
+    cutter = arrow_udf(cut, "array<struct<gram:bigint,at:int,more:int,crowd:int,inner:int,context:binary>>")
     contexts = docs.join(asked.hint("shuffle_hash"), "doc").select("doc", F.explode(cutter("text", "asked")).alias("c")).select("doc", "c.*")
     contexts = written(contexts, "contexts")
 
     def second_round(batches):
         """A partition of contexts, sorted by gram: whole groups go to suffix arrays, block by block."""
-        keys, ids, at, texts, size = [], [], [], [], 0
+        keys, ids, at, texts, inner, size = [], [], [], [], [], 0
 
         def flush(n: int) -> pa.RecordBatch:
-            got = _sorted_groups(keys[:n], ids[:n], texts[:n])
+            got = _sorted_groups(keys[:n], ids[:n], texts[:n], inner[:n])
             rows = [(ids[i], at[i] + s) for i in range(n) for s in got[i]]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([[r[1]] for r in rows], pa.list_(pa.int32())), pa.array([[0]] * len(rows), pa.list_(pa.int32()))], ["doc", "at", "more"])
 
         for batch in batches:
-            for g, d, a, c in zip(*(batch.column(x).to_pylist() for x in ("gram", "doc", "at", "context"))):
+            for g, d, a, c, i in zip(*(batch.column(x).to_pylist() for x in ("gram", "doc", "at", "context", "inner"))):
                 if keys and g != keys[-1] and size >= 16 * BLOCK:
                     yield flush(len(keys))
-                    keys, ids, at, texts, size = [], [], [], [], 0
-                keys.append(g), ids.append(d), at.append(a), texts.append(c)
+                    keys, ids, at, texts, inner, size = [], [], [], [], [], 0
+                keys.append(g), ids.append(d), at.append(a), texts.append(c), inner.append(i)
                 size += len(c)
         if keys:
             yield flush(len(keys))
 
     few = contexts.where(F.col("crowd") <= GROUP)
     n = max(8, spark.sparkContext.defaultParallelism, buckets // 4)
-    sorted_ = few.repartition(n, "gram").sortWithinPartitions("gram").select("gram", "doc", "at", "context")
+    sorted_ = few.repartition(n, "gram").sortWithinPartitions("gram").select("gram", "doc", "at", "context", "inner")
     few_removed = sorted_.mapInArrow(second_round, "doc bigint, at array<int>, more array<int>")
 
     # a frequent gram's contexts are sorted in slices; one row for each distinct string of a slice meets the others' by digest
     def slices(batches):
         for batch in batches:
-            cols = [batch.column(x).to_pylist() for x in ("doc", "at", "context")]
+            cols = [batch.column(x).to_pylist() for x in ("doc", "at", "context", "inner")]
             for i in range(0, len(cols[0]), 800):
-                ids, at, texts = (c[i : i + 800] for c in cols)
+                ids, at, texts, inner = (c[i : i + 800] for c in cols)
                 rows = {}
                 for k, c in enumerate(texts):
                     for s in range(len(c) - LENGTH + 1):
                         rows.setdefault((k, s), None)
                 seen = set()
                 out = []
-                for c in classes(texts):
+                for c in classes(texts, inner):
                     least = min(ids[k] for k, _ in c)
                     out.append((hashlib.blake2b(texts[c[0][0]][c[0][1] : c[0][1] + LENGTH], digest_size=16).digest(), least, [ids[k] for k, _ in c], [at[k] + s for k, s in c]))
                     seen.update(c)
@@ -351,7 +361,7 @@ def removed_windows(docs: DataFrame) -> DataFrame:
 
     many = contexts.where(F.col("crowd") > GROUP)
     if many.limit(1).count():
-        sliced = written(many.repartition(n, F.xxhash64("context")).sortWithinPartitions("gram").select("doc", "at", "context").mapInArrow(slices, "string binary, least bigint, docs array<bigint>, at array<int>"), "slices")
+        sliced = written(many.repartition(n, F.xxhash64("context")).sortWithinPartitions("gram").select("doc", "at", "context", "inner").mapInArrow(slices, "string binary, least bigint, docs array<bigint>, at array<int>"), "slices")
         first = sliced.groupBy("string").agg(F.min("least").alias("first"))
         members = sliced.join(first, "string").select("first", F.explode(F.arrays_zip("docs", "at")).alias("z"))
         late = members.where(F.col("z.docs") > F.col("first")).select(F.col("z.docs").alias("doc"), F.array("z.at").alias("at"), F.array(F.lit(0)).alias("more"))
