@@ -31,7 +31,7 @@ BANDS = {
 MIN_TOKENS = 40
 #: Beyond this many tokens the entropy of clean text hardly grows, so it is divided by no more than log2 of this.
 FULL = 512
-SLICE = 1 << 21
+SLICE = 1 << 18
 TYPE = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,base_failed:boolean,kept:boolean,n_tokens:bigint,chars_per_token:double,byte_share:double,token_entropy:double,script:string>"
 
 _rng = np.random.default_rng(20240229)
@@ -102,7 +102,7 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     before = np.concatenate(([False], word[:-1])) & ~edge[:-1]
     after = np.concatenate((word[1:], [False])) & ~edge[1:]
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    up, down = _powers(max(SLICE * 2, 1 << (size).bit_length()))
+    up, down = _powers(max(SLICE * 2, 1 << size.bit_length()))
     h = np.zeros(size + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:size], out=h[1:])
 
