@@ -1,6 +1,430 @@
-"""Named queries over the standard tables, and the SQL they are checked with."""
+"""Named queries over the standard tables, one for each family of operators, and the SQL they are checked with.
+
+Doubles that are sums of many values are rounded on both sides, as their last bits depend on the order of addition.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import formats, text
+from ..operators import arrays, indicators, learn, matrix
+from ..operators import statistics as st
+from ..sources.records import RecordStore
+from ..sources.typed import TypedStore
+from ..streaming import realtime as rt
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _store(spark: SparkSession, sf_dir: str, *names: str) -> RecordStore:
+    store = RecordStore(spark)
+    for n in names:
+        store.tables[n] = table(spark, sf_dir, n)
+    return store
+
+
+def _sql(name: str, tables: str, dialect: str, oracle: str, **options) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _store(spark, sf_dir, *tables.split()).sql(dialect, **options)
+    ORACLE[name] = oracle
+
+
+_R = "floor({} * 100 + 0.5) / 100"
+_sql("sql_filter_project", "customer", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000")
+_sql("sql_star", "region", "SELECT * FROM region ORDER BY r_name DESC", "SELECT * FROM region")
+_sql("sql_order_limit", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+_sql("sql_group_count", "orders", "SELECT o_orderstatus, COUNT(*) AS cnt FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, count(*) AS cnt FROM orders GROUP BY 1")
+_sql("sql_aggregates", "part", "SELECT p_brand, MIN(p_size) AS lo, MAX(p_size) AS hi, SUM(p_size) AS total, AVG(p_size) AS mean, COUNT(p_size) AS n FROM part GROUP BY p_brand", f"SELECT p_brand, min(p_size) AS lo, max(p_size) AS hi, CAST(sum(p_size) AS BIGINT) AS total, {_R.format('avg(p_size)')} AS mean, count(p_size) AS n FROM part GROUP BY 1")
+_sql("sql_count_distinct", "lineitem", "SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1")
+_sql("sql_having", "orders", "SELECT o_custkey, COUNT(*) AS cnt FROM orders GROUP BY o_custkey HAVING cnt > 12", "SELECT o_custkey, count(*) AS cnt FROM orders GROUP BY 1 HAVING count(*) > 12")
+_sql("sql_global_aggregate", "lineitem", "SELECT COUNT(*) AS n, MAX(l_quantity) AS hi, MIN(l_quantity) AS lo FROM lineitem", "SELECT count(*) AS n, max(l_quantity) AS hi, min(l_quantity) AS lo FROM lineitem")
+_sql("sql_predicates", "customer", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('building', 'MACHINERY') AND c_acctbal NOT BETWEEN 0 AND 3000 AND c_name LIKE 'customer%' AND NOT c_nationkey = 3", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) IN ('building', 'machinery') AND NOT (c_acctbal BETWEEN 0 AND 3000) AND c_name ILIKE 'customer%' AND NOT c_nationkey = 3")
+_sql("sql_or_precedence", "part", "SELECT p_partkey FROM part WHERE p_size < 3 OR p_size > 48 AND p_retailprice > 1000", "SELECT p_partkey FROM part WHERE p_size < 3 OR p_size > 48 AND p_retailprice > 1000")
+_sql("sql_is_null", "events", "SELECT event_id FROM events WHERE value IS NOT NULL AND user_id <> 7", "SELECT event_id FROM events WHERE value IS NOT NULL AND user_id <> 7")
+_sql("sql_equals_ignoring_case", "customer", "SELECT COUNT(*) AS n FROM customer WHERE c_mktsegment = 'building'", "SELECT count(*) AS n FROM customer WHERE lower(c_mktsegment) = 'building'")
+_sql("sql_parameters", "orders", "SELECT o_orderkey, :msg.payload.tag AS tag FROM orders WHERE o_totalprice >= :flow.least AND o_orderstatus = :global.status", "SELECT o_orderkey, 'big' AS tag FROM orders WHERE o_totalprice >= 300000 AND lower(o_orderstatus) = 'o'", params={"msg": {"payload": {"tag": "big"}}, "flow": {"least": 300000}, "global": {"status": "o"}})
+for _how in ("INNER", "LEFT", "RIGHT", "FULL OUTER"):
+    _sql(f"sql_join_{_how.split()[0].lower()}", "customer orders", f"SELECT c.c_custkey, o.o_orderkey FROM customer c {_how} JOIN orders o ON c.c_custkey = o.o_custkey", f'SELECT c.c_custkey AS "c.c_custkey", o.o_orderkey AS "o.o_orderkey" FROM customer c {_how} JOIN orders o ON c.c_custkey = o.o_custkey')
+_sql(
+    "sql_revenue_by_nation", "customer orders nation",
+    "SELECT n.n_name AS nation, COUNT(*) AS orders, MAX(o.o_totalprice) AS largest FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 1000 GROUP BY n.n_name HAVING orders > 1 ORDER BY orders DESC",
+    f"SELECT n_name AS nation, count(*) AS orders, {_R.format('max(o_totalprice)')} AS largest FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 1000 GROUP BY 1 HAVING count(*) > 1",
+)
+
+
+@query("SELECT e.event_id, e.value FROM events e WHERE e.value > 50 AND e.user_id < 40")
+def records_predicates(spark, sf_dir):
+    return RecordStore(spark).query(table(spark, sf_dir, "events"), {"value": lambda c: c > 50, "user_id": lambda c: c < 40}).select("event_id", "value")
+
+
+@query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey IN (1, 2)")
+def records_positions(spark, sf_dir):
+    return RecordStore(spark).query(table(spark, sf_dir, "region"), rows={"a": [0, 1, 2], "b": [1, 2, 3]}, position="r_regionkey").select("r_regionkey", "r_name")
+
+
+@query("SELECT p_partkey FROM part WHERE lower(p_type) LIKE '%steel%' OR p_size >= 45")
+def typed_rules(spark, sf_dir):
+    df = table(spark, sf_dir, "part")
+    store = TypedStore(spark, df.schema, "part_store", df)
+    return store.query([{"field": "p_type", "op": "contains", "value": "STEEL"}, {"field": "p_size", "op": ">=", "value": 45}], "OR").select("p_partkey")
+
+
+@query('SELECT n_name AS "nations.n_name", r_name AS "regions.r_name" FROM nation LEFT JOIN region ON n_regionkey = r_regionkey')
+def typed_join(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return TypedStore(spark, n.schema, "nations", n).join(TypedStore(spark, r.schema, "regions", r), "n_regionkey = r_regionkey", "LEFT").select("`nations.n_name`", "`regions.r_name`")
+
+
+# --- statistics
+
+_V = "CAST(l_quantity AS DOUBLE)"
+
+
+@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS avg, min(l_quantity) AS min, max(l_quantity) AS max, round(sum(l_quantity), 4) AS sum, max(l_quantity) - min(l_quantity) AS range, round(var_pop(l_quantity), 6) AS variance, round(stddev_pop(l_quantity), 6) AS std_dev, round(var_samp(l_quantity), 6) AS sample_variance, round(stddev_samp(l_quantity), 6) AS sample_std_dev, median(l_quantity) AS median FROM lineitem GROUP BY 1")
+def stats_summary(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*st.summary(F.col("l_quantity"))).drop("skew")
+    return df.withColumns({c: F.round(c, 4 if c == "sum" else 6) for c in ("avg", "sum", "variance", "std_dev", "sample_variance", "sample_std_dev")})
+
+
+_WIN = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
+
+
+@query(f"""SELECT event_id, value - coalesce(lag(value) {_WIN}), 0) AS delta, CASE WHEN lag(value) {_WIN}) = 0 THEN NULL ELSE round((value - lag(value) {_WIN})) / lag(value) {_WIN}), 6) END AS delta_normalised,
+  value - lag(value) {_WIN}) AS diff, value - lag(value, 3) {_WIN}) AS seasonal, round(value - 2 * lag(value) {_WIN}) + lag(value, 2) {_WIN}), 6) AS twice, round(lag(value) {_WIN}) - 2 * value + lead(value) {_WIN}), 6) AS second FROM events""")
+def stats_differences(spark, sf_dir):
+    w, x = Window.partitionBy("user_id").orderBy("ts", "event_id"), F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", st.delta(x, w).alias("delta"), F.round(st.delta_normalised(x, w), 6).alias("delta_normalised"), st.difference(x, w).alias("diff"), st.difference(x, w, 3).alias("seasonal"), F.round(st.difference(x, w, 1, 2), 6).alias("twice"), F.round(st.second_difference(x, w), 6).alias("second"))
+
+
+@query(f"""SELECT event_id, round(CASE WHEN count(*) {_WIN} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 5 THEN avg(value) {_WIN} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END, 6) AS simple, round(avg(value) {_WIN} ROWS UNBOUNDED PRECEDING), 6) AS cumulative,
+  round((3 * value + 2 * coalesce(lag(value) {_WIN}), 0) + coalesce(lag(value, 2) {_WIN}), 0)) / 6, 6) AS weighted FROM events""")
+def stats_moving(spark, sf_dir):
+    w, x = Window.partitionBy("user_id").orderBy("ts", "event_id"), F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", F.round(st.moving_average(x, w, 5), 6).alias("simple"), F.round(st.cumulative_average(x, w), 6).alias("cumulative"), F.round(st.weighted_average(x, w, 3), 6).alias("weighted"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ e AS (SELECT event_id, user_id, k, value AS ema FROM r WHERE k = 1 UNION ALL SELECT r.event_id, r.user_id, r.k, 0.25 * r.value + 0.75 * e.ema FROM e JOIN r ON r.user_id = e.user_id AND r.k = e.k + 1)
+ SELECT event_id, round(ema, 6) AS ema FROM e""")
+def stats_exponential(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    return st.exponential_average(df, "value", ["user_id"], ["ts", "event_id"], 0.25).select("event_id", F.round("ema", 6).alias("ema"))
+
+
+@query("""SELECT event_id, round(CASE WHEN max(value) OVER p = min(value) OVER p THEN 0 ELSE (value - avg(value) OVER p) / (max(value) OVER p - min(value) OVER p) END, 6) AS normalized,
+ round((value - avg(value) OVER p) / nullif(stddev_pop(value) OVER p, 0), 6) AS standardized FROM events WINDOW p AS (PARTITION BY user_id)""")
+def stats_normalised(spark, sf_dir):
+    w, x = Window.partitionBy("user_id"), F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", F.round(st.normalize(x, w), 6).alias("normalized"), F.round(st.standardize(x, w), 6).alias("standardized"))
+
+
+_PAIRS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS i, '{b}' AS j, round(covar_pop({a}, {b}), 4) AS covariance FROM lineitem" for a, b in _PAIRS))
+def stats_covariance(spark, sf_dir):
+    return st.covariance(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).withColumn("covariance", F.round("covariance", 4))
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS i, '{b}' AS j, round(corr({a}, {b}), 6) AS correlation FROM lineitem" for a, b in _PAIRS))
+def stats_correlation(spark, sf_dir):
+    return st.correlation(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).withColumn("correlation", F.round("correlation", 6))
+
+
+@query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
+def stats_pearson(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(st.pearson(F.col("l_quantity"), F.col("l_extendedprice")), 6).alias("r"))
+
+
+@query("""WITH d AS (SELECT user_id, value - avg(value) OVER (PARTITION BY user_id) AS d, ts, event_id FROM events), e AS (SELECT user_id, d, lead(d, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS e FROM d)
+ SELECT user_id, round(sum(d * e) / nullif(count(d) - 1, 0), 5) AS autocovariance, round(sum(d * e) / nullif(sum(d * d), 0), 6) AS autocorrelation FROM e GROUP BY 1 HAVING count(*) > 1""")
+def stats_autocovariance(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    some = df.groupBy("user_id").count().where("count > 1").select("user_id")
+    out = st.autocovariance(df.join(some, "user_id", "left_semi"), "value", ["ts", "event_id"], 2, ["user_id"])
+    return out.select("user_id", F.round("autocovariance", 5).alias("autocovariance"), F.round("autocorrelation", 6).alias("autocorrelation"))
+
+
+_POINTS = "SELECT n_nationkey AS id, [CAST(n_nationkey AS DOUBLE), CAST(n_regionkey AS DOUBLE)] AS p FROM nation"
+
+
+def _points(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.array("n_nationkey", "n_regionkey").alias("p"))
+
+
+@query("SELECT a.n_nationkey AS i, b.n_nationkey AS j, round(sqrt(power(a.n_nationkey - b.n_nationkey, 2) + power(a.n_regionkey - b.n_regionkey, 2)), 6) AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+def points_distances(spark, sf_dir):
+    return st.distances(_points(spark, sf_dir), "id", "p").withColumn("distance", F.round("distance", 6))
+
+
+for _e in ("min", "max"):
+    QUERIES[f"points_{_e}_distances"] = lambda spark, sf_dir, e=_e: st.distances(_points(spark, sf_dir), "id", "p", e).withColumn("distance", F.round("distance", 6))
+    ORACLE[f"points_{_e}_distances"] = f"WITH d AS ({ORACLE['points_distances']}) SELECT * FROM d WHERE distance = (SELECT {_e}(distance) FROM d)"
+
+
+# --- arrays
+
+_A = "SELECT o_custkey, list(o_totalprice ORDER BY o_orderkey) AS a FROM orders GROUP BY 1"
+
+
+@query(f"WITH x AS ({_A}) SELECT o_custkey, round(list_sum(a), 2) AS total, round(list_sum(a[2:3]), 2) AS part, round(list_sum(a) / len(a), 1) AS mean, a[-1] AS last, len(a) * (len(a) - 1) // 2 AS n_pairs FROM x")
+def arrays_folds(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))), lambda s: s["o_totalprice"]).alias("a"))
+    c = F.col("a")
+    return a.select("o_custkey", F.round(arrays.array_sum(c), 2).alias("total"), F.round(F.when(F.size(c) >= 2, arrays.array_sum(c, 1, 2)), 2).alias("part"), F.round(arrays.average(c), 1).alias("mean"), arrays.last(c).alias("last"), F.size(arrays.pairs(c)).cast("bigint").alias("n_pairs"))
+
+
+# --- indicators: lineitem's parts as shares
+
+_PRICES = "SELECT l_suppkey AS ticker, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS k, l_extendedprice + 10 AS high, l_extendedprice - 10 AS low, l_extendedprice AS close, l_quantity AS volume FROM lineitem"
+
+
+def _prices(spark, sf_dir):
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    x = F.col("l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.row_number().over(w).cast("bigint").alias("k"), (x + 10).alias("high"), (x - 10).alias("low"), x.alias("close"), F.col("l_quantity").alias("volume"))
+
+
+_F20, _F14 = ("(PARTITION BY ticker ORDER BY k ROWS BETWEEN {} PRECEDING AND CURRENT ROW)".format(n) for n in (19, 13))
+
+
+@query(f"""WITH p AS ({_PRICES}) SELECT ticker, k, round(CASE WHEN k >= 20 THEN avg(close) OVER {_F20} END, 4) AS middle, round(CASE WHEN k >= 20 THEN avg(close) OVER {_F20} + 2 * stddev_pop(close) OVER {_F20} END, 2) AS upper,
+ round(CASE WHEN k >= 14 THEN CASE WHEN max(high) OVER {_F14} = min(low) OVER {_F14} THEN 50 ELSE (close - min(low) OVER {_F14}) / (max(high) OVER {_F14} - min(low) OVER {_F14}) * 100 END END, 6) AS stoch_k FROM p""")
+def indicators_windows(spark, sf_dir):
+    w = Window.partitionBy("ticker").orderBy("k")
+    c = F.col("close")
+    upper, middle, _ = indicators.bollinger(c, w)
+    return _prices(spark, sf_dir).select("ticker", "k", F.round(middle, 4).alias("middle"), F.round(upper, 2).alias("upper"), F.round(indicators.stochastic(F.col("high"), F.col("low"), c, w), 6).alias("stoch_k"))
+
+
+@query(f"""WITH p AS ({_PRICES}), s AS (SELECT ticker, k, coalesce(sign(close - lag(close) OVER (PARTITION BY ticker ORDER BY k)), 0) * volume AS v FROM p) SELECT ticker, k, sum(v) OVER (PARTITION BY ticker ORDER BY k ROWS UNBOUNDED PRECEDING) AS obv FROM s""")
+def indicators_obv(spark, sf_dir):
+    return indicators.with_indicators(_prices(spark, sf_dir), date="k").select("ticker", "k", "obv")
+
+
+@query()
+def indicators_all(spark, sf_dir):
+    return indicators.with_indicators(_prices(spark, sf_dir), date="k", text=True)
+
+
+# --- matrices: l_linenumber x nation-like grids
+
+_M = "SELECT CAST(l_suppkey % 7 AS INTEGER) AS i, CAST(l_partkey % 7 AS INTEGER) AS j, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2"
+
+
+def _matrix(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 7).cast("int").alias("i"), (F.col("l_partkey") % 7).cast("int").alias("j"))
+    return df.agg(F.count(F.lit(1)).cast("double").alias("v"))
+
+
+@query(f"WITH m AS ({_M}) SELECT a.i, b.j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.j = b.i GROUP BY 1, 2")
+def matrix_multiply(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    return matrix.multiply(m, m)
+
+
+@query(f"WITH m AS ({_M}) SELECT m.i, m.j, m.v + t.v - 2 * m.v AS v FROM m JOIN m t ON m.i = t.j AND m.j = t.i")
+def matrix_cells(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    return matrix.subtract(matrix.add(m, matrix.transpose(m)), matrix.scale(m, 2.0))
+
+
+@query(f"WITH m AS ({_M}) SELECT round(sqrt(sum(v * v)), 6) AS norm, (SELECT sum(v) FROM m WHERE i = j) AS trace FROM m")
+def matrix_norm_trace(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    return matrix.norm(m).select(F.round("value", 6).alias("norm")).crossJoin(matrix.trace(m).withColumnRenamed("value", "trace"))
+
+
+@query(f"WITH m AS ({_M}) SELECT CAST(i - CASE WHEN i > 2 THEN 1 ELSE 0 END AS INTEGER) AS i, CAST(j - CASE WHEN j > 3 THEN 1 ELSE 0 END AS INTEGER) AS j, v FROM m WHERE i <> 2 AND j <> 3")
+def matrix_minor(spark, sf_dir):
+    return matrix.minor(_matrix(spark, sf_dir), 2, 3)
+
+
+@query(f"WITH m AS ({_M}) SELECT j, arg_max(i, v * 1000 - i) AS i, max(v) AS v FROM m GROUP BY 1")
+def matrix_column_max(spark, sf_dir):
+    return matrix.column_max(_matrix(spark, sf_dir))
+
+
+@query(f"WITH m AS ({_M}) SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v FROM m")
+def matrix_inverse_times_self(spark, sf_dir):
+    m = matrix.mapped(_matrix(spark, sf_dir), lambda v, i, j: F.when(i == j, v + 1000.0).otherwise(v))
+    return matrix.mapped(matrix.multiply(m, matrix.dense(m, matrix.inverse)), lambda v, i, j: F.round(v, 6) + 0.0)
+
+
+@query()
+def matrix_principal_components(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    return matrix.project(df, cols, matrix.principal_components(df, cols)).select("l_orderkey", "l_linenumber", "pc0", "pc1", "pc2")
+
+
+@query()
+def matrix_singular_values(spark, sf_dir):
+    values, vectors = matrix.singular_values(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return spark.createDataFrame([(k, v, x) for k, (v, x) in enumerate(zip(values, vectors))], "k int, value double, vector array<double>")
+
+
+# --- learning, text metrics, graphs
+
+
+@query()
+def logistic_regression(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1e5).alias("x"), (F.col("o_custkey") % 10).cast("double").alias("z"), (F.col("o_totalprice") > 150000).cast("int").alias("y"))
+    return learn.predict(learn.fit(df, ["x", "z"], "y", iterations=50), df)
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, CAST(levenshtein(a.n_name, b.n_name) AS INTEGER) AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+def text_edit_distance(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    a, b = n.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("a")), n.select(F.col("n_nationkey").alias("j"), F.col("n_name").alias("b"))
+    return a.join(b, F.col("i") < F.col("j")).select("a", "b", learn.edit_distance(F.col("a"), F.col("b")).alias("distance"))
+
+
+@query("""SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS length, contains(text, '?') AS has_question, contains(text, '!') AS has_exclamation, regexp_matches(text, '[0-9]') AS has_numbers,
+ CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS INTEGER) AS word_count FROM conversations""")
+def text_signals(spark, sf_dir):
+    s = learn.signals(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *(s[k].alias(k) for k in ("length", "has_question", "has_exclamation", "has_numbers", "word_count")))
+
+
+@query()
+def text_decisions(spark, sf_dir):
+    s = learn.signals(F.col("text"), ["price", "order"])
+    p = learn.posteriors(dict.fromkeys(learn.ACTIONS, 0.25), [(s["has_question"], {"answer": 2.0}), (s["complexity"] > 0.5, {"retrieve": 1.5})])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", learn.default_rules(s).alias("d"), F.map_entries(p).alias("posterior")).select("conv_id", "turn", "d.*", "posterior")
+
+
+def _graph(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    nodes = r.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("region").alias("type"), F.col("r_name").alias("label")).unionAll(n.select(F.concat(F.lit("n"), "n_nationkey"), F.lit("nation"), "n_name"))
+    return nodes, n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"), F.lit("in").alias("type"))
+
+
+@query("SELECT 'node' AS what, 'nation' AS type, count(*) AS n FROM nation UNION ALL SELECT 'node', 'region', count(*) FROM region UNION ALL SELECT 'edge', 'in', count(*) FROM nation")
+def graph_stats(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return learn.stats(learn.add_nodes(nodes, nodes), edges)
+
+
+@query("SELECT 'n' || n_nationkey AS src, 'r2' AS dst, 'in' AS type FROM nation WHERE n_regionkey = 2")
+def graph_edges_to(spark, sf_dir):
+    return learn.edges_of(_graph(spark, sf_dir)[1], "r2", out=False)
+
+
+@query()
+def graph_build(spark, sf_dir):
+    return learn.knowledge_graph(table(spark, sf_dir, "documents"), "doc_id", "text")[1]
+
+
+# --- transforms
+
+
+@query("SELECT c_custkey, upper(substr(c_name, 1, 1)) || substr(c_name, 2) AS cap, replace(c_name, '#', ' ') AS spaced, c_name || '!' AS app, substr(c_name, 1, 1) AS first, starts_with(c_name, 'Cust') AS starts, CASE WHEN c_acctbal < 0 THEN 0.0 WHEN c_acctbal > 5000 THEN 5000.0 ELSE c_acctbal END AS clamped, upper(c_mktsegment) AS up FROM customer")
+def transforms_strings(spark, sf_dir):
+    c, t = F.col("c_name"), text.transform
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", t("String", "Capitalize", c).alias("cap"), F.replace(c, F.lit("#"), F.lit(" ")).alias("spaced"), t("String", "Append", c, "!").alias("app"), t("String", "CharAt", c, 0).alias("first"),
+        t("String", "StartsWith", c, "Cust").alias("starts"), t("Number", "RangeLimit", F.col("c_acctbal"), 0.0, 5000.0).alias("clamped"), t("String", "UpperCase", F.col("c_mktsegment")).alias("up"),
+    )
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-01-01' AS inside FROM orders")
+def transforms_dates(spark, sf_dir):
+    d = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.transform("Date", "ISODate", d).alias("iso"), d.between(F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1996-01-01").cast("timestamp_ntz")).alias("inside"))
+
+
+@query("SELECT n_nationkey, n_nationkey || ',' || n_name || ',' || n_regionkey AS line, n_name AS cell FROM nation")
+def transforms_csv(spark, sf_dir):
+    line = F.concat_ws(",", "n_nationkey", "n_name", "n_regionkey")
+    return table(spark, sf_dir, "nation").select("n_nationkey", line.alias("line"), formats.csv_cells(line)[1].alias("cell"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def transforms_json(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(text.transform("String", "JSON", F.col("props")), "$.k", "bigint").alias("k"))
+
+
+@query("SELECT c_custkey, c_name AS name FROM customer")
+def transforms_compression(spark, sf_dir):
+    c = formats.compress(formats.compress(F.col("c_name"), "gzip"), "snappy")
+    back = formats.decompress(formats.decompress(c, "snappy"), "gzip")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.decode(back, "UTF-8").alias("name"))
+
+
+@query("SELECT s_suppkey, s_name AS name FROM supplier")
+def transforms_avro(spark, sf_dir):
+    schema = {"type": "record", "name": "s", "fields": [{"name": "name", "type": ["null", "string"]}]}
+    a = formats.avro_to_json(formats.json_to_avro(F.to_json(F.struct(F.col("s_name").alias("name"))), schema), schema)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.get_json_object(a, "$.name").alias("name"))
+
+
+@query("WITH t AS (SELECT o_custkey, unnest(list(o_orderkey ORDER BY o_orderkey)) AS value, unnest(range(count(*))) AS index FROM orders GROUP BY 1) SELECT o_custkey, CAST(index AS INTEGER) AS index, value FROM t")
+def transforms_messages(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("a"))
+    return formats.messages(a, "a")
+
+
+# --- real time
+
+
+@query(f"""SELECT event_id, count(value) {_WIN} ROWS UNBOUNDED PRECEDING) AS count, min(value) {_WIN} ROWS UNBOUNDED PRECEDING) AS min, max(value) {_WIN} ROWS UNBOUNDED PRECEDING) AS max, round(avg(value) {_WIN} ROWS UNBOUNDED PRECEDING), 6) AS avg,
+ round(avg(value) {_WIN} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving_avg, value - lag(value) {_WIN}) AS delta FROM events""")
+def realtime_metrics(spark, sf_dir):
+    m = rt.metrics(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return m.select("event_id", "count", "min", "max", F.round("avg", 6).alias("avg"), F.round("moving_avg", 6).alias("moving_avg"), "delta")
+
+
+@query(f"WITH z AS (SELECT event_id, (value - avg(value) {_WIN} ROWS UNBOUNDED PRECEDING)) / nullif(stddev_pop(value) {_WIN} ROWS UNBOUNDED PRECEDING), 0) AS z FROM events) SELECT event_id, round(z, 5) AS standardized FROM z WHERE abs(z) > 2")
+def realtime_outliers(spark, sf_dir):
+    m = rt.metrics(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return rt.outliers(m, 2.0).select("event_id", F.round("standardized", 5).alias("standardized"))
+
+
+@query("SELECT event_type, min(value) AS min, max(value) AS max, max(value) - min(value) AS range, round(avg(value), 6) AS average, count(value) AS count FROM events GROUP BY 1")
+def realtime_accumulated(spark, sf_dir):
+    return rt.accumulated(table(spark, sf_dir, "events"), "value", ["event_type"]).withColumn("average", F.round("average", 6))
+
+
+@query("WITH s AS (SELECT event_id, event_type, lag(event_type) OVER w AS b, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, event_type FROM s WHERE k = 1 OR event_type <> b")
+def realtime_state_changes(spark, sf_dir):
+    return rt.state_changes(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "event_type")
+
+
+@query("""WITH w AS (SELECT ts, unnest([0, 1]) AS k FROM events), b AS (SELECT time_bucket(INTERVAL '5 minutes', ts) - k * INTERVAL '5 minutes' AS start FROM w) SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM b GROUP BY 1""")
+def realtime_rates(spark, sf_dir):
+    got = rt.rates(table(spark, sf_dir, "events"), "ts", spans=("10 minutes",), slide="5 minutes")["10 minutes"]
+    return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query()
+def realtime_stream(spark, sf_dir):
+    """A stream over the events file, run to its end, as the table that it wrote."""
+    import uuid
+
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp"
+    at = f"{shared}/quern-stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = rt.realtime(stream, "user_id", "value", "event_id").writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).outputMode("append").start(f"{at}/out")
+    out.awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("key", "count", "sum", "min", "max", "avg", "median", "outlier")
