@@ -40,8 +40,8 @@ _DROP = frozenset("nav footer aside form button menu dialog fieldset".split())
 _SHORT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th option".split())
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|side-?bar|nav(?:bar|igation)?|menu|breadcrumbs?|(?:site|page)?-?footer|(?:site|page|top)-?header|masthead|"
-    r"cookies?|notices?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|comment-?list|respond|disqus|replies|widget|pagination|pager|copyright|toolbar|login|search|skip|hidden)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|side-?bar|(?:main|top|side|sub|user|foot(?:er)?)?-?(?:nav(?:bar|igation)?|menu)|top-?bar|breadcrumbs?|(?:site|page)?-?footer|(?:site|page|top)-?header|masthead|"
+    r"cookies?|notices?|notifications?|disclaimer|paywall|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|comment-?list|respond|disqus|replies|widget|pagination|pager|copyright|toolbar|login|search|skip|hidden)(?:$|[\s_-]|\d)",
     re.I,
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
