@@ -140,3 +140,39 @@ def knowledge_graph(docs: DataFrame, id_col: str, text: str, terms: int = 20, co
     related = found.withColumn("s", some).select(F.explode(F.flatten(F.transform("s", lambda x, i: F.transform(F.slice(F.col("s"), i + 2, F.lit(paired)), lambda y: F.struct(x.alias("src"), y.alias("dst")))))).alias("p"))
     edges = links.select(F.col("doc").alias("src"), F.col("e").alias("dst"), F.col("edge").alias("type")).unionAll(related.select("p.src", "p.dst", F.lit("related_to").alias("type")))
     return nodes, edges.distinct()
+
+
+# --- game trees: leaves are numbers, inner nodes lists
+
+
+def minimax(node, largest: bool = True) -> float:
+    return node if not isinstance(node, list) else (max if largest else min)(minimax(x, not largest) for x in node)
+
+
+def alphabeta(node, largest: bool = True, low: float = float("-inf"), high: float = float("inf")) -> float:
+    """minimax, without the branches that can't change it."""
+    if not isinstance(node, list):
+        return node
+    best = float("-inf") if largest else float("inf")
+    for x in node:
+        value = alphabeta(x, not largest, low, high)
+        best = max(best, value) if largest else min(best, value)
+        low, high = (max(low, best), high) if largest else (low, min(high, best))
+        if low >= high:
+            break
+    return best
+
+
+def tree_values(nodes: DataFrame, depth: int, largest: bool = True) -> DataFrame:
+    """minimax of a table of nodes (id, parent, value; the root's parent is null), level by level from below, at most depth levels."""
+    level = nodes.where(F.col("parent").isNull()).select("id", "parent", "value", F.lit(0).alias("d"))
+    all_ = level
+    for d in range(1, depth + 1):
+        level = nodes.join(level.select(F.col("id").alias("parent")), "parent").select("id", "parent", "value", F.lit(d).alias("d"))
+        all_ = all_.unionAll(level)
+    below = all_.where(F.col("d") == depth)
+    for d in range(depth - 1, -1, -1):
+        best = (F.max if (d % 2 == 0) == largest else F.min)("value").alias("best")
+        here = all_.where(F.col("d") == d).join(below.groupBy(F.col("parent").alias("id")).agg(best), "id", "left")
+        below = here.select("id", "parent", F.coalesce("best", "value").alias("value"))
+    return below.select("id", "value")

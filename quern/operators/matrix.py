@@ -326,3 +326,8 @@ def singular_values(df: DataFrame, columns: list[str]) -> tuple[list[float], lis
     values, vectors = np.linalg.eigh(g)
     order = np.argsort(-values)
     return np.sqrt(np.maximum(values[order], 0)).tolist(), vectors[:, order].T.tolist()
+
+
+def reconstruct(df: DataFrame, columns: list[str], components: list[dict], means: list[float]) -> DataFrame:
+    """The columns back from pc0, pc1, ... of project(): exact with all components, the best fit with fewer."""
+    return df.select(*(sum((F.col(f"pc{k}") * c["vector"][i] for k, c in enumerate(components)), F.lit(means[i])).alias(x) for i, x in enumerate(columns)))

@@ -106,6 +106,19 @@ def normalize(x: Column, w: WindowSpec) -> Column:
     return F.when(r == 0, 0.0).otherwise(F.try_divide(x - F.avg(x).over(w), r))
 
 
+def min_max(x: Column, w: WindowSpec) -> Column:
+    """(x - min) / (max - min) over the whole partition w, 0 if there is no range."""
+    low, high = F.min(x).over(w), F.max(x).over(w)
+    return F.when(low == high, 0.0).otherwise(F.try_divide(x - low, high - low))
+
+
+def skew_of_sums(x: Column) -> Column:
+    """Skewness from raw moments, (m3 - 3 mean variance - mean^3) / deviation^3, mergeable and so fit for streams."""
+    n, mean = F.count(x), F.avg(x)
+    variance = F.sum(x * x) / n - mean * mean
+    return F.try_divide(F.sum(x * x * x) / n - 3 * mean * variance - F.pow(mean, F.lit(3)), F.pow(variance, F.lit(1.5)))
+
+
 def standardize(x: Column, w: WindowSpec) -> Column:
     return F.try_divide(x - F.avg(x).over(w), F.stddev_pop(x).over(w))
 

@@ -66,6 +66,46 @@ class TypedStore:
         b = other.df.select(*(F.col(f"`{c}`").alias(name(other, c)) for c in other.df.columns))
         return a.join(b, a[f"`{name(self, left)}`"] == b[f"`{name(other, right or left)}`"], {"FULL OUTER": "full"}.get(how.upper(), how.lower().replace(" ", "_")))
 
+    def size(self) -> int:
+        return self.df.count()
+
+    def some(self, predicate: Column) -> bool:
+        return self.df.where(predicate).limit(1).count() > 0
+
+    def every(self, predicate: Column) -> bool:
+        return not self.some(~F.coalesce(predicate, F.lit(False)))
+
+    def find(self, predicate: Column):
+        return self.df.where(predicate).first()
+
+    def serialize(self, avro_schema: dict, codec: str = "deflate") -> DataFrame:
+        """One Avro container (column avro) for each partition."""
+        import pyarrow as pa
+
+        from ..functions.formats import avro_container
+
+        def pack(batches):
+            rows = [r for b in batches for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([avro_container(avro_schema, rows, codec)] if rows else [], pa.binary())], ["avro"])
+
+        return self.df.mapInArrow(pack, "avro binary")
+
+    def load(self, containers: DataFrame) -> TypedStore:
+        """The store with the records of Avro containers (column avro) added."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        from ..functions.formats import avro_container_read
+
+        kinds = to_arrow_schema(self.schema)
+
+        def unpack(batches):
+            for b in batches:
+                for c in b.column(0):
+                    yield pa.RecordBatch.from_pylist(avro_container_read(c.as_py())[1], kinds)
+
+        return TypedStore(self.spark, self.schema, self.name, self.df.unionByName(containers.select("avro").mapInArrow(unpack, self.schema)))
+
     def from_csv(self, path: str) -> TypedStore:
         df = self.spark.read.schema(self.schema).csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="FAILFAST")
         return TypedStore(self.spark, self.schema, self.name, self.df.unionByName(df))
