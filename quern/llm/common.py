@@ -50,7 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until no edge changes, O(log^2 n) rounds. Each
     round keeps at most as many edges as before, is written to the shared folder, and takes minima that combine before
-    the shuffle. Nodes without edges don't appear. Null ends are dropped.
+    the shuffle. Joins are sort-merge joins, which split hot nodes: files' sizes say too little of what a broadcast would
+    hold. Nodes without edges don't appear. Null ends are dropped.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
@@ -60,10 +61,10 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: every neighbour above u points to the least of u's neighbourhood
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         # small star: neighbours at or below u, and u itself, point to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+        small = large.join(low.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         following = written(small.distinct(), "edges")
         after = _stamp(following)
         forget(e)

@@ -127,14 +127,14 @@ def links(fps: DataFrame, tau: int = TAU, m: int = GROUPS, plain: int = PLAIN, m
     masks = [_signed(sum(1 << b for b in g)) for g in groups]
     index = written(fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("g"), F.col("fp").bitwiseAND(F.lit(k)).alias("key")) for i, k in enumerate(masks)))).alias("s")).select("fp", "s.*"), "signatures")
     freq = written(index.groupBy("g", "key").agg(F.count("*").alias("n")).where("n > 1"), "frequencies")
-    counted = index.join(freq, ["g", "key"])
+    counted = index.join(freq.hint("merge"), ["g", "key"])
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= tau
 
     seen = written(counted.groupBy("fp").agg(F.sum(F.col("n") - 1).alias("c"), *(F.max(F.when(F.col("g") == i, F.col("n"))).alias(f"n{i}") for i in range(m))), "costs")
     cold = seen.where(F.col("c") <= plain).select("fp")
     small = counted.where(F.col("n") <= plain + 1).select("g", "key", "fp")
-    probe = small.join(cold, "fp")
-    pairs = probe.withColumnRenamed("fp", "a").join(small.withColumnRenamed("fp", "b"), ["g", "key"]).where("a <> b").where(near("a", "b")).select("a", "b")
+    probe = small.join(cold.hint("merge"), "fp")
+    pairs = probe.withColumnRenamed("fp", "a").join(small.withColumnRenamed("fp", "b").hint("merge"), ["g", "key"]).where("a <> b").where(near("a", "b")).select("a", "b")
 
     # the others: counts at one bit in each group, then the cheapest thresholds
     warm = seen.where(F.col("c") > plain).select("fp", *(F.coalesce(F.col(f"n{i}"), F.lit(1)).alias(f"n{i}") for i in range(m)))
@@ -142,17 +142,17 @@ def links(fps: DataFrame, tau: int = TAU, m: int = GROUPS, plain: int = PLAIN, m
         return pairs
     flips = [F.array(F.lit(0).cast("bigint"), *(F.lit(_signed(1 << b)) for b in g)) for g in groups]
     around = F.element_at(F.array(*flips), F.col("g") + 1)
-    keys = index.join(warm.select("fp"), "fp").select("g", "key").distinct()
+    keys = index.join(warm.select("fp").hint("merge"), "fp").select("g", "key").distinct()
     near1 = keys.withColumn("flip", F.explode(around)).select("g", F.col("key").alias("own"), F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
-    cn1 = near1.join(freq, ["g", "key"], "left").groupBy("g", "own").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n1")).withColumnRenamed("own", "key")
-    costs = index.join(warm.select("fp"), "fp").join(cn1, ["g", "key"]).groupBy("fp").agg(*(F.max(F.when(F.col("g") == i, F.col("n1"))).alias(f"m{i}") for i in range(m)))
+    cn1 = near1.join(freq.hint("merge"), ["g", "key"], "left").groupBy("g", "own").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n1")).withColumnRenamed("own", "key")
+    costs = index.join(warm.select("fp").hint("merge"), "fp").join(cn1.hint("merge"), ["g", "key"]).groupBy("fp").agg(*(F.max(F.when(F.col("g") == i, F.col("n1"))).alias(f"m{i}") for i in range(m)))
     choice = _cheapest([{-1: F.lit(0), 0: 1 + F.col(f"n{i}"), 1: F.lit(1 + len(groups[i])) + F.col(f"m{i}")} for i in range(m)], tau - m + 1)
-    chosen = written(warm.join(costs, "fp").select("fp", choice.alias("c")).select("fp", "c.*"), "thresholds")
-    asked = chosen.where(F.col("cost") <= most).join(index, "fp")
+    chosen = written(warm.join(costs.hint("merge"), "fp").select("fp", choice.alias("c")).select("fp", "c.*"), "thresholds")
+    asked = chosen.where(F.col("cost") <= most).join(index.hint("merge"), "fp")
     t = F.element_at("t", F.col("g") + 1)
     asked = asked.withColumn("flip", F.explode(F.when(t == 1, around).when(t == 0, F.array(F.lit(0).cast("bigint"))))).select(F.col("fp").alias("a"), "g", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
-    target = index.join(freq, ["g", "key"], "left").where(F.coalesce("n", F.lit(1)) <= most).select("g", "key", F.col("fp").alias("b"))
-    pairs = pairs.unionAll(asked.join(target, ["g", "key"]).where("a <> b").where(near("a", "b")).select("a", "b"))
+    target = index.join(freq.hint("merge"), ["g", "key"], "left").where(F.coalesce("n", F.lit(1)) <= most).select("g", "key", F.col("fp").alias("b"))
+    pairs = pairs.unionAll(asked.join(target.hint("merge"), ["g", "key"]).where("a <> b").where(near("a", "b")).select("a", "b"))
 
     dense = chosen.where(F.col("cost") > most)
     points = F.array(F.lit(0).cast("bigint"), *(F.lit(_signed(1 << b)) for b in range(64)))
@@ -173,10 +173,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = written(fp.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
     pairs = links(classes.select("fp")).distinct()
     reps = classes.where(F.col("rep").isNotNull())
-    e = pairs.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+    e = pairs.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")).hint("merge"), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")).hint("merge"), "b")
     named = components(e.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    labels = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fp.join(labels, "fp").select(id_col, "fp", "component_id")
+    labels = classes.join(named.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return fp.join(labels.hint("merge"), "fp").select(id_col, "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,5 +190,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat an id are one document and one row of them stays.
     """
     kept = simhash_groups(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept.hint("merge"), "doc_id", "left_semi")
     return named.select(*docs.columns).dropDuplicates(["doc_id"]).unionAll(docs.where(F.col("doc_id").isNull()))
