@@ -60,7 +60,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every neighbour above u points to the least of u's neighbourhood
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join has an exchange of its own on either side and can split a hub's rows
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         # small star: neighbours at or below u, and u itself, point to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -68,6 +69,7 @@ def components(edges: DataFrame) -> DataFrame:
         following = written(small.distinct(), "edges")
         after = _stamp(following)
         forget(e)
+        forget(least)
         e = following
         if after == stamp:
             break

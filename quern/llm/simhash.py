@@ -145,6 +145,7 @@ def links(fps: DataFrame, tau: int = TAU, m: int = GROUPS, plain: int = PLAIN, m
     keys = index.join(warm.select("fp").hint("merge"), "fp").select("g", "key").distinct()
     near1 = keys.withColumn("flip", F.explode(around)).select("g", F.col("key").alias("own"), F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
     cn1 = near1.join(freq.hint("merge"), ["g", "key"], "left").groupBy("g", "own").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n1")).withColumnRenamed("own", "key")
+    cn1 = written(cn1, "neighbours")  # so that the join below has an exchange on either side and can split a hot key
     costs = index.join(warm.select("fp").hint("merge"), "fp").join(cn1.hint("merge"), ["g", "key"]).groupBy("fp").agg(*(F.max(F.when(F.col("g") == i, F.col("n1"))).alias(f"m{i}") for i in range(m)))
     choice = _cheapest([{-1: F.lit(0), 0: 1 + F.col(f"n{i}"), 1: F.lit(1 + len(groups[i])) + F.col(f"m{i}")} for i in range(m)], tau - m + 1)
     chosen = written(warm.join(costs.hint("merge"), "fp").select("fp", choice.alias("c")).select("fp", "c.*"), "thresholds")
