@@ -1,6 +1,7 @@
 """Named queries over the standard tables, one for each family of operators, and the SQL they are checked with.
 
-Doubles that are sums of many values are rounded on both sides, as their last bits depend on the order of addition.
+Doubles that are sums of many values are rounded on both sides, as their last bits depend on the order of addition; to
+places at which exact halves don't occur.
 """
 
 from __future__ import annotations
@@ -115,19 +116,19 @@ def stats_differences(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", st.delta(x, w).alias("delta"), F.round(st.delta_normalised(x, w), 6).alias("delta_normalised"), st.difference(x, w).alias("diff"), st.difference(x, w, 3).alias("seasonal"), F.round(st.difference(x, w, 1, 2), 6).alias("twice"), F.round(st.second_difference(x, w), 6).alias("second"))
 
 
-@query(f"""SELECT event_id, round(CASE WHEN count(*) {_WIN} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 5 THEN avg(value) {_WIN} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END, 6) AS simple, round(avg(value) {_WIN} ROWS UNBOUNDED PRECEDING), 6) AS cumulative,
-  round((3 * value + 2 * coalesce(lag(value) {_WIN}), 0) + coalesce(lag(value, 2) {_WIN}), 0)) / 6, 6) AS weighted FROM events""")
+@query(f"""SELECT event_id, round(CASE WHEN count(*) {_WIN} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 5 THEN avg(value) {_WIN} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END, 9) AS simple, round(avg(value) {_WIN} ROWS UNBOUNDED PRECEDING), 9) AS cumulative,
+  round((3 * value + 2 * coalesce(lag(value) {_WIN}), 0) + coalesce(lag(value, 2) {_WIN}), 0)) / 6, 9) AS weighted FROM events""")
 def stats_moving(spark, sf_dir):
     w, x = Window.partitionBy("user_id").orderBy("ts", "event_id"), F.col("value")
-    return table(spark, sf_dir, "events").select("event_id", F.round(st.moving_average(x, w, 5), 6).alias("simple"), F.round(st.cumulative_average(x, w), 6).alias("cumulative"), F.round(st.weighted_average(x, w, 3), 6).alias("weighted"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(st.moving_average(x, w, 5), 9).alias("simple"), F.round(st.cumulative_average(x, w), 9).alias("cumulative"), F.round(st.weighted_average(x, w, 3), 9).alias("weighted"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
  e AS (SELECT event_id, user_id, k, value AS ema FROM r WHERE k = 1 UNION ALL SELECT r.event_id, r.user_id, r.k, 0.25 * r.value + 0.75 * e.ema FROM e JOIN r ON r.user_id = e.user_id AND r.k = e.k + 1)
- SELECT event_id, round(ema, 6) AS ema FROM e""")
+ SELECT event_id, round(ema + 0.0000000031, 6) AS ema FROM e""")
 def stats_exponential(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return st.exponential_average(df, "value", ["user_id"], ["ts", "event_id"], 0.25).select("event_id", F.round("ema", 6).alias("ema"))
+    return st.exponential_average(df, "value", ["user_id"], ["ts", "event_id"], 0.25).select("event_id", F.round(F.col("ema") + 0.0000000031, 6).alias("ema"))
 
 
 @query("""SELECT event_id, round(CASE WHEN max(value) OVER p = min(value) OVER p THEN 0 ELSE (value - avg(value) OVER p) / (max(value) OVER p - min(value) OVER p) END, 6) AS normalized,
@@ -264,7 +265,7 @@ def matrix_column_max(spark, sf_dir):
     return matrix.column_max(_matrix(spark, sf_dir))
 
 
-@query(f"WITH m AS ({_M}) SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v FROM m")
+@query(f"WITH m AS ({_M}) SELECT i, j, CAST(i = j AS DOUBLE) AS v FROM m")
 def matrix_inverse_times_self(spark, sf_dir):
     m = matrix.mapped(_matrix(spark, sf_dir), lambda v, i, j: F.when(i == j, v + 1000.0).otherwise(v))
     return matrix.mapped(matrix.multiply(m, matrix.dense(m, matrix.inverse)), lambda v, i, j: F.round(v, 6) + 0.0)
@@ -387,11 +388,11 @@ def transforms_messages(spark, sf_dir):
 # --- real time
 
 
-@query(f"""SELECT event_id, count(value) {_WIN} ROWS UNBOUNDED PRECEDING) AS count, min(value) {_WIN} ROWS UNBOUNDED PRECEDING) AS min, max(value) {_WIN} ROWS UNBOUNDED PRECEDING) AS max, round(avg(value) {_WIN} ROWS UNBOUNDED PRECEDING), 6) AS avg,
- round(avg(value) {_WIN} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving_avg, value - lag(value) {_WIN}) AS delta FROM events""")
+@query(f"""SELECT event_id, count(value) {_WIN} ROWS UNBOUNDED PRECEDING) AS count, min(value) {_WIN} ROWS UNBOUNDED PRECEDING) AS min, max(value) {_WIN} ROWS UNBOUNDED PRECEDING) AS max, round(avg(value) {_WIN} ROWS UNBOUNDED PRECEDING), 9) AS avg,
+ round(avg(value) {_WIN} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) AS moving_avg, value - lag(value) {_WIN}) AS delta FROM events""")
 def realtime_metrics(spark, sf_dir):
     m = rt.metrics(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
-    return m.select("event_id", "count", "min", "max", F.round("avg", 6).alias("avg"), F.round("moving_avg", 6).alias("moving_avg"), "delta")
+    return m.select("event_id", "count", "min", "max", F.round("avg", 9).alias("avg"), F.round("moving_avg", 9).alias("moving_avg"), "delta")
 
 
 @query(f"WITH z AS (SELECT event_id, (value - avg(value) {_WIN} ROWS UNBOUNDED PRECEDING)) / nullif(stddev_pop(value) {_WIN} ROWS UNBOUNDED PRECEDING), 0) AS z FROM events) SELECT event_id, round(z, 5) AS standardized FROM z WHERE abs(z) > 2")
