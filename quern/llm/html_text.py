@@ -77,6 +77,7 @@ def blocks(html: str) -> tuple[list[str], list[tuple[str, str, bool, bool, bool]
     out: list[tuple[str, str, bool, bool, bool]] = []
     buffer: list[str] = []
     article, links, in_link, plain = 0, 0, 0, 0
+    muted, depth = "", 0
 
     def flush() -> None:
         nonlocal links, plain
@@ -99,7 +100,7 @@ def blocks(html: str) -> tuple[list[str], list[tuple[str, str, bool, bool, bool]
 
     at = 0
     for m in _TOKEN.finditer(html):
-        if m.start() > at:
+        if m.start() > at and not muted:
             text = html[at : m.start()]
             buffer.append(text)
             if not text.isspace():
@@ -119,9 +120,13 @@ def blocks(html: str) -> tuple[list[str], list[tuple[str, str, bool, bool, bool]
                 in_link = 0 if m[2] else 1
             if tag in _SPACE:
                 buffer.append(" ")
-            if not (attrs and not m[2] and tag not in _VOID and tag != "a" and _boiler(tag, attrs, article > 0)):
-                if not (m[2] and any(x[0] == tag for x in stack[-1:])):
-                    continue
+            if muted:  # inside inline furniture, until its end
+                depth += (tag == muted) * (-1 if m[2] else 1)
+                muted = muted if depth else ""
+            elif attrs and not m[2] and tag not in _VOID and tag != "a" and _boiler(tag, attrs, article > 0):
+                muted, depth = tag, 1
+            continue
+        muted = ""
         if m[2]:
             flush()
             for k in range(len(stack) - 1, -1, -1):
@@ -153,7 +158,7 @@ def blocks(html: str) -> tuple[list[str], list[tuple[str, str, bool, bool, bool]
                 article -= 1
             continue
         stack.append((tag, label, (bool(stack) and stack[-1][2]) or _boiler(tag, attrs, article > 0) or (tag == "header" and not article)))
-    buffer.append(html[at:] if not html[at:].lstrip().startswith("<") else "")
+    buffer.append(html[at:] if not muted and not html[at:].lstrip().startswith("<") else "")
     flush()
     return stream, out
 

@@ -27,6 +27,7 @@ def test_main_text():
     assert html_text.main_text(PAGE) == "Head & line\nOne twothree four five\nNext <p> é\na\nb"
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
     assert html_text.main_text("plain words") == "plain words"
+    assert html_text.main_text('<article><p>a <span class="ad">buy <span>now</span></span>b <a href=u>link</a>.<p>t<div id=comments><p>c</div></article>') == "a b link.\nt"
     assert html_text.main_text("<p>cut <b>off") == "cut off"
     assert html_text.main_text("<article><p>x</p>" + "<p>y z</p>" * 5000).count("\n") == 5000
 
