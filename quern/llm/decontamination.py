@@ -87,3 +87,40 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that leak an item go; rows without an id stay."""
     return docs.join(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def _oracle_tokens(text: str) -> str:
+    """tokens() without look-around, which RE2 lacks: a unit that ends where it must gets a mark, which goes afterwards."""
+    marked = f"translate(coalesce({text}, ''), '{_NAME}{_NUMBER}', '')"
+    marked = f"regexp_replace({marked}, '([\\p{{Ll}},;] )(\\p{{Lu}})', '\\1{_NAME}\\2', 'g')"
+    marked = f"lower(regexp_replace({marked}, '(^|[^\\p{{L}}\\p{{N}}])(\\p{{N}})', '\\1{_NUMBER}\\2', 'g'))"
+    number, units = f"{_NUMBER}\\p{{N}}+(?:[.,:]\\p{{N}}+)*", "|".join(UNITS)
+    marked = f"regexp_replace(translate({marked}, '\ue003', ' '), '({number}[ \\t-\\r]?(?:{units}))([^\\p{{L}}\\p{{N}}]|$)', '\\1\ue003\\2', 'g')"
+    token = f"{_NAME}[\\p{{L}}\\p{{M}}]+|{number}(?:[ \\t-\\r]?(?:%|€|\\$|(?:{units})\ue003))?|[\\p{{L}}\\p{{M}}\\p{{N}}]+"
+    return f"list_transform(regexp_extract_all({marked}, '{token}'), lambda w: replace(w, '\ue003', ''))"
+
+
+_SLOT = f"(starts_with(w, '{_NAME}') OR starts_with(w, '{_NUMBER}'))"
+ORACLE = f"""
+WITH i0 AS (SELECT item_id, {_oracle_tokens("text")} AS raw FROM benchmark WHERE item_id IS NOT NULL),
+i1 AS (SELECT item_id, raw, list_transform(raw, lambda w: CASE WHEN {_SLOT} THEN w[1] ELSE w END) AS canon FROM i0 WHERE len(raw) >= {WINDOW}),
+items AS (SELECT min(item_id) AS item_id, arg_min(raw, item_id) AS raw, canon, count(DISTINCT item_id) AS n_items FROM i1 GROUP BY canon),
+placed0 AS (SELECT item_id, n_items, raw, canon, unnest(range(len(canon) - {WINDOW - 1})) AS place FROM items),
+placed AS (SELECT item_id, n_items, place, canon[place + 1 : place + {WINDOW}] AS h, raw[place + 1 : place + {WINDOW}] AS said FROM placed0
+           WHERE len(list_filter(canon[place + 1 : place + {WINDOW}], lambda w: NOT {_SLOT})) >= {LITERAL}),
+whole AS (SELECT item_id, count(DISTINCT place) AS n_windows, any_value(n_items) AS n_items FROM placed GROUP BY item_id),
+d0 AS (SELECT doc_id, {_oracle_tokens("text")} AS raw FROM documents WHERE doc_id IS NOT NULL),
+d1 AS (SELECT doc_id, raw, list_transform(raw, lambda w: CASE WHEN {_SLOT} THEN w[1] ELSE w END) AS canon FROM d0 WHERE len(raw) >= {WINDOW}),
+d2 AS (SELECT doc_id, raw, canon, unnest(range(len(canon) - {WINDOW - 1})) AS pos FROM d1),
+hits AS (SELECT doc_id, canon[pos + 1 : pos + {WINDOW}] AS h, min(pos) AS pos, arg_min(raw[pos + 1 : pos + {WINDOW}], pos) AS here
+         FROM d2 SEMI JOIN placed ON canon[pos + 1 : pos + {WINDOW}] = placed.h GROUP BY ALL),
+pairs AS (SELECT doc_id, item_id, place, said, here FROM hits JOIN placed USING (h)),
+totals AS (SELECT doc_id, item_id, n_matched, n_windows, n_items, n_matched / n_windows AS coverage
+           FROM (SELECT doc_id, item_id, count(DISTINCT place) AS n_matched FROM pairs GROUP BY doc_id, item_id) JOIN whole USING (item_id)
+           WHERE n_matched >= {RUN} OR n_matched / n_windows >= {COVERAGE}),
+slots AS (SELECT doc_id, item_id, unnest(said) AS w, unnest(here) AS here FROM pairs SEMI JOIN totals USING (doc_id, item_id)),
+agree AS (SELECT doc_id, item_id, avg(one) AS consistency
+          FROM (SELECT doc_id, item_id, w, CAST(count(DISTINCT here) = 1 AS INT) AS one FROM slots WHERE {_SLOT} GROUP BY doc_id, item_id, w) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_items, n_matched, n_windows, coverage, coalesce(consistency, 1.0) AS consistency
+FROM totals LEFT JOIN agree USING (doc_id, item_id) WHERE coalesce(consistency, 1.0) >= {CONSISTENT}
+"""

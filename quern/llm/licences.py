@@ -73,7 +73,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
     A null or empty text has no words, no labels and score 0. Long texts are read whole. Repeated rows are answered
     each. An empty table gives an empty result. Only id_col and text are read, so other columns can't clash. The score
-    is 1 with a base place, else the largest share of looked-up weight that agrees with a verified template.
+    is 1 with a base place, else the largest share of looked-up weight that agrees with a verified template; shares
+    have six places, as the last digits of a sum depend on its order.
     """
     spark, index = docs.sparkSession, postings()
     vocabulary = sorted(set(index) | {w for _, p in BASE for w in p.split()})
@@ -104,7 +105,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
         votes = votes.groupBy("row", "label").agg(F.max("got").alias("got"))
         known = {label: sum(idf.get(x, math.log(1 + n)) for x in sentence.split() if x in index) for label, sentence, _ in TEMPLATES}
         total = spark.createDataFrame(list(known.items()), "label string, total double")
-        votes = votes.join(F.broadcast(total), "label").withColumn("share", F.least(F.lit(1.0), F.col("got") / F.col("total"))).where(F.col("share") >= SHARE)
+        votes = votes.join(F.broadcast(total), "label").withColumn("share", F.round(F.least(F.lit(1.0), F.col("got") / F.col("total")), 6)).where(F.col("share") >= SHARE)
         line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
         key = F.lit(False)
         for label, _, phrase in TEMPLATES:
@@ -118,3 +119,32 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
+t AS (SELECT r, w, pos, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2
+      FROM (SELECT r, unnest(words) AS w, CAST(unnest(range(len(words))) AS BIGINT) AS pos FROM d) WINDOW o AS (PARTITION BY r ORDER BY pos)),
+places AS (SELECT r, pos, b.label FROM t JOIN (VALUES {_values((label, *p.split(), *[""] * (3 - len(p.split()))) for label, p in BASE)}) AS b(label, a0, a1, a2)
+           ON w = a0 AND w1 = a1 AND (a2 = '' OR w2 = a2)),
+base AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY r),
+postings(w, label, tpos) AS (VALUES {_values((w, label, i) for w, at in postings().items() for label, i in at)}),
+counts AS (SELECT w, count(DISTINCT r) AS df FROM t SEMI JOIN postings USING (w) GROUP BY w),
+n AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT w, ln(1 + n / df) AS idf FROM counts, n),
+listed AS (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY idf DESC, w) AS k, count(*) OVER (PARTITION BY r) AS c FROM (SELECT DISTINCT r, w FROM t) JOIN idf USING (w)),
+votes AS (SELECT r, label, sum(idf) AS got FROM t JOIN (SELECT r, w FROM listed WHERE k <= {RAREST} AND c > 1) USING (r, w) JOIN idf USING (w) JOIN postings USING (w) GROUP BY r, label, pos - tpos),
+total AS (SELECT label, sum(coalesce(idf, ln(1 + n))) AS total FROM n, postings LEFT JOIN idf USING (w) GROUP BY label),
+shares AS (SELECT r, label, round(least(1.0, max(got) / any_value(total)), 6) AS share FROM votes JOIN total USING (label) GROUP BY r, label),
+own AS (SELECT r, list(label) AS labels, max(share) AS share FROM shares JOIN d USING (r) JOIN (VALUES {_values((label, key) for label, _, key in TEMPLATES)}) AS keys(label, phrase) USING (label)
+        WHERE share >= {SHARE} AND contains(' ' || array_to_string(words, ' ') || ' ', ' ' || phrase || ' ') GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN own USING (r)
+"""

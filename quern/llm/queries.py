@@ -20,6 +20,11 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {"op7_warc": warc.ORACLE}
+ORACLE = {
+    "op2_substring_dedup": substrings.ORACLE,
+    "op3_licence_scan": licences.ORACLE,
+    "op5_decontamination": decontamination.ORACLE,
+    "op7_warc": warc.ORACLE,
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

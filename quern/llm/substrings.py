@@ -415,3 +415,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Windows as hexadecimal text, as DuckDB has no slices of bytes.
+ORACLE = """
+WITH b AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS hx, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
+w AS (SELECT doc_id, unnest(range(n_bytes - 49)) AS p, hx FROM b WHERE n_bytes >= 50),
+s AS (SELECT doc_id, p, substr(hx, 2 * p + 1, 100) AS w FROM w),
+f AS (SELECT w, min(doc_id) AS first_doc FROM s GROUP BY w HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT s.doc_id, s.p, lag(s.p) OVER (PARTITION BY s.doc_id ORDER BY s.p) AS before, lead(s.p) OVER (PARTITION BY s.doc_id ORDER BY s.p) AS after
+      FROM s JOIN f ON s.w = f.w WHERE f.first_doc < s.doc_id),
+g AS (SELECT doc_id, CAST(sum(least(50, p - coalesce(before, p - 50))) AS BIGINT) AS n_removed,
+             CAST(count(*) FILTER (before IS NULL OR p - before > 50) AS BIGINT) AS n_spans FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, p + 50 AS a, after AS z, p FROM c WHERE after IS NULL OR after - p > 50
+      UNION ALL SELECT doc_id, 0, p, -1 FROM c WHERE before IS NULL),
+r AS (SELECT k.doc_id, string_agg(substr(b.hx, 2 * k.a + 1, 2 * (coalesce(k.z, b.n_bytes) - k.a)), '' ORDER BY k.p) AS kept
+      FROM k JOIN b ON b.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT b.doc_id, b.n_bytes, coalesce(g.n_removed, 0) AS n_removed, coalesce(g.n_spans, 0) AS n_spans, sha256(unhex(coalesce(r.kept, b.hx))) AS kept_sha256
+FROM b LEFT JOIN g ON g.doc_id = b.doc_id LEFT JOIN r ON r.doc_id = b.doc_id
+"""
