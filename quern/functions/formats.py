@@ -55,13 +55,17 @@ def csv_records(text: Column) -> Column:
 
 
 def html_table(rows: Column, header: bool = False) -> Column:
-    cell = lambda tag: lambda v: F.concat(F.lit(f"<{tag}>"), F.coalesce(v, F.lit("")), F.lit(f"</{tag}>"))
+    """Cells are character data; an end mark inside one is split over two sections."""
+    data = lambda v: F.replace(F.coalesce(v.cast("string"), F.lit("")), F.lit("]]>"), F.lit("]]]]><![CDATA[>"))
+    cell = lambda tag: lambda v: F.concat(F.lit(f"<{tag}><![CDATA["), data(v), F.lit(f"]]></{tag}>"))
     line = lambda r, i: F.concat(F.lit("<tr>"), F.array_join(F.when((i == 0) & F.lit(header), F.transform(r, cell("th"))).otherwise(F.transform(r, cell("td"))), ""), F.lit("</tr>"))
     return F.concat(F.lit("<table>"), F.array_join(F.transform(rows, line), ""), F.lit("</table>"))
 
 
 def json_lines(array: Column) -> Column:
-    return F.array_join(F.transform(array, lambda x: F.to_json(F.struct(x.alias("v")))), "\n")
+    """A line of JSON an entry; null entries are null lines."""
+    one = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    return F.array_join(F.transform(array, one), "\n")
 
 
 def to_csv_text(df: DataFrame, delimiter: str = ",") -> DataFrame:
@@ -131,10 +135,10 @@ def object_to_html(value) -> str:
 
 
 def object_to_pairs(value):
-    """[[key, value], ...] at every level; a scalar is [value]."""
-    if isinstance(value, dict):
-        return [[k, object_to_pairs(v) if isinstance(v, (dict, list)) else v] for k, v in value.items()]
-    return [object_to_pairs(v) if isinstance(v, (dict, list)) else v for v in value] if isinstance(value, list) else [value]
+    """[[key, pairs of the value], ...] at every level, an array's keys are its positions as strings; a scalar is [value]."""
+    if isinstance(value, list):
+        value = {str(i): v for i, v in enumerate(value)}
+    return [[k, object_to_pairs(v)] for k, v in value.items()] if isinstance(value, dict) else [value]
 
 
 # --- compression

@@ -25,12 +25,20 @@ def _sheets(value):
     return f.xlsx_write({k: rows(v) for k, v in value.items()} if isinstance(value, dict) else rows(value))
 
 
+def _line(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
 def _csv(value, delimiter: str = ","):
-    if value and isinstance(value[0], dict):
-        head = sorted({k for r in value for k in r})
-        value = [head, *([r.get(k) for k in head] for r in value)]
-    cell = lambda v: "" if v is None else v if isinstance(v, str) and delimiter not in v and '"' not in v else json.dumps(v)
-    return "\n".join(delimiter.join(map(cell, r)) for r in value)
+    """Objects: a header of all keys, sorted, and plain cells. Arrays: cells of JSON. Anything else: a line of JSON an entry."""
+    if not isinstance(value, list):
+        return _line(value)
+    if not value or not isinstance(value[0], dict):
+        return "\n".join(delimiter.join(map(_line, r)) if isinstance(r, list) else _line(r) for r in value)
+    head = sorted({k for r in value if isinstance(r, dict) for k in r})
+    cell = lambda v: "" if v is None else v if isinstance(v, str) and delimiter not in v and '"' not in v else _line(v)
+    row = lambda r: delimiter.join(cell(r.get(k)) for k in head) if isinstance(r, dict) else delimiter * len(head) + _line(r)
+    return "\n".join([delimiter.join(map(cell, head)), *map(row, value)])
 
 
 def _json_text(fn):

@@ -43,8 +43,11 @@ def camelize(c: Column) -> Column:
 
 
 def delimiter_on_case(c: Column, delimiter: str = "-") -> Column:
-    spaced = F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1" + re.sub(r"([\\$])", r"\\\1", delimiter) + "$2")
-    return F.lower(F.regexp_replace(spaced, r"[-_ ]+", re.sub(r"([\\$])", r"\\\1", delimiter)))
+    """Every capital A-Z in lower case behind a delimiter (the first character without one); runs of - _ and space are one delimiter."""
+    safe = re.sub(r"([\\$])", r"\\\1", delimiter)
+    parted = F.regexp_replace(c, "(?<!^)([A-Z])", f"{safe}$1")
+    small = F.translate(parted, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_replace(small, "[-_ ]+", safe)
 
 
 def abbreviated(c: Column) -> Column:

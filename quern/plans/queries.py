@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import formats, text
+from ..functions import formats, registry, text
 from ..operators import arrays, indicators, learn, matrix
 from ..operators import statistics as st
 from ..sources.records import RecordStore
@@ -194,6 +194,18 @@ def arrays_folds(spark, sf_dir):
     return a.select("o_custkey", F.round(arrays.array_sum(c), 2).alias("total"), F.round(F.when(F.size(c) >= 2, arrays.array_sum(c, 1, 2)), 2).alias("part"), F.round(arrays.average(c), 1).alias("mean"), arrays.last(c).alias("last"), F.size(arrays.pairs(c)).cast("bigint").alias("n_pairs"))
 
 
+@query(f"""WITH x AS ({_A}), l AS (SELECT o_custkey, a, list_sort(a) AS b, len(a) AS n FROM x WHERE len(a) >= 3)
+ SELECT o_custkey, list_concat([a[3], a[2], a[1]], a[4:]) AS swapped, list_concat([a[2], a[3], a[1]], a[4:]) AS moved, list_concat([a[1], 1.0, 2.0], a[4:]) AS laid, CAST(0 AS INTEGER) AS found,
+ CAST(-n - 1 AS INTEGER) AS absent, list_concat([-1e9], b) AS added, (a[(n + 1) // 2] + a[n // 2 + 1]) / 2 AS middle FROM l""")
+def arrays_order(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))), lambda s: s["o_totalprice"]).alias("a")).where(F.size("a") >= 3)
+    c, b = F.col("a"), F.array_sort("a")
+    return a.select(
+        "o_custkey", arrays.swap(c, 0, 2).alias("swapped"), arrays.move(c, 0, 2).alias("moved"), arrays.overlay(c, F.array(F.lit(1.0), F.lit(2.0)), 1).alias("laid"), arrays.find_sorted(b, F.array_min(c)).alias("found"),
+        arrays.find_sorted(b, F.lit(1e12)).alias("absent"), arrays.add_sorted(c, F.lit(-1e9)).alias("added"), arrays.median_as_given(c).alias("middle"),
+    )
+
+
 # --- indicators: lineitem's parts as shares
 
 _PRICES = "SELECT l_suppkey AS ticker, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS k, l_extendedprice + 10 AS high, l_extendedprice - 10 AS low, l_extendedprice AS close, l_quantity AS volume FROM lineitem"
@@ -284,6 +296,73 @@ def matrix_singular_values(spark, sf_dir):
     return spark.createDataFrame([(k, v, x) for k, (v, x) in enumerate(zip(values, vectors))], "k int, value double, vector array<double>")
 
 
+_M3 = f"SELECT i, j, v + CASE WHEN i = j THEN 1000 ELSE 0 END AS v FROM ({_M}) WHERE i < 3 AND j < 3"
+
+
+def _matrix3(spark, sf_dir):
+    """The first three rows and columns, with a diagonal that keeps them regular."""
+    return matrix.mapped(matrix.sub_matrix(_matrix(spark, sf_dir), 0, 0, 3, 3), lambda v, i, j: F.when(i == j, v + 1000.0).otherwise(v))
+
+
+@query(f"WITH m AS ({_M3}), c AS (SELECT max(v) FILTER (i = 0 AND j = 0) AS a, max(v) FILTER (i = 0 AND j = 1) AS b, max(v) FILTER (i = 0 AND j = 2) AS c, max(v) FILTER (i = 1 AND j = 0) AS d, max(v) FILTER (i = 1 AND j = 1) AS e, max(v) FILTER (i = 1 AND j = 2) AS f, max(v) FILTER (i = 2 AND j = 0) AS g, max(v) FILTER (i = 2 AND j = 1) AS h, max(v) FILTER (i = 2 AND j = 2) AS k FROM m) SELECT round(a * (e * k - f * h) - b * (d * k - f * g) + c * (d * h - e * g), 0) AS determinant, round(a * (e * k - f * h) - b * (d * k - f * g) + c * (d * h - e * g), 0) AS by_cofactors, 3.0 AS rank FROM c")
+def matrix_determinants(spark, sf_dir):
+    m = _matrix3(spark, sf_dir)
+    one = lambda f, name: matrix.dense(m, f).select(F.round("v", 0).alias(name))
+    return one(matrix.np.linalg.det, "determinant").crossJoin(one(matrix.determinant_by_cofactors, "by_cofactors")).crossJoin(one(matrix.rank, "rank"))
+
+
+@query(f"WITH m AS ({_M3}) SELECT i, j, v AS lu, CAST(i = j AS DOUBLE) AS unit, CAST(i = j AS DOUBLE) AS reduced FROM m")
+def matrix_factors(spark, sf_dir):
+    """L times U is the matrix again, the inverse by the adjoint times it and its reduced echelon form the identity."""
+    m, near = _matrix3(spark, sf_dir), lambda v, i, j: F.round(v, 6) + 0.0
+
+    def again(a):
+        lower, upper = matrix.lu(a)
+        return lower @ upper
+
+    lu = matrix.mapped(matrix.dense(m, again), near).withColumnRenamed("v", "lu")
+    unit = matrix.mapped(matrix.multiply(m, matrix.dense(m, matrix.inverse_by_adjoint)), near).withColumnRenamed("v", "unit")
+    return lu.join(unit, ["i", "j"]).join(matrix.mapped(matrix.dense(m, matrix.echelon), near).withColumnRenamed("v", "reduced"), ["i", "j"])
+
+
+@query(f"WITH m AS ({_M}) SELECT m.i, m.j, CASE WHEN m.i BETWEEN 2 AND 3 AND m.j BETWEEN 1 AND 2 THEN b.v ELSE m.v END AS v FROM m LEFT JOIN m b ON b.i = m.i - 2 AND b.j = m.j - 1")
+def matrix_blocks(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    return matrix.overlay(m, matrix.sub_matrix(m, 0, 0, 2, 2), 2, 1)
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, pow(i / 2 - 1, j) AS v FROM range(5) a(i), range(4) b(j)")
+def matrix_vandermonde(spark, sf_dir):
+    return matrix.vandermonde(spark, [-1.0, -0.5, 0.0, 0.5, 1.0], 4)
+
+
+@query(f"WITH m AS ({_M}) SELECT true AS both, (SELECT bool_and(m.v = t.v) FROM m JOIN m t ON m.i = t.j AND m.j = t.i) AS alone, true AS square")
+def matrix_symmetry(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    of = lambda x, name: x.withColumnRenamed("value", name)
+    return of(matrix.is_symmetric(matrix.add(m, matrix.transpose(m))), "both").crossJoin(of(matrix.is_symmetric(m), "alone")).crossJoin(of(matrix.is_square(m), "square"))
+
+
+@query("SELECT r_regionkey AS id, CAST(least(0, 0) AS INTEGER) AS depth, (SELECT max(x) FROM (SELECT min(c_acctbal) AS x FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = r_regionkey GROUP BY n_nationkey)) AS value FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey)")
+def trees_minimax(spark, sf_dir):
+    """Regions choose the nation whose least balance is largest."""
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    none = F.lit(None)
+    of = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    used = n.join(c.select(F.col("c_nationkey").alias("n_nationkey")).distinct(), "n_nationkey", "left_semi")
+    roots = used.select(of("r", "n_regionkey").alias("id"), none.cast("string").alias("parent"), none.cast("double").alias("value")).distinct()
+    nodes = roots.unionAll(used.select(of("n", "n_nationkey"), of("r", "n_regionkey"), none.cast("double"))).unionAll(c.select(of("c", "c_custkey"), of("n", "c_nationkey"), "c_acctbal"))
+    return learn.tree_values(nodes, 2).select(F.substr("id", F.lit(2)).cast("int").alias("id"), F.lit(0).alias("depth"), "value")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, length(text) AS n, lag(role) OVER w AS b, lag(length(text)) OVER w AS m FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ s AS (SELECT conv_id, turn, CASE WHEN role = b THEN ln(1.1) ELSE 0 END + CASE WHEN abs(n / 1000 - m / 1000) > 0.3 THEN ln(0.95) ELSE 0 END AS step FROM t)
+ SELECT conv_id, turn, round(exp(sum(step) OVER (PARTITION BY conv_id ORDER BY turn)), 6) AS belief FROM s""")
+def text_beliefs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("complexity", F.length("text") / 1000)
+    return learn.update_beliefs(c, "conv_id", "turn", "role", "complexity").select("conv_id", "turn", F.round("belief", 6).alias("belief"))
+
+
 # --- learning, text metrics, graphs
 
 
@@ -385,6 +464,56 @@ def transforms_messages(spark, sf_dir):
     return formats.messages(a, "a")
 
 
+@query("""SELECT p_partkey, upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS title,
+ split_part(p_name, ' ', 1) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS camel, replace(p_name, ' ', '-') AS dashed, split_part(p_name, ' ', 2) AS second,
+ '&lt;' || p_name || '&gt;' AS xml, [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)] AS parts, p_name AS trimmed, lower(p_brand) = 'brand#13' OR lower(p_brand) LIKE 'brand#5%' AS listed FROM part""")
+def transforms_words(spark, sf_dir):
+    c, t = F.col("p_name"), text.transform
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", t("String", "Title", c).alias("title"), t("String", "Camelize", c).alias("camel"), t("String", "DelimiterOnCase", c, "-").alias("dashed"), t("String", "GetWord", c, 2).alias("second"),
+        t("String", "XmlStringEncode", F.concat(F.lit("<"), c, F.lit(">"))).alias("xml"), t("String", "ArrayByDelimiter", c, " ").alias("parts"), t("String", "Trim", F.concat(F.lit(" \t"), c, F.lit("\n "))).alias("trimmed"),
+        (t("String", "StartsWithList", F.col("p_brand"), ["BRAND#5"], True) | (F.lower("p_brand") == "brand#13")).alias("listed"),
+    )
+
+
+@query("""SELECT c_custkey, c_custkey AS whole, c_acctbal AS real, c_acctbal AS number, c_acctbal BETWEEN 0 AND 1000 AS inside, greatest(least(c_custkey, 50), 10) AS clamped,
+ nullif(c_nationkey, 3) AS other, coalesce(nullif(c_nationkey, 3), 99) AS filled FROM customer""")
+def transforms_numbers(spark, sf_dir):
+    t, text_of = text.transform, F.col("c_acctbal").cast("decimal(18,2)").cast("string")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", t("String", "Integer", F.concat(F.col("c_custkey").cast("string"), F.lit("px"))).alias("whole"), t("String", "Float", F.concat(text_of, F.lit(" USD"))).alias("real"), t("String", "Number", text_of).alias("number"),
+        t("Number", "isBetween", F.col("c_acctbal"), 0, 1000).alias("inside"), t("BigInt", "RangeLimit", F.col("c_custkey"), 10, 50).alias("clamped"), t("Object", "Nullif", F.col("c_nationkey"), 3).alias("other"),
+        t("Object", "Coalesce", t("Object", "Nullif", F.col("c_nationkey"), 3), 99).alias("filled"),
+    )
+
+
+@query("""SELECT s_suppkey, s_name || '.tar.gz' AS base, '/data/n' || s_nationkey AS dir, '.gz' AS ext, '/data/n' || s_nationkey || '/' || s_name || '.tar.gz' AS normal, true AS absolute,
+ '/data/n' || s_nationkey || '/x/' || s_name AS resolved, 'n' || s_nationkey || '/' || s_name AS joined FROM supplier""")
+def transforms_paths(spark, sf_dir):
+    folder = F.concat(F.lit("/data/n"), F.col("s_nationkey").cast("string"))
+    path = F.concat(folder, F.lit("/"), "s_name", F.lit(".tar.gz"))
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", text.basename(path).alias("base"), text.dirname(path).alias("dir"), text.extname(path).alias("ext"), text.normalize_path(F.concat(F.lit("/data/./old/..//n"), F.col("s_nationkey").cast("string"), F.lit("/"), "s_name", F.lit(".tar.gz"))).alias("normal"),
+        text.transform("path", "IsAbsolute", path).alias("absolute"), text.resolve_path(F.concat(F.lit("x/../x/"), "s_name"), "/data/n").alias("r"), folder.alias("f"), text.join_path(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.lit("./"), F.col("s_name")).alias("joined"),
+    ).select("s_suppkey", "base", "dir", "ext", "normal", "absolute", F.concat("f", F.substr("r", F.lit(8))).alias("resolved"), "joined")
+
+
+@query("SELECT n_nationkey, '<name>' || n_name || '</name>' AS xml, n_name AS xml_name, n_name AS xlsx_name, [CAST(n_nationkey AS DOUBLE), n_regionkey + 0.5] AS npy, n_name AS framed, n_name AS field, '<table><tr><td><![CDATA[' || n_name || ']]></td></tr></table>' AS html FROM nation")
+def transforms_round_trips(spark, sf_dir):
+    """XML, XLSX, npy, framed Avro and bitmap messages, each written and read back; a table of HTML."""
+    a, schema = registry.apply, {"type": "record", "name": "r", "fields": [{"name": "name", "type": "string"}]}
+    name, obj = F.col("n_name"), F.to_json(F.struct(F.col("n_name").alias("name")))
+    xml = a("JSONToXML", obj)
+    sheet = F.to_json(F.struct(F.array(F.array(F.lit("name")), F.array(name)).alias("s")))
+    npy = F.to_json(F.struct(F.lit("<f8").alias("dataType"), F.array(F.lit(2)).alias("shape"), F.array(F.col("n_nationkey").cast("double"), F.col("n_regionkey") + 0.5).alias("dataVector")))
+    framed = F.to_json(F.struct(F.lit(7).alias("schema"), F.struct(name.alias("name")).alias("data")))
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey", xml.alias("xml"), F.get_json_object(a("XMLToJSON", xml), "$.name").alias("xml_name"), F.get_json_object(a("XLSXToJSON", a("JSONToXLSX", sheet)), "$.s[1][0]").alias("xlsx_name"),
+        a("npyToNumPyObject", a("JSONTonpy", npy))["dataVector"].alias("npy"), F.get_json_object(a("ConfluenceToJSON", a("JSONToConfluence", framed, schemas={7: schema}), schemas={7: schema}), "$.data.name").alias("framed"),
+        F.get_json_object(a("ISO8385ToJSON", a("JSONToISO8385", obj, names={43: "name"}), names={43: "name"}), "$.name").alias("field"), a("ArrayToHTML", F.array(F.array(name))).alias("html"),
+    )
+
+
 # --- real time
 
 
@@ -417,7 +546,27 @@ def realtime_rates(spark, sf_dir):
     return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query()
+_LATEST = f"WITH m AS (SELECT event_id, user_id, value, value - lag(value) {_WIN}) AS delta, avg(value) {_WIN} ROWS UNBOUNDED PRECEDING) AS mean, max(value) {_WIN} ROWS UNBOUNDED PRECEDING) - min(value) {_WIN} ROWS UNBOUNDED PRECEDING) AS r, avg(value) {_WIN} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving FROM events), l AS (SELECT user_id, arg_max(struct_pack(value, delta, moving, n := CASE WHEN r > 0 THEN (value - mean) / r ELSE 0 END), event_id) AS s FROM m GROUP BY 1)"
+
+
+def _latest(spark, sf_dir):
+    return rt.latest(rt.metrics(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").withColumn("value", F.col("value").cast("double")), "user_id", "event_id")
+
+
+@query(f"{_LATEST} SELECT user_id, round(s.n - (SELECT avg(s.n) FROM l), 6) AS value FROM l")
+def realtime_cross_normalised(spark, sf_dir):
+    return rt.cross_normalised(_latest(spark, sf_dir)).select("user_id", F.round("value", 6).alias("value"))
+
+
+@query(f"{_LATEST} SELECT user_id, round(s.value + s.delta, 6) AS by_delta, round(2 * s.value - s.moving, 6) AS by_average FROM l")
+def realtime_forecasts(spark, sf_dir):
+    f = rt.forecasts(F.col("value"), F.col("delta"), F.col("moving_avg"), F.col("moving_delta"))
+    return _latest(spark, sf_dir).select("user_id", F.round(f[0], 6).alias("by_delta"), F.round(f[2], 6).alias("by_average"))
+
+
+@query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE value IS NOT NULL),
+ g AS (SELECT user_id, count(*) AS n, sum(value) AS s, min(value) AS lo, max(value) AS hi, avg(value) AS mean, stddev_pop(value) AS sd, max(value) FILTER (k = 1) AS x, median(value) FILTER (k <= 3) AS mid FROM r GROUP BY 1)
+ SELECT CAST(user_id AS VARCHAR) AS key, n AS count, round(s, 4) AS sum, lo AS min, hi AS max, round(mean, 6) AS avg, round(mid, 6) AS median, sd > 0 AND abs(x - mean) > 3 * sd AS outlier FROM g""")
 def realtime_stream(spark, sf_dir):
     """A stream over the events file, run to its end, as the table that it wrote."""
     import uuid
@@ -428,4 +577,4 @@ def realtime_stream(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = rt.realtime(stream, "user_id", "value", "event_id").writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).outputMode("append").start(f"{at}/out")
     out.awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("key", "count", "sum", "min", "max", "avg", "median", "outlier")
+    return spark.read.parquet(f"{at}/out").select("key", "count", F.round("sum", 4).alias("sum"), "min", "max", F.round("avg", 6).alias("avg"), F.round("median", 6).alias("median"), "outlier")

@@ -18,6 +18,7 @@ def value(spark, column):
         ("String", "Title", "aBcd def", (), "ABcd Def"),
         ("String", "Camelize", "foo bar-baz", (), "fooBarBaz"),
         ("String", "DelimiterOnCase", "fooBar_baz  q", (), "foo-bar-baz-q"),
+        ("String", "DelimiterOnCase", "HTMLPage É", (), "h-t-m-l-page-É"),
         ("String", "GetWord", "one two three", (2,), "two"),
         ("String", "GetWord", "one two three", (4,), ""),
         ("String", "XmlStringEncode", 'a<>"&c', (), "a&lt;&gt;&quot;&amp;c"),
@@ -58,7 +59,10 @@ def test_unknown_transform():
 def test_csv(spark):
     assert value(spark, formats.csv_cells(F.lit('first,,"la,st"'))) == ["first", None, "la,st"]
     assert value(spark, formats.csv_records(F.lit("a,b\n1,2\n3,4"))) == [{"a": "1", "b": "2"}, {"a": "3", "b": "4"}]
-    assert value(spark, formats.html_table(formats.csv_rows(F.lit("a\n1")), True)) == "<table><tr><th>a</th></tr><tr><td>1</td></tr></table>"
+    assert value(spark, formats.html_table(formats.csv_rows(F.lit("a\n1")), True)) == "<table><tr><th><![CDATA[a]]></th></tr><tr><td><![CDATA[1]]></td></tr></table>"
+    assert value(spark, formats.html_table(F.array(F.array(F.lit("x]]>y"))))) == "<table><tr><td><![CDATA[x]]]]><![CDATA[>y]]></td></tr></table>"
+    assert value(spark, formats.json_lines(F.array(F.lit('a"b'), F.lit("[c]")))) == '"a\\"b"\n"[c]"'
+    assert value(spark, formats.json_lines(F.array(F.lit(1), F.lit(None)))) == "1\nnull"
     assert formats.csv_line('a,,1,2.5,"x,y"') == ["a", None, 1, 2.5, "x,y"]
 
 
@@ -111,6 +115,7 @@ def test_bitmap():
 
 
 def test_objects():
-    assert formats.object_to_pairs({"a": 1, "b": {"c": 2}}) == [["a", 1], ["b", [["c", 2]]]]
+    assert formats.object_to_pairs({"a": 1, "b": {"c": 2}}) == [["a", [1]], ["b", [["c", [2]]]]]
+    assert formats.object_to_pairs({"a": [5, None]}) == [["a", [["0", [5]], ["1", [None]]]]]
     assert formats.object_to_html({"a": [1]}) == "<table><tr><td>a</td><td><table><tr><td>1</td></tr></table></td></tr></table>"
     assert json.dumps(formats.xml_to_object("<a><b>1</b><b>2</b></a>")) == '{"a": {"b": ["1", "2"]}}'

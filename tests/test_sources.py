@@ -65,6 +65,8 @@ def test_round_trips(spark, there, back, value, options):
 def test_registry(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(registry.apply("JSONToCSV", F.lit('[{"b":1,"a":"x"},{"a":"y"}]'))) == "a,b\nx,1\ny,"
+    assert one(registry.apply("JSONToCSV", F.lit('[["a",1],[null,"é"]]'))) == '"a",1\nnull,"é"'
+    assert one(registry.apply("JSONToCSV", F.lit('[{"a":1},2]'))) == "a\n1\n,2"
     assert one(registry.apply("CSVWithHeaderToArray", F.lit("h\n1\n2"))) == [["1"], ["2"]]
     assert one(registry.apply("CompressedToString", registry.apply("StringToCompressed", F.lit("é")))) == "é"
     assert one(registry.apply("StringToTitle", F.lit("ab cd"))) == "Ab Cd" and len(registry.REGISTRY) > 100
