@@ -304,7 +304,7 @@ def _matrix3(spark, sf_dir):
     return matrix.mapped(matrix.sub_matrix(_matrix(spark, sf_dir), 0, 0, 3, 3), lambda v, i, j: F.when(i == j, v + 1000.0).otherwise(v))
 
 
-@query(f"WITH m AS ({_M3}), c AS (SELECT max(v) FILTER (i = 0 AND j = 0) AS a, max(v) FILTER (i = 0 AND j = 1) AS b, max(v) FILTER (i = 0 AND j = 2) AS c, max(v) FILTER (i = 1 AND j = 0) AS d, max(v) FILTER (i = 1 AND j = 1) AS e, max(v) FILTER (i = 1 AND j = 2) AS f, max(v) FILTER (i = 2 AND j = 0) AS g, max(v) FILTER (i = 2 AND j = 1) AS h, max(v) FILTER (i = 2 AND j = 2) AS k FROM m) SELECT round(a * (e * k - f * h) - b * (d * k - f * g) + c * (d * h - e * g), 0) AS determinant, round(a * (e * k - f * h) - b * (d * k - f * g) + c * (d * h - e * g), 0) AS by_cofactors, 3.0 AS rank FROM c")
+@query(f"WITH m AS ({_M3}), c AS (SELECT max(v) FILTER (i = 0 AND j = 0) AS a, max(v) FILTER (i = 0 AND j = 1) AS b, max(v) FILTER (i = 0 AND j = 2) AS c, max(v) FILTER (i = 1 AND j = 0) AS d, max(v) FILTER (i = 1 AND j = 1) AS e, max(v) FILTER (i = 1 AND j = 2) AS f, max(v) FILTER (i = 2 AND j = 0) AS g, max(v) FILTER (i = 2 AND j = 1) AS h, max(v) FILTER (i = 2 AND j = 2) AS k FROM m) SELECT round(a * (e * k - f * h) - b * (d * k - f * g) + c * (d * h - e * g), 0) AS determinant, round(a * (e * k - f * h) - b * (d * k - f * g) + c * (d * h - e * g), 0) AS by_cofactors, CAST(3 AS DOUBLE) AS rank FROM c")
 def matrix_determinants(spark, sf_dir):
     m = _matrix3(spark, sf_dir)
     one = lambda f, name: matrix.dense(m, f).select(F.round("v", 0).alias(name))
@@ -566,7 +566,7 @@ def realtime_forecasts(spark, sf_dir):
 
 @query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE value IS NOT NULL),
  g AS (SELECT user_id, count(*) AS n, sum(value) AS s, min(value) AS lo, max(value) AS hi, avg(value) AS mean, stddev_pop(value) AS sd, max(value) FILTER (k = 1) AS x, median(value) FILTER (k <= 3) AS mid FROM r GROUP BY 1)
- SELECT CAST(user_id AS VARCHAR) AS key, n AS count, round(s, 4) AS sum, lo AS min, hi AS max, round(mean, 6) AS avg, round(mid, 6) AS median, sd > 0 AND abs(x - mean) > 3 * sd AS outlier FROM g""")
+ SELECT CAST(user_id AS VARCHAR) AS key, n AS count, round(s, 4) AS sum, lo AS min, hi AS max, round(mean, 9) AS avg, round(mid, 9) AS median, sd > 0 AND abs(x - mean) > 3 * sd AS outlier FROM g""")
 def realtime_stream(spark, sf_dir):
     """A stream over the events file, run to its end, as the table that it wrote."""
     import uuid
@@ -577,4 +577,4 @@ def realtime_stream(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = rt.realtime(stream, "user_id", "value", "event_id").writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).outputMode("append").start(f"{at}/out")
     out.awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("key", "count", F.round("sum", 4).alias("sum"), "min", "max", F.round("avg", 6).alias("avg"), F.round("median", 6).alias("median"), "outlier")
+    return spark.read.parquet(f"{at}/out").select("key", "count", F.round("sum", 4).alias("sum"), "min", "max", F.round("avg", 9).alias("avg"), F.round("median", 9).alias("median"), "outlier")
