@@ -121,7 +121,9 @@ def edges_of(edges: DataFrame, node, out: bool = True) -> DataFrame:
     return edges.where(F.col("src" if out else "dst") == node)
 
 
-TERM, CONCEPT = r"\b[A-Z][a-z]{4,}\b", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"
+#: Bounds of ASCII words; what \b means to letters beyond ASCII depends on the Java version.
+_BEFORE, _AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+TERM, CONCEPT = f"{_BEFORE}[A-Z][a-z]{{4,}}{_AFTER}", f"{_BEFORE}[A-Z][a-z]+ [A-Z][a-z]+{_AFTER}"
 
 
 def entities(text: Column, pattern: str, most: int) -> Column:

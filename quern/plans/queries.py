@@ -239,6 +239,25 @@ def indicators_all(spark, sf_dir):
     return indicators.with_indicators(_prices(spark, sf_dir), date="k", text=True)
 
 
+_SMOOTHED = """s{0} AS (SELECT ticker, series, pos, n, a, s FROM (SELECT ticker, series, n, a, CAST(n AS BIGINT) AS pos, avg(x) AS s FROM {1} WHERE pos <= n GROUP BY ALL HAVING count(*) = n)
+ UNION ALL SELECT s.ticker, s.series, x.pos, s.n, s.a, s.s + s.a * (x.x - s.s) FROM s{0} s JOIN {1} x ON x.ticker = s.ticker AND x.series = s.series AND x.pos = s.pos + 1)"""
+
+
+@query(f"""WITH RECURSIVE p AS ({_PRICES}), m AS (SELECT *, close - lag(close) OVER w AS d, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr FROM p WINDOW w AS (PARTITION BY ticker ORDER BY k)),
+ x1 AS (SELECT ticker, 'e12' AS series, k AS pos, close AS x, 12 AS n, 2 / 13 AS a FROM m UNION ALL SELECT ticker, 'e26', k, close, 26, 2 / 27 FROM m UNION ALL SELECT ticker, 'gain', k - 1, greatest(d, 0), 14, 1 / 14 FROM m WHERE k > 1
+  UNION ALL SELECT ticker, 'loss', k - 1, greatest(-d, 0), 14, 1 / 14 FROM m WHERE k > 1 UNION ALL SELECT ticker, 'atr', k, tr, 14, 1 / 14 FROM m),
+ {_SMOOTHED.format(1, "x1")},
+ x2 AS (SELECT f.ticker, 'signal' AS series, f.pos - 25 AS pos, f.s - g.s AS x, 9 AS n, 2 / 10 AS a FROM s1 f JOIN s1 g ON g.ticker = f.ticker AND g.pos = f.pos WHERE f.series = 'e12' AND g.series = 'e26'),
+ {_SMOOTHED.format(2, "x2")}
+ SELECT p.ticker, p.k, round(CASE WHEN l.s = 0 THEN 100 - 100 / 101 ELSE 100 - 100 / (1 + g.s / l.s) END, 6) AS rsi, round(x2.x + 1e-5, 3) AS macd, round(s2.s + 1e-5, 3) AS signal, round(t.s + 1e-5, 3) AS atr
+ FROM p LEFT JOIN s1 g ON g.ticker = p.ticker AND g.series = 'gain' AND g.pos = p.k - 1 LEFT JOIN s1 l ON l.ticker = p.ticker AND l.series = 'loss' AND l.pos = p.k - 1
+ LEFT JOIN s1 t ON t.ticker = p.ticker AND t.series = 'atr' AND t.pos = p.k LEFT JOIN x2 ON x2.ticker = p.ticker AND x2.pos = p.k - 25 LEFT JOIN s2 ON s2.ticker = p.ticker AND s2.pos = p.k - 25""")
+def indicators_recursive(spark, sf_dir):
+    """Prices' measures are shifted by 0.00001, as halves of a thousandth occur in them."""
+    got, shifted = indicators.with_indicators(_prices(spark, sf_dir), date="k"), lambda c: F.round(F.col(c) + 1e-5, 3)
+    return got.select("ticker", "k", F.round("rsi", 6).alias("rsi"), shifted("macd").alias("macd"), shifted("macdSignal").alias("signal"), shifted("atr").alias("atr"))
+
+
 # --- matrices: l_linenumber x nation-like grids
 
 _M = "SELECT CAST(l_suppkey % 7 AS INTEGER) AS i, CAST(l_partkey % 7 AS INTEGER) AS j, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2"
@@ -386,11 +405,19 @@ def text_signals(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", *(s[k].alias(k) for k in ("length", "has_question", "has_exclamation", "has_numbers", "word_count")))
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id, turn, text AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '') AS w, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda s: trim(s, ' ') <> '')) AS sentences FROM conversations),
+ s AS (SELECT conv_id, turn, coalesce(t, '') AS t, len(w) AS n, sentences, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: length(x) > 6)) / len(w) END AS complexity FROM t),
+ f AS (SELECT *, CASE WHEN contains(t, '?') THEN 2.0 ELSE 1.0 END AS a, CASE WHEN complexity > 0.5 THEN 1.5 ELSE 1.0 END AS r FROM s)
+ SELECT conv_id, turn, CASE WHEN length(t) > 500 THEN 'clarify' WHEN contains(lower(t), 'price') OR contains(lower(t), 'order') THEN 'retrieve' WHEN sentences > 3 OR complexity > 0.5 THEN 'clarify' WHEN NOT contains(t, '?') AND contains(t, '!') THEN 'escalate'
+  WHEN regexp_matches(t, '[0-9]') AND n < 10 THEN 'retrieve' ELSE 'answer' END AS action,
+ CASE WHEN length(t) > 500 THEN 'too long' WHEN contains(lower(t), 'price') OR contains(lower(t), 'order') THEN 'keywords' WHEN sentences > 3 OR complexity > 0.5 THEN 'complex' WHEN NOT contains(t, '?') AND contains(t, '!') THEN 'urgent'
+  WHEN regexp_matches(t, '[0-9]') AND n < 10 THEN 'data' ELSE 'default' END AS reason,
+ round(CAST(a / (a + r + 2) AS DOUBLE), 9) AS answer, round(CAST(r / (a + r + 2) AS DOUBLE), 9) AS retrieve FROM f""")
 def text_decisions(spark, sf_dir):
     s = learn.signals(F.col("text"), ["price", "order"])
     p = learn.posteriors(dict.fromkeys(learn.ACTIONS, 0.25), [(s["has_question"], {"answer": 2.0}), (s["complexity"] > 0.5, {"retrieve": 1.5})])
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", learn.default_rules(s).alias("d"), F.map_entries(p).alias("posterior")).select("conv_id", "turn", "d.*", "posterior")
+    got = table(spark, sf_dir, "conversations").select("conv_id", "turn", learn.default_rules(s).alias("d"), p.alias("p"))
+    return got.select("conv_id", "turn", "d.*", F.round(F.col("p")["answer"], 9).alias("answer"), F.round(F.col("p")["retrieve"], 9).alias("retrieve"))
 
 
 def _graph(spark, sf_dir):
@@ -410,7 +437,14 @@ def graph_edges_to(spark, sf_dir):
     return learn.edges_of(_graph(spark, sf_dir)[1], "r2", out=False)
 
 
-@query()
+@query("""WITH e AS (SELECT CAST(doc_id AS VARCHAR) AS doc, 'term' AS kind, regexp_extract_all(text, '\\b[A-Z][a-z]{4,}\\b') AS l, 20 AS most FROM documents
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), 'concept', regexp_extract_all(text, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b'), 15 FROM documents),
+ p AS (SELECT doc, kind, most, unnest(l) AS e, unnest(range(len(l))) AS pos FROM e),
+ d AS (SELECT doc, kind, most, e, min(pos) AS pos FROM p GROUP BY ALL),
+ r AS (SELECT doc, kind, e, row_number() OVER (PARTITION BY doc, kind ORDER BY pos) AS k FROM d QUALIFY k <= most),
+ s AS (SELECT doc, e, row_number() OVER (PARTITION BY doc ORDER BY kind DESC, k) AS place FROM r QUALIFY place <= 10)
+ SELECT doc AS src, e AS dst, CASE kind WHEN 'term' THEN 'contains_term' ELSE 'describes_concept' END AS type FROM r
+ UNION SELECT a.e, b.e, 'related_to' FROM s a JOIN s b ON a.doc = b.doc AND a.place < b.place""")
 def graph_build(spark, sf_dir):
     return learn.knowledge_graph(table(spark, sf_dir, "documents"), "doc_id", "text")[1]
 
