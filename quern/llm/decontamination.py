@@ -18,6 +18,8 @@ WINDOW, LITERAL = 8, 5
 RUN, COVERAGE, CONSISTENT = 6, 0.5, 0.8
 #: Benchmarks of up to this many windows are broadcast (16 bytes a window); larger ones are shuffled.
 BROADCAST = 200_000
+#: The ids of documents whose slots are compared are broadcast up to this many bytes, else their texts are shuffled.
+ID_BYTES = 16 << 20
 _NAME, _NUMBER = "\ue001", "\ue002"
 UNITS = ("km/h", "mph", "km", "cm", "mm", "m", "kg", "mg", "g", "lb", "oz", "ml", "l", "s", "ms", "min", "h", "hz", "w", "kw", "v", "k", "c", "f", "usd", "eur", "dollars", "euros", "percent", "miles", "metres", "meters", "hours", "minutes", "seconds", "days", "years")
 _TOKEN = f"{_NAME}[\\p{{L}}\\p{{M}}]+|{_NUMBER}\\p{{N}}+(?:[.,:]\\p{{N}}+)*(?:\\s?(?:%|€|\\$|(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])))?|[\\p{{L}}\\p{{M}}\\p{{N}}]+"
@@ -71,8 +73,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 
     # slot values on both sides of the matched windows, for the documents that are left
     slot = lambda w: w.startswith(_NAME) | w.startswith(_NUMBER)
-    slotted = pairs.where(F.exists("said", slot)).join(totals.select("doc", "item"), ["doc", "item"])
-    found = named.join(slotted.select("doc").distinct(), "doc").select("doc", tokens(F.col("t")).alias("raw"))
+    slotted = written(pairs.where(F.exists("said", slot)).join(totals.select("doc", "item"), ["doc", "item"]), "slots")
+    asked = slotted.select("doc").distinct()
+    few = (asked.agg(F.sum(F.octet_length(F.col("doc").cast("string")) + 16).alias("n")).first()["n"] or 0) <= ID_BYTES
+    found = named.join(F.broadcast(asked) if few else asked, "doc").select("doc", tokens(F.col("t")).alias("raw"))
     both = slotted.join(found, "doc").select("doc", "item", F.explode(F.arrays_zip("said", F.slice("raw", F.col("pos") + 1, size).alias("here"))).alias("z"))
     both = both.where(slot(F.col("z.said"))).groupBy("doc", "item", F.col("z.said").alias("said")).agg((F.countDistinct("z.here") == 1).cast("int").alias("one"))
     agree = both.groupBy("doc", "item").agg(F.avg("one").alias("consistency"))

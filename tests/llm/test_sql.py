@@ -39,3 +39,8 @@ def test_awkward(spark, tmp_path, name):
     spark.createDataFrame([(1, passage), (2, passage.replace("Paris", "Nice")), (3, None), (None, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, f"http://a/{i}", t) for i, t in enumerate(texts)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert held(spark, str(tmp_path), name)
+
+
+def test_shuffled_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quern.llm.decontamination.ID_BYTES", -1)
+    test_awkward(spark, tmp_path, "op5_decontamination")
