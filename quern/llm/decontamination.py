@@ -50,14 +50,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     of fewer than size tokens, empty and null texts match nothing; null ids match nothing. Whole texts are searched.
     Repeated rows and ids are one document. Empty tables give an empty result. Other columns aren't read. n_matched
     counts the item's matched windows, coverage is their share, consistency the share of the item's slot values that
-    stand for one value each (1 without slots).
+    stand for one value each (1 without slots). It is that of the windows' first places if these agree, else the greatest
+    over the occurrences of the item in the document and the slot patterns of the items that are one.
     """
+    slot = lambda w: w.startswith(_NAME) | w.startswith(_NUMBER)
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("raw"))
     items = items.withColumn("canon", canonical(F.col("raw"))).where(F.size("canon") >= size)
-    items = items.groupBy("canon").agg(F.min(F.struct("item", "raw")).alias("least"), F.countDistinct("item").alias("n_items")).select("least.item", "least.raw", "canon", "n_items")
-    placed = items.select("item", "n_items", "raw", "canon", F.posexplode(windows(F.col("canon"), size)).alias("at", "h"))
+    # a slot pattern has for every slot the place of its value's first one, and 0 for other tokens
+    items = items.withColumn("pattern", F.transform("raw", lambda w: F.when(slot(w), F.array_position("raw", w)).otherwise(F.lit(0)).cast("int")))
+    items = items.groupBy("canon").agg(F.min(F.struct("item", "pattern")).alias("least"), F.collect_set("pattern").alias("all"), F.countDistinct("item").alias("n_items"))
+    items = items.select("least.item", "canon", "n_items", F.array_union(F.array("least.pattern"), "all").alias("patterns"))
+    placed = items.select("item", "n_items", "patterns", "canon", F.posexplode(windows(F.col("canon"), size)).alias("at", "h"))
     plain = F.size(F.filter(F.slice("canon", F.col("at") + 1, size), lambda w: ~w.isin(_NAME, _NUMBER))) >= literal
-    placed = written(placed.where(plain).select("item", "n_items", "at", "h", F.slice("raw", F.col("at") + 1, size).alias("said")), "item-windows")
+    said = F.transform("patterns", lambda p: F.slice(p, F.col("at") + 1, size))
+    placed = written(placed.where(plain).select("item", "n_items", "at", "h", said.alias("said")), "item-windows")
     whole = placed.groupBy("item").agg(F.countDistinct("at").alias("n_windows"), F.first("n_items").alias("n_items"))
     hashes = placed.select("h").distinct()
     if placed.count() <= most:
@@ -66,20 +72,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text).alias("t"))
     # canon has a projection of its own: windows() refers to it more than once, so Catalyst keeps it evaluated once a row
     hits = named.select("doc", canonical(tokens(F.col("t"))).alias("canon")).select("doc", F.posexplode(windows(F.col("canon"), size)).alias("pos", "h")).join(hashes, "h")
-    hits = written(hits.groupBy("doc", "h").agg(F.min("pos").alias("pos")), "hits")
-    pairs = hits.join(placed.select("h", "item", "at", "said"), "h")
-    totals = pairs.groupBy("doc", "item").agg(F.countDistinct("at").alias("n_matched")).join(whole, "item")
-    totals = totals.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where((F.col("n_matched") >= run) | (F.col("coverage") >= coverage))
-
-    # slot values on both sides of the matched windows, for the documents that are left
-    slot = lambda w: w.startswith(_NAME) | w.startswith(_NUMBER)
-    slotted = written(pairs.where(F.exists("said", slot)).join(totals.select("doc", "item"), ["doc", "item"]), "slots")
-    asked = slotted.select("doc").distinct()
-    few = (asked.agg(F.sum(F.octet_length(F.col("doc").cast("string")) + 16).alias("n")).first()["n"] or 0) <= ID_BYTES
-    found = named.join(F.broadcast(asked) if few else asked, "doc").select("doc", tokens(F.col("t")).alias("raw"))
-    both = slotted.join(found, "doc").select("doc", "item", F.explode(F.arrays_zip("said", F.slice("raw", F.col("pos") + 1, size).alias("here"))).alias("z"))
-    both = both.where(slot(F.col("z.said"))).groupBy("doc", "item", F.col("z.said").alias("said")).agg((F.countDistinct("z.here") == 1).cast("int").alias("one"))
-    agree = both.groupBy("doc", "item").agg(F.avg("one").alias("consistency"))
+    hits = written(hits.select("doc", "h", "pos"), "hits")
+    enough = (F.col("n_matched") >= run) | (F.col("n_matched") / F.col("n_windows") >= coverage)
+    totals = hits.select("doc", "h").distinct().join(placed.select("h", "item", "at"), "h").groupBy("doc", "item").agg(F.countDistinct("at").alias("n_matched")).join(whole, "item")
+    totals = written(totals.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(enough), "totals")
+
+    # occurrences of the items that are left: all places of their windows at one offset, if these are enough; and, for
+    # passages with something put in, every window at its place nearest to the commonest offset, and at its first place
+    slotted = placed.where(F.exists("said", lambda p: F.exists(p, lambda v: v > 0))).select("item").distinct()
+    asked = totals.join(slotted, "item").select("doc", "item", "n_windows")
+    pairs = written(hits.join(placed.select("h", "item", "at"), "h").join(asked, ["doc", "item"]).select("doc", "item", "n_windows", "at", "pos", (F.col("pos") - F.col("at")).alias("offset")).distinct(), "pairs")
+    offsets = written(pairs.groupBy("doc", "item", "n_windows", "offset").agg(F.count("*").alias("n_matched")), "offsets")
+    alone = pairs.join(offsets.where(enough).select("doc", "item", "offset"), ["doc", "item", "offset"]).select("doc", "item", "at", "pos", F.col("offset").cast("string").alias("way"))
+    common = offsets.groupBy("doc", "item").agg(F.max(F.struct("n_matched", (-F.col("offset")).alias("o"))).alias("m")).select("doc", "item", (-F.col("m.o")).alias("common"))
+    joint = written(pairs.join(common, ["doc", "item"]).groupBy("doc", "item", "at").agg(F.min(F.struct(F.abs(F.col("offset") - F.col("common")).alias("far"), "pos")).alias("m"), F.min("pos").alias("first")), "joint")
+    ways = written(alone.unionAll(joint.select("doc", "item", "at", F.col("m.pos").alias("pos"), F.lit("near").alias("way"))).unionAll(joint.select("doc", "item", "at", F.col("first").alias("pos"), F.lit("first").alias("way"))), "ways")
+
+    # slot values on both sides of the matched windows
+    ids = pairs.select("doc").distinct()
+    few = (ids.agg(F.sum(F.octet_length(F.col("doc").cast("string")) + 16).alias("n")).first()["n"] or 0) <= ID_BYTES
+    found = named.join(F.broadcast(ids) if few else ids, "doc").select("doc", tokens(F.col("t")).alias("raw"))
+    spoken = found.join(ways.select("doc", "pos").distinct(), "doc").select("doc", "pos", F.slice("raw", F.col("pos") + 1, size).alias("here"))
+    both = ways.join(spoken, ["doc", "pos"]).join(placed.select("item", "at", F.posexplode("said").alias("pattern", "said")), ["item", "at"])
+    both = both.select("doc", "item", "way", "pattern", F.explode(F.arrays_zip("said", "here")).alias("z")).where(F.col("z.said") > 0)
+    both = both.groupBy("doc", "item", "way", "pattern", F.col("z.said").alias("said")).agg((F.min("z.here") == F.max("z.here")).cast("int").alias("one"))
+    agree = both.groupBy("doc", "item", "way", "pattern").agg(F.avg("one").alias("consistency")).groupBy("doc", "item").agg(F.max("consistency").alias("most"), F.max(F.when((F.col("way") == "first") & (F.col("pattern") == 0), F.col("consistency"))).alias("first"))
+    agree = agree.select("doc", "item", F.when(F.col("first") >= consistent, F.col("first")).otherwise(F.col("most")).alias("consistency"))
     out = totals.join(agree, ["doc", "item"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= consistent)
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_id), "n_items", "n_matched", "n_windows", "coverage", "consistency")
 

@@ -93,6 +93,19 @@ def test_leaks(spark):
     assert decontamination.leaks(d, bench, most=0).count() == 3
 
 
+SUMS = "What is the sum of 3 and 4? What is the sum of 5 and 6? Write both results down."
+SEVENS = "take a number and double it once more so that we know 7 is what the whole of this gives 7"
+
+
+def test_leaks_of_every_occurrence(spark):
+    """Copies whose windows stand twice, behind another quotation, or belong to an item with other equal slots."""
+    bench = spark.createDataFrame([(1, SUMS), (2, ITEM), (3, SEVENS), (4, SEVENS.replace("gives 7", "gives 3"))], "item_id bigint, text string")
+    quoted = ITEM[: ITEM.index(" birds")].replace("12 apples", "3 apples").replace("while 12", "while 4") + " birds watch. "
+    rows = [(1, SUMS), (2, quoted + ITEM), (3, SEVENS.replace("gives 7", "gives 3")), (4, SEVENS), (5, quoted + quoted), (6, "no item")]
+    got = {(r["doc_id"], r["item_id"]): r["consistency"] for r in decontamination.leaks(plain.documents(spark, rows), bench).collect()}
+    assert got.keys() == {(1, 1), (2, 2), (3, 3), (4, 3)} and set(got.values()) == {1.0}
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
 def test_leaks_plain(spark):
     """Every document that has an item's whole text, and no document that lacks every fourteen-word run of all items."""
