@@ -24,6 +24,9 @@ _NAME, _NUMBER = "\ue001", "\ue002"
 UNITS = ("km/h", "mph", "km", "cm", "mm", "m", "kg", "mg", "g", "lb", "oz", "ml", "l", "s", "ms", "min", "h", "hz", "w", "kw", "v", "k", "c", "f", "usd", "eur", "dollars", "euros", "percent", "miles", "metres", "meters", "hours", "minutes", "seconds", "days", "years")
 _TOKEN = f"{_NAME}[\\p{{L}}\\p{{M}}]+|{_NUMBER}\\p{{N}}+(?:[.,:]\\p{{N}}+)*(?:\\s?(?:%|€|\\$|(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])))?|[\\p{{L}}\\p{{M}}\\p{{N}}]+"
 
+_UNSPACED = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}\\u30fc"
+_WORD = f"[{_UNSPACED}]|\\p{{N}}+(?:[.,:]\\p{{N}}+)*|[\\p{{L}}\\p{{M}}\\p{{N}}&&[^{_UNSPACED}]]+"
+
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens; those of a slot begin with its type's mark. A name is a capitalised word inside a sentence."""
@@ -37,6 +40,11 @@ def canonical(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.startswith(_NAME), _NAME).when(w.startswith(_NUMBER), _NUMBER).otherwise(w))
 
 
+def words(text: Column) -> Column:
+    """Lower-case words and numbers as they stand; scripts without spaces by letter."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(_WORD), F.lit(0))
+
+
 def windows(canon: Column, size: int = WINDOW) -> Column:
     """Hashes of all windows of size tokens, by position."""
     n = F.size(canon)
@@ -46,8 +54,9 @@ def windows(canon: Column, size: int = WINDOW) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, literal: int = LITERAL, run: int = RUN, coverage: float = COVERAGE, consistent: float = CONSISTENT, most: int = BROADCAST) -> DataFrame:
     """Pairs (id_col, item_id) of documents that contain an item's passage, with what was matched.
 
-    Items with equal canonical tokens are one; the smallest id stands for them (n_items of them). Items and documents
-    of fewer than size tokens, empty and null texts match nothing; null ids match nothing. Whole texts are searched.
+    Items with equal canonical tokens are one; the smallest id stands for them (n_items of them). Items without
+    a window of enough literal tokens (short ones, lists of numbers or names) match where all their words stand in a row;
+    equal words are one item then, and coverage and consistency are 1. Texts without words and null ids match nothing. Whole texts are searched.
     Repeated rows and ids are one document. Empty tables give an empty result. Other columns aren't read. n_matched
     counts the item's matched windows, coverage is their share, consistency the share of the item's slot values that
     stand for one value each (1 without slots). It is that of the windows' first places if these agree, else the greatest
@@ -99,9 +108,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     agree = both.groupBy("doc", "item", "way", "pattern").agg(F.avg("one").alias("consistency")).groupBy("doc", "item").agg(F.max("consistency").alias("most"), F.max(F.when((F.col("way") == "first") & (F.col("pattern") == 0), F.col("consistency"))).alias("first"))
     agree = agree.select("doc", "item", F.when(F.col("first") >= consistent, F.col("first")).otherwise(F.col("most")).alias("consistency"))
     out = totals.join(agree, ["doc", "item"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= consistent)
+    out = out.select("doc", "item", "n_items", "n_matched", "n_windows", "coverage", "consistency")
+
+    # items without a window of enough literal tokens, by all their words
+    rest = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("raw"), words(F.col(item_text)).alias("words"))
+    rest = rest.select("item", "words", canonical(F.col("raw")).alias("canon")).where(F.size("words") > 0)
+    literals = F.exists(F.sequence(F.lit(1), F.size("canon") - (size - 1)), lambda i: F.size(F.filter(F.slice("canon", i, size), lambda w: ~w.isin(_NAME, _NUMBER))) >= literal)
+    rest = rest.where(~F.when(F.size("canon") >= size, literals).otherwise(False))
+    rest = rest.groupBy("words").agg(F.min("item").alias("item"), F.countDistinct("item").alias("n_items")).withColumn("size", F.least(F.size("words"), F.lit(size)))
+    rest = written(rest, "slot-rich-items")
+    for r in sorted(r["size"] for r in rest.select("size").distinct().collect()):
+        out = out.unionAll(_whole(named, rest.where(F.col("size") == r), r, most))
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_id), "n_items", "n_matched", "n_windows", "coverage", "consistency")
 
 
+def _whole(named: DataFrame, items: DataFrame, size: int, most: int) -> DataFrame:
+    """Documents and items whose words stand whole and in a row in them: all windows at one offset."""
+    placed = written(items.select("item", "n_items", F.posexplode(windows(F.col("words"), size)).alias("at", "h")), "exact-windows")
+    whole = placed.groupBy("item").agg(F.count("*").alias("n_windows"), F.first("n_items").alias("n_items"))
+    n = placed.count()
+    hashes = placed.select("h").distinct()
+    hits = named.select("doc", words(F.col("t")).alias("words")).select("doc", F.posexplode(windows(F.col("words"), size)).alias("pos", "h")).join(F.broadcast(hashes) if n <= most else hashes, "h").distinct()
+    # repeated ids are one document, so one place may have several windows
+    found = hits.join(placed.select("h", "item", "at"), "h").groupBy("doc", "item", (F.col("pos") - F.col("at")).alias("offset")).agg(F.countDistinct("at").alias("n_matched")).join(whole, "item")
+    found = found.where(F.col("n_matched") == F.col("n_windows")).select("doc", "item", "n_items", "n_matched", "n_windows").distinct()
+    return found.select("*", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("consistency"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -106,6 +106,17 @@ def test_leaks_of_every_occurrence(spark):
     assert got.keys() == {(1, 1), (2, 2), (3, 3), (4, 3)} and set(got.values()) == {1.0}
 
 
+def test_leaks_of_short_and_slot_rich_items(spark):
+    """Items without a window of five literal tokens are found by their words, and no others are."""
+    texts = ["Compute 17 * 23 + 45 * 12 - 88 / 4 + 19", "Add 12 and 7, then 5 and 9, then 4 and 8, then 3 and 2", "東京の首都は何ですか", "Who wrote Faust?", "7 7 7 7 7 7 7 7 7 7", "?!"]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    rows = [(i, f"some words, {t} 問 and more") for i, t in enumerate(texts)] + [(10 + i, t.replace("7", "6").replace("何", "誰").replace("Faust", "Emma")) for i, t in enumerate(texts)]
+    rows += [(20, "質問東京の首都は何ですか答え"), (21, "7 7 7 7 7 7 7 7 7, 7 7 7 7 7 7 7 7 x"), (21, "7 7 7 7 7 7 7 7 7"), (22, None)]
+    for most in (0, decontamination.BROADCAST):
+        got = decontamination.leaks(plain.documents(spark, rows), bench, most=most).select("doc_id", "item_id", "coverage").collect()
+        assert sorted(map(tuple, got)) == [*((i, i, 1.0) for i in range(5)), (20, 2, 1.0), (21, 4, 1.0)]
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
 def test_leaks_plain(spark):
     """Every document that has an item's whole text, and no document that lacks every fourteen-word run of all items."""
