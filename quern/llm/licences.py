@@ -1,8 +1,8 @@
 """Licence scans by a positional rare-token index, in DataFrame functions only.
 
 The templates' words, without the commonest English ones, are the index: word to (template, position). Document
-frequencies over the whole corpus weigh them. A file looks up its rarest licence words, its postings vote for a
-template at a relative position, and a template counts once its mandatory key phrase stands in the file.
+frequencies over the whole corpus weigh them. A template is a candidate where the file has one of its rarest words and
+its mandatory key phrase; all the file's postings of a candidate then vote for it at a relative position.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: How many of its rarest licence words a file looks up, and the share of their weight that must agree on a position.
+#: How many of its rarest licence words a file looks up in the SQL, and the share of a template's weight that must agree
+#: on a position.
 RAREST, SHARE = 12, 0.5
 # The phrases of the result's contract.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
@@ -49,6 +50,20 @@ def postings() -> dict[str, list[tuple[str, int]]]:
     return out
 
 
+def rarest(sentence: str, idf: dict[str, float], unseen: float, total: float) -> list[str]:
+    """A template's rarest index words, so many that a file with none of them can't reach SHARE of its weight."""
+    index = postings()
+    words = [w for w in sentence.split() if w in index]
+    out: list[str] = []
+    weight = 0.0
+    for w in sorted(set(words), key=lambda w: (-idf.get(w, unseen), w)):
+        if weight > (1 - SHARE + 1e-5) * total:
+            break
+        out.append(w)
+        weight += words.count(w) * idf.get(w, unseen)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """All words of a whole text. lower() also changes letters beyond ASCII, but neither where words end nor which
     words are those of the index or of BASE, as none of these has a k."""
@@ -73,7 +88,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
     A null or empty text has no words, no labels and score 0. Long texts are read whole. Repeated rows are answered
     each. An empty table gives an empty result. Only id_col and text are read, so other columns can't clash. The score
-    is 1 with a base place, else the largest share of looked-up weight that agrees with a verified template; shares
+    is 1 with a base place, else the largest share of a verified template's weight that agrees on a position; shares
     have six places, as the last digits of a sum depend on its order.
     """
     spark, index = docs.sparkSession, postings()
@@ -95,22 +110,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     if not idf:
         found = based.withColumns({"labels": F.col("base"), "share": F.lit(0.0)})
     else:
-        weight = F.create_map(*(F.lit(x) for k, v in sorted(idf.items()) for x in (k, v)))
         listed = F.filter("present", lambda x: x.isin(*idf))
-        rare = F.slice(F.array_sort(F.transform(listed, lambda x: F.struct((-weight[x]).alias("i"), x.alias("w")))), 1, RAREST)
-        files = s.where(F.size(listed) > 1).select("row", "words", rare.alias("rare"))
-        at = files.select("row", F.col("rare.w").alias("asked"), F.posexplode("words").alias("pos", "w")).where(F.array_contains("asked", F.col("w"))).select("row", "w", "pos")
+        known = {label: sum(idf.get(x, math.log(1 + n)) for x in sentence.split() if x in index) for label, sentence, _ in TEMPLATES}
+        line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+        lined = s.where(F.size(listed) > 1).select("row", "words", "present", line.alias("line"))
+        candidate = [F.when(F.arrays_overlap("present", F.array(*map(F.lit, rarest(sentence, idf, math.log(1 + n), known[label])))) & F.contains("line", F.lit(f" {phrase} ")), label) for label, sentence, phrase in TEMPLATES]
+        files = lined.select("row", "words", F.array_compact(F.array(*candidate)).alias("candidates")).where(F.size("candidates") > 0)
+        at = files.select("row", "candidates", F.posexplode("words").alias("pos", "w")).where(F.col("w").isin(*idf))
         terms = spark.createDataFrame([(k, label, i, idf[k]) for k in idf for label, i in index[k]], "w string, label string, tpos int, idf double")
-        votes = at.join(F.broadcast(terms), "w").groupBy("row", "label", (F.col("pos") - F.col("tpos")).alias("shift")).agg(F.sum("idf").alias("got"))
+        votes = at.join(F.broadcast(terms), "w").where(F.array_contains("candidates", F.col("label"))).groupBy("row", "label", (F.col("pos") - F.col("tpos")).alias("shift")).agg(F.sum("idf").alias("got"))
         votes = votes.groupBy("row", "label").agg(F.max("got").alias("got"))
-        known = {label: sum(idf.get(x, math.log(1 + n)) for x in sentence.split() if x in index) for label, sentence, _ in TEMPLATES}
         total = spark.createDataFrame(list(known.items()), "label string, total double")
-        votes = votes.join(F.broadcast(total), "label").withColumn("share", F.round(F.least(F.lit(1.0), F.col("got") / F.col("total")), 6)).where(F.col("share") >= SHARE)
-        line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-        key = F.lit(False)
-        for label, _, phrase in TEMPLATES:
-            key = key | ((F.col("label") == label) & F.contains(F.col("line"), F.lit(f" {phrase} ")))
-        sure = votes.join(files.select("row", line.alias("line")), "row").where(key)
+        sure = votes.join(F.broadcast(total), "label").withColumn("share", F.round(F.least(F.lit(1.0), F.col("got") / F.col("total")), 6)).where(F.col("share") >= SHARE)
         sure = sure.groupBy("row").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))
         found = based.join(sure, "row", "left").withColumn("labels", F.array_sort(F.array_union("base", F.coalesce("own", F.array().cast("array<string>")))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0)))

@@ -104,6 +104,15 @@ def test_licences(spark, docs):
     assert got[1]["labels"] == "gpl,gpl-3.0" and got[5]["labels"] == "mit" and got[6]["labels"] == ""
 
 
+def test_many_licences_in_a_file(spark):
+    """A file of several licences keeps all their labels, as each licence alone has its own."""
+    sentences = {label: sentence for label, sentence, _ in licences.TEMPLATES}
+    six = ("mit", "apache-2.0", "bsd", "isc", "mpl", "unlicense")
+    rows = [(k, ".\n".join(sentences[x] for x in six[: k + 1])) for k in range(6)] + [(6, ".\n".join(sentences.values()))]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licences.scan(plain.documents(spark, rows)).collect()}
+    assert all(set(six[: k + 1]) <= got[k] for k in range(6)) and set(sentences) <= got[6]
+
+
 # --- personal data
 
 PRIVATE = [
