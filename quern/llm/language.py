@@ -34,7 +34,7 @@ def letters(text: str) -> bytes:
 def dictionaries(train: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = SAMPLE_DOCS, size: int = DICT_BYTES) -> dict[str, bytes]:
     """Per language, raw dictionary content from a bounded sample: the docs rows with the least hashes of (id, text).
 
-    The sample's bound is SAMPLE_DOCS * SAMPLE_BYTES a language; rows with a null or blank text or a null language
+    The sample's bound is SAMPLE_DOCS * SAMPLE_BYTES a language, of which the last size bytes stay; rows with a null or blank text or a null language
     aren't taken. The rows that could be in it are found by a threshold on the hash, so that no language is sorted.
     """
     rows = train.where(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(lang).alias("lang"), F.xxhash64(id_col, lang).alias("h"), F.substring(text, 1, SAMPLE_BYTES).alias("text"))
