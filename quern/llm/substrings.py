@@ -2,11 +2,14 @@
 
 1. Every 50-byte window has one anchor: the leftmost of its 24-byte grams with the least hash. Equal windows have equal
    anchors, so windows need only be compared where anchors are equal. The windows of an anchor, taken together, are its
-   context, a string of 50 to 76 bytes.
+   context, a string of 50 to 76 bytes. A chunk of documents sends each distinct context once, for its least document.
 2. Anchors are dealt out by hash, as packed arrays. An anchor whose whole context also stands in an earlier document is
-   settled at once. Anchors whose gram no other document has are done with.
-3. What is left, one copy of each distinct context, is sorted by a suffix array built by linear grouping (Baier, 2016).
-   Neighbours in it that share 50 bytes form a class, and the class's least document settles its windows.
+   settled at once. Of the others those go on that share a node with another document: a node [a, b] is the set of windows
+   that have a to b bytes before their gram. These all hold a bytes before it and 26 - b after it, its core; windows are
+   equal only if their nodes' cores are.
+3. The contexts of a core are sorted by a suffix array built by linear grouping (Baier, 2016). Neighbours in it that share
+   50 bytes form a class, and the class's least document settles its windows. A core with more contexts than one task
+   should sort is split by content: into the nodes of the halves of [a, b], whose cores are longer, down to single windows.
 4. Removed windows meet the texts by document.
 """
 
@@ -16,6 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
@@ -24,13 +28,19 @@ from .common import table, written
 from .quality import _BYTE, _mix, _powers, string_slices
 
 LENGTH, GRAM = 50, 24
-SPAN = LENGTH - GRAM + 1  # grams in a window
+REST = LENGTH - GRAM  # bytes of a window beside its gram
+SPAN = REST + 1  # grams in a window, windows in a context
+#: The first nodes: windows with LEFT bytes or more before their gram, and the others, with RIGHT or more after it.
+LEFT, RIGHT = SPAN // 2, REST - SPAN // 2 + 1
 SLICE = 1 << 18
-#: Distinct contexts of one anchor that one task sorts; the contexts of a more frequent anchor are sorted in slices.
+#: Bytes of text whose equal contexts are sent once.
+CHUNK = 8 << 20
+#: Contexts of one core that one task sorts; those of a core that has more are split by content.
 GROUP = 2000
-#: Bytes that one suffix array covers.
+#: Symbols that one suffix array covers, unless a single core has more.
 BLOCK = 1 << 16
 _U = np.uint64
+_UNKNOWN = -2
 
 
 def linear_grouping(text) -> list[int]:
@@ -59,16 +69,27 @@ def linear_grouping(text) -> list[int]:
     place = [0] * n
     for k, i in enumerate(sa):
         place[i] = k
-    prev = [-1] * n
+    prev = [_UNKNOWN] * n
     end = n - 1
     while end >= 0:
         first = group[sa[end]]
         times: dict[int, int] = {}
-        for s in sorted(sa[first : end + 1]):
+        members = sa[first : end + 1]
+        for s in members:
+            if prev[s] != _UNKNOWN:
+                continue
             p = s - 1
+            trail = [s]  # members of this group that s passes on its way have the same previous smaller suffix
             while p >= 0 and group[p] >= first:
-                p = prev[p]
-            prev[s] = p
+                if prev[p] == _UNKNOWN:
+                    trail.append(p)
+                    p -= 1
+                else:
+                    p = prev[p]
+            for t in trail:
+                prev[t] = p
+        for s in members:
+            p = prev[s]
             if p >= 0:
                 times[p] = times.get(p, 0) + 1
         if times:
@@ -79,9 +100,9 @@ def linear_grouping(text) -> list[int]:
                 rounds = [[] for _ in range(most)]
                 for p, k in times.items():
                     rounds[most - k].append(p)
-            for members in rounds:
+            for pointed in rounds:
                 split: dict[int, int] = {}
-                for p in members:
+                for p in pointed:
                     g = group[p]
                     gone = split.get(g, 0) + 1
                     split[g] = gone
@@ -118,11 +139,36 @@ def linear_grouping(text) -> list[int]:
     return out
 
 
-def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the texts data[off[i]:off[i + 1]]: (text, first window, last window, gram hash, context hash, the gram's place
-    in the context) of each anchor."""
+#: An anchor: hashes of its gram, its context and the cores of the first two nodes; document, first byte, windows after
+#: the first, and the gram's place in the context.
+FIELDS = (("gram", "<u8"), ("context", "<u8"), ("left", "<u4"), ("right", "<u4"), ("doc", "<i8"), ("at", "<u4"), ("more", "u1"), ("inner", "u1"))
+GONE = FIELDS[4:7]
+
+
+def packed(rows: dict[str, np.ndarray], fields=FIELDS) -> bytes:
+    """Column by column, which compresses better than row by row."""
+    return b"".join(rows[k].astype(t, copy=False).tobytes() for k, t in fields)
+
+
+def unpacked(blobs, fields=FIELDS) -> dict[str, np.ndarray]:
+    width = sum(np.dtype(t).itemsize for _, t in fields)
+    parts: dict[str, list] = {k: [np.zeros(0, t)] for k, t in fields}
+    for blob in blobs:
+        n, at = len(blob) // width, 0
+        for k, t in fields:
+            parts[k].append(np.frombuffer(blob, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return {k: np.concatenate(v) for k, v in parts.items()}
+
+
+def taken(rows: dict[str, np.ndarray], which) -> dict[str, np.ndarray]:
+    return {k: v[which] for k, v in rows.items()}
+
+
+def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The anchors of the texts data[off[i]:off[i + 1]]: their texts, and their FIELDS but doc."""
     size = len(data)
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),)
+    none = np.zeros(0, np.int64), {k: np.zeros(0, t) for k, t in FIELDS}
     if size < LENGTH:
         return none
     up, down = _powers(max(1 << 19, 1 << size.bit_length()))
@@ -148,102 +194,180 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     new[0] = True
     new[1:] = (at[1:] != at[:-1]) | ~ok[:-1]
     first = np.flatnonzero(new & ok)
-    stop = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True))
+    stop = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True)) + LENGTH
     text = np.searchsorted(off, first, "right") - 1
-    gram = low[first]
+    gram = at[first].astype(np.int64)
+
+    def core(before: int, after: int) -> np.ndarray:
+        """Hashes of cores; 0 where a context is too short for one."""
+        a, z = gram - before, gram + GRAM + after
+        there = (a >= first) & (z <= stop)
+        a, z = np.where(there, a, 0), np.where(there, z, 0)
+        return np.where(there, (_mix((h[z] - h[a]) * down[a]) >> _U(32)).astype(np.uint32), np.uint32(0))
+
     span = (stop - first).astype(_U)
-    context = _mix((h[stop + LENGTH] - h[first]) * down[first] + _mix(span + _U(77)))
-    return text, first - off[text], stop - off[text], gram, context, at[first] - first
+    rows = {
+        "gram": low[first], "context": _mix((h[stop] - h[first]) * down[first] + _mix(span + _U(77))),
+        "left": core(LEFT, 0), "right": core(0, RIGHT), "at": first - off[text], "more": stop - first - LENGTH, "inner": gram - first,
+    }
+    return text, rows
+
+
+def runs(rows: dict[str, np.ndarray], *keys: str) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows in which those of equal keys stand together, and where each run of them starts in it."""
+    n = len(rows[keys[0]])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    mixed = np.zeros(n, _U)
+    for k in keys:
+        mixed = _mix(mixed * _U(0x9E3779B97F4A7C15) + rows[k].astype(_U))
+    order = np.argsort(mixed)
+    new = np.zeros(n, bool)
+    new[0] = True
+    for k in keys:
+        v = rows[k][order]
+        new[1:] |= v[1:] != v[:-1]
+    return order, np.flatnonzero(new)
+
+
+def earlier_in(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Which anchors have their whole context in a smaller document of these."""
+    order, start = runs(rows, "gram", "context")
+    late = np.zeros(len(order), bool)
+    if len(order):
+        doc = rows["doc"][order]
+        late[order] = doc > np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(doc))))
+    return late
+
+
+def crowds(rows: dict[str, np.ndarray], core: str, there: np.ndarray) -> np.ndarray:
+    """Per anchor, how many distinct contexts have its core (core 0: none); 0 if they are all of one document."""
+    out = np.zeros(len(there), np.int64)
+    at = np.flatnonzero(there)
+    if not len(at):
+        return out
+    rows = taken(rows, at)
+    order, start = runs(rows, "gram", core)
+    length = np.diff(np.append(start, len(order)))
+    doc = rows["doc"][order]
+    several = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
+    out[at[order]] = np.repeat(np.where(several, length, 0), length)
+    return out
 
 
 def _part(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed anchors of every slice of documents, one row for each bucket of gram hashes."""
+    """Packed anchors of every chunk of documents, one row for each bucket of gram hashes; and the anchors that a smaller
+    document of the chunk settles, one row for each bucket of documents, which are numbered from buckets on."""
 
     def pack(batches):
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            rows = {k: np.concatenate([r[k] for r in held]) for k, _ in FIELDS}
+            late = earlier_in(rows)
+            for part, key, base, fields in ((taken(rows, ~late), "gram", 0, FIELDS), (taken(rows, late), "doc", buckets, GONE)):
+                b = (_mix(part[key].astype(_U)) % _U(buckets)).astype(np.int64)
+                order = np.argsort(b, kind="stable")
+                part, b = taken(part, order), b[order]
+                cut = np.flatnonzero(np.diff(b, prepend=-1))
+                ends = np.append(cut, len(b))
+                blobs = [packed(taken(part, slice(i, j)), fields) for i, j in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(b[cut] + base, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, off in string_slices(batch.column(1), SLICE):
-                text, first, last, gram, context, inner = anchors(data, off)
-                if not len(text):
-                    continue
-                # equal contexts of a document stay: each is removed or kept at its own place
-                rows = np.empty(len(text), RECORD)
-                rows["gram"], rows["context"], rows["doc"], rows["at"], rows["more"], rows["inner"] = gram, context, ids[i:j][text], first, last - first, inner
-                b = (gram % _U(buckets)).astype(np.int64)
-                order = np.argsort(b, kind="stable")
-                rows, b = rows[order], b[order]
-                cut = np.flatnonzero(np.diff(b, prepend=-1))
-                blobs = [x.tobytes() for x in np.split(rows, cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(b[cut], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+                text, rows = anchors(data, off)
+                if len(text):
+                    held.append({k: rows[k].astype(t, copy=False) if k != "doc" else ids[i:j][text] for k, t in FIELDS})
+                size += len(data)
+                if held and size >= CHUNK:
+                    yield from flush()
+                    held.clear()
+                    size = 0
+        if held:
+            yield from flush()
 
     return docs.mapInArrow(pack, "bucket int, rows binary")
 
 
-RECORD = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("more", "u1"), ("inner", "u1")])
-_SPANS = "doc bigint, gram bigint, at array<int>, more array<int>, settled boolean, crowd int, inner int"
+_SPANS = "doc bigint, gram bigint, at array<int>, more array<int>, settled boolean, inner int, on_left int, on_right int"
 
 
-def settle(rows: np.ndarray):
-    """Yields (settled, gram, doc, at, more, crowd): anchors whose context an earlier document has, then those of the
-    first document of each distinct context of a gram that other documents have too. crowd: that gram's contexts."""
-    gram = np.ascontiguousarray(rows["gram"])
-    order = np.argsort(gram)
-    same = np.zeros(len(gram) + 1, bool)
-    same[1:-1] = gram[order][1:] == gram[order][:-1]
-    rows = rows[order[same[1:] | same[:-1]]]  # grams of one anchor have nothing to meet
-    r = rows[np.lexsort([np.ascontiguousarray(rows[k]) for k in ("at", "doc", "context", "gram")])]
-    n = len(r)
-    if not n:
-        return
-    new_gram = np.empty(n, bool)
-    new_gram[0], new_gram[1:] = True, r["gram"][1:] != r["gram"][:-1]
-    new_context = new_gram.copy()
-    new_context[1:] |= r["context"][1:] != r["context"][:-1]
-    start = np.maximum.accumulate(np.where(new_context, np.arange(n), 0))
-    earlier = r["doc"][start] < r["doc"]
-    yield r[earlier], None
-    of = np.cumsum(new_gram) - 1
-    crowd = np.bincount(of, weights=new_context).astype(np.int64)
-    cuts = np.flatnonzero(new_gram)
-    several = np.minimum.reduceat(r["doc"], cuts) < np.maximum.reduceat(r["doc"], cuts)
-    left = ~earlier & ((crowd > 1) & several)[of]
-    yield r[left], crowd[of][left]
-
-
-def _by_document(rows: np.ndarray, settled: bool, crowd: np.ndarray | None):
-    """Rows of _SPANS: settled anchors, a row a document; the others, a row each."""
-    names = ["doc", "gram", "at", "more", "settled", "crowd", "inner"]
-    if settled:
-        rows = rows[np.lexsort((rows["at"], rows["doc"]))]
-        cut = np.flatnonzero(np.diff(rows["doc"], prepend=rows["doc"][0] - 1)) if len(rows) else np.zeros(0, np.int64)
-        off = np.append(cut, len(rows)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(rows[k].astype(np.int32))) for k in ("at", "more")]
-        n = len(cut)
-        return pa.table([pa.array(rows["doc"][cut]), pa.nulls(n, pa.int64()), *lists, pa.array(np.ones(n, bool)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=names)
-    n = len(rows)
-    one = pa.array(np.arange(n + 1, dtype=np.int32))
-    lists = [pa.ListArray.from_arrays(one, pa.array(rows[k].astype(np.int32))) for k in ("at", "more")]
-    return pa.table([pa.array(rows["doc"]), pa.array(np.ascontiguousarray(rows["gram"]).view("<i8")), *lists, pa.array(np.zeros(n, bool)), pa.array(crowd.astype(np.int32)), pa.array(rows["inner"].astype(np.int32))], names=names)
-
-
-def classes(contexts: list[bytes], inner: list[int]) -> list[list[tuple[int, int]]]:
+def settle(rows: dict[str, np.ndarray]):
+    """(settled anchors; anchors to ask, with the number of contexts that their two cores have, 0 for an unshared one)."""
+    order, start = runs(rows, "gram")
+    length = np.diff(np.append(start, len(order)))
+    doc = rows["doc"][order]
+    if len(order):  # a gram that one document has alone has nothing to meet
+        order = order[np.repeat(np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start), length)]
+    rows = taken(rows, order)
+    late = earlier_in(rows)
+    left = taken(rows, ~late)
+    # equal contexts of one document are one
+    seen, begin = runs(left, "gram", "context")
+    one = seen[begin]
+    kind = np.zeros(len(seen), np.int64)
+    kind[seen] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(seen))))
+    distinct = taken(left, one)
+    inner, after = distinct["inner"].astype(int), LENGTH - GRAM + distinct["more"].astype(int) - distinct["inner"]
+    on = [crowds(distinct, core, there) for core, there in (("left", inner >= LEFT), ("right", after >= RIGHT))]
+    on = [x[kind] for x in on]
+    ask = (on[0] > 0) | (on[1] > 0)
+    return taken(rows, late), taken(left, ask), [x[ask] for x in on]
+
+
+def _lists(rows: dict[str, np.ndarray], off: np.ndarray) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(rows[k].astype(np.int32))) for k in ("at", "more")]
+
+
+def _settled(rows: dict[str, np.ndarray]) -> pa.Table:
+    """Settled anchors as rows of _SPANS, one a document."""
+    rows = taken(rows, np.lexsort((rows["at"], rows["doc"])))
+    cut = np.flatnonzero(np.append(True, rows["doc"][1:] != rows["doc"][:-1])) if len(rows["doc"]) else np.zeros(0, np.int64)
+    n = len(cut)
+    none = [pa.nulls(n, pa.int32())] * 3
+    return pa.table([pa.array(rows["doc"][cut]), pa.nulls(n, pa.int64()), *_lists(rows, np.append(cut, len(rows["doc"]))), pa.array(np.ones(n, bool)), *none], names=[x.split()[0] for x in _SPANS.split(", ")])
+
+
+def _asked(rows: dict[str, np.ndarray], on: list[np.ndarray]) -> pa.Table:
+    n = len(rows["doc"])
+    counts = [pa.array(np.minimum(x, 1 << 30).astype(np.int32)) for x in on]
+    return pa.table([pa.array(rows["doc"]), pa.array(np.ascontiguousarray(rows["gram"]).view("<i8")), *_lists(rows, np.arange(n + 1)), pa.array(np.zeros(n, bool)), pa.array(rows["inner"].astype(np.int32)), *counts], names=[x.split()[0] for x in _SPANS.split(", ")])
+
+
+def halves(a: int, b: int) -> list[tuple[int, int]]:
+    m = (a + b) // 2
+    return [(a, m), (m + 1, b)]
+
+
+def node_of(text: bytes, gram: int, a: int, b: int) -> tuple[int, int, int] | None:
+    """Where node [a, b] of a context lies in it, and the bytes before the core there; none if it has no such window."""
+    start, stop = max(0, gram - b), min(len(text), gram + GRAM + REST - a)
+    pre = gram - a - start
+    if pre < 0 or stop < gram + GRAM + REST - b:
+        return None
+    return start, stop, pre
+
+
+def classes(contexts: list[bytes], pre: list[int], cores: list[int]) -> list[list[tuple[int, int]]]:
     """Windows (context, start) that hold equal 50-byte strings, by a suffix array over all contexts. Only classes of
     windows of two contexts or more.
 
-    Every window of a context holds its gram, which starts at inner, whole. So equal grams are one symbol of the sorted
-    string, and windows are equal if their bytes before and after it are.
+    Every window of a context holds its core, cores[k] bytes from pre[k] on, whole. So equal cores are one symbol of the
+    sorted string, and windows are equal if their bytes before and after it are.
     """
     out: list[list[tuple[int, int]]] = []
     joined: list[int] = []
     of: list[int] = []
     base: list[int] = []
     symbol: dict[bytes, int] = {}
-    for k, (c, i) in enumerate(zip(contexts, inner)):
+    for k, (c, i, n) in enumerate(zip(contexts, pre, cores)):
         base.append(len(joined))
-        gram = c[i : i + GRAM]
         joined += [x + 1 for x in c[:i]]
-        joined.append(symbol.setdefault(gram, 257 + len(symbol)))
-        joined += [x + 1 for x in c[i + GRAM :]]
+        joined.append(symbol.setdefault(c[i : i + n], 257 + len(symbol)))
+        joined += [x + 1 for x in c[i + n :]]
         joined.append(0)
         of += [k] * (len(joined) - base[-1])
     last = None
@@ -251,7 +375,7 @@ def classes(contexts: list[bytes], inner: list[int]) -> list[list[tuple[int, int
         k = of[s]
         start = s - base[k]
         c = contexts[k]
-        if start > inner[k] or start + LENGTH > len(c):
+        if start > pre[k] or start + LENGTH > len(c):
             continue
         window = c[start : start + LENGTH]
         if window == last:
@@ -259,114 +383,145 @@ def classes(contexts: list[bytes], inner: list[int]) -> list[list[tuple[int, int
         else:
             out.append([(k, start)])
             last = window
-    return [c for c in out if len({k for k, _ in c}) > 1]
+    return [c for c in out if len(c) > 1]
+
+
+_CONTEXT = "key bigint, doc bigint, a int, b int, pre int, at array<int>, text binary"
+_NAMES = [x.split()[0] for x in _CONTEXT.split(", ")]
+_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
+
+
+def key_of(core: bytes, a: int, b: int) -> int:
+    return xxhash.xxh64_intdigest(core, a * SPAN + b) - (1 << 63)
 
 
-def _sorted_groups(keys: list, docs: list[int], contexts: list[bytes], inner: list[int]):
-    """Per context, the starts of windows that a smaller document's context has too, over blocks of whole groups."""
-    removed: list[list[int]] = [[] for _ in docs]
-    block: list[int] = []
-    length = 0
+def split_nodes(text: bytes, gram: int, nodes: list[tuple[int, int]]):
+    """(key, a, b, pre, first byte, bytes) of a context's nodes."""
+    for a, b in nodes:
+        if found := node_of(text, gram, a, b):
+            start, stop, pre = found
+            part = text[start:stop]
+            yield key_of(part[pre : pre + LENGTH - b + a], a, b), a, b, pre, start, part
+
+
+def _batch(rows: list) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * len(_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], _NAMES)
+
+
+def sort_cores(batches, most: int):
+    """Of rows of _CONTEXT that are sorted by key: windows that a smaller document has (text null, their places in at),
+    and the contexts of cores that more than most rows have, as rows of the nodes of their halves."""
+    block: list[list[tuple]] = []  # whole groups
+    out: list[tuple] = []
+    size = 0
 
     def run() -> None:
-        for c in classes([contexts[i] for i in block], [inner[i] for i in block]):
-            least = min(docs[block[k]] for k, _ in c)
+        rows = [r for g in block for r in g]
+        block.clear()
+        late: dict[int, list[int]] = {}
+        for c in classes([r[6] for r in rows], [r[4] for r in rows], [LENGTH - r[3] + r[2] for r in rows]):
+            least = min(rows[k][1] for k, _ in c)
             for k, start in c:
-                if docs[block[k]] > least:
-                    removed[block[k]].append(start)
+                if rows[k][1] > least:
+                    late.setdefault(k, []).append(start)
+        for k, starts in late.items():
+            out.append((None, rows[k][1], None, None, None, [x + s for s in starts for x in rows[k][5]], None))
+
+    def pass_on(r: tuple) -> None:
+        _, doc, a, b, pre, at, text = r
+        for key, c, d, p, start, part in split_nodes(text, pre + a, halves(a, b)):
+            out.append((key, doc, c, d, p, [x + start for x in at], part))
+
+    group: list[tuple] = []
+    crowded = False
+
+    def close() -> None:
+        nonlocal size, group
+        if len(group) > 1 and not crowded:
+            block.append(group)
+            size += sum(len(r[6]) + 1 for r in group)
+            if size >= BLOCK:
+                run()
+                size = 0
+        group = []
 
-    for i, key in enumerate(keys):
-        if block and key != keys[i - 1] and length >= BLOCK:
-            run()
-            block, length = [], 0
-        block.append(i)
-        length += len(contexts[i]) + 1
-    if block:
-        run()
-    return removed
+    last = None
+    for batch in batches:
+        for r in zip(*(batch.column(n).to_pylist() for n in _NAMES)):
+            if r[0] != last:
+                close()
+                last, crowded = r[0], False
+            if crowded:
+                pass_on(r)
+            elif r[2] < r[3] and len(group) >= most:
+                crowded = True
+                for g in (*group, r):
+                    pass_on(g)
+                group = []
+            else:
+                group.append(r)
+            if len(out) >= 5000:
+                yield _batch(out)
+                out.clear()
+    close()
+    run()
+    yield _batch(out)
 
 
-def removed_windows(docs: DataFrame) -> DataFrame:
+def removed_windows(docs: DataFrame, most: int | None = None) -> DataFrame:
     """Rows (doc, at, more): runs of more + 1 windows from byte at on that an earlier document has. docs: doc, text."""
     spark = docs.sparkSession
+    most = GROUP if most is None else most
     buckets = max(8, 4 * docs.rdd.getNumPartitions())
 
     def first_round(key, t):
-        rows = np.concatenate([np.frombuffer(x.as_buffer(), RECORD) for x in t.column("rows")])
-        parts = [_by_document(r, crowd is None, crowd) for r, crowd in settle(rows)]
-        return pa.concat_tables(parts) if parts else pa.table({})
+        blobs = [x.as_buffer() for x in t.column("rows")]
+        if key[0].as_py() >= buckets:
+            return _settled(unpacked(blobs, GONE))
+        late, ask, on = settle(unpacked(blobs))
+        return pa.concat_tables([_settled(late), _asked(ask, on)])
 
     found = written(_part(docs, buckets).groupBy("bucket").applyInArrow(first_round, _SPANS), "anchors")
     settled = found.where("settled").select("doc", "at", "more")
 
-    # the contexts of the others, cut out of their documents' texts
-    asked = found.where("NOT settled").select("doc", "gram", F.col("at")[0].alias("at"), F.col("more")[0].alias("more"), "crowd", "inner")
-    asked = asked.groupBy("doc").agg(F.collect_list(F.struct("gram", "at", "more", "crowd", "inner")).alias("asked"))
-
-    def cut(texts: pa.Array, wanted: pa.Array) -> pa.Array:
-        out = []
-        for t, w in zip(texts.to_pylist(), wanted.to_pylist()):
-            data = t.encode()
-            out.append([x | {"context": data[x["at"] : x["at"] + x["more"] + LENGTH]} for x in w])
-        return pa.array(out, pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32()), ("more", pa.int32()), ("crowd", pa.int32()), ("inner", pa.int32()), ("context", pa.binary())])))
-
-    cutter = arrow_udf(cut, "array<struct<gram:bigint,at:int,more:int,crowd:int,inner:int,context:binary>>")
-    contexts = docs.join(asked.hint("shuffle_hash"), "doc").select("doc", F.explode(cutter("text", "asked")).alias("c")).select("doc", "c.*")
-    contexts = written(contexts, "contexts")
-
-    def second_round(batches):
-        """A partition of contexts, sorted by gram: whole groups go to suffix arrays, block by block."""
-        keys, ids, at, texts, inner, size = [], [], [], [], [], 0
-
-        def flush(n: int) -> pa.RecordBatch:
-            got = _sorted_groups(keys[:n], ids[:n], texts[:n], inner[:n])
-            rows = [(ids[i], at[i] + s) for i in range(n) for s in got[i]]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([[r[1]] for r in rows], pa.list_(pa.int32())), pa.array([[0]] * len(rows), pa.list_(pa.int32()))], ["doc", "at", "more"])
+    # the contexts of the others, cut out of their documents' texts: nodes whose cores are shared, halves of crowded ones
+    asked = found.where("NOT settled").select("doc", F.col("at")[0].alias("at"), F.col("more")[0].alias("more"), "inner", "on_left", "on_right")
+    asked = asked.groupBy("doc").agg(F.collect_list(F.struct("at", "more", "inner", "on_left", "on_right")).alias("asked"))
 
+    def cut(batches):
         for batch in batches:
-            for g, d, a, c, i in zip(*(batch.column(x).to_pylist() for x in ("gram", "doc", "at", "context", "inner"))):
-                if keys and g != keys[-1] and size >= 16 * BLOCK:
-                    yield flush(len(keys))
-                    keys, ids, at, texts, inner, size = [], [], [], [], [], 0
-                keys.append(g), ids.append(d), at.append(a), texts.append(c), inner.append(i)
-                size += len(c)
-        if keys:
-            yield flush(len(keys))
-
-    few = contexts.where(F.col("crowd") <= GROUP)
+            rows = []
+            for doc, t, wanted in zip(*(batch.column(n).to_pylist() for n in ("doc", "text", "asked"))):
+                data, own = t.encode(), {}
+                for w in wanted:
+                    text = data[w["at"] : w["at"] + w["more"] + LENGTH]
+                    nodes = [x for n, ends in ((w["on_left"], (LEFT, REST)), (w["on_right"], (0, LEFT - 1))) if n for x in ([ends] if n <= most else halves(*ends))]
+                    for key, a, b, pre, start, part in split_nodes(text, w["inner"], nodes):
+                        own.setdefault((key, a, b, pre, part), []).append(w["at"] + start)
+                rows += [(key, doc, a, b, pre, at, part) for (key, a, b, pre, part), at in own.items()]
+                if len(rows) >= 5000:
+                    yield _batch(rows)
+                    rows = []
+            yield _batch(rows)
+
+    contexts = written(docs.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asked").mapInArrow(cut, _CONTEXT), "contexts")
     n = max(8, spark.sparkContext.defaultParallelism, buckets // 4)
-    sorted_ = few.repartition(n, "gram").sortWithinPartitions("gram").select("gram", "doc", "at", "context", "inner")
-    few_removed = sorted_.mapInArrow(second_round, "doc bigint, at array<int>, more array<int>")
-
-    # a frequent gram's contexts are sorted in slices; one row for each distinct string of a slice meets the others' by digest
-    def slices(batches):
-        for batch in batches:
-            cols = [batch.column(x).to_pylist() for x in ("doc", "at", "context", "inner")]
-            for i in range(0, len(cols[0]), 800):
-                ids, at, texts, inner = (c[i : i + 800] for c in cols)
-                rows = {}
-                for k, c in enumerate(texts):
-                    for s in range(len(c) - LENGTH + 1):
-                        rows.setdefault((k, s), None)
-                seen = set()
-                out = []
-                for c in classes(texts, inner):
-                    least = min(ids[k] for k, _ in c)
-                    out.append((hashlib.blake2b(texts[c[0][0]][c[0][1] : c[0][1] + LENGTH], digest_size=16).digest(), least, [ids[k] for k, _ in c], [at[k] + s for k, s in c]))
-                    seen.update(c)
-                for k, s in rows:
-                    if (k, s) not in seen:
-                        out.append((hashlib.blake2b(texts[k][s : s + LENGTH], digest_size=16).digest(), ids[k], [ids[k]], [at[k] + s]))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64())), pa.array([o[3] for o in out], pa.list_(pa.int32()))], ["string", "least", "docs", "at"])
-
-    many = contexts.where(F.col("crowd") > GROUP)
-    if many.limit(1).count():
-        sliced = written(many.repartition(n, F.xxhash64("context")).sortWithinPartitions("gram").select("doc", "at", "context", "inner").mapInArrow(slices, "string binary, least bigint, docs array<bigint>, at array<int>"), "slices")
-        first = sliced.groupBy("string").agg(F.min("least").alias("first"))
-        members = sliced.join(first, "string").select("first", F.explode(F.arrays_zip("docs", "at")).alias("z"))
-        late = members.where(F.col("z.docs") > F.col("first")).select(F.col("z.docs").alias("doc"), F.array("z.at").alias("at"), F.array(F.lit(0)).alias("more"))
-        few_removed = few_removed.unionAll(late)
-    return settled.unionAll(few_removed)
+    late = []
+    while True:
+        by_key = contexts.where("a < b").repartition(n, "key").sortWithinPartitions("key")
+        got = written(by_key.mapInArrow(lambda batches: sort_cores(batches, most), _CONTEXT), "cores")
+        late.append(got.where("text IS NULL").select("doc", "at"))
+        single = contexts.where("a = b").select("doc", "at", "text")  # a node of one window: equal cores are equal windows
+        if single.limit(1).count():
+            first = written(single.groupBy("text").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("text", "first"), "first")
+            late.append(single.join(first.hint("merge"), "text").where("doc > first").select("doc", "at"))
+        contexts = got.where("text IS NOT NULL")
+        if not contexts.limit(1).count():
+            break
+    for x in late:
+        settled = settled.unionAll(x.select("doc", "at", F.transform("at", lambda _: F.lit(0)).alias("more")))
+    return settled
 
 
 def spans_of(n: int, at: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -67,13 +67,24 @@ def test_linear_grouping(text):
     assert substrings.linear_grouping(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
-@pytest.mark.parametrize("group", [substrings.GROUP, 2])
-def test_substrings(spark, docs, monkeypatch, group):
+@pytest.mark.parametrize(("group", "chunk"), [(substrings.GROUP, substrings.CHUNK), (2, 1), (1, substrings.CHUNK)])
+def test_substrings(spark, docs, monkeypatch, group, chunk):
     monkeypatch.setattr(substrings, "GROUP", group)
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
     got = {r["doc_id"]: tuple(r)[1:5] for r in substrings.dedup(docs).collect()}
     assert got == plain.substrings(ROWS)
 
 
+def test_substrings_of_a_hot_gram(spark, monkeypatch):
+    """A phrase that stands in every text between other words each: its gram's contexts are split by content."""
+    monkeypatch.setattr(substrings, "GROUP", 5)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    rows = [(i, f"{word()} {word()} {r.choice(['of ', 'in the '])}the shared phrase of all these texts {r.choice(['and', 'or'])} {word()} {word()}") for i in range(80)]
+    got = {r["doc_id"]: tuple(r)[1:5] for r in substrings.dedup(plain.documents(spark, rows)).collect()}
+    assert got == plain.substrings(rows) and sum(v[1] for v in got.values())
+
+
 def test_substrings_ties(spark):
     runs = [(0, "a" * 120), (1, "a" * 49), (2, "b" * 30 + "a" * 60 + "c" * 30), (3, "ab" * 60), (4, "b" + "ab" * 40), (5, "é" * 40), (6, "xé" * 10 + "é" * 30)]
     got = {r["doc_id"]: tuple(r)[1:5] for r in substrings.dedup(plain.documents(spark, runs)).collect()}
@@ -109,8 +120,18 @@ def test_many_licences_in_a_file(spark):
     sentences = {label: sentence for label, sentence, _ in licences.TEMPLATES}
     six = ("mit", "apache-2.0", "bsd", "isc", "mpl", "unlicense")
     rows = [(k, ".\n".join(sentences[x] for x in six[: k + 1])) for k in range(6)] + [(6, ".\n".join(sentences.values()))]
+    rows += [(10 + t, sentence.title()) for t, (_, sentence, _) in enumerate(licences.TEMPLATES)]
     got = {r["doc_id"]: set(r["labels"].split(",")) for r in licences.scan(plain.documents(spark, rows)).collect()}
     assert all(set(six[: k + 1]) <= got[k] for k in range(6)) and set(sentences) <= got[6]
+    assert all(label in got[10 + t] for t, (label, _, _) in enumerate(licences.TEMPLATES))
+
+
+def test_key_phrase_stands_at_its_place(spark):
+    """A key phrase elsewhere in the file doesn't verify a sentence from which it is missing."""
+    sentence, key = next((s, k) for label, s, k in licences.TEMPLATES if label == "mpl")
+    rows = [(0, sentence), (1, sentence.replace(key, "other company agreement") + ". The " + key), (2, "a word or two before " + sentence.replace("source code", "source-code"))]
+    got = {r["doc_id"]: r["labels"] for r in licences.scan(plain.documents(spark, rows)).collect()}
+    assert got == {0: "mpl", 1: "", 2: "mpl"}
 
 
 # --- personal data
