@@ -100,3 +100,44 @@ def licences(text):
         at += found
         labels |= {label} if found else set()
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def accepts(expression, stream):
+    """Whether a union-free expression, all of whose items are optional, holds a stream: by trying every way."""
+
+    def once(ways, field):
+        out = {i + 1 for i in ways if i < len(stream) and stream[i] == field.rstrip("+")}
+        return out | once(out, field) if field.endswith("+") and out else out
+
+    ways = {0}
+    for key in expression:
+        unit = key[1:-2].split("\x1f") if key.endswith(")+") else [key]
+        step = ways
+        while step:
+            for field in unit:
+                step = once(step, field)
+            step -= ways
+            ways = ways | step
+            if not key.endswith(")+"):
+                break
+    return len(stream) in ways
+
+
+def _luhn(digits):
+    doubled = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+    return sum(x - 9 * (x > 9) for x in doubled) % 10 == 0
+
+
+def personal(text):
+    """Base spans (start, end, kind) by the patterns as they are written."""
+    text = text or ""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 12 <= len(digits(s)) <= 19 and _luhn(digits(s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    }
+    kinds = list(rules)
+    found = [(m.start(), m.end(), k) for k, (pattern, passes) in rules.items() for m in re.finditer(pattern, text) if passes(m[0])]
+    return sorted(found, key=lambda x: (x[0], kinds.index(x[2])))

@@ -1,5 +1,7 @@
 import hashlib
+import json
 import os
+import random
 
 import numpy as np
 import pytest
@@ -32,21 +34,96 @@ def test_main_text():
     assert html_text.main_text("<article><p>x</p>" + "<p>y z</p>" * 5000).count("\n") == 5000
 
 
+def test_main_text_keeps_what_names_only_resemble():
+    """Words that merely contain a name of furniture, ids of quotations, a form around the whole page, comments as articles."""
+    article = "<h1>Head</h1><p>First line of it.</p>{}<p>Last line.</p>"
+    for part, text in (
+        ('<p class="share-price">Shares rose</p>', "Shares rose"), ('<section id="related-work"><p>Others</p></section>', "Others"), ('<div class="alert-levels">Red</div>', "Red"),
+        ('<div class="search-engines"><p>Engines</p></div>', "Engines"), ('<blockquote id="share">Quoted</blockquote>', "Quoted"),
+    ):
+        want = f"Head\nFirst line of it.\n{text}\nLast line."
+        assert html_text.main_text(f"<article>{article.format(part)}</article>") == want
+        assert html_text.main_text(f"<body><div>{article.format(part)}</div></body>") == want
+    for part in ('<div class="share-buttons">Share</div>', '<article class="c"><p>A reader</p></article>', '<section class="commentList"><p>A reader</p></section>', "<form><label>Mail</label></form>", '<div id="site-footer">us</div>'):
+        assert html_text.main_text(f"<body><article>{article.format(part)}</article></body>") == "Head\nFirst line of it.\nLast line."
+    assert html_text.main_text(f"<body><form method=post><input name=state><div class=widget>{article.format('')}</div></form></body>") == "Head\nFirst line of it.\nLast line."
+    long = "<p>A reader's many words.</p>" * 30
+    assert html_text.main_text(f"<body><div><h1>Head</h1><p>Text.</p></div><div class=comments>{long}</div></body>") == "Head\nText."
+
+
+def expression(pages):
+    return html_text.infer([(1, html_text.page_items(html_text.blocks(p))) for p in pages])
+
+
 def test_wrapper_expression():
-    w = html_text.Wrapper()
-    for k in range(6):
-        w.add(f"<body><div class=top>Brand</div><ul>{'<li>e</li>' * (k + 2)}</ul>{'<em>x</em><hr>' if k % 2 else ''}<div class=t{'' if k else ' x'}><p>text {k}</p></div></body>")
-    t = html_text.template(w.state())
-    assert t["pages"] == 6 and "(li #)+" in t["expression"] and "hr?" in t["expression"] and len(t["fixed"]) >= 1
-    assert html_text.fold("a b b b c d c d".split()) == ["a", "(b)+", "(c d)+"]
+    items = expression(f"<body><div class=top>Brand</div><ul>{'<li>e</li>' * (k + 1)}</ul>{'<hr><em>x</em>' if k % 2 else ''}<div class=t><p>text {k}</p></div></body>" for k in range(6))
+    by = {key: (digest is not None, n) for key, digest, n, _, _ in items}
+    assert by["body>div.top"] == (True, 6) and by["(body>ul>li)+"] == (False, 6) and by["body"] == (True, 3) and by["body>div.t>p"] == (False, 6) and len(items) == 4
+    assert html_text.fold(list("abbbcdcd")) == [("a", 0, 1), ("(b)+", 1, 4), ("(c\x1fd)+", 4, 8)]
+
+
+def test_alignment_against_plain():
+    """The expression holds every stream it was inferred from; each page is matched whole; constants are those of all its pages."""
+    r = random.Random(1)
+    for _ in range(40):
+        streams = [[r.choice("abcd") for _ in range(r.randint(0, 9))] for _ in range(r.randint(1, 6))]
+        pages = [[html_text.Block(k, f"{k}{r.randint(0, 1)}", 0, False) for k in s] for s in streams]
+        items = html_text.infer([(1, html_text.page_items(p)) for p in pages])
+        for p in pages:
+            assert plain.accepts([x[0] for x in items], [b.path for b in p]), (streams, items)
+        e = html_text.Expression(json.dumps([len(pages), items]))
+        for p in pages:
+            assert all(item >= 0 for item, _, _ in e.places(tuple(b.path for b in p)))
+
+
+def test_alignment_decides(spark, monkeypatch):
+    """A template's text that stands at other places of the stream on every page is known by aligning them, only."""
+    brand = "Read more of our stories in the evening"
+    page = "<body>{}<p class=b>" + brand + "</p><div><p>Words of page {}, some of them its own and more than the template has, again {}</p></div></body>"
+    rows = [(k, f"http://h.example/{k}", page.format("<h2>Extra</h2>" * (k % 3) + "<h3>More</h3>" * (k % 2), k, k)) for k in range(8)]
+    got = [r["text"] for r in html_text.extract(pages(spark, rows)).sort("page_id").collect()]
+    assert all(brand not in t and "Words of page" in t for t in got)
+
+    def texts():
+        wrapper = html_text.Expression(json.dumps([8, expression(h for _, _, h in rows)]))
+        return [html_text.main_text(h, wrapper) for _, _, h in rows]
+
+    assert texts() == got
+    monkeypatch.setattr(html_text, "align", lambda a, b, pages: a)
+    assert any(brand in t for t in texts())
+
+
+def test_equal_pages_count_once(spark):
+    """However the pages are dealt out: equal ones are one page of the host, and the result is the same."""
+    page = "<body><div class=top>Site name</div><div><p>Words that are page {}'s own, longer than its template</p></div></body>"
+    rows = [(k, "http://h.example/", page.format(k if k < 5 else 9)) for k in range(12)] + [(k, "http://two.example/", page.format(k % 2)) for k in range(12, 24)]
+    got = []
+    for n in (1, 8, 61):
+        got.append(sorted((r["page_id"], r["text"]) for r in html_text.extract(pages(spark, rows).repartition(n)).collect()))
+    assert got[0] == got[1] == got[2] and got[0][7] == (7, "Words that are page 9's own, longer than its template") and got[0][12][1].startswith("Site name")
+
+
+def test_near_copies_keep_their_text(spark):
+    article = "<body><article><h1>Head</h1>" + "".join(f"<p>The same paragraph {k} of all copies.</p>" for k in range(5)) + "<p>Copy {}</p></article></body>"
+    got = html_text.extract(pages(spark, [(k, "http://h.example/", article.format(k)) for k in range(9)])).collect()
+    assert all(r["text"].count("\n") == 6 for r in got)
 
 
 def test_extract(spark):
-    body = "<html><body><div class=top>Brand of the site</div><div class=body><p>Words of page {}</p><p>{} more</p></div></body></html>"
+    body = "<html><body><div class=top>Brand of the site</div><div class=body><p>Words of page {} and of no other</p><p>{} more</p></div></body></html>"
     rows = [(i, "http://h.example/" + str(i), body.format(i, "abcdefgh"[i])) for i in range(8)] + [(20, None, None), (21, "http://h.example/x", ""), (22, "http://other.example", PAGE), (22, "http://other.example", PAGE)]
-    got = sorted((r["page_id"], r["text"]) for r in html_text.extract(pages(spark, rows)).collect())
-    assert got[0] == (0, "Words of page 0\na more") and got[8:10] == [(20, ""), (21, "")] and got[10] == got[11] and got[10][1].startswith("Head")
+    clash = pages(spark, rows).withColumn("wrapper_host", F.lit(1)).withColumn("Wrapper_Template", F.lit(2)).withColumn("host", F.lit(3))
+    out = html_text.extract(clash)
+    assert set(clash.columns) == set(out.columns)
+    got = sorted((r["page_id"], r["text"]) for r in out.collect())
+    assert got[0] == (0, "Words of page 0 and of no other\na more") and got[8:10] == [(20, ""), (21, "")] and got[10] == got[11] and got[10][1].startswith("Head")
     assert html_text.extract(pages(spark, rows).limit(0)).collect() == []
+    before = html_text.BROADCAST
+    html_text.BROADCAST = -1
+    try:
+        assert sorted((r["page_id"], r["text"]) for r in html_text.extract(clash).collect()) == got
+    finally:
+        html_text.BROADCAST = before
 
 
 WEB = [(1, "http://a", "x" * 200), (2, "http://b\r\nX: y", "x" * 200), (3, None, None), (4, "u", "short"), (5, "u", "short"), (6, "u", "pay\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n" + "z" * 99), (6, "u", "é" * 80), (7, "u", "x" * 200), (9, "u", "é" * 80)]
