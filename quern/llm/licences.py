@@ -1,8 +1,9 @@
 """Licence scans by a positional rare-token index, in DataFrame functions only.
 
-The templates' words, without the commonest English ones, are the index: word to (template, position). Document
-frequencies over the whole corpus weigh them. A template is a candidate where the file has one of its rarest words and
-its mandatory key phrase; all the file's postings of a candidate then vote for it at a relative position.
+The templates' words are the index: word to (template, position). Document frequencies over the whole corpus weigh them.
+A template is a candidate where a file has one of its rarest words, of which there are so many that a file without any
+can't reach the share, and its mandatory key phrase; all the file's postings of a candidate then vote for it at a relative
+position, and the key phrase must stand at its place there.
 """
 
 from __future__ import annotations
@@ -15,45 +16,54 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: How many of its rarest licence words a file looks up in the SQL, and the share of a template's weight that must agree
-#: on a position.
-RAREST, SHARE = 12, 0.5
+#: The share of a template's weight that must agree on a position.
+SHARE = 0.5
 # The phrases of the result's contract.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
 # Well-known sentences of public licences (label, sentence, mandatory key phrase).
 TEMPLATES = (
     ("agpl", "gnu affero general public license as published by the free software foundation", "affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache license"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "distributed under the license is distributed on an as is basis"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("bsd-2-clause", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike license", "attribution sharealike"),
     ("cc0", "cc0 1 0 universal public domain dedication no copyright", "public domain dedication"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "general public license version 2"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "general public license version 3"),
+    ("gpl-header", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "terms of the gnu general public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee is hereby granted"),
     ("lgpl", "gnu lesser general public license as published by the free software foundation", "lesser general public license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies"),
     ("mit-named", "this project is licensed under the mit license", "mit license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
     ("proprietary", "copyright all rights reserved unauthorized copying of this file is strictly prohibited proprietary and confidential", "proprietary and confidential"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
 )
-_STOP = frozenset("a all and any are as by except for form forms free in into is may met no not of or or out provided that the this to under use with without you your work file code copy person following any 0 1 2 3 4".split())
-
-
-def postings() -> dict[str, list[tuple[str, int]]]:
-    out: dict[str, list[tuple[str, int]]] = {}
-    for label, sentence, _ in TEMPLATES:
-        for i, w in enumerate(sentence.split()):
-            if w not in _STOP and "k" not in w:  # U+212A lower-cases to k; without it lower() is exact on these words
-                out.setdefault(w, []).append((label, i))
+#: Lower-cases to k; another letter in its place keeps words of A-Z exact.
+_KELVIN, _OTHER = "\u212a", "\ue000"
+
+
+def postings() -> dict[str, list[tuple[int, int, bool]]]:
+    """word: (template, position, whether it is of the key phrase there)."""
+    out: dict[str, list[tuple[int, int, bool]]] = {}
+    for t, (_, sentence, key) in enumerate(TEMPLATES):
+        words, k = sentence.split(), key.split()
+        first = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
+        for i, w in enumerate(words):
+            out.setdefault(w, []).append((t, i, first <= i < first + len(k)))
     return out
 
 
-def rarest(sentence: str, idf: dict[str, float], unseen: float, total: float) -> list[str]:
-    """A template's rarest index words, so many that a file with none of them can't reach SHARE of its weight."""
-    index = postings()
-    words = [w for w in sentence.split() if w in index]
+def rarest(sentence: str, idf: dict[str, float], unseen: float) -> list[str]:
+    """A template's rarest words, so many that a file with none of them can't reach SHARE of its weight."""
+    words = sentence.split()
+    total = sum(idf.get(w, unseen) for w in words)
     out: list[str] = []
     weight = 0.0
     for w in sorted(set(words), key=lambda w: (-idf.get(w, unseen), w)):
@@ -65,9 +75,9 @@ def rarest(sentence: str, idf: dict[str, float], unseen: float, total: float) ->
 
 
 def words_of(text: Column) -> Column:
-    """All words of a whole text. lower() also changes letters beyond ASCII, but neither where words end nor which
-    words are those of the index or of BASE, as none of these has a k."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
+    """All words of a whole text. lower() also changes letters beyond ASCII, but neither where words end nor which words
+    are those of the index or of BASE, once the one letter that becomes ASCII is out of the way."""
+    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(_KELVIN), F.lit(_OTHER))), F.lit(WORD), F.lit(0))
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -92,10 +102,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     have six places, as the last digits of a sum depend on its order.
     """
     spark, index = docs.sparkSession, postings()
-    vocabulary = sorted(set(index) | {w for _, p in BASE for w in p.split()})
+    phrases = [key.split() for _, _, key in TEMPLATES] + [p.split() for _, p in BASE]
+    vocabulary = sorted(set(index) | {w for p in phrases for w in p})
+    some = lambda words: F.array(*map(F.lit, words))
     w = docs.select(F.col(id_col).alias("id"), words_of(F.col(text)).alias("words"))
-    w = w.select("id", F.size("words").cast("bigint").alias("n_words"), F.array_intersect("words", F.array(*map(F.lit, vocabulary))).alias("present"), "words")
-    w = w.withColumn("words", F.when(F.size("present") > 1, F.col("words")))
+    w = w.select("id", F.size("words").cast("bigint").alias("n_words"), F.array_intersect("words", some(vocabulary)).alias("present"), "words")
+    # without all words of a key phrase or of a base phrase a file has no label: only the others' words are kept
+    hope = F.lit(False)
+    for p in sorted({tuple(sorted(set(p))) for p in phrases}):
+        hope = hope | (F.size(F.array_except(some(p), F.col("present"))) == 0)
+    w = w.withColumn("words", F.when(hope, F.col("words")))
     s = written(w.select(F.monotonically_increasing_id().alias("row"), "*"), "licence-words")
 
     n = s.count()
@@ -110,18 +126,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     if not idf:
         found = based.withColumns({"labels": F.col("base"), "share": F.lit(0.0)})
     else:
-        listed = F.filter("present", lambda x: x.isin(*idf))
-        known = {label: sum(idf.get(x, math.log(1 + n)) for x in sentence.split() if x in index) for label, sentence, _ in TEMPLATES}
+        unseen = math.log(1 + n)
         line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-        lined = s.where(F.size(listed) > 1).select("row", "words", "present", line.alias("line"))
-        candidate = [F.when(F.arrays_overlap("present", F.array(*map(F.lit, rarest(sentence, idf, math.log(1 + n), known[label])))) & F.contains("line", F.lit(f" {phrase} ")), label) for label, sentence, phrase in TEMPLATES]
+        lined = s.where(F.col("words").isNotNull()).select("row", "words", "present", line.alias("line"))
+        candidate = [F.when(F.arrays_overlap("present", some(rarest(sentence, idf, unseen))) & F.contains("line", F.lit(f" {key} ")), t) for t, (_, sentence, key) in enumerate(TEMPLATES)]
         files = lined.select("row", "words", F.array_compact(F.array(*candidate)).alias("candidates")).where(F.size("candidates") > 0)
         at = files.select("row", "candidates", F.posexplode("words").alias("pos", "w")).where(F.col("w").isin(*idf))
-        terms = spark.createDataFrame([(k, label, i, idf[k]) for k in idf for label, i in index[k]], "w string, label string, tpos int, idf double")
-        votes = at.join(F.broadcast(terms), "w").where(F.array_contains("candidates", F.col("label"))).groupBy("row", "label", (F.col("pos") - F.col("tpos")).alias("shift")).agg(F.sum("idf").alias("got"))
-        votes = votes.groupBy("row", "label").agg(F.max("got").alias("got"))
-        total = spark.createDataFrame(list(known.items()), "label string, total double")
-        sure = votes.join(F.broadcast(total), "label").withColumn("share", F.round(F.least(F.lit(1.0), F.col("got") / F.col("total")), 6)).where(F.col("share") >= SHARE)
+        terms = spark.createDataFrame([(k, t, i, int(in_key), idf[k]) for k in idf for t, i, in_key in index[k]], "w string, t int, tpos int, in_key int, idf double")
+        votes = at.join(F.broadcast(terms), "w").where(F.array_contains("candidates", F.col("t"))).groupBy("row", "t", (F.col("pos") - F.col("tpos")).alias("shift")).agg(F.sum("idf").alias("got"), F.sum("in_key").alias("keyed"))
+        rules = [(t, label, len(key.split()), sum(idf.get(x, unseen) for x in sentence.split())) for t, (label, sentence, key) in enumerate(TEMPLATES)]
+        known = spark.createDataFrame(rules, "t int, label string, key_size int, total double")
+        sure = votes.join(F.broadcast(known), "t").where("keyed = key_size").withColumn("share", F.round(F.least(F.lit(1.0), F.col("got") / F.col("total")), 6)).where(F.col("share") >= SHARE)
         sure = sure.groupBy("row").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))
         found = based.join(sure, "row", "left").withColumn("labels", F.array_sort(F.array_union("base", F.coalesce("own", F.array().cast("array<string>")))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0)))
@@ -143,16 +158,15 @@ t AS (SELECT r, w, pos, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2
 places AS (SELECT r, pos, b.label FROM t JOIN (VALUES {_values((label, *p.split(), *[""] * (3 - len(p.split()))) for label, p in BASE)}) AS b(label, a0, a1, a2)
            ON w = a0 AND w1 = a1 AND (a2 = '' OR w2 = a2)),
 base AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY r),
-postings(w, label, tpos) AS (VALUES {_values((w, label, i) for w, at in postings().items() for label, i in at)}),
+postings(w, template, tpos, in_key) AS (VALUES {_values((w, t, i, int(in_key)) for w, at in postings().items() for t, i, in_key in at)}),
+templates(template, label, key_size) AS (VALUES {_values((t, label, len(key.split())) for t, (label, _, key) in enumerate(TEMPLATES))}),
 counts AS (SELECT w, count(DISTINCT r) AS df FROM t SEMI JOIN postings USING (w) GROUP BY w),
 n AS (SELECT count(*) AS n FROM documents),
 idf AS (SELECT w, ln(1 + n / df) AS idf FROM counts, n),
-listed AS (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY idf DESC, w) AS k, count(*) OVER (PARTITION BY r) AS c FROM (SELECT DISTINCT r, w FROM t) JOIN idf USING (w)),
-votes AS (SELECT r, label, sum(idf) AS got FROM t JOIN (SELECT r, w FROM listed WHERE k <= {RAREST} AND c > 1) USING (r, w) JOIN idf USING (w) JOIN postings USING (w) GROUP BY r, label, pos - tpos),
-total AS (SELECT label, sum(coalesce(idf, ln(1 + n))) AS total FROM n, postings LEFT JOIN idf USING (w) GROUP BY label),
-shares AS (SELECT r, label, round(least(1.0, max(got) / any_value(total)), 6) AS share FROM votes JOIN total USING (label) GROUP BY r, label),
-own AS (SELECT r, list(label) AS labels, max(share) AS share FROM shares JOIN d USING (r) JOIN (VALUES {_values((label, key) for label, _, key in TEMPLATES)}) AS keys(label, phrase) USING (label)
-        WHERE share >= {SHARE} AND contains(' ' || array_to_string(words, ' ') || ' ', ' ' || phrase || ' ') GROUP BY r)
+votes AS (SELECT r, template, sum(idf) AS got, sum(in_key) AS keyed FROM t JOIN idf USING (w) JOIN postings USING (w) GROUP BY r, template, pos - tpos),
+total AS (SELECT template, sum(coalesce(idf, ln(1 + n))) AS total FROM n, postings LEFT JOIN idf USING (w) GROUP BY template),
+shares AS (SELECT r, label, round(least(1.0, got / total), 6) AS share FROM votes JOIN total USING (template) JOIN templates USING (template) WHERE keyed = key_size),
+own AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM shares WHERE share >= {SHARE} GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels,

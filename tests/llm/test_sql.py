@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from quern.llm import licences
 from quern.llm.queries import ORACLE, QUERIES
 
 DIR = os.environ.get("QUERN_TEST_DIR", "/root/testdata/sf0.001")
