@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers (with a unit, if one follows) and names become typed placeholders, everything else is lower-cased. Windows of
-canonical tokens are hash-joined between documents and benchmark items. Where a document matches an item, the values in
-the slots must agree: equal values of the item stand for equal values of the document, as in a re-parameterised question.
+Numbers, the units behind them and names (runs of capitalised words inside a sentence) become typed placeholders,
+everything else is lower-cased. Windows of canonical tokens are hash-joined between documents and benchmark items. Where a
+document matches an item, the values in the slots must agree: equal values of the item stand for equal values of the
+document, as in a re-parameterised question.
 """
 
 from __future__ import annotations
@@ -20,24 +21,35 @@ RUN, COVERAGE, CONSISTENT = 6, 0.5, 0.8
 BROADCAST = 200_000
 #: The ids of documents whose slots are compared are broadcast up to this many bytes, else their texts are shuffled.
 ID_BYTES = 16 << 20
-_NAME, _NUMBER = "\ue001", "\ue002"
+#: Private-use characters: a placeholder's type before it, and the end of a name.
+_NAME, _NUMBER, _UNIT, _END = "\ue001", "\ue002", "\ue003", "\ue004"
+_SIGNS = ("%", "€", "\\$")
 UNITS = ("km/h", "mph", "km", "cm", "mm", "m", "kg", "mg", "g", "lb", "oz", "ml", "l", "s", "ms", "min", "h", "hz", "w", "kw", "v", "k", "c", "f", "usd", "eur", "dollars", "euros", "percent", "miles", "metres", "meters", "hours", "minutes", "seconds", "days", "years")
-_TOKEN = f"{_NAME}[\\p{{L}}\\p{{M}}]+|{_NUMBER}\\p{{N}}+(?:[.,:]\\p{{N}}+)*(?:\\s?(?:%|€|\\$|(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])))?|[\\p{{L}}\\p{{M}}\\p{{N}}]+"
+_CAPITALS = "\\p{Lu}[\\p{L}\\p{M}]*(?: \\p{Lu}[\\p{L}\\p{M}]*)*"
+_DIGITS = f"{_NUMBER}\\p{{N}}+(?:[.,:]\\p{{N}}+)*"
+_TOKEN = f"{_NAME}[^{_END}]*{_END}|{_DIGITS}|{_UNIT}(?:{'|'.join((*_SIGNS, *UNITS))})(?![\\p{{L}}\\p{{N}}])|{_UNIT}(?:{'|'.join(_SIGNS)})|[\\p{{L}}\\p{{M}}\\p{{N}}]+"
 
 _UNSPACED = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}\\u30fc"
 _WORD = f"[{_UNSPACED}]|\\p{{N}}+(?:[.,:]\\p{{N}}+)*|[\\p{{L}}\\p{{M}}\\p{{N}}&&[^{_UNSPACED}]]+"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case tokens; those of a slot begin with its type's mark. A name is a capitalised word inside a sentence."""
-    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), _NAME + _NUMBER, "")
-    t = F.regexp_replace(t, "(?<=[\\p{Ll},;] )(?=\\p{Lu})", _NAME)
-    t = F.regexp_replace(t, "(?<![\\p{L}\\p{N}])(?=\\p{N})", _NUMBER)
-    return F.regexp_extract_all(F.lower(t), F.lit(_TOKEN), F.lit(0))
+    """Lower-case tokens; those of a slot begin with its type's mark. A name is a run of capitalised words that a small
+    letter, comma or semicolon and a space stand before."""
+    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), _NAME + _NUMBER + _UNIT + _END, "")
+    t = F.regexp_replace(t, f"(?<=[\\p{{Ll}},;] )({_CAPITALS})", f"{_NAME}$1{_END}")
+    t = F.lower(F.regexp_replace(t, "(?<![\\p{L}\\p{N}])(?=\\p{N})", _NUMBER))
+    t = F.regexp_replace(t, f"({_DIGITS}[ \\t-\\r]?)({'|'.join(_SIGNS)}|(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}]))", f"$1{_UNIT}$2")
+    return F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0))
 
 
 def canonical(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(w.startswith(_NAME), _NAME).when(w.startswith(_NUMBER), _NUMBER).otherwise(w))
+    """Tokens with placeholders: a slot's type, which is its first character."""
+    return F.transform(words, lambda w: F.when(_slot(w), F.substring(w, 1, 1)).otherwise(w))
+
+
+def _slot(w: Column) -> Column:
+    return w.startswith(_NAME) | w.startswith(_NUMBER) | w.startswith(_UNIT)
 
 
 def words(text: Column) -> Column:
@@ -51,88 +63,98 @@ def windows(canon: Column, size: int = WINDOW) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(F.slice(canon, i, size)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _literals(window: Column) -> Column:
+    return F.size(F.filter(window, lambda w: ~w.isin(_NAME, _NUMBER, _UNIT)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, literal: int = LITERAL, run: int = RUN, coverage: float = COVERAGE, consistent: float = CONSISTENT, most: int = BROADCAST) -> DataFrame:
     """Pairs (id_col, item_id) of documents that contain an item's passage, with what was matched.
 
-    Items with equal canonical tokens are one; the smallest id stands for them (n_items of them). Items without
-    a window of enough literal tokens (short ones, lists of numbers or names) match where all their words stand in a row;
-    equal words are one item then, and coverage and consistency are 1. Texts without words and null ids match nothing. Whole texts are searched.
-    Repeated rows and ids are one document. Empty tables give an empty result. Other columns aren't read. n_matched
-    counts the item's matched windows, coverage is their share, consistency the share of the item's slot values that
-    stand for one value each (1 without slots). It is that of the windows' first places if these agree, else the greatest
-    over the occurrences of the item in the document and the slot patterns of the items that are one.
+    Items with equal canonical tokens are one; the smallest id stands for them (n_items of them). An occurrence is all
+    matched windows of an item at one offset in a document; it counts if its slots agree: the share of the item's slot
+    values that stand for one value each there (1 without slots), for one of the items that are one, is consistent or
+    more. n_matched counts the item's windows in all occurrences that count, coverage is their share, consistency the
+    greatest of them. Items without a window of enough literal tokens (short ones, lists of numbers or names) match where
+    all their words stand in a row; equal words are one item then, and coverage and consistency are 1.
+
+    Texts without words and null ids match nothing. Whole texts are searched. Rows that repeat an id are one document, of
+    which the row that matches best counts. Empty tables give an empty result. Other columns aren't read.
     """
-    slot = lambda w: w.startswith(_NAME) | w.startswith(_NUMBER)
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("raw"))
     items = items.withColumn("canon", canonical(F.col("raw"))).where(F.size("canon") >= size)
     # a slot pattern has for every slot the place of its value's first one, and 0 for other tokens
-    items = items.withColumn("pattern", F.transform("raw", lambda w: F.when(slot(w), F.array_position("raw", w)).otherwise(F.lit(0)).cast("int")))
-    items = items.groupBy("canon").agg(F.min(F.struct("item", "pattern")).alias("least"), F.collect_set("pattern").alias("all"), F.countDistinct("item").alias("n_items"))
-    items = items.select("least.item", "canon", "n_items", F.array_union(F.array("least.pattern"), "all").alias("patterns"))
+    items = items.withColumn("pattern", F.transform("raw", lambda w: F.when(_slot(w), F.array_position("raw", w)).otherwise(F.lit(0)).cast("int")))
+    items = items.groupBy("canon").agg(F.min("item").alias("item"), F.collect_set("pattern").alias("patterns"), F.countDistinct("item").alias("n_items"))
     placed = items.select("item", "n_items", "patterns", "canon", F.posexplode(windows(F.col("canon"), size)).alias("at", "h"))
-    plain = F.size(F.filter(F.slice("canon", F.col("at") + 1, size), lambda w: ~w.isin(_NAME, _NUMBER))) >= literal
     said = F.transform("patterns", lambda p: F.slice(p, F.col("at") + 1, size))
-    placed = written(placed.where(plain).select("item", "n_items", "at", "h", said.alias("said")), "item-windows")
-    whole = placed.groupBy("item").agg(F.countDistinct("at").alias("n_windows"), F.first("n_items").alias("n_items"))
-    hashes = placed.select("h").distinct()
+    placed = placed.where(_literals(F.slice("canon", F.col("at") + 1, size)) >= literal).select("item", "n_items", "at", "h", said.alias("said"))
+    placed = written(placed, "item-windows")
+    whole = placed.groupBy("item").agg(F.count("*").alias("n_windows"), F.first("n_items").alias("n_items"))
+    whole = written(whole.withColumn("need", F.least(F.lit(run), F.greatest(F.lit(1), F.ceil(F.col("n_windows") * coverage).cast("int")))), "items")
+    hashes = placed.join(whole, "item").groupBy("h").agg(F.min("need").alias("need"))
     if placed.count() <= most:
         hashes = F.broadcast(hashes)
 
-    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text).alias("t"))
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("t"))
     # canon has a projection of its own: windows() refers to it more than once, so Catalyst keeps it evaluated once a row
-    hits = named.select("doc", canonical(tokens(F.col("t"))).alias("canon")).select("doc", F.posexplode(windows(F.col("canon"), size)).alias("pos", "h")).join(hashes, "h")
-    hits = written(hits.select("doc", "h", "pos"), "hits")
-    enough = (F.col("n_matched") >= run) | (F.col("n_matched") / F.col("n_windows") >= coverage)
-    totals = hits.select("doc", "h").distinct().join(placed.select("h", "item", "at"), "h").groupBy("doc", "item").agg(F.countDistinct("at").alias("n_matched")).join(whole, "item")
-    totals = written(totals.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(enough), "totals")
-
-    # occurrences of the items that are left: all places of their windows at one offset, if these are enough; and, for
-    # passages with something put in, every window at its place nearest to the commonest offset, and at its first place
-    slotted = placed.where(F.exists("said", lambda p: F.exists(p, lambda v: v > 0))).select("item").distinct()
-    asked = totals.join(slotted, "item").select("doc", "item", "n_windows")
-    pairs = written(hits.join(placed.select("h", "item", "at"), "h").join(asked, ["doc", "item"]).select("doc", "item", "n_windows", "at", "pos", (F.col("pos") - F.col("at")).alias("offset")).distinct(), "pairs")
-    offsets = written(pairs.groupBy("doc", "item", "n_windows", "offset").agg(F.count("*").alias("n_matched")), "offsets")
-    alone = pairs.join(offsets.where(enough).select("doc", "item", "offset"), ["doc", "item", "offset"]).select("doc", "item", "at", "pos", F.col("offset").cast("string").alias("way"))
-    common = offsets.groupBy("doc", "item").agg(F.max(F.struct("n_matched", (-F.col("offset")).alias("o"))).alias("m")).select("doc", "item", (-F.col("m.o")).alias("common"))
-    joint = written(pairs.join(common, ["doc", "item"]).groupBy("doc", "item", "at").agg(F.min(F.struct(F.abs(F.col("offset") - F.col("common")).alias("far"), "pos")).alias("m"), F.min("pos").alias("first")), "joint")
-    ways = written(alone.unionAll(joint.select("doc", "item", "at", F.col("m.pos").alias("pos"), F.lit("near").alias("way"))).unionAll(joint.select("doc", "item", "at", F.col("first").alias("pos"), F.lit("first").alias("way"))), "ways")
-
-    # slot values on both sides of the matched windows
+    hits = named.select("doc", "row", canonical(tokens(F.col("t"))).alias("canon")).select("doc", "row", F.posexplode(windows(F.col("canon"), size)).alias("pos", "h")).join(hashes, "h")
+    hits = written(hits.select("doc", "row", "h", "pos", "need").distinct(), "hits")
+    # windows meet items only in documents that have as many of them as the least of these items needs
+    able = hits.groupBy("doc", "row").agg(F.countDistinct("h").alias("n"), F.min("need").alias("need")).where("n >= need").select("doc", "row")
+    pairs = hits.join(written(able, "able"), ["doc", "row"]).join(placed.select("h", "item", "at"), "h").select("doc", "row", "item", "at", "pos", (F.col("pos") - F.col("at")).alias("offset"))
+    enough = whole.select("item", "n_windows", "n_items", "need")
+    reach = pairs.groupBy("doc", "row", "item").agg(F.countDistinct("at").alias("n")).join(enough, "item").where("n >= need").select("doc", "row", "item")
+    pairs = written(pairs.join(written(reach, "reach"), ["doc", "row", "item"]).distinct(), "pairs")
+
+    # slot values on both sides of the matched windows, occurrence by occurrence
     ids = pairs.select("doc").distinct()
-    few = (ids.agg(F.sum(F.octet_length(F.col("doc").cast("string")) + 16).alias("n")).first()["n"] or 0) <= ID_BYTES
-    found = named.join(F.broadcast(ids) if few else ids, "doc").select("doc", tokens(F.col("t")).alias("raw"))
-    spoken = found.join(ways.select("doc", "pos").distinct(), "doc").select("doc", "pos", F.slice("raw", F.col("pos") + 1, size).alias("here"))
-    both = ways.join(spoken, ["doc", "pos"]).join(placed.select("item", "at", F.posexplode("said").alias("pattern", "said")), ["item", "at"])
-    both = both.select("doc", "item", "way", "pattern", F.explode(F.arrays_zip("said", "here")).alias("z")).where(F.col("z.said") > 0)
-    both = both.groupBy("doc", "item", "way", "pattern", F.col("z.said").alias("said")).agg((F.min("z.here") == F.max("z.here")).cast("int").alias("one"))
-    agree = both.groupBy("doc", "item", "way", "pattern").agg(F.avg("one").alias("consistency")).groupBy("doc", "item").agg(F.max("consistency").alias("most"), F.max(F.when((F.col("way") == "first") & (F.col("pattern") == 0), F.col("consistency"))).alias("first"))
-    agree = agree.select("doc", "item", F.when(F.col("first") >= consistent, F.col("first")).otherwise(F.col("most")).alias("consistency"))
-    out = totals.join(agree, ["doc", "item"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= consistent)
-    out = out.select("doc", "item", "n_items", "n_matched", "n_windows", "coverage", "consistency")
+    found = _again(named, ids).select("doc", "row", tokens(F.col("t")).alias("raw"))
+    spoken = found.join(pairs.select("doc", "row", "pos").distinct(), ["doc", "row"]).select("doc", "row", "pos", F.slice("raw", F.col("pos") + 1, size).alias("here")).distinct()
+    slotted = placed.where(F.exists("said", lambda p: F.exists(p, lambda v: v > 0))).select("item", "at", F.posexplode("said").alias("pattern", "said"))
+    both = pairs.join(spoken, ["doc", "row", "pos"]).join(slotted, ["item", "at"])
+    both = both.select("doc", "row", "item", "offset", "pattern", F.explode(F.arrays_zip("said", "here")).alias("z")).where("z.said > 0")
+    both = both.groupBy("doc", "row", "item", "offset", "pattern", F.col("z.said").alias("said")).agg((F.min("z.here") == F.max("z.here")).cast("int").alias("one"))
+    agree = both.groupBy("doc", "row", "item", "offset", "pattern").agg(F.avg("one").alias("consistency")).groupBy("doc", "row", "item", "offset").agg(F.max("consistency").alias("consistency"))
+    counted = pairs.join(agree, ["doc", "row", "item", "offset"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= consistent)
+    out = counted.groupBy("doc", "row", "item").agg(F.countDistinct("at").alias("n_matched"), F.max("consistency").alias("consistency"))
+    out = out.groupBy("doc", "item").agg(F.max(F.struct("n_matched", "consistency")).alias("best")).join(enough, "item")
+    out = out.select("doc", "item", "n_items", F.col("best.n_matched").alias("n_matched"), "n_windows", (F.col("best.n_matched") / F.col("n_windows")).alias("coverage"), F.col("best.consistency").alias("consistency"), "need")
+    out = out.where("n_matched >= need").drop("need")
 
     # items without a window of enough literal tokens, by all their words
     rest = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("raw"), words(F.col(item_text)).alias("words"))
     rest = rest.select("item", "words", canonical(F.col("raw")).alias("canon")).where(F.size("words") > 0)
-    literals = F.exists(F.sequence(F.lit(1), F.size("canon") - (size - 1)), lambda i: F.size(F.filter(F.slice("canon", i, size), lambda w: ~w.isin(_NAME, _NUMBER))) >= literal)
+    literals = F.exists(F.sequence(F.lit(1), F.size("canon") - (size - 1)), lambda i: _literals(F.slice("canon", i, size)) >= literal)
     rest = rest.where(~F.when(F.size("canon") >= size, literals).otherwise(False))
     rest = rest.groupBy("words").agg(F.min("item").alias("item"), F.countDistinct("item").alias("n_items")).withColumn("size", F.least(F.size("words"), F.lit(size)))
-    rest = written(rest, "slot-rich-items")
-    for r in sorted(r["size"] for r in rest.select("size").distinct().collect()):
-        out = out.unionAll(_whole(named, rest.where(F.col("size") == r), r, most))
+    rest = written(rest.withColumn("h", F.xxhash64(F.slice("words", 1, F.col("size")))), "slot-rich-items")
+    sizes = sorted(r["size"] for r in rest.select("size").distinct().collect())  # 1 to size
+    if sizes:
+        out = out.unionAll(_whole(named, rest, sizes, most))
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_id), "n_items", "n_matched", "n_windows", "coverage", "consistency")
 
 
-def _whole(named: DataFrame, items: DataFrame, size: int, most: int) -> DataFrame:
-    """Documents and items whose words stand whole and in a row in them: all windows at one offset."""
-    placed = written(items.select("item", "n_items", F.posexplode(windows(F.col("words"), size)).alias("at", "h")), "exact-windows")
-    whole = placed.groupBy("item").agg(F.count("*").alias("n_windows"), F.first("n_items").alias("n_items"))
-    n = placed.count()
-    hashes = placed.select("h").distinct()
-    hits = named.select("doc", words(F.col("t")).alias("words")).select("doc", F.posexplode(windows(F.col("words"), size)).alias("pos", "h")).join(F.broadcast(hashes) if n <= most else hashes, "h").distinct()
-    # repeated ids are one document, so one place may have several windows
-    found = hits.join(placed.select("h", "item", "at"), "h").groupBy("doc", "item", (F.col("pos") - F.col("at")).alias("offset")).agg(F.countDistinct("at").alias("n_matched")).join(whole, "item")
-    found = found.where(F.col("n_matched") == F.col("n_windows")).select("doc", "item", "n_items", "n_matched", "n_windows").distinct()
-    return found.select("*", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("consistency"))
+def _again(named: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of some documents, read again; their ids are broadcast while they are few."""
+    few = (ids.agg(F.sum(F.octet_length(F.col("doc").cast("string")) + 16).alias("n")).first()["n"] or 0) <= ID_BYTES
+    return named.join(F.broadcast(ids) if few else ids, "doc")
+
+
+def _whole(named: DataFrame, items: DataFrame, sizes: list[int], most: int) -> DataFrame:
+    """Documents and items whose words stand whole and in a row in them: their first words are looked up, then all compared."""
+    firsts = items.select("size", "h").distinct()
+    if items.count() <= most:
+        firsts = F.broadcast(firsts)
+    said = named.select("doc", "row", words(F.col("t")).alias("words"))
+
+    def placed(n: int) -> Column:
+        return F.transform(windows(F.col("words"), n), lambda h, i: F.struct(F.lit(n).alias("size"), h.alias("h"), i.alias("pos")))
+
+    starts = F.concat(*map(placed, sizes))
+    hits = written(said.select("doc", "row", F.explode(starts).alias("s")).select("doc", "row", "s.*").join(firsts, ["size", "h"]), "starts")
+    found = _again(named, hits.select("doc").distinct()).select("doc", "row", words(F.col("t")).alias("said")).join(hits, ["doc", "row"]).join(items, ["size", "h"])
+    found = found.where(F.slice("said", F.col("pos") + 1, F.size("words")) == F.col("words")).select("doc", "item", "n_items", (F.size("words") - F.col("size") + 1).cast("bigint").alias("n_matched")).distinct()
+    return found.select("doc", "item", "n_items", "n_matched", F.col("n_matched").alias("n_windows"), F.lit(1.0).alias("coverage"), F.lit(1.0).alias("consistency"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,42 +162,52 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that leak an item go; rows without an id stay."""
-    return docs.join(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents that leak an item go, with all rows that repeat their id; rows without an id stay. Null and
+    empty texts and empty tables leave nothing to remove."""
+    gone = written(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaking")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def _oracle_tokens(text: str) -> str:
-    """tokens() without look-around, which RE2 lacks: a unit that ends where it must gets a mark, which goes afterwards."""
-    marked = f"translate(coalesce({text}, ''), '{_NAME}{_NUMBER}', '')"
-    marked = f"regexp_replace({marked}, '([\\p{{Ll}},;] )(\\p{{Lu}})', '\\1{_NAME}\\2', 'g')"
+    """tokens() without look-around, which RE2 lacks: what must stand before or after is taken along and put back."""
+    marked = f"translate(coalesce({text}, ''), '{_NAME}{_NUMBER}{_UNIT}{_END}', '')"
+    marked = f"regexp_replace({marked}, '([\\p{{Ll}},;] )({_CAPITALS})', '\\1{_NAME}\\2{_END}', 'g')"
     marked = f"lower(regexp_replace({marked}, '(^|[^\\p{{L}}\\p{{N}}])(\\p{{N}})', '\\1{_NUMBER}\\2', 'g'))"
-    number, units = f"{_NUMBER}\\p{{N}}+(?:[.,:]\\p{{N}}+)*", "|".join(UNITS)
-    marked = f"regexp_replace(translate({marked}, '\ue003', ' '), '({number}[ \\t-\\r]?(?:{units}))([^\\p{{L}}\\p{{N}}]|$)', '\\1\ue003\\2', 'g')"
-    token = f"{_NAME}[\\p{{L}}\\p{{M}}]+|{number}(?:[ \\t-\\r]?(?:%|€|\\$|(?:{units})\ue003))?|[\\p{{L}}\\p{{M}}\\p{{N}}]+"
-    return f"list_transform(regexp_extract_all({marked}, '{token}'), lambda w: replace(w, '\ue003', ''))"
+    marked = f"regexp_replace({marked}, '({_DIGITS}[ \\t-\\r]?)({'|'.join(_SIGNS)})', '\\1{_UNIT}\\2', 'g')"
+    marked = f"regexp_replace({marked}, '({_DIGITS}[ \\t-\\r]?)({'|'.join(UNITS)})([^\\p{{L}}\\p{{N}}]|$)', '\\1{_UNIT}\\2\\3', 'g')"
+    return f"regexp_extract_all({marked}, '{_NAME}[^{_END}]*{_END}|{_DIGITS}|{_UNIT}(?:{'|'.join((*_SIGNS, *sorted(UNITS, key=len, reverse=True)))})|[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+
+
+def _oracle_words(text: str) -> str:
+    """words(), with unspaced letters set apart first, as RE2 has no intersections of classes."""
+    unspaced = "[\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Thai}\\p{Lao}\\p{Khmer}\\p{Myanmar}\u30fc]"
+    apart = f"regexp_replace(lower(coalesce({text}, '')), '({unspaced})', ' \\1 ', 'g')"
+    return f"regexp_extract_all({apart}, '{unspaced}|\\p{{N}}+(?:[.,:]\\p{{N}}+)*|[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
 
 
-_SLOT = f"(starts_with(w, '{_NAME}') OR starts_with(w, '{_NUMBER}'))"
+_SLOT = f"(left(w, 1) IN ('{_NAME}', '{_NUMBER}', '{_UNIT}'))"
+_CANON = f"list_transform(raw, lambda w: CASE WHEN {_SLOT} THEN left(w, 1) ELSE w END)"
 ORACLE = f"""
-WITH i0 AS (SELECT item_id, {_oracle_tokens("text")} AS raw FROM benchmark WHERE item_id IS NOT NULL),
-i1 AS (SELECT item_id, raw, list_transform(raw, lambda w: CASE WHEN {_SLOT} THEN w[1] ELSE w END) AS canon FROM i0 WHERE len(raw) >= {WINDOW}),
-items AS (SELECT min(item_id) AS item_id, arg_min(raw, item_id) AS raw, canon, count(DISTINCT item_id) AS n_items FROM i1 GROUP BY canon),
-placed0 AS (SELECT item_id, n_items, raw, canon, unnest(range(len(canon) - {WINDOW - 1})) AS place FROM items),
-placed AS (SELECT item_id, n_items, place, canon[place + 1 : place + {WINDOW}] AS h, raw[place + 1 : place + {WINDOW}] AS said FROM placed0
-           WHERE len(list_filter(canon[place + 1 : place + {WINDOW}], lambda w: NOT {_SLOT})) >= {LITERAL}),
-whole AS (SELECT item_id, count(DISTINCT place) AS n_windows, any_value(n_items) AS n_items FROM placed GROUP BY item_id),
-d0 AS (SELECT doc_id, {_oracle_tokens("text")} AS raw FROM documents WHERE doc_id IS NOT NULL),
-d1 AS (SELECT doc_id, raw, list_transform(raw, lambda w: CASE WHEN {_SLOT} THEN w[1] ELSE w END) AS canon FROM d0 WHERE len(raw) >= {WINDOW}),
-d2 AS (SELECT doc_id, raw, canon, unnest(range(len(canon) - {WINDOW - 1})) AS pos FROM d1),
-hits AS (SELECT doc_id, canon[pos + 1 : pos + {WINDOW}] AS h, min(pos) AS pos, arg_min(raw[pos + 1 : pos + {WINDOW}], pos) AS here
-         FROM d2 SEMI JOIN placed ON canon[pos + 1 : pos + {WINDOW}] = placed.h GROUP BY ALL),
-pairs AS (SELECT doc_id, item_id, place, said, here FROM hits JOIN placed USING (h)),
-totals AS (SELECT doc_id, item_id, n_matched, n_windows, n_items, n_matched / n_windows AS coverage
-           FROM (SELECT doc_id, item_id, count(DISTINCT place) AS n_matched FROM pairs GROUP BY doc_id, item_id) JOIN whole USING (item_id)
-           WHERE n_matched >= {RUN} OR n_matched / n_windows >= {COVERAGE}),
-slots AS (SELECT doc_id, item_id, unnest(said) AS w, unnest(here) AS here FROM pairs SEMI JOIN totals USING (doc_id, item_id)),
-agree AS (SELECT doc_id, item_id, avg(one) AS consistency
-          FROM (SELECT doc_id, item_id, w, CAST(count(DISTINCT here) = 1 AS INT) AS one FROM slots WHERE {_SLOT} GROUP BY doc_id, item_id, w) GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, n_items, n_matched, n_windows, coverage, coalesce(consistency, 1.0) AS consistency
-FROM totals LEFT JOIN agree USING (doc_id, item_id) WHERE coalesce(consistency, 1.0) >= {CONSISTENT}
+WITH i0 AS (SELECT item_id, {_oracle_tokens("text")} AS raw, {_oracle_words("text")} AS words FROM benchmark WHERE item_id IS NOT NULL),
+i1 AS (SELECT item_id, raw, words, {_CANON} AS canon, list_transform(raw, lambda w: CASE WHEN {_SLOT} THEN list_position(raw, w) ELSE 0 END) AS pattern FROM i0),
+i2 AS (SELECT *, list_transform(range(greatest(len(canon) - {WINDOW - 1}, 0)), lambda i: len(list_filter(canon[i + 1 : i + {WINDOW}], lambda w: NOT {_SLOT})) >= {LITERAL}) AS plain FROM i1),
+items AS (SELECT min(item_id) AS item_id, canon, any_value(plain) AS plain, count(DISTINCT item_id) AS n_items, list(DISTINCT pattern) AS patterns FROM i2 WHERE list_contains(plain, true) GROUP BY canon),
+placed AS (SELECT item_id, place, canon[place + 1 : place + {WINDOW}] AS h FROM (SELECT item_id, canon, plain, unnest(range(len(plain))) AS place FROM items) WHERE plain[place + 1]),
+whole AS (SELECT item_id, count(*) AS n_windows FROM placed GROUP BY item_id),
+d0 AS (SELECT row_number() OVER () AS r, doc_id, {_oracle_tokens("text")} AS raw, {_oracle_words("text")} AS words FROM documents WHERE doc_id IS NOT NULL),
+d1 AS (SELECT r, raw, {_CANON} AS canon FROM d0 WHERE len(raw) >= {WINDOW}),
+d2 AS (SELECT r, canon, unnest(range(len(canon) - {WINDOW - 1})) AS pos FROM d1),
+pairs AS (SELECT DISTINCT r, item_id, place, pos - place AS off FROM d2 JOIN placed ON canon[pos + 1 : pos + {WINDOW}] = h),
+covered AS (SELECT DISTINCT r, item_id, off, place + unnest(range({WINDOW})) AS tp FROM pairs),
+patterns AS (SELECT item_id, unnest(patterns) AS pattern FROM items),
+slots AS (SELECT c.r, item_id, off, pattern, pattern[tp + 1] AS said, raw[off + tp + 1] AS here FROM covered c JOIN patterns USING (item_id) JOIN d1 USING (r) WHERE pattern[tp + 1] > 0),
+one AS (SELECT r, item_id, off, pattern, said, CAST(count(DISTINCT here) = 1 AS INT) AS one FROM slots GROUP BY ALL),
+agree AS (SELECT r, item_id, off, max(consistency) AS consistency FROM (SELECT r, item_id, off, pattern, avg(one) AS consistency FROM one GROUP BY ALL) GROUP BY ALL),
+counted AS (SELECT r, item_id, count(DISTINCT place) AS n_matched, max(coalesce(consistency, 1.0)) AS consistency FROM pairs LEFT JOIN agree USING (r, item_id, off) WHERE coalesce(consistency, 1.0) >= {CONSISTENT} GROUP BY ALL),
+best AS (SELECT doc_id, item_id, max(struct_pack(n_matched, consistency)) AS b FROM counted JOIN d0 USING (r) GROUP BY ALL),
+rest AS (SELECT min(item_id) AS item_id, words, count(DISTINCT item_id) AS n_items FROM i2 WHERE len(words) > 0 AND NOT list_contains(plain, true) GROUP BY words)
+SELECT doc_id, item_id, n_items, b.n_matched AS n_matched, n_windows, b.n_matched / n_windows AS coverage, b.consistency AS consistency
+FROM best JOIN whole USING (item_id) JOIN (SELECT item_id, n_items FROM items) USING (item_id) WHERE b.n_matched >= {RUN} OR b.n_matched / n_windows >= {COVERAGE}
+UNION ALL SELECT DISTINCT doc_id, item_id, n_items, n_windows, n_windows, 1.0, 1.0 FROM d0 JOIN (SELECT *, CAST(greatest(len(words) - {WINDOW} + 1, 1) AS BIGINT) AS n_windows FROM rest) i
+ON contains(' ' || array_to_string(d0.words, ' ') || ' ', ' ' || array_to_string(i.words, ' ') || ' ')
 """

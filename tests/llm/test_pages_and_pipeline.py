@@ -170,6 +170,44 @@ def test_leaks(spark):
     assert decontamination.leaks(d, bench, most=0).count() == 3
 
 
+NAMED = "On Monday a train leaves Paris and covers 120 km in 2 hours, then Alice boards it with 3 bags, so how far is it from Paris to Lyon?"
+
+
+def test_leaks_of_other_parameters(spark):
+    """Names of several words, other units, a re-numbered copy before the verbatim one; and values that don't agree."""
+    bench = spark.createDataFrame([(1, NAMED), (2, ITEM)], "item_id bigint, text string")
+    other = NAMED.replace("Alice", "Mary Ann Smith").replace("Paris", "New York").replace("120 km", "75.5 miles").replace("2 hours", "90 minutes")
+    rows = [(1, other), (2, "It said: " + other + " " + NAMED), (3, NAMED.replace("from Paris", "from Berlin").replace("120 km", "7 km")), (4, ITEM.replace("12 birds", "13 birds") + " Then: " + ITEM), (5, ITEM.replace("Bob", "Robert James"))]
+    got = {(r["doc_id"], r["item_id"]): r["consistency"] for r in decontamination.leaks(plain.documents(spark, rows), bench).collect()}
+    assert got.keys() >= {(1, 1), (2, 1), (4, 2), (5, 2)} and got[2, 1] == 1.0 == got[4, 2]
+
+
+def test_planted_recall(spark):
+    """Re-parameterised items in other texts: nine of ten are found at least, and no text without one."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    name, number = (lambda: word().title()), (lambda: str(r.randint(2, 900)))
+    items, rows = [], []
+    for i in range(60):
+        parts = [r.choice(("word", "word", "word", "word", "name", "number")) for _ in range(r.randint(14, 30))]
+        literal = [word() for _ in parts]
+        fill = lambda: " ".join({"word": w, "name": name(), "number": number()}[p] for p, w in zip(parts, literal))  # noqa: B023, E731
+        items.append((i, fill()))
+        rows.append((i, " ".join(word() for _ in range(50)) + " " + fill() + " " + " ".join(word() for _ in range(50))))
+        rows.append((1000 + i, " ".join(word() for _ in range(150))))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(plain.documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len({(i, i) for i in range(60)} & got) >= 54 and all(d == i for d, i in got)
+
+
+def test_hot_windows(spark):
+    """A phrase that many items begin with and every document has: documents with no more of an item are none's."""
+    opening = "answer the question below with one of the options that follow it"
+    items = [(i, f"{opening} {' '.join(f'w{i}x{k}' for k in range(20))}") for i in range(30)]
+    rows = [(d, f"text {d} says {' '.join(opening.split()[:9])} other words z{d}") for d in range(200)] + [(900 + i, items[i][1]) for i in range(3)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(plain.documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(900 + i, i) for i in range(3)}
+
+
 SUMS = "What is the sum of 3 and 4? What is the sum of 5 and 6? Write both results down."
 SEVENS = "take a number and double it once more so that we know 7 is what the whole of this gives 7"
 

@@ -35,9 +35,12 @@ def test_tables(spark, name):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_awkward(spark, tmp_path, name):
     passage = "On Monday the train from Paris covers 120 km in 2 hours and stops 3 times before Lyon, so how many miles is it in all"
-    texts = [*AWKWARD, passage, passage.replace("Paris", "Rome").replace("120", "95.5"), "x " + passage, passage]
+    texts = [*AWKWARD, *(sentence for _, sentence, _ in licences.TEMPLATES), ". ".join(sentence.upper() for _, sentence, _ in licences.TEMPLATES), passage, passage.replace("Paris", "Rome").replace("120", "95.5"), "x " + passage, passage]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, passage), (2, passage.replace("Paris", "Nice")), (3, None), (None, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    short = ["Who wrote Faust?", "7 7 7 7 7 7 7 7 7 7", "東京の首都は何ですか", "?!", "Compute 17 * 23 + 45 * 12 - 88 / 4 + 19", "12% of 40 € and 5 % more"]
+    texts += [passage.replace("Paris", "Mary Ann").replace("2 hours", "30 min"), "say 3 times: " + passage.replace("from Paris", "from Bonn") + ". " + passage, *(f"so, {x} and" for x in short), "質問東京の首都は何ですか答え", "7 7 7 7 7 7 7 7 7"]
+    items = [(1, passage), (2, passage.replace("Paris", "Nice")), (3, None), (None, passage), (4, passage.replace("3 times", "2 times")), *((10 + i, x) for i, x in enumerate(short))]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, f"http://a/{i}", t) for i, t in enumerate(texts)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert held(spark, str(tmp_path), name)
 
