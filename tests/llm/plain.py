@@ -141,3 +141,44 @@ def personal(text):
     kinds = list(rules)
     found = [(m.start(), m.end(), k) for k, (pattern, passes) in rules.items() for m in re.finditer(pattern, text) if passes(m[0])]
     return sorted(found, key=lambda x: (x[0], kinds.index(x[2])))
+
+
+def fewest_bins(lengths, capacity):
+    """The least number of bins, over all subsets: bins that are full, and what the open one holds."""
+    best = [(0, capacity)] + [(len(lengths) + 1, 0)] * ((1 << len(lengths)) - 1)
+    for held in range(1 << len(lengths)):
+        bins, room = best[held]
+        for k, n in enumerate(lengths):
+            if not held >> k & 1:
+                to = held | 1 << k
+                best[to] = min(best[to], (bins, room + n) if room + n <= capacity else (bins + 1, n))
+    return best[-1][0]
+
+
+def language(text, dicts):
+    """(language, size): the dictionary that makes the text's letters smallest, in blocks of 4096 bytes."""
+    import unicodedata
+
+    import zstandard
+
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0
+    is_letter = [c.isalpha() or unicodedata.category(c)[0] == "M" and re.match(r"\w", c) for c in text.lower()]
+    data = re.sub(" +", " ", "".join(c if x else " " for c, x in zip(text.lower(), is_letter))).encode()
+    sizes = []
+    for k, v in sorted(dicts.items()):
+        size = 0
+        for i in range(0, len(data), 4096):
+            d = zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            size += len(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data[i : i + 4096]))
+        sizes.append((size, k))
+    return min(sizes)[::-1]
+
+
+def shingles(text, k=5):
+    words = WORD.findall(lower(text))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
