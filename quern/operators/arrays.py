@@ -46,8 +46,14 @@ def difference(a: Column, lag: int = 1) -> Column:
     return F.when(n <= 0, F.array().cast("array<double>")).otherwise(F.zip_with(F.slice(a, lag + 1, F.greatest(n, F.lit(0))), F.slice(a, 1, F.greatest(n, F.lit(0))), lambda x, y: x - y))
 
 
+def nth_difference(a: Column, order: int, lag: int = 1) -> Column:
+    for _ in range(order):
+        a = difference(a, lag)
+    return a
+
+
 def second_difference(a: Column, lag: int = 1) -> Column:
-    return difference(difference(a, lag), lag)
+    return nth_difference(a, 2, lag)
 
 
 def pairs(a: Column) -> Column:
@@ -59,6 +65,28 @@ def swap(a: Column, i: int, j: int) -> Column:
     return F.transform(a, lambda x, k: F.when(k == i, F.get(a, F.lit(j))).when(k == j, F.get(a, F.lit(i))).otherwise(x))
 
 
+def all_rows_swap(rows: Column, i: int, j: int) -> Column:
+    """Columns i and j of an array of rows, swapped in every row."""
+    return F.transform(rows, lambda r: swap(r, i, j))
+
+
+def map_range(a: Column, f: Callable[[Column, Column], Column], start: int = 0, end: int | None = None) -> Column:
+    """f(entry, position) of a range, backwards if start > end; an error for a range beyond the array."""
+    whole = F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    part = F.reverse(_range(whole, end, start)) if end is not None and start > end else _range(whole, start, end)
+    ends = [start] if end is None else [start, end]
+    outside = F.lit(min(ends) < 0) | (F.size(a) <= max(ends))
+    return F.when(outside, F.raise_error(F.lit("range beyond the array"))).otherwise(F.transform(part, lambda s: f(s["x"], s["i"])))
+
+
+def nested(a: Column, depth: int, only: dict[int, list[int]] | None = None, level: int = 0) -> Column:
+    """Entries of nested arrays, depth levels in all, in order; at a level in only, those at the positions it lists."""
+    some = (only or {}).get(level)
+    if some is not None:
+        a = F.filter(a, lambda _, i: i.isin(*some))
+    return a if level == depth - 1 else F.flatten(F.transform(a, lambda x: nested(x, depth, only, level + 1)))
+
+
 def overlay(a: Column, b: Column, at: int = 0) -> Column:
     return F.transform(a, lambda x, k: F.coalesce(F.get(b, k - at), x))
 

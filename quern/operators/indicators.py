@@ -1,12 +1,11 @@
-"""Share indicators over ordered price rows per ticker. Plain windows where the formula allows, pandas for recurrences."""
+"""Share indicators over ordered price rows per ticker. Plain windows where the formula allows, scans for recurrences."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .scan import scan
 
 
 def sma(x: Column, w: WindowSpec, n: int) -> Column:
@@ -35,46 +34,50 @@ def stochastic(high: Column, low: Column, close: Column, w: WindowSpec, n: int =
     return F.when(F.count(F.lit(1)).over(frame) >= n, k)
 
 
-def smoothed(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
-    """s += alpha (x - s), started by the mean of the first n; NaN before."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        seed = np.concatenate(([x[:n].mean()], x[n:]))
-        out[n - 1 :] = pd.Series(seed).ewm(alpha=alpha, adjust=False).mean()
-    return out
+class Smoothed:
+    """s += alpha (x - s), started by the mean of the first n values; None before."""
 
+    __slots__ = ("alpha", "n", "seen", "value")
 
-def ema(x: np.ndarray, n: int) -> np.ndarray:
-    return smoothed(x, n, 2 / (n + 1))
+    def __init__(self, n: int, alpha: float):
+        self.n, self.alpha, self.seen, self.value = n, alpha, 0, 0.0
 
+    def add(self, x: float) -> float | None:
+        self.seen += 1
+        if self.seen > self.n:
+            self.value += self.alpha * (x - self.value)
+        else:
+            self.value += x / self.n
+        return self.value if self.seen >= self.n else None
 
-def rsi(close: np.ndarray, n: int = 14) -> np.ndarray:
-    """Wilder's relative strength; a loss of 0 counts as a strength of 100."""
-    out = np.full(len(close), np.nan)
-    if len(close) > n:
-        move = np.diff(close)
-        gain, loss = smoothed(np.maximum(move, 0), n, 1 / n)[n - 1 :], smoothed(np.maximum(-move, 0), n, 1 / n)[n - 1 :]
-        strength = np.divide(gain, loss, out=np.full(len(gain), 100.0), where=loss != 0)
-        out[n:] = 100 - 100 / (1 + strength)
-    return out
+
+def ema(n: int) -> Smoothed:
+    return Smoothed(n, 2 / (n + 1))
 
 
-def macd(close: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    line = ema(close, fast) - ema(close, slow)
-    out = np.full(len(close), np.nan)
-    known = ~np.isnan(line)
-    out[known] = ema(line[known], signal)
-    return line, out, line - out
+class Indicators:
+    """Relative strength, convergence with its signal and histogram, and average true range, a row at a time."""
 
+    def __init__(self, n: int = 14, fast: int = 12, slow: int = 26, signal: int = 9):
+        self.before: float | None = None
+        self.gain, self.loss, self.range = (Smoothed(n, 1 / n) for _ in range(3))
+        self.fast, self.slow, self.signal = ema(fast), ema(slow), ema(signal)
 
-def atr(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> np.ndarray:
-    """Average true range, Wilder's smoothing. The first row's range is high - low."""
-    if not len(close):
-        return np.zeros(0)
-    before = np.concatenate(([close[0]], close[:-1]))
-    true = np.maximum(high - low, np.maximum(abs(high - before), abs(low - before)))
-    true[0] = high[0] - low[0]
-    return smoothed(true, n, 1 / n)
+    def add(self, high: float, low: float, close: float) -> tuple:
+        """rsi (a loss of 0 counts as a strength of 100), macd, its signal, their difference, atr."""
+        strength = None
+        true = high - low
+        if self.before is not None:
+            move = close - self.before
+            gain, loss = self.gain.add(max(move, 0.0)), self.loss.add(max(-move, 0.0))
+            if gain is not None:
+                strength = 100 - 100 / (1 + (gain / loss if loss else 100.0))
+            true = max(true, abs(high - self.before), abs(low - self.before))
+        self.before = close
+        fast, slow = self.fast.add(close), self.slow.add(close)
+        line = fast - slow if slow is not None and fast is not None else None
+        signal = self.signal.add(line) if line is not None else None
+        return strength, line, signal, line - signal if signal is not None else None, self.range.add(true)
 
 
 def with_indicators(df: DataFrame, ticker: str = "ticker", date: str = "date", high: str = "high", low: str = "low", close: str = "close", volume: str = "volume", text: bool = False) -> DataFrame:
@@ -84,21 +87,10 @@ def with_indicators(df: DataFrame, ticker: str = "ticker", date: str = "date", h
     upper, middle, lower = bollinger(c, w)
     out = df.withColumns({"sma50": sma(c, w, 50), "sma200": sma(c, w, 200), "bbUpper": upper, "bbMiddle": middle, "bbLower": lower, "__signed": obv(c, v, w), "stochK": stochastic(F.col(high).cast("double"), F.col(low).cast("double"), c, w)})
     frame = w.rowsBetween(-2, 0)
-    out = out.withColumns({"obv": F.sum("__signed").over(w.rowsBetween(Window.unboundedPreceding, 0)), "stochD": F.when(F.count("stochK").over(frame) >= 3, F.avg("stochK").over(frame))}).drop("__signed")
+    out = out.withColumns({"obv": F.sum("__signed").over(w.rowsBetween(Window.unboundedPreceding, 0)), "stochD": F.when(F.count("stochK").over(w.rowsBetween(-2, 0)) >= 3, F.avg("stochK").over(w.rowsBetween(-2, 0)))}).drop("__signed")
     names = ("rsi", "macd", "macdSignal", "macdHist", "atr")
-    schema = T.StructType([*out.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(date, kind="stable").reset_index(drop=True)
-        h, l, x = (t[k].to_numpy(float) for k in (high, low, close))  # noqa: E741
-        t["rsi"] = rsi(x)
-        t["macd"], t["macdSignal"], t["macdHist"] = macd(x)
-        t["atr"] = atr(h, l, x)
-        return t
-
-    out = out.groupBy(ticker).applyInPandas(run, schema)
-    out = out.withColumns({n: F.nanvl(F.col(n), F.lit(None).cast("double")) for n in names})
+    out = scan(out, [ticker], [date], [high, low, close], Indicators, Indicators.add, list(names))
     if text:
         places = dict.fromkeys(("rsi", "stochK", "stochD"), 2) | {"obv": 0}
-        out = out.withColumns({n: F.format_string(f"%.{places.get(n, 4)}f", F.col(n)) for n in ("sma50", "sma200", "bbUpper", "bbMiddle", "bbLower", "obv", "stochK", "stochD", *names)})
+        out = out.withColumns({n: F.when(F.col(n).isNotNull(), F.format_string(f"%.{places.get(n, 4)}f", F.col(n))) for n in ("sma50", "sma200", "bbUpper", "bbMiddle", "bbLower", "obv", "stochK", "stochD", *names)})
     return out

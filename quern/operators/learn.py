@@ -1,4 +1,4 @@
-"""Classifier, text metrics, decisions and graphs."""
+"""Classifier, edit distance, graphs and game trees."""
 
 from __future__ import annotations
 
@@ -11,14 +11,23 @@ from pyspark.sql import functions as F
 
 
 def fit(df: DataFrame, features: list[str], label: str, iterations: int = 2000, l2: float = 0.0, tol: float = 1e-7, intercept: bool = True, threshold: float = 0.5):
-    from pyspark.ml import Pipeline
+    from pyspark import StorageLevel
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
+    df = df.select(*dict.fromkeys([*features, label]))
     if df.limit(1).count() == 0:
         raise ValueError("X must be non-empty")
+    if df.where(reduce(lambda a, b: a | b, (F.col(c).isNull() for c in [*features, label]))).limit(1).count():
+        raise ValueError("X and y must have the same number of values")
+    assembled = VectorAssembler(inputCols=features, outputCol="__x")
     lr = LogisticRegression(featuresCol="__x", labelCol=label, maxIter=iterations, regParam=l2, tol=tol, fitIntercept=intercept, threshold=threshold)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), lr]).fit(df)
+    rows = assembled.transform(df).select("__x", label).persist(StorageLevel.DISK_ONLY)  # each iteration reads them
+    try:
+        return PipelineModel([assembled, lr.fit(rows)])
+    finally:
+        rows.unpersist()
 
 
 def predict(model, df: DataFrame) -> DataFrame:
@@ -31,70 +40,7 @@ def predict(model, df: DataFrame) -> DataFrame:
     return out.withColumns({"label_pred": F.col("prediction").cast("int"), "proba": vector_to_array("probability")[1], "decision": vector_to_array("rawPrediction")[1]}).drop("__x", "prediction", "probability", "rawPrediction")
 
 
-# --- text metrics and decisions
-
-
-def signals(text: Column, keywords: list[str] = ()) -> dict[str, Column]:
-    """Measures of a request's text."""
-    t = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    lower = F.lower(t)
-    return {
-        "length": F.length(t), "word_count": n, "sentence_count": F.size(F.filter(F.split(t, r"[.!?]+"), lambda s: F.trim(s) != "")), "has_question": t.contains("?"), "has_exclamation": t.contains("!"),
-        "has_numbers": t.rlike(r"\d"), "has_keywords": reduce(lambda a, b: a | b, (lower.contains(k.lower()) for k in keywords), F.lit(False)),
-        "capital_ratio": F.coalesce(F.try_divide(F.regexp_count(t, F.lit("[A-Z]")), F.length(t)), F.lit(0.0)), "complexity": F.coalesce(F.try_divide(F.size(F.filter(words, lambda w: F.length(w) > 6)), n), F.lit(0.0)), "estimated_cost": F.ceil(F.length(t) / 4) * 1.0,
-    }
-
-
-ACTIONS = ("answer", "clarify", "retrieve", "escalate")
-
-
-def decide(rules: list[tuple[Column, str, str]], default: tuple[str, str]) -> Column:
-    """struct(action, reason) of the first rule that holds."""
-    chosen = [F.struct(F.lit(a).alias("action"), F.lit(r).alias("reason")) for _, a, r in rules]
-    out = F.when(rules[0][0], chosen[0])
-    for (condition, _, _), s in zip(rules[1:], chosen[1:]):
-        out = out.when(condition, s)
-    return out.otherwise(F.struct(F.lit(default[0]).alias("action"), F.lit(default[1]).alias("reason")))
-
-
-def default_rules(s: dict[str, Column], longest: int = 500, sentences: int = 3, complexity: float = 0.5, words: int = 10) -> Column:
-    """The six rules over signals(), in order; the last is the default."""
-    return decide(
-        [
-            (s["length"] > longest, "clarify", "too long"),
-            (s["has_keywords"], "retrieve", "keywords"),
-            ((s["sentence_count"] > sentences) | (s["complexity"] > complexity), "clarify", "complex"),
-            (~s["has_question"] & s["has_exclamation"], "escalate", "urgent"),
-            (s["has_numbers"] & (s["word_count"] < words), "retrieve", "data"),
-        ],
-        ("answer", "default"),
-    )
-
-
-def posteriors(priors: dict[str, float], evidence: list[tuple[Column, dict[str, float]]]) -> Column:
-    """map action -> probability: priors times the factors of the evidence that holds, normalised."""
-    score = {a: reduce(lambda x, e: x * F.when(e[0], e[1].get(a, 1.0)).otherwise(1.0), evidence, F.lit(float(p))) for a, p in priors.items()}
-    total = reduce(lambda a, b: a + b, score.values())
-    return F.create_map(*(x for a, c in score.items() for x in (F.lit(a), c / total)))
-
-
-def q_update(q: Column, reward: Column, best_next: Column, alpha: float = 0.1, gamma: float = 0.9) -> Column:
-    return q + alpha * (reward + gamma * best_next - q)
-
-
-def update_beliefs(df: DataFrame, key: str, order: str, action: str, complexity: str) -> DataFrame:
-    """Per key, in order: the weight of the row's action after x1.1 for each repeat of the one before and x0.95 for each
-    move of complexity by over 0.3; a running product as a sum of logarithms."""
-    w = Window.partitionBy(key).orderBy(order)
-    same = F.when(F.col(action) == F.lag(action).over(w), F.log(F.lit(1.1))).otherwise(0.0)
-    moved = F.when(F.abs(F.col(complexity) - F.lag(complexity).over(w)) > 0.3, F.log(F.lit(0.95))).otherwise(0.0)
-    return df.withColumn("__step", same + moved).withColumn("belief", F.exp(F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("__step")
-
-
-def latest(df: DataFrame, order: str, n: int = 100) -> DataFrame:
-    return df.orderBy(F.col(order).desc()).limit(n)
+# --- texts
 
 
 def edit_distance(a: Column, b: Column) -> Column:
@@ -117,6 +63,27 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return count(nodes, "node").unionAll(count(edges, "edge"))
 
 
+def add_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges with new ones; an error for an end that is no node."""
+    ends = new.select(F.col("src").alias("id")).unionAll(new.select(F.col("dst").alias("id"))).distinct()
+    missing = ends.join(nodes.select("id"), "id", "left_anti").first()
+    if missing is not None:
+        raise ValueError(f'Vertex "{missing["id"]}" not found')
+    return edges.unionByName(new, allowMissingColumns=True)
+
+
+def nodes_of(nodes: DataFrame, type: str | None = None, where: Column | None = None) -> DataFrame:  # noqa: A002
+    """Nodes of a type, that a predicate holds for."""
+    nodes = nodes if type is None else nodes.where(F.col("type") == type)
+    return nodes if where is None else nodes.where(where)
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A line of JSON (kind, json) for each node and edge."""
+    line = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns)).alias("json"))
+    return line(nodes, "node").unionAll(line(edges, "edge"))
+
+
 def edges_of(edges: DataFrame, node, out: bool = True) -> DataFrame:
     return edges.where(F.col("src" if out else "dst") == node)
 

@@ -24,6 +24,20 @@ def from_arrays(df: DataFrame, row: str, values: str) -> DataFrame:
     return df.select(F.col(row).cast("int").alias("i"), F.posexplode(values).alias("j", "v"))
 
 
+def create(spark: SparkSession, rows: int, columns: int, value: float = 0.0) -> DataFrame:
+    i = spark.range(rows).select(F.col("id").cast("int").alias("i"))
+    return i.select("i", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"), F.lit(float(value)).alias("v"))
+
+
+def vector(n: int, value: float = 0.0) -> Column:
+    return F.array_repeat(F.lit(float(value)), n)
+
+
+def to_text(m: DataFrame, places: int = 6) -> DataFrame:
+    """One line (i, line) per matrix row, for people."""
+    return to_rows(m).select("i", F.array_join(F.transform("row", lambda v: F.format_string(f"%.{places}f", v)), " ").alias("line"))
+
+
 def to_rows(m: DataFrame) -> DataFrame:
     """One row (i, row) per matrix row."""
     cells = F.array_sort(F.collect_list(F.struct("j", "v")))
@@ -90,6 +104,41 @@ def set_row(m, r, f):
     return mapped(m, lambda v, i, j: F.when(i == r, f(v, j)).otherwise(v))
 
 
+def fill(m, x, start, end, columns):
+    """x in the cells whose flat position is from start to end."""
+    return mapped(m, lambda v, i, j: F.when((i * columns + j).between(start, end), F.lit(float(x))).otherwise(v))
+
+
+def index(i: Column, j: Column, columns: int) -> Column:
+    """A cell's flat position."""
+    return i * columns + j
+
+
+def get(m, r, c):
+    return m.where((F.col("i") == r) & (F.col("j") == c)).select("v")
+
+
+def row(m, r):
+    """A row as a vector (row)."""
+    return to_rows(m.where(F.col("i") == r)).select("row")
+
+
+def row_cells(m, r):
+    return m.where(F.col("i") == r).select("j", "v")
+
+
+def column_cells(m, c):
+    return m.where(F.col("j") == c).select("i", "v")
+
+
+def reduced(m, f: Callable[[Column, Column], Column], initial: float, r: int | None = None):
+    """f(sum so far, cell) folded over all cells, or a row's, in order of rows and columns."""
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", "v")))
+    m = m if r is None else m.where(F.col("i") == r)
+    rows = m.groupBy("i").agg(cells.alias("cells")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "cells"))), lambda s: s["cells"])).alias("cells"))
+    return rows.select(F.aggregate("cells", F.lit(float(initial)), lambda s, x: f(s, x["v"])).alias("value"))
+
+
 def swap_rows(m, a, b):
     return m.select(F.when(F.col("i") == a, b).when(F.col("i") == b, a).otherwise(F.col("i")).alias("i"), "j", "v")
 
@@ -186,6 +235,11 @@ def is_symmetric(m, places=6):
     return pairs.agg(F.bool_and(F.col("v") <= 10.0**-places).alias("value"))
 
 
+def nearly(x: Column, y: Column, places: int = 6) -> Column:
+    """Whether two values are equal to so many places of their ratio."""
+    return (x == y) | F.coalesce(F.round(F.try_divide(y, x), places) == 1, F.lit(False))
+
+
 def equals_nearly(a, b, places=6):
     cells = a.join(b.withColumnRenamed("v", "w"), ["i", "j"], "full")
     return cells.agg(F.coalesce(F.bool_and(F.coalesce(F.abs(F.col("v") - F.col("w")) <= 10.0**-places * F.greatest(F.lit(1.0), F.abs(F.col("v"))), F.lit(False))), F.lit(True)).alias("value"))
@@ -199,12 +253,12 @@ def vandermonde(spark: SparkSession, xs: list[float], columns: int) -> DataFrame
 # --- dense
 
 
-def dense(m: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """f of the whole matrix in one task; a scalar result is the cell (0, 0). At most DENSE cells."""
+def dense(m: DataFrame, f: Callable[[np.ndarray], np.ndarray], most: int = DENSE) -> DataFrame:
+    """f of the whole matrix in one task; a scalar result is the cell (0, 0). At most most cells, counted before they move."""
+    if (n := m.count()) > most:
+        raise ValueError(f"matrix of {n} cells is too large for a dense operation")
 
     def run(t):
-        if len(t) > DENSE:
-            raise ValueError("matrix too large for a dense operation")
         a = np.zeros((int(t["i"].max()) + 1, int(t["j"].max()) + 1))
         a[t["i"], t["j"]] = t["v"]
         out = np.atleast_2d(np.asarray(f(a), float))
@@ -264,9 +318,44 @@ def echelon(a: np.ndarray, reduced: bool = True, least: float = 1e-9) -> np.ndar
     return a
 
 
+def forward_elimination(a: np.ndarray, least: float = 1e-12) -> np.ndarray:
+    """The augmented matrix [A | b] with zeros below A's diagonal, by partial pivoting; an error for a singular one."""
+    a = a.astype(float).copy()
+    for c in range(len(a)):
+        p = c + int(np.abs(a[c:, c]).argmax())
+        if abs(a[p, c]) <= least:
+            raise ValueError("matrix is singular")
+        a[[c, p]] = a[[p, c]]
+        a[c + 1 :] -= np.outer(a[c + 1 :, c] / a[c, c], a[c])
+    return a
+
+
+def backward_substitution(a: np.ndarray) -> np.ndarray:
+    """The solution of an upper-triangular augmented matrix, as a row."""
+    n = len(a)
+    x = np.zeros(n)
+    for r in range(n - 1, -1, -1):
+        x[r] = (a[r, n] - a[r, r + 1 : n] @ x[r + 1 :]) / a[r, r]
+    return x
+
+
 def solve(a: np.ndarray) -> np.ndarray:
-    """The solution of the augmented matrix [A | b], as a row."""
-    return np.linalg.solve(a[:, :-1], a[:, -1])
+    """The solution of the augmented matrix [A | b], as a row: elimination, then substitution."""
+    return backward_substitution(forward_elimination(a))
+
+
+def determinant_by_echelon(a: np.ndarray) -> float:
+    """The product of the pivots, negated for every swap."""
+    a, out = _square(a).astype(float).copy(), 1.0
+    for c in range(len(a)):
+        p = c + int(np.abs(a[c:, c]).argmax())
+        if a[p, c] == 0:
+            return 0.0
+        if p != c:
+            a[[c, p]], out = a[[p, c]], -out
+        out *= a[c, c]
+        a[c + 1 :] -= np.outer(a[c + 1 :, c] / a[c, c], a[c])
+    return float(out)
 
 
 def rank(a: np.ndarray) -> int:
@@ -289,25 +378,39 @@ def lu(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gramian(df: DataFrame, columns: list[str], centred: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
-    """X'X (of deviations from the mean if centred), the means and the rows: one pass, columns^2 sums to the driver."""
+    """X'X (of deviations from the mean if centred), the means and the rows; columns^2 sums to the driver. Deviations are
+    summed in a second pass, so that large means cost no digits."""
     k = len(columns)
-    sums = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(columns) for b in columns[i:]]
-    r = df.agg(F.count(F.lit(1)), *(F.avg(c) for c in columns), *sums).first()
-    n, mean = r[0], np.array(r[1 : k + 1], float)
+    n, *mean = df.agg(F.count(F.lit(1)), *(F.avg(c) for c in columns)).first()
+    mean = np.array([m or 0.0 for m in mean], float)
+    x = [F.col(c) - F.lit(float(m)) if centred else F.col(c) for c, m in zip(columns, mean)]
+    r = df.agg(*(F.sum(a * b) for i, a in enumerate(x) for b in x[i:])).first()
     g = np.zeros((k, k))
-    g[np.triu_indices(k)] = r[k + 1 :]
-    g = g + np.triu(g, 1).T
-    return (g - n * np.outer(mean, mean) if centred else g), mean, n
+    g[np.triu_indices(k)] = [v or 0.0 for v in r]
+    return g + np.triu(g, 1).T, mean, n
+
+
+def deviations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns less their means."""
+    mean = df.agg(*(F.avg(c).alias(f"__m{i}") for i, c in enumerate(columns)))
+    return df.crossJoin(F.broadcast(mean)).withColumns({c: F.col(c) - F.col(f"__m{i}") for i, c in enumerate(columns)}).drop(*(f"__m{i}" for i in range(len(columns))))
 
 
-def principal_components(df: DataFrame, columns: list[str]) -> list[dict]:
-    """Eigenvalue (of the sample covariance), vector and explained share, largest first; a vector's largest entry is positive."""
+def covariances(df: DataFrame, columns: list[str], less: int = 1) -> np.ndarray:
+    """Deviation scores over the rows less so many: 1 for a sample, 0 for all there is."""
     g, _, n = gramian(df, columns)
-    values, vectors = np.linalg.eigh(g / max(n - 1, 1))
+    return g / max(n - less, 1)
+
+
+def principal_components(df: DataFrame, columns: list[str], top: int | None = None, places: int | None = None) -> list[dict]:
+    """Eigenvalue (of the sample covariance), vector and explained share, largest first, the top ones if asked; a vector's
+    largest entry is positive. Values have so many places if asked."""
+    values, vectors = np.linalg.eigh(covariances(df, columns))
     out = []
-    for k in np.argsort(-values):
+    shown = (lambda x: float(x)) if places is None else (lambda x: round(float(x), places))
+    for k in np.argsort(-values)[:top]:
         v = vectors[:, k] * np.sign(vectors[np.abs(vectors[:, k]).argmax(), k])
-        out.append({"eigenvalue": float(values[k]), "vector": v.tolist(), "explained": float(values[k] / values.sum())})
+        out.append({"eigenvalue": shown(values[k]), "vector": [shown(x) for x in v], "explained": shown(values[k] / values.sum())})
     return out
 
 
@@ -320,12 +423,49 @@ def project(df: DataFrame, columns: list[str], components: list[dict]) -> DataFr
     return out.drop(*(f"__m{i}" for i in range(len(columns))))
 
 
+def _factor(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """R of X = QR: every task reduces its rows to columns^2 numbers, which reach the driver. Small singular values keep all
+    their digits, which X'X halves."""
+    k = len(columns)
+
+    def part(batches):
+        r = np.zeros((0, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            r = np.linalg.qr(np.vstack((r, x)), mode="r")
+        i, j = np.indices(r.shape)
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(r.ravel(), pa.float64())], ["i", "j", "v"])
+
+    def merge(t):
+        import pandas as pd
+
+        r = np.linalg.qr(t.pivot(index=["p", "i"], columns="j", values="v").to_numpy(), mode="r")
+        i, j = np.indices(r.shape)
+        return pd.DataFrame({"g": t["g"].iloc[0], "i": i.ravel(), "j": j.ravel(), "v": r.ravel()})
+
+    parts = df.select(*(F.col(c).cast("double") for c in columns)).na.drop().mapInArrow(part, "i int, j int, v double").select(F.spark_partition_id().alias("p"), (F.spark_partition_id() % 64).alias("g"), "i", "j", "v")
+    rows = parts.groupBy("g").applyInPandas(merge, "g int, i int, j int, v double").collect()
+    held: dict[tuple, np.ndarray] = {}
+    for x in rows:
+        held.setdefault((x["g"], x["i"]), np.zeros(k))[x["j"]] = x["v"]
+    return np.linalg.qr(np.vstack([held[p] for p in sorted(held)] or [np.zeros((1, k))]), mode="r")
+
+
 def singular_values(df: DataFrame, columns: list[str]) -> tuple[list[float], list[list[float]]]:
-    """Singular values, largest first, and the right singular vectors as rows."""
-    g, _, _ = gramian(df, columns, centred=False)
-    values, vectors = np.linalg.eigh(g)
-    order = np.argsort(-values)
-    return np.sqrt(np.maximum(values[order], 0)).tolist(), vectors[:, order].T.tolist()
+    """Singular values, largest first, and the right singular vectors as rows; a vector's largest entry is positive."""
+    _, values, vectors = np.linalg.svd(_factor(df, columns))
+    signs = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(1)])
+    return values.tolist(), (vectors * signs[:, None]).tolist()
+
+
+def singular_value_decomposition(df: DataFrame, columns: list[str], least: float = 1e-12) -> tuple[DataFrame, list[float], list[list[float]]]:
+    """(df with u0, u1, ..., the orthonormal columns; singular values; right singular vectors as rows): X = U S V."""
+    values, vectors = singular_values(df, columns)
+    scale_ = max(values, default=0.0) * least
+    u = {f"u{k}": sum((F.col(c) * w for c, w in zip(columns, v)), F.lit(0.0)) / s if s > scale_ else F.lit(0.0) for k, (s, v) in enumerate(zip(values, vectors))}
+    return df.withColumns(u), values, vectors
 
 
 def reconstruct(df: DataFrame, columns: list[str], components: list[dict], means: list[float]) -> DataFrame:

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .scan import scan
+
 # --- aggregates
 
 
@@ -144,35 +147,65 @@ def weighted_average(x: Column, w: WindowSpec, n: int) -> Column:
 
 
 def exponential_average(df: DataFrame, x: str, by: list[str], order: list[str], factor: float, out: str = "ema") -> DataFrame:
-    """s = factor * x + (1 - factor) * s per group, from the first value on; groups run on their own."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    """s = factor * x + (1 - factor) * s per key, from the first value on; a null leaves it as it was."""
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(list(order), kind="stable")
-        t[out] = t[x].astype(float).ewm(alpha=factor, adjust=False).mean()
-        return t
+    def step(state: list, v: float | None) -> tuple:
+        if v is not None:
+            state[0] = v if state[0] is None else factor * v + (1 - factor) * state[0]
+        return (state[0],)
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return scan(df, by, order, [x], lambda: [None], step, [out])
 
 
 # --- points
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of arrays; NaN for empty ones; an error for different lengths."""
+def distance(a: Column, b: Column, columns: list[int] | None = None) -> Column:
+    """Euclidean distance of arrays, of some positions only if given (0 of none); NaN for empty ones; an error for different
+    lengths."""
+    if columns is not None:
+        return F.sqrt(reduce(lambda s, i: s + (F.get(a, F.lit(i)) - F.get(b, F.lit(i))) * (F.get(a, F.lit(i)) - F.get(b, F.lit(i))), columns, F.lit(0.0)))
     squares = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("points have different lengths"))).when(F.size(a) == 0, F.lit(float("nan"))).otherwise(F.sqrt(squares))
 
 
-def distances(points: DataFrame, id_col: str, point: str, extreme: str | None = None) -> DataFrame:
-    """Distances of all pairs (i < j), or those tying for the min or max. The number of pairs is the result's own size."""
+def distances(points: DataFrame, id_col: str, point: str, extreme: str | None = None, columns: list[int] | None = None) -> DataFrame:
+    """Distances of all pairs (i < j), or those tying for the min or max, with their points. The number of pairs is the
+    result's own size; for an extreme every task keeps only its own ties, so pairs are made once and never collected."""
     a = points.select(F.col(id_col).alias("i"), F.col(point).cast("array<double>").alias("p"))
     b = points.select(F.col(id_col).alias("j"), F.col(point).cast("array<double>").alias("q"))
-    d = a.join(b, F.col("i") < F.col("j")).select("i", "j", distance(F.col("p"), F.col("q")).alias("distance"))
-    if extreme:
-        best = d.agg((F.min if extreme == "min" else F.max)("distance").alias("best"))
-        d = d.join(F.broadcast(best), F.col("distance") == F.col("best")).drop("best")
-    return d
+    d = a.join(b, F.col("i") < F.col("j")).select("i", "j", distance(F.col("p"), F.col("q"), columns).alias("distance"), "p", "q")
+    if not extreme:
+        return d.select("i", "j", "distance")
+    better = min if extreme == "min" else max
+
+    def ties(batches):
+        best, held = None, []
+        for batch in batches:
+            values = [v for v in batch.column("distance").to_pylist() if v is not None and v == v]
+            if not values:
+                continue
+            here = better(values)
+            if best is None or (here != best and better(here, best) == here):
+                best, held = here, []
+            if here == best:
+                held.append(batch.filter(pc.equal(batch.column("distance"), best)))
+        yield from held
+
+    return d.mapInArrow(ties, d.schema).repartition(1).mapInArrow(ties, d.schema)
+
+
+def farthest(v: Column) -> Column:
+    """The largest entry of an array of arrays."""
+    return F.array_max(F.flatten(v))
+
+
+def pearson_results(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A row a pair of columns: i, j, r, the points that both have, and their sums, from which r can be carried on."""
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
+    made = []
+    for a, b in pairs:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+        made.append(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), pearson(F.col(a), F.col(b)).alias("r"), F.count(x).alias("n"), F.sum(x).alias("sum_i"), F.sum(y).alias("sum_j"), F.sum(x * y).alias("sum_ij")).alias(f"{a}~{b}"))
+    return df.agg(*made).select(F.inline(F.array(*(F.col(f"`{a}~{b}`") for a, b in pairs))))

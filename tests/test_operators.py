@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.operators import arrays, indicators, learn, matrix
+from quern.operators import arrays, decisions, indicators, learn, matrix
 from quern.operators import statistics as st
+from quern.operators.scan import scan
 from quern.sources.typed import TypedStore
 
 
@@ -97,13 +98,49 @@ def test_components(spark):
     assert "pc2" in matrix.project(df, ["a", "b", "c"], pc).columns
 
 
-def test_indicators():
-    up = np.arange(1.0, 40.0)
-    assert np.isnan(indicators.ema(up, 3)[:2]).all() and indicators.ema(up, 3)[2:5].tolist() == [2, 3, 4]
-    assert indicators.rsi(up)[14] == pytest.approx(100 - 100 / 101) and np.isnan(indicators.rsi(up)[13])
-    line, signal, hist = indicators.macd(up)
-    assert line[30] == pytest.approx(7) and signal[-1] == pytest.approx(7) and hist[-1] == pytest.approx(0)
-    assert indicators.atr(up + 1, up - 1, up)[-1] == pytest.approx(2)
+def test_indicators(spark):
+    up = [float(x) for x in range(1, 40)]
+    ema = indicators.ema(3)
+    assert [ema.add(x) for x in up[:5]] == [None, None, 2, 3, 4]
+    one = indicators.Indicators()
+    rows = [one.add(x + 1, x - 1, x) for x in up]
+    assert rows[13][0] is None and rows[14][0] == pytest.approx(100 - 100 / 101) and rows[30][1] == pytest.approx(7) and rows[-1][2:] == pytest.approx((7, 0, 2))
+    df = spark.createDataFrame([(t, k, x + 1, x - 1, x, 1.0) for t in "ab" for k, x in enumerate(up)], "ticker string, date int, high double, low double, close double, volume double")
+    got = {(r["ticker"], r["date"]): r for r in indicators.with_indicators(df.repartition(5), text=True).collect()}
+    assert got["a", 14]["rsi"] == got["b", 14]["rsi"] == "99.01" and got["a", 38]["atr"] == "2.0000" and got["b", 38]["obv"] == "38" and got["a", 48 - 38]["sma50"] is None
+
+
+def test_scan_over_batches(spark):
+    """A key's state goes on over batches, and starts anew with the next key."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        df = spark.createDataFrame([(k, i, float(i) if i != 4 else None) for k in "xyz" for i in range(10)], "k string, i int, v double").repartition(4)
+        got = {(r["k"], r["i"]): r["s"] for r in scan(df, ["k"], ["i"], ["v"], lambda: [0.0], lambda s, v: (s.__setitem__(0, s[0] + (v or 0.0)), s[0])[1:], ["s"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(got[k, i] == sum(range(i + 1)) - (4 if i >= 4 else 0) for k in "xyz" for i in range(10))
+    assert scan(df.limit(0), ["k"], ["i"], ["v"], list, lambda s, v: (v,), ["s"]).collect() == []
+
+
+# The decomposition of a known matrix.
+U = [[-0.3913289321676804, 0.3487948014410755, 0.10448989927485411], [-0.4639397307294648, -0.34948424610207607, 0.7962721013609022], [-0.6197155556759748, -0.5188940242462491, -0.5888137410546312], [-0.4975683100363125, 0.6978194177691509, -0.0912742016622088]]
+S = [223.85445199527607, 13.695880509722402, 17.366841363876695]
+
+
+def test_decomposition(spark):
+    df = spark.createDataFrame([(0, 40.0, 50.0, 60.0), (1, 50.0, 70.0, 60.0), (2, 80.0, 70.0, 90.0), (3, 50.0, 60.0, 80.0)], "k int, a double, b double, c double").repartition(3)
+    u, s, v = matrix.singular_value_decomposition(df, ["a", "b", "c"])
+    order = np.argsort(S)[::-1]
+    assert s == pytest.approx([S[k] for k in order])
+    got = np.array([[r[f"u{k}"] for k in range(3)] for r in u.orderBy("k").collect()])
+    assert np.abs(got) == pytest.approx(np.abs(np.array(U)[:, order])) and got * s @ np.array(v) == pytest.approx(np.array([[40, 50, 60], [50, 70, 60], [80, 70, 90], [50, 60, 80]]))
+
+
+def test_distances_of_columns(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0, 9.0]), (1, [2.0, 2.0, 1.0]), (2, [3.0, 3.0, 5.0]), (3, [4.0, 5.0, 0.0])], "id int, p array<double>")
+    r = st.distances(df, "id", "p", "max", [0, 1]).collect()
+    assert [(x["i"], x["j"], x["distance"], x["p"][:2], x["q"][:2]) for x in r] == [(0, 3, 5.0, [1.0, 1.0], [4.0, 5.0])]
+    assert one(spark.range(1).select(st.distance(F.col("id"), F.col("id"), []))) == 0
 
 
 def test_text_and_graph(spark):
@@ -112,11 +149,11 @@ def test_text_and_graph(spark):
     docs = spark.createDataFrame([("d1", "Alpha Beta met Gamma and Deltas")], "id string, text string")
     nodes, edges = learn.knowledge_graph(docs, "id", "text")
     assert {x["id"] for x in nodes.collect()} >= {"d1", "Alpha", "Gamma", "Alpha Beta"} and edges.where("type = 'related_to'").count() > 0
-    signals = learn.signals(F.lit("Is this 1 question?"), ["nothing"])
-    got = spark.range(1).select(learn.default_rules(signals)["action"], signals["has_question"], signals["word_count"]).first()
-    assert tuple(got) == ("retrieve", True, 4)
-    p = spark.range(1).select(learn.posteriors({"a": 0.5, "b": 0.5}, [(F.lit(True), {"a": 3.0})])).first()[0]
-    assert p == pytest.approx({"a": 0.75, "b": 0.25})
+    c = decisions.conditions(decisions.signals(F.lit("Is this 1 question?"), ["nothing"]))
+    got = spark.range(1).select(decisions.tree(c)["reason"], decisions.posteriors(c)["retrieve"]).first()
+    assert tuple(got) == (decisions.REASONS[4], pytest.approx(0.32 / 1.12))
+    with pytest.raises(ValueError, match="not found"):
+        learn.add_edges(spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([("d1", "nobody")], "src string, dst string"), nodes)
 
 
 def test_logistic(spark):
