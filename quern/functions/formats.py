@@ -37,21 +37,89 @@ def as_udf(f: Callable, returns: str, kind: pa.DataType | None = None):
 # --- text formats
 
 
+def _cells(line: str) -> list[str | None]:
+    """Cells of a line: commas outside quotes part, quotes around a cell go, two inside are one, an empty cell is null."""
+    if '"' not in line:
+        return [x.strip() or None for x in line.split(",")]
+    out, cell, quoted, i = [], [], False, 0
+    while i < len(line):
+        c = line[i]
+        if quoted:
+            if c != '"':
+                cell.append(c)
+            elif line[i + 1 : i + 2] == '"':
+                cell.append(c)
+                i += 1
+            else:
+                quoted = False
+        elif c == '"' and not "".join(cell).strip():
+            quoted, cell = True, []
+        elif c == ",":
+            out.append("".join(cell))
+            cell = []
+        else:
+            cell.append(c)
+        i += 1
+    return [x.strip() or None for x in (*out, "".join(cell))]
+
+
+def _udf_of(f, returns: str, kind: pa.DataType):
+    return arrow_udf(lambda values: pa.array([None if v is None else f(v) for v in values.to_pylist()], kind), returns)
+
+
 def csv_cells(line: Column) -> Column:
-    """Cells of a line: commas outside quotes part, quotes around a cell go, an empty cell is null."""
-    cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    bare = lambda x: F.replace(F.regexp_replace(F.trim(x), r'^"([\s\S]*)"$', "$1"), F.lit('""'), F.lit('"'))
-    return F.transform(cells, lambda x: F.nullif(bare(x), F.lit("")))
+    """array<string> of a line's cells, in one pass over it; an empty line has none."""
+    return _udf_of(lambda v: _cells(v) if v else [], "array<string>", pa.list_(pa.string()))(line)
+
+
+def csv_values(line: Column) -> Column:
+    """A line's cells as JSON, those that are numbers as numbers."""
+    return as_udf(lambda v: json.dumps([_number(x) for x in _cells(v)] if v else []), "string")(line)
+
+
+def _number(x: str | None):
+    if x is None:
+        return None
+    try:
+        v = float(x)
+    except ValueError:
+        return x
+    return x if v != v or v in (float("inf"), float("-inf")) else int(v) if v.is_integer() and abs(v) < 2**53 else v
 
 
 def csv_rows(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, r"[\r\n]+"), lambda x: x != ""), csv_cells)
+    """array<array<string>> of a text's lines that aren't empty."""
+    return _udf_of(_lines, "array<array<string>>", pa.list_(pa.list_(pa.string())))(text)
+
+
+def csv_table(text: Column) -> Column:
+    """A text's lines as JSON rows, numbers as numbers."""
+    return as_udf(lambda v: json.dumps([[_number(c) for c in r] for r in _lines(v)]), "string")(text)
+
+
+def _lines(text: str) -> list[list[str | None]]:
+    return [_cells(x) for x in re.split(r"[\r\n]+", text) if x]
+
+
+def _records(text: str) -> list[dict]:
+    head, *rows = _lines(text) or [[]]
+    return [{h or "": v for h, v in zip(head, r)} for r in rows]
 
 
 def csv_records(text: Column) -> Column:
     """array<map<string,string>> by the header line."""
-    rows = csv_rows(text)
-    return F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.map_from_arrays(F.transform(rows[0], lambda h: F.coalesce(h, F.lit(""))), r))
+    return _udf_of(lambda v: [list(r.items()) for r in _records(v)], "array<map<string,string>>", pa.list_(pa.map_(pa.string(), pa.string())))(text)
+
+
+def _html(rows: list[list], header: bool) -> str:
+    cell = lambda tag, v: f"<{tag}><![CDATA[{(v or '').replace(']]>', ']]]]><![CDATA[>')}]]></{tag}>"
+    line = lambda i, r: "<tr>" + "".join(cell("th" if header and i == 0 else "td", v) for v in r) + "</tr>"
+    return "<table>" + "".join(line(i, r) for i, r in enumerate(rows)) + "</table>"
+
+
+def csv_html(text: Column, header: bool = False) -> Column:
+    """A table of a text's lines; see html_table."""
+    return as_udf(lambda v: _html(_lines(v), header), "string")(text)
 
 
 def html_table(rows: Column, header: bool = False) -> Column:
@@ -141,6 +209,17 @@ def object_to_pairs(value):
     return [[k, object_to_pairs(v)] for k, v in value.items()] if isinstance(value, dict) else [value]
 
 
+def simple_array(value: dict, ignore_nulls: bool = False, prefix: str = "") -> list[list]:
+    """[[key, value, type], ...] of an object's entries, those with a null left out if asked."""
+    kind = lambda v: "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "object"
+    return [[prefix + k, v, kind(v)] for k, v in value.items() if not (ignore_nulls and v is None)]
+
+
+def add_list(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """One row a key with the list of its values, in order."""
+    return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda s: s["v"]).alias("list"))
+
+
 # --- compression
 
 CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
@@ -151,47 +230,21 @@ CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
 }
 
 
+_SNAPPY = pa.Codec("snappy")
+
+
 def snappy_compress(data: bytes) -> bytes:
-    """Raw snappy with literals only."""
-    out = bytearray(_varint(len(data)))
-    for i in range(0, len(data), 1 << 16):
-        part = data[i : i + (1 << 16)]
-        n = len(part) - 1
-        out += bytes([n << 2]) if n < 60 else bytes([60 << 2, n]) if n < 256 else bytes([61 << 2]) + n.to_bytes(2, "little")
-        out += part
-    return bytes(out)
+    return _SNAPPY.compress(data, asbytes=True)
 
 
 def snappy_decompress(data: bytes) -> bytes:
-    size, at = _read_varint(data, 0)
-    out = bytearray()
-    while at < len(data):
-        tag = data[at]
-        at += 1
-        kind = tag & 3
-        if kind == 0:
-            n = tag >> 2
-            if n >= 60:
-                extra = n - 59
-                n = int.from_bytes(data[at : at + extra], "little")
-                at += extra
-            out += data[at : at + n + 1]
-            at += n + 1
-            continue
-        if kind == 1:
-            n, offset = (tag >> 2 & 7) + 4, (tag >> 5) << 8 | data[at]
-            at += 1
-        else:
-            width = 2 if kind == 2 else 4
-            n, offset = (tag >> 2) + 1, int.from_bytes(data[at : at + width], "little")
-            at += width
-        if not 0 < offset <= len(out):
-            raise ValueError("bad snappy offset")
-        for _ in range(n):
-            out.append(out[-offset])
-    if len(out) != size:
-        raise ValueError("bad snappy length")
-    return bytes(out)
+    """Raw snappy; its length stands in front, seven bits a byte."""
+    size = 0
+    for k, b in enumerate(data):
+        size |= (b & 127) << (7 * k)
+        if b < 128:
+            break
+    return _SNAPPY.decompress(data, size, asbytes=True)
 
 
 CODECS["snappy"] = (snappy_compress, snappy_decompress)
@@ -251,6 +304,46 @@ def xlsx_write(sheets: dict[str, list[list]] | list[list]) -> bytes:
     return out.getvalue()
 
 
+def workbook(sheets: dict[str, list[list]] | list[list]) -> dict:
+    """A workbook as an object: names of sheets, and per sheet its range and cells by address, each with type and value."""
+    if isinstance(sheets, list):
+        sheets = {"Sheet1": sheets}
+    out: dict = {"SheetNames": list(sheets), "Sheets": {}}
+    for name, rows in sheets.items():
+        wide = max(map(len, rows), default=0)
+        cells = {f"{_column(j)}{i + 1}": {"t": "b" if isinstance(v, bool) else "n" if isinstance(v, (int, float)) else "s", "v": v} for i, r in enumerate(rows) for j, v in enumerate(r) if v is not None}
+        out["Sheets"][name] = {"!ref": f"A1:{_column(max(wide - 1, 0))}{max(len(rows), 1)}"} | cells
+    return out
+
+
+def workbook_rows(book: dict) -> dict[str, list[list]]:
+    """Rows of each sheet of a workbook object; cells that aren't there are null."""
+    out = {}
+    for name in book["SheetNames"]:
+        sheet = book["Sheets"][name]
+        last = re.fullmatch(r"A1:([A-Z]+)([0-9]+)", sheet.get("!ref", "A1:A1"))
+        wide = [_column(j) for j in range(_place(last[1]) + 1)]
+        rows = [[sheet.get(f"{c}{i + 1}", {}).get("v") for c in wide] for i in range(int(last[2]))]
+        out[name] = [] if rows == [[None]] else rows
+    return out
+
+
+def _column(j: int) -> str:
+    out = ""
+    j += 1
+    while j:
+        j, r = divmod(j - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def _place(name: str) -> int:
+    j = 0
+    for c in name:
+        j = j * 26 + ord(c) - 64
+    return j - 1
+
+
 def xlsx_read(data: bytes) -> dict[str, list[list]]:
     ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"

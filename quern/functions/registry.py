@@ -19,10 +19,19 @@ def _text_of(decode):
     return lambda c, **o: f.as_udf(lambda b: json.dumps(decode(b, **o)), "string")(c)
 
 
-def _sheets(value):
+def _rows(value):
     """Sheets of objects as sheets of rows under a header."""
     rows = lambda v: v if not v or isinstance(v[0], list) else [[*(h := list(dict.fromkeys(k for r in v for k in r)))], *([r.get(k) for k in h] for r in v)]
-    return f.xlsx_write({k: rows(v) for k, v in value.items()} if isinstance(value, dict) else rows(value))
+    return {k: rows(v) for k, v in value.items()} if isinstance(value, dict) else rows(value)
+
+
+def _sheets(value):
+    return f.xlsx_write(_rows(value))
+
+
+def _messages(c, skip: int = 0, most: int | None = None):
+    """An entry a row, without the first skip entries, most of them at most."""
+    return F.explode(F.slice(c, skip + 1, (1 << 30) if most is None else most))
 
 
 def _line(value) -> str:
@@ -51,18 +60,18 @@ _npy_in = _bytes_of(lambda v: f.npy_write(v["dataVector"], "<" + v["dataType"].l
 _bitmap_names = lambda names: {k: n for n, k in names.items()}
 
 REGISTRY = {
-    "ArrayToCSV": lambda c: f.json_lines(c), "ArrayToHTML": lambda c: f.html_table(c), "ArrayToISO8385": _bytes_of(lambda v: f.bitmap_encode([(int(k), str(x)) for k, x in v])), "ArrayToMessages": lambda c: F.explode(c),
-    "ArrayToXLSX": _bytes_of(_sheets), "ArrayToXLSXObject": lambda c: c, "AVROToJSON": lambda c, schema: f.avro_to_json(c, schema), "BufferToCompressed": f.compress, "CompressedToBuffer": f.decompress,
+    "ArrayToCSV": lambda c: f.json_lines(c), "ArrayToHTML": lambda c: f.html_table(c), "ArrayToISO8385": _bytes_of(lambda v: f.bitmap_encode([(int(k), str(x)) for k, x in v])), "ArrayToMessages": _messages,
+    "ArrayToXLSX": _bytes_of(_sheets), "ArrayToXLSXObject": _json_text(lambda v: json.dumps(f.workbook(_rows(v)))), "AVROToJSON": lambda c, schema: f.avro_to_json(c, schema), "BufferToCompressed": f.compress, "CompressedToBuffer": f.decompress,
     "CompressedToJSON": lambda c, codec="gzip": F.try_parse_json(F.decode(f.decompress(c, codec), "UTF-8")), "CompressedToString": lambda c, codec="gzip": F.decode(f.decompress(c, codec), "UTF-8"),
-    "ConfluenceToJSON": lambda c, schemas: f.as_udf(lambda b: json.dumps(f.framed_decode(schemas, b)), "string")(c), "CSVToArray": f.csv_rows, "CSVToHTML": lambda c: f.html_table(f.csv_rows(c)),
-    "CSVToMessages": lambda c: F.explode(F.split(c, r"[\r\n]+")), "CSVWithHeaderToArray": lambda c: F.slice(f.csv_rows(c), 2, 1 << 30), "CSVWithHeaderToHTML": lambda c: f.html_table(f.csv_rows(c), True), "CSVWithHeaderToJSON": f.csv_records,
+    "ConfluenceToJSON": lambda c, schemas: f.as_udf(lambda b: json.dumps(f.framed_decode(schemas, b)), "string")(c), "CSVToArray": f.csv_table, "CSVToCells": f.csv_rows, "CSVToHTML": f.csv_html,
+    "CSVToMessages": lambda c, skip=0, most=None: _messages(F.filter(F.split(c, r"[\r\n]+"), lambda x: x != ""), skip, most), "CSVWithHeaderToArray": lambda c: F.slice(f.csv_rows(c), 2, 1 << 30), "CSVWithHeaderToHTML": lambda c: f.csv_html(c, True), "CSVWithHeaderToJSON": f.csv_records,
     "ISO8385ToArray": _text_of(f.bitmap_decode), "ISO8385ToJSON": lambda c, names=None: _text_of(lambda b: {(names or {}).get(k, str(k)): v for k, v in f.bitmap_decode(b)})(c), "JSONToArray": _json_text(lambda v: json.dumps(f.object_to_pairs(v))),
     "JSONToAVRO": _avro_in, "JSONToCompressed": f.compress, "JSONToConfluence": _framed_in, "JSONToCSV": _json_text(_csv), "JSONToHTML": _json_text(f.object_to_html),
-    "JSONToISO8385": lambda c, names=None: _bytes_of(lambda v: f.bitmap_encode([(int(_bitmap_names(names or {}).get(k, k)), str(x)) for k, x in v.items()]))(c), "JSONToJSON": lambda c: c, "JSONToMessages": lambda c: F.explode(F.from_json(c, "array<string>")),
+    "JSONToISO8385": lambda c, names=None: _bytes_of(lambda v: f.bitmap_encode([(int(_bitmap_names(names or {}).get(k, k)), str(x)) for k, x in v.items()]))(c), "JSONToJSON": lambda c: c, "JSONToMessages": lambda c, skip=0, most=None: _messages(F.from_json(c, "array<string>"), skip, most),
     "JSONTonpy": _npy_in, "JSONToNumPyObject": lambda c: F.from_json(c, "dataType string, shape array<int>, fortran_order boolean, version double, dataVector array<double>"), "JSONToString": F.to_json, "JSONToXLSX": _bytes_of(_sheets),
-    "JSONToXLSXObject": lambda c: c, "JSONToXML": f.json_to_xml, "npyToJSON": _text_of(f.npy_read), "npyToNumPyObject": lambda c: REGISTRY["JSONToNumPyObject"](_text_of(f.npy_read)(c)), "NumPyObjectToJSON": F.to_json,
-    "snappyToCompress": lambda c: f.compress(c, "snappy"), "snappyToUncompress": lambda c: f.decompress(c, "snappy"), "StringToCompressed": f.compress, "XLSXToArray": _text_of(lambda b: list(f.xlsx_read(b).values())), "XLSXObjectToArray": lambda c: c,
-    "XLSXToJSON": _text_of(f.xlsx_read), "XLSXObjectToJSON": lambda c: c, "XLSXToXLSXObject": _text_of(f.xlsx_read), "XMLToJSON": f.xml_to_json,
+    "JSONToXLSXObject": _json_text(lambda v: json.dumps(f.workbook(_rows(v)))), "JSONToXML": f.json_to_xml, "npyToJSON": _text_of(f.npy_read), "npyToNumPyObject": lambda c: REGISTRY["JSONToNumPyObject"](_text_of(f.npy_read)(c)), "NumPyObjectToJSON": F.to_json,
+    "snappyToCompress": lambda c: f.compress(c, "snappy"), "snappyToUncompress": lambda c: f.decompress(c, "snappy"), "StringToCompressed": f.compress, "XLSXToArray": _text_of(lambda b: list(f.xlsx_read(b).values())), "XLSXObjectToArray": _json_text(lambda v: json.dumps(list(f.workbook_rows(v).values()))),
+    "XLSXToJSON": _text_of(f.xlsx_read), "XLSXObjectToJSON": _json_text(lambda v: json.dumps(f.workbook_rows(v))), "XLSXToXLSXObject": _text_of(lambda b: f.workbook(f.xlsx_read(b))), "XMLToJSON": f.xml_to_json,
 } | {f"{s}To{t}": (lambda c, *a, s=s, t=t: transform(s, t, c, *a)) for s, targets in TRANSFORMS.items() for t in targets}
 
 

@@ -110,6 +110,25 @@ def code_point(c: Column, i: int) -> Column:
     return F.when(F.length(c) > i, F.ascii(F.substring(c, i + 1, 1)))
 
 
+def char_code(c: Column, i: int) -> Column:
+    """The UTF-16 unit at position i of the text's units; null behind its end."""
+    units = F.encode(c, "UTF-16BE")
+    pair = F.substring(F.hex(units), 4 * i + 1, 4)
+    return F.when(F.length(pair) == 4, F.conv(pair, 16, 10).cast("int"))
+
+
+def time_of(c: Column) -> Column:
+    """Milliseconds since midnight of a text HH:mm[:ss[.fff]]; null for any other."""
+    part = lambda k: F.regexp_extract(c, r"^([01]?\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(?:\.(\d{1,3}))?)?$", k)
+    whole = lambda k: F.coalesce(F.nullif(part(k), F.lit("")).cast("bigint"), F.lit(0))
+    return F.when(part(1) != "", ((whole(1) * 60 + whole(2)) * 60 + whole(3)) * 1000 + F.rpad(part(4), 3, "0").cast("bigint"))
+
+
+def date_local(c: Column, zone: str) -> Column:
+    """The instant of a text without a zone, read in zone."""
+    return F.to_utc_timestamp(F.try_to_timestamp(c), zone)
+
+
 def drop_bracket_prefix(c: Column) -> Column:
     return F.when(c.startswith("["), F.coalesce(F.get(F.split(c, r"\] ", 2), F.lit(1)), c)).otherwise(c)
 
@@ -178,7 +197,7 @@ def format_path(c: Column) -> Column:
 TRANSFORMS = {
     "String": {
         "Append": lambda c, s: F.concat(c, F.lit(s)), "Concat": lambda c, s: F.concat(c, F.lit(s)), "Prepend": lambda c, s: F.concat(F.lit(s), c), "ArrayByDelimiter": split_clean, "At": at,
-        "Capitalize": capitalize, "Camelize": camelize, "CharAt": char_at, "CharCodeAt": code_point, "CodePointAt": code_point, "Date": lambda c: F.try_to_timestamp(c), "DateLocal": lambda c: F.try_to_timestamp(c),
+        "Capitalize": capitalize, "Camelize": camelize, "CharAt": char_at, "CharCodeAt": char_code, "CodePointAt": code_point, "Date": lambda c: F.try_to_timestamp(c), "DateLocal": lambda c, zone="UTC": date_local(c, zone), "Time": time_of,
         "Timestamp": lambda c: F.unix_millis(F.try_to_timestamp(c)), "DelimiterOnCase": delimiter_on_case, "Deunderscore": lambda c: F.replace(c, F.lit("_"), F.lit(" ")),
         "DeunderscoreCapitilize": lambda c: title(F.replace(c, F.lit("_"), F.lit(" "))), "DropSquareBracketPrefix": drop_bracket_prefix, "EndsWith": lambda c, s: c.endswith(s), "Float": parse_float,
         "GetWord": word, "Integer": parse_int, "isBetween": lambda c, a, b: c.between(a, b), "JSON": lambda c: F.try_parse_json(c), "LowerCase": F.lower, "Number": number, "RangeLimit": range_limit, "Real": parse_float,

@@ -63,9 +63,27 @@ def test_csv(spark):
     assert value(spark, formats.html_table(F.array(F.array(F.lit("x]]>y"))))) == "<table><tr><td><![CDATA[x]]]]><![CDATA[>y]]></td></tr></table>"
     assert value(spark, formats.json_lines(F.array(F.lit('a"b'), F.lit("[c]")))) == '"a\\"b"\n"[c]"'
     assert value(spark, formats.json_lines(F.array(F.lit(1), F.lit(None)))) == "1\nnull"
+    assert json.loads(value(spark, formats.csv_values(F.lit('1,,2,"x ""y"", z",1e2,-')))) == [1, None, 2, 'x "y", z', 100, "-"] and json.loads(value(spark, formats.csv_values(F.lit("")))) == []
+    assert value(spark, formats.csv_cells(F.lit('"' + 'a,""' * 200_000 + '",b')))[1] == "b"
     assert formats.csv_line('a,,1,2.5,"x,y"') == ["a", None, 1, 2.5, "x,y"]
 
 
+def test_simple_arrays():
+    assert formats.simple_array({}) == [] and formats.simple_array({"a": 1, "b": "2", "c": None, "d": True}) == [["a", 1, "number"], ["b", "2", "string"], ["c", None, "object"], ["d", True, "boolean"]]
+    assert formats.simple_array({"a": 1, "c": None}, ignore_nulls=True) == [["a", 1, "number"]]
+
+
+def test_snappy():
+    data = b"abcd" * 100_000 + b"x"
+    packed = formats.snappy_compress(data)
+    assert formats.snappy_decompress(packed) == data and len(packed) < len(data) // 10 and formats.snappy_decompress(formats.snappy_compress(b"")) == b""
+
+
+def test_workbook_objects():
+    book = formats.workbook({"s": [["a", None, 1.5], [True]], "none": []})
+    assert book["Sheets"]["s"]["C1"] == {"t": "n", "v": 1.5} and book["Sheets"]["s"]["!ref"] == "A1:C2" and formats.workbook_rows(book) == {"s": [["a", None, 1.5], [True, None, None]], "none": []}
+
+
 def test_messages(spark):
     df = spark.createDataFrame([(1, [5, 6])], "id int, a array<int>")
     assert [tuple(r) for r in formats.messages(df, "a", id_col="id").collect()] == [(1, 0, 5, "1:0"), (1, 1, 6, "1:1")]
