@@ -248,7 +248,9 @@ class _Compiler:
             found = [c for c in self.types if c.lower() == name.lower() or c.rpartition(".")[2].lower() == name.lower()]
         if not found:
             raise SqlError(f'Column "{name}" not found')
-        return found[-1]  # the right-most table's
+        if len(found) > 1:
+            raise SqlError(f'Column "{name}" is ambiguous: {", ".join(found)}')
+        return found[0]
 
     def value(self, e: Expr) -> tuple[Column, T.DataType]:
         if e.kind == "agg":

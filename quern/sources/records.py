@@ -35,12 +35,14 @@ class RecordStore:
         return records if isinstance(records, DataFrame) else self.spark.createDataFrame(records)
 
     def write(self, records, path: str, append: bool = False) -> dict:
-        """Writes records; columns that only some have are null in the others. Returns what was written."""
+        """Writes records; columns that only some have are null in the others. Returns what was written. The records are
+        evaluated once: the counts are those of the files' footers."""
         df = self.frame(records)
         there = append and self.exists(path)
+        before = self.metadata(path)["numRows"] if there else 0
         df.write.mode("append" if there else "overwrite").option("compression", "gzip").parquet(path)
-        total = self.read(path).count()
-        return {"filePath": path, "recordsWritten": df.count(), "totalRecords": total, "schema": self.schema(path), "appended": there}
+        total = self.metadata(path)["numRows"]
+        return {"filePath": path, "recordsWritten": total - before, "totalRecords": total, "schema": self.schema(path), "appended": there}
 
     def append(self, records, path: str) -> dict:
         return self.write(records, path, append=True)
@@ -57,9 +59,10 @@ class RecordStore:
 
     def metadata(self, path: str) -> dict:
         df = self.read(path)
-        files = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("m")).groupBy("f", "s", "m").count()
-        r = files.agg(F.sum("s").alias("s"), F.sum("count").alias("n"), F.max("m").alias("m")).first()
-        return {"fileSize": r["s"] or 0, "numRows": r["n"] or 0, "numColumns": len(df.columns), "modified": r["m"], "compression": "gzip"}
+        m = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_size", "file_modification_time")]
+        files = df.select(*m).groupBy("file_path", "file_size", "file_modification_time").agg(F.count(F.lit(1)).alias("n"))
+        r = files.agg(F.sum("file_size").alias("s"), F.sum("n").alias("n"), F.min("file_modification_time").alias("c"), F.max("file_modification_time").alias("m")).first()
+        return {"fileSize": r["s"] or 0, "numRows": r["n"] or 0, "numColumns": len(df.columns), "created": r["c"], "modified": r["m"], "compression": "gzip", "version": 1}
 
     def query(self, df: DataFrame, where: Column | dict[str, Callable[[Column], Column]] | None = None, rows: dict[str, list[int]] | None = None, position: str | None = None, limit: int | None = None) -> DataFrame:
         """Rows that a predicate, or every predicate of a column, holds for; rows: positions that every list has."""

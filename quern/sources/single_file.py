@@ -11,7 +11,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAGIC = b"PARQ"
@@ -70,45 +70,96 @@ def encode(table: pa.Table) -> bytes:
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all stores under path that have the first one's columns; a file is one task's, as the format has no blocks."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    meta, _ = decode(bytes(files.first()["content"]))
-    schema = ", ".join(f"`{c['name']}` {_SQL.get(c['type'], 'string')}" for c in meta["columns"])
-    names = [c["name"] for c in meta["columns"]]
+def decoded(files: DataFrame, schema: str, column: str = "content") -> DataFrame:
+    """Rows of stores (column, binary) with the columns of schema; a file is one task's, as the format has no blocks."""
+    from pyspark.sql import types as T
+
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
 
     def rows(batches):
         for b in batches:
             for content in b.column(0):
                 yield from decode(content.as_buffer().to_pybytes())[1].select(names).to_batches()
 
-    return files.mapInArrow(rows, schema)
+    return files.select(column).mapInArrow(rows, schema)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all stores under path that have the first one's columns."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    meta, _ = decode(bytes(files.first()["content"]))
+    return decoded(files, ", ".join(f"`{c['name']}` {_SQL.get(c['type'], 'string')}" for c in meta["columns"]))
 
 
 def append_text(df: DataFrame, column: str, path: str) -> DataFrame:
-    """df with a text file's content behind column; the file is one broadcast row."""
-    more = df.sparkSession.read.text(path, wholetext=True).agg(F.concat_ws("", F.collect_list("value")).alias("__more"))
+    """df with a text file's content behind column (files of a folder in order of their paths); it is one broadcast row."""
+    files = df.sparkSession.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("f"), "value")
+    more = files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "value"))), lambda s: s["value"]), "").alias("__more"))
     return df.crossJoin(F.broadcast(more)).withColumn(column, F.concat(column, "__more")).drop("__more")
 
 
-def folder(spark: SparkSession, path: str, least: int = 10, most: int | None = None) -> DataFrame:
-    """path and text of the text files of a folder: printable lines longer than least characters."""
+def folder(spark: SparkSession, path: str, least: int = 10, most: int | None = None, files: int | None = None) -> DataFrame:
+    """path and text of the text files of a folder: printable lines longer than least characters; the first files by path if
+    asked, most characters of each if asked."""
     lines = F.filter(F.split(F.regexp_replace("value", r"[^\x20-\x7E\r\n]", ""), r"[\r\n]+"), lambda x: F.length(x) > least)
     out = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.array_join(lines, "\n").alias("text"))
+    out = out if files is None else out.orderBy("path").limit(files)
     return out if most is None else out.withColumn("text", F.substring("text", 1, most))
 
 
-def through(df: DataFrame, column: str, command: list[str]) -> DataFrame:
-    """Lines that a process answers to each partition's values of column, one line a value. A failing process is an error."""
+def through(df: DataFrame, column: str, command: list[str], timeout: float | None = None) -> DataFrame:
+    """What a process a partition says to the partition's values of column, one line a value: rows (stream, line) of its
+    stdout and stderr as they come, and one of its return code (stream "rc"). A process that is silent and alive after
+    timeout seconds is killed, its return code then negative. Values are written while lines are read, so neither is held."""
 
     def run(batches):
-        text = "".join(f"{v}\n" for b in batches for v in b.column(0).to_pylist() if v is not None)
-        done = subprocess.run(command, input=text, capture_output=True, text=True, check=False)
-        if done.returncode:
-            raise RuntimeError(f"{command[0]} ended with {done.returncode}: {done.stderr[-500:]}")
-        yield pa.RecordBatch.from_arrays([pa.array(done.stdout.splitlines(), pa.string())], ["line"])
-
-    return df.select(F.col(column).cast("string")).mapInArrow(run, "line string")
+        import queue
+        import threading
+
+        process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True)
+        said: queue.Queue = queue.Queue(10_000)
+
+        def write() -> None:
+            try:
+                for b in batches:
+                    for v in b.column(0).to_pylist():
+                        if v is not None:
+                            process.stdin.write(f"{v}\n")
+                process.stdin.close()
+            except BrokenPipeError:
+                pass
+
+        def read(name: str) -> None:
+            for line in getattr(process, name):
+                said.put((name, line.rstrip("\n")))
+            said.put(None)
+
+        readers = [threading.Thread(target=read, args=(n,), daemon=True) for n in ("stdout", "stderr")]
+        writer = threading.Thread(target=write, daemon=True)
+        for t in (*readers, writer):
+            t.start()
+        rows, open_, wait = [], 2, timeout
+        while open_:
+            try:
+                got = said.get(timeout=wait)
+            except queue.Empty:
+                process.kill()
+                wait = None
+                continue
+            if got is None:
+                open_ -= 1
+            else:
+                rows.append(got)
+            if len(rows) >= 1000:
+                yield lines(rows)
+                rows = []
+        rows.append(("rc", str(process.wait())))
+        yield lines(rows)
+
+    def lines(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["stream", "line"])
+
+    return df.select(F.col(column).cast("string")).mapInArrow(run, "stream string, line string")
 
 
 def host_metrics(spark: SparkSession) -> DataFrame:
@@ -122,3 +173,15 @@ def host_metrics(spark: SparkSession) -> DataFrame:
 def injected(spark: SparkSession, per_second: int) -> DataFrame:
     """A stream of numbered rows at a steady rate."""
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+
+
+def load(spark: SparkSession, seconds: float, least: float, most: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(messages, summary) of a load of so many seconds: a message (id, at) after each think time, drawn from least to most
+    seconds; the summary has their count, and when the load starts and stops. Times are seconds from the start."""
+    if not 0 < least <= most:
+        raise ValueError("think times must be positive, the least first")
+    n = int(seconds / least) + 1
+    w = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = spark.range(n, numPartitions=1).select("id", (F.lit(float(least)) + F.rand(seed) * (most - least)).alias("think"))
+    messages = drawn.select("id", F.sum("think").over(w).alias("at")).where(F.col("at") <= seconds)
+    return messages, messages.agg(F.count(F.lit(1)).alias("count"), F.lit(0.0).alias("started"), F.lit(float(seconds)).alias("stopped"))

@@ -78,15 +78,42 @@ class TypedStore:
     def find(self, predicate: Column):
         return self.df.where(predicate).first()
 
+    def sql(self, sql: str, params: dict | None = None, **options) -> DataFrame:
+        """A statement over the store, by its name or as "?"."""
+        from ..plans.dialect import SqlError, run_sql
+
+        def table(name: str) -> DataFrame:
+            if name.lower() in ("?", "source", self.name):
+                return self.df
+            raise SqlError(f'Table "{name}" not found.')
+
+        return run_sql(sql, table, params, **options)
+
+    def map(self, **columns: Column) -> DataFrame:
+        return self.df.select(*(c.alias(k) for k, c in columns.items()))
+
+    def filter(self, predicate: Column) -> DataFrame:
+        return self.df.where(F.coalesce(predicate, F.lit(False)))
+
+    def reduce(self, f, initial, column: str, order: str):
+        """f(result so far, value) over a column, in order, as a table of one row (value): batches fold one after the other."""
+        values = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).alias("v")))), lambda s: s["v"])
+        return self.df.agg(F.aggregate(values, F.lit(initial), f).alias("value"))
+
+    def for_each(self, f) -> None:
+        """f of every row, in the tasks that have them."""
+        self.df.foreach(f)
+
     def serialize(self, avro_schema: dict, codec: str = "deflate") -> DataFrame:
-        """One Avro container (column avro) for each partition."""
+        """Avro containers (column avro) of a batch of rows each."""
         import pyarrow as pa
 
         from ..functions.formats import avro_container
 
         def pack(batches):
-            rows = [r for b in batches for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([avro_container(avro_schema, rows, codec)] if rows else [], pa.binary())], ["avro"])
+            for b in batches:
+                if len(b):
+                    yield pa.RecordBatch.from_arrays([pa.array([avro_container(avro_schema, b.to_pylist(), codec)], pa.binary())], ["avro"])
 
         return self.df.mapInArrow(pack, "avro binary")
 

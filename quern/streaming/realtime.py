@@ -31,6 +31,17 @@ def outliers(df: DataFrame, k: float = 3.0, score: str = "standardized") -> Data
     return df.where(F.abs(F.col(score)) > k)
 
 
+def median_outliers(df: DataFrame, key: str, order: list[str], value: str, k: float = 3.0, term: int = 3) -> DataFrame:
+    """Rows whose value is more than k running deviations from the median of the key's last term rows."""
+    w = Window.partitionBy(key).orderBy(*order)
+    x = F.col(value).cast("double")
+    recent = F.array_sort(F.collect_list(x).over(w.rowsBetween(1 - term, 0)))
+    n = F.size(recent)
+    median = (F.get(recent, F.floor((n - 1) / 2).cast("int")) + F.get(recent, F.floor(n / 2).cast("int"))) / 2
+    sd = F.stddev_pop(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumns({"median": median, "deviation": sd}).where(F.abs(x - F.col("median")) > k * F.col("deviation"))
+
+
 def cross_normalised(latest: DataFrame, value: str = "normalised") -> DataFrame:
     """Each key's normalised value less the mean over keys; the mean is one broadcast row."""
     mean = latest.agg(F.avg(value).alias("__m"))
@@ -46,46 +57,54 @@ def forecasts(last: Column, delta: Column, moving_avg: Column, moving_delta: Col
     return F.array(last + delta, last + moving_delta, 2 * last - moving_avg, *(2 * last - e for e in emas), *(last + e for e in delta_emas))
 
 
-STATE = "count long, sum double, squares double, cubes double, min double, max double, last double, recent array<double>, ema array<double>, weight array<double>"
+STATE = "count long, mean double, m2 double, m3 double, sum double, min double, max double, last double, recent array<double>, ema array<double>, weight array<double>"
 RESULT = "key string, count long, sum double, min double, max double, avg double, std_dev double, normalised double, standardized double, median double, moving_avg double, skewness double, delta double, ema array<double>, outlier boolean"
 
 
 def step(state: tuple | None, values: list[float], term: int) -> tuple:
-    """The state of a key after more values; memory is bounded by term."""
-    n, s, q, c, low, high, last, recent, ema, weight = state or (0, 0.0, 0.0, 0.0, math.inf, -math.inf, math.nan, [], [0.0] * len(FACTORS), [0.0] * len(FACTORS))
+    """The state of a key after more values: mean and central moments by Welford's updates, which keep their digits where the
+    mean is large; memory is bounded by term."""
+    n, mean, m2, m3, s, low, high, last, recent, ema, weight = state or (0, 0.0, 0.0, 0.0, 0.0, math.inf, -math.inf, math.nan, [], [0.0] * len(FACTORS), [0.0] * len(FACTORS))
     recent, ema, weight = list(recent), list(ema), list(weight)
     for x in values:
-        n, s, q, c, low, high = n + 1, s + x, q + x * x, c + x**3, min(low, x), max(high, x)
+        n += 1
+        d = x - mean
+        r = d / n
+        t = d * r * (n - 1)
+        mean += r
+        m3 += t * r * (n - 2) - 3 * r * m2
+        m2 += t
+        s, low, high, last = s + x, min(low, x), max(high, x), x
         recent = [*recent, x][-(term + 1) :]
         for k, f in enumerate(FACTORS):
             ema[k], weight[k] = x + (1 - f) * ema[k], 1 + (1 - f) * weight[k]
-        last = x
-    return n, s, q, c, low, high, last, recent, ema, weight
+    return n, mean, m2, m3, s, low, high, last, recent, ema, weight
 
 
 def measures(key: str, state: tuple, term: int, k: float) -> tuple:
-    n, s, q, c, low, high, x, recent, ema, weight = state
-    avg = s / n
-    variance = max(0.0, q / n - avg * avg)
-    sd, r = math.sqrt(variance), high - low
+    n, avg, m2, m3, s, low, high, x, recent, ema, weight = state
+    sd, r = math.sqrt(max(0.0, m2 / n)), high - low
     z = (x - avg) / sd if sd else 0.0
     window = recent[-term:]
     ordered = sorted(window)
     m = len(ordered)
     median = (ordered[(m - 1) // 2] + ordered[m // 2]) / 2
-    skew = (c / n - 3 * avg * variance - avg**3) / sd**3 if sd else 0.0
+    skew = m3 / n / sd**3 if sd else 0.0
     delta = x - recent[-2] if len(recent) > 1 else None
     return key, n, s, low, high, avg, sd, (x - avg) / r if r else 0.0, z, median, sum(window) / m, skew, delta, [e / w for e, w in zip(ema, weight)], abs(z) > k
 
 
 def realtime(stream: DataFrame, key: str, value: str, order: str, term: int = 3, k: float = 3.0) -> DataFrame:
-    """A row per key and micro-batch with the key's measures so far, over a stream (or a table). Null values are skipped."""
+    """A row per key and micro-batch with the key's measures so far, over a stream (or a table). Null values are skipped.
+
+    Rows reach a key's function sorted by key; its frames are folded one by one, each in its own order.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(group, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        t = pd.concat(list(frames)).dropna(subset=["value"]).sort_values("order", kind="stable")
-        before = state.get if state.exists else None
-        after = step(before, t["value"].astype(float).tolist(), term)
+        rows = [t.dropna(subset=["value"])[["order", "value"]] for t in frames]
+        t = rows[0] if len(rows) == 1 else pd.concat(rows)
+        after = step(state.get if state.exists else None, t.sort_values("order", kind="stable")["value"].astype(float).tolist(), term)
         if after[0]:
             state.update(after)
             yield pd.DataFrame([measures(str(group[0]), after, term, k)], columns=[c.split()[0] for c in RESULT.split(", ")])
@@ -94,6 +113,57 @@ def realtime(stream: DataFrame, key: str, value: str, order: str, term: int = 3,
     return rows.groupBy("key").applyInPandasWithState(run, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+class Control:
+    """The keyed results that control topics ask for and set: a table by key, as the stream's sink has it."""
+
+    def __init__(self, results: DataFrame, key: str = "key") -> None:
+        self.results, self.key = results, key
+
+    def on(self, topic: str, payload: DataFrame | None = None) -> DataFrame:
+        """@stats: the results; @stats set [key]: payload instead of them, or of a key's; @stats reset [key]: without them,
+        or without a key's; @deltasCrossNormalised: the normalised values less their mean, in order."""
+        words = topic.strip().split(" ", 2)
+        at = words[2] if len(words) > 2 else None
+        others = self.results.where(~F.col(self.key).eqNullSafe(F.lit(at))) if at is not None else self.results.limit(0)
+        if words == ["@stats"]:
+            return self.results
+        if words == ["@deltasCrossNormalised"]:
+            return cross_normalised(self.results).select(self.key, "value").orderBy("value")
+        if words[:2] == ["@stats", "reset"]:
+            self.results = others
+        elif words[:2] == ["@stats", "set"] and payload is not None:
+            own = payload if at is None else payload.withColumn(self.key, F.lit(at).cast(self.results.schema[self.key].dataType))
+            self.results = others.unionByName(own.select(*self.results.columns))
+        else:
+            raise ValueError(f'Unknown topic "{topic}"')
+        return self.results
+
+
+def batched(df: DataFrame, order: list[str], size: int = 99, millis: int = 100, pressed: Column | None = None) -> DataFrame:
+    """df with place, batch and due (milliseconds): size messages every millis milliseconds, in order. While pressed holds for
+    a message, nothing is sent for an interval before it. Places are counted per range of the order, then moved by the
+    ranges before, so that no task numbers all rows."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    w = Window.partitionBy("__part").orderBy(*order)
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    placed = ranged.withColumn("__k", F.row_number().over(w)).join(F.broadcast(before), "__part").withColumn("place", F.col("__before") + F.col("__k") - 1).drop("__part", "__k", "__before")
+    batch = F.floor(F.col("place") / size)
+    waits = F.lit(0) if pressed is None else F.sum(F.when(pressed, 1).otherwise(0)).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumns({"batch": batch, "due": (batch + waits) * millis})
+
+
+def tumbling(events: DataFrame, ts: str, span: str, keys: list[str] = (), late: str = "10 minutes", aggregates: list[Column] | None = None) -> DataFrame:
+    return sliding(events, ts, span, span, keys, late, aggregates)
+
+
+def sessions(events: DataFrame, ts: str, gap: str, keys: list[str] = (), late: str = "10 minutes", aggregates: list[Column] | None = None) -> DataFrame:
+    """A row a session: events of the keys' values that follow each other within gap; late events are waited for."""
+    e = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    e = e.withWatermark(ts, late) if e.isStreaming else e
+    return e.groupBy(F.session_window(ts, gap), *keys).agg(*(aggregates or [F.count(F.lit(1)).alias("n")])).select("session_window.start", "session_window.end", "*").drop("session_window")
+
+
 def rates(events: DataFrame, ts: str, late: str = "10 minutes", spans: tuple[str, ...] = ("10 seconds", "60 seconds", "300 seconds"), slide: str = "1 second") -> dict[str, DataFrame]:
     """Counts of events over sliding windows, one table a span; late events are waited for."""
     e = events.withColumn(ts, F.col(ts).cast("timestamp"))

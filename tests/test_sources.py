@@ -8,7 +8,10 @@ from pyspark.sql import types as T
 
 from quern.functions import registry
 from quern.operators import learn
+from quern.plans.dialect import SqlError
 from quern.sources import single_file as sf
+from quern.sources.records import RecordStore
+from quern.sources.shared import shared_path
 from quern.sources.typed import TypedStore
 
 
@@ -26,7 +29,9 @@ def test_text_and_process(spark, tmp_path):
     df = spark.createDataFrame([("x",), ("y",)], "c string")
     assert sf.append_text(df, "c", f"file://{tmp_path}/t.txt").first()["c"].startswith("xa line")
     assert sf.folder(spark, f"file://{tmp_path}/t.txt").first()["text"] == "a line long enough"
-    assert sorted(r["line"] for r in sf.through(df, "c", ["tr", "a-z", "A-Z"]).collect()) == ["X", "Y"]
+    assert sorted(tuple(r) for r in sf.through(df.coalesce(1), "c", ["tr", "a-z", "A-Z"]).collect()) == [("rc", "0"), ("stdout", "X"), ("stdout", "Y")]
+    assert [tuple(r) for r in sf.through(df.coalesce(1), "c", ["sh", "-c", "echo no >&2; exit 3"]).collect()] == [("stderr", "no"), ("rc", "3")]
+    assert [tuple(r) for r in sf.through(df.coalesce(1), "c", ["sleep", "60"], timeout=0.5).collect()] == [("rc", "-9")]
     assert sf.host_metrics(spark).count() == 8
 
 
@@ -93,3 +98,20 @@ def test_entry_without_training_data(tmp_path):
     shutil.rmtree(tmp_path / "quern" / "llm", ignore_errors=True)
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert int(done.stdout) > 50
+    (tmp_path / "tests").mkdir()
+    for name in ("__init__.py", "conftest.py", "test_dialect.py"):
+        shutil.copy(f"{here}/tests/{name}", tmp_path / "tests" / name)
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "-x", "-q"], cwd=tmp_path, capture_output=True, check=True, timeout=600)
+
+
+def test_shared_path(spark):
+    assert shared_path(spark, "x").startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+
+def test_ambiguous_names(spark):
+    """A name that several tables have must be told apart."""
+    store = RecordStore(spark)
+    store.tables |= {"a": spark.createDataFrame([(1, "x")], "id int, name string"), "b": spark.createDataFrame([(1, "y")], "id int, name string")}
+    with pytest.raises(SqlError, match="ambiguous"):
+        store.sql("SELECT name FROM a JOIN b ON a.id = b.id")
+    assert store.sql("SELECT b.name FROM a JOIN b ON a.id = b.id").first()[0] == "y"
