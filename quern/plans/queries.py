@@ -16,6 +16,7 @@ from ..functions import formats, registry, text
 from ..operators import arrays, indicators, learn, matrix
 from ..operators import statistics as st
 from ..sources.records import RecordStore
+from ..sources.shared import shared_path
 from ..sources.typed import TypedStore
 from ..streaming import realtime as rt
 
@@ -100,10 +101,10 @@ def typed_join(spark, sf_dir):
 _V = "CAST(l_quantity AS DOUBLE)"
 
 
-@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS avg, min(l_quantity) AS min, max(l_quantity) AS max, round(sum(l_quantity), 4) AS sum, max(l_quantity) - min(l_quantity) AS range, round(var_pop(l_quantity), 6) AS variance, round(stddev_pop(l_quantity), 6) AS std_dev, round(var_samp(l_quantity), 6) AS sample_variance, round(stddev_samp(l_quantity), 6) AS sample_std_dev, median(l_quantity) AS median FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS avg, min(l_quantity) AS min, max(l_quantity) AS max, round(sum(l_quantity), 4) AS sum, max(l_quantity) - min(l_quantity) AS range, round(var_pop(l_quantity), 6) AS variance, round(stddev_pop(l_quantity), 6) AS std_dev, round(var_samp(l_quantity), 6) AS sample_variance, round(stddev_samp(l_quantity), 6) AS sample_std_dev, median(l_quantity) AS median, round(skewness(l_quantity) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1)), 6) AS skew FROM lineitem GROUP BY 1")
 def stats_summary(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*st.summary(F.col("l_quantity"))).drop("skew")
-    return df.withColumns({c: F.round(c, 4 if c == "sum" else 6) for c in ("avg", "sum", "variance", "std_dev", "sample_variance", "sample_std_dev")})
+    df = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*st.summary(F.col("l_quantity")))
+    return df.withColumns({c: F.round(c, 4 if c == "sum" else 6) for c in ("avg", "sum", "variance", "std_dev", "sample_variance", "sample_std_dev", "skew")})
 
 
 _WIN = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
@@ -234,11 +235,6 @@ def indicators_obv(spark, sf_dir):
     return indicators.with_indicators(_prices(spark, sf_dir), date="k").select("ticker", "k", "obv")
 
 
-@query()
-def indicators_all(spark, sf_dir):
-    return indicators.with_indicators(_prices(spark, sf_dir), date="k", text=True)
-
-
 _SMOOTHED = """s{0} AS (SELECT ticker, series, pos, n, a, s FROM (SELECT ticker, series, n, a, CAST(n AS BIGINT) AS pos, avg(x) AS s FROM {1} WHERE pos <= n GROUP BY ALL HAVING count(*) = n)
  UNION ALL SELECT s.ticker, s.series, x.pos, s.n, s.a, s.s + s.a * (x.x - s.s) FROM s{0} s JOIN {1} x ON x.ticker = s.ticker AND x.series = s.series AND x.pos = s.pos + 1)"""
 
@@ -302,19 +298,6 @@ def matrix_inverse_times_self(spark, sf_dir):
     return matrix.mapped(matrix.multiply(m, matrix.dense(m, matrix.inverse)), lambda v, i, j: F.round(v, 6) + 0.0)
 
 
-@query()
-def matrix_principal_components(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem")
-    cols = ["l_quantity", "l_extendedprice", "l_discount"]
-    return matrix.project(df, cols, matrix.principal_components(df, cols)).select("l_orderkey", "l_linenumber", "pc0", "pc1", "pc2")
-
-
-@query()
-def matrix_singular_values(spark, sf_dir):
-    values, vectors = matrix.singular_values(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
-    return spark.createDataFrame([(k, v, x) for k, (v, x) in enumerate(zip(values, vectors))], "k int, value double, vector array<double>")
-
-
 _M3 = f"SELECT i, j, v + CASE WHEN i = j THEN 1000 ELSE 0 END AS v FROM ({_M}) WHERE i < 3 AND j < 3"
 
 
@@ -374,23 +357,9 @@ def trees_minimax(spark, sf_dir):
     return learn.tree_values(nodes, 2).select(F.substr("id", F.lit(2)).cast("int").alias("id"), F.lit(0).alias("depth"), "value")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role, length(text) AS n, lag(role) OVER w AS b, lag(length(text)) OVER w AS m FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
- s AS (SELECT conv_id, turn, CASE WHEN role = b THEN ln(1.1) ELSE 0 END + CASE WHEN abs(n / 1000 - m / 1000) > 0.3 THEN ln(0.95) ELSE 0 END AS step FROM t)
- SELECT conv_id, turn, round(exp(sum(step) OVER (PARTITION BY conv_id ORDER BY turn)), 6) AS belief FROM s""")
-def text_beliefs(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("complexity", F.length("text") / 1000)
-    return learn.update_beliefs(c, "conv_id", "turn", "role", "complexity").select("conv_id", "turn", F.round("belief", 6).alias("belief"))
-
-
 # --- learning, text metrics, graphs
 
 
-@query()
-def logistic_regression(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1e5).alias("x"), (F.col("o_custkey") % 10).cast("double").alias("z"), (F.col("o_totalprice") > 150000).cast("int").alias("y"))
-    return learn.predict(learn.fit(df, ["x", "z"], "y", iterations=50), df)
-
-
 @query("SELECT a.n_name AS a, b.n_name AS b, CAST(levenshtein(a.n_name, b.n_name) AS INTEGER) AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
 def text_edit_distance(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
@@ -398,28 +367,6 @@ def text_edit_distance(spark, sf_dir):
     return a.join(b, F.col("i") < F.col("j")).select("a", "b", learn.edit_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
-@query("""SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS length, contains(text, '?') AS has_question, contains(text, '!') AS has_exclamation, regexp_matches(text, '[0-9]') AS has_numbers,
- CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS INTEGER) AS word_count FROM conversations""")
-def text_signals(spark, sf_dir):
-    s = learn.signals(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *(s[k].alias(k) for k in ("length", "has_question", "has_exclamation", "has_numbers", "word_count")))
-
-
-@query("""WITH t AS (SELECT conv_id, turn, text AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '') AS w, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda s: trim(s, ' ') <> '')) AS sentences FROM conversations),
- s AS (SELECT conv_id, turn, coalesce(t, '') AS t, len(w) AS n, sentences, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: length(x) > 6)) / len(w) END AS complexity FROM t),
- f AS (SELECT *, CASE WHEN contains(t, '?') THEN 2.0 ELSE 1.0 END AS a, CASE WHEN complexity > 0.5 THEN 1.5 ELSE 1.0 END AS r FROM s)
- SELECT conv_id, turn, CASE WHEN length(t) > 500 THEN 'clarify' WHEN contains(lower(t), 'price') OR contains(lower(t), 'order') THEN 'retrieve' WHEN sentences > 3 OR complexity > 0.5 THEN 'clarify' WHEN NOT contains(t, '?') AND contains(t, '!') THEN 'escalate'
-  WHEN regexp_matches(t, '[0-9]') AND n < 10 THEN 'retrieve' ELSE 'answer' END AS action,
- CASE WHEN length(t) > 500 THEN 'too long' WHEN contains(lower(t), 'price') OR contains(lower(t), 'order') THEN 'keywords' WHEN sentences > 3 OR complexity > 0.5 THEN 'complex' WHEN NOT contains(t, '?') AND contains(t, '!') THEN 'urgent'
-  WHEN regexp_matches(t, '[0-9]') AND n < 10 THEN 'data' ELSE 'default' END AS reason,
- round(CAST(a / (a + r + 2) AS DOUBLE), 9) AS answer, round(CAST(r / (a + r + 2) AS DOUBLE), 9) AS retrieve FROM f""")
-def text_decisions(spark, sf_dir):
-    s = learn.signals(F.col("text"), ["price", "order"])
-    p = learn.posteriors(dict.fromkeys(learn.ACTIONS, 0.25), [(s["has_question"], {"answer": 2.0}), (s["complexity"] > 0.5, {"retrieve": 1.5})])
-    got = table(spark, sf_dir, "conversations").select("conv_id", "turn", learn.default_rules(s).alias("d"), p.alias("p"))
-    return got.select("conv_id", "turn", "d.*", F.round(F.col("p")["answer"], 9).alias("answer"), F.round(F.col("p")["retrieve"], 9).alias("retrieve"))
-
-
 def _graph(spark, sf_dir):
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     nodes = r.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("region").alias("type"), F.col("r_name").alias("label")).unionAll(n.select(F.concat(F.lit("n"), "n_nationkey"), F.lit("nation"), "n_name"))
@@ -452,11 +399,11 @@ def graph_build(spark, sf_dir):
 # --- transforms
 
 
-@query("SELECT c_custkey, upper(substr(c_name, 1, 1)) || substr(c_name, 2) AS cap, replace(c_name, '#', ' ') AS spaced, c_name || '!' AS app, substr(c_name, 1, 1) AS first, starts_with(c_name, 'Cust') AS starts, CASE WHEN c_acctbal < 0 THEN 0.0 WHEN c_acctbal > 5000 THEN 5000.0 ELSE c_acctbal END AS clamped, upper(c_mktsegment) AS up FROM customer")
+@query("SELECT c_custkey, upper(substr(c_name, 1, 1)) || substr(c_name, 2) AS cap, replace(replace(c_name, '#', '_'), '_', ' ') AS spaced, c_name || '!' AS app, substr(c_name, 1, 1) AS first, starts_with(c_name, 'Cust') AS starts, CASE WHEN c_acctbal < 0 THEN 0.0 WHEN c_acctbal > 5000 THEN 5000.0 ELSE c_acctbal END AS clamped, upper(c_mktsegment) AS up FROM customer")
 def transforms_strings(spark, sf_dir):
     c, t = F.col("c_name"), text.transform
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", t("String", "Capitalize", c).alias("cap"), F.replace(c, F.lit("#"), F.lit(" ")).alias("spaced"), t("String", "Append", c, "!").alias("app"), t("String", "CharAt", c, 0).alias("first"),
+        "c_custkey", t("String", "Capitalize", c).alias("cap"), t("String", "Deunderscore", F.replace(c, F.lit("#"), F.lit("_"))).alias("spaced"), t("String", "Append", c, "!").alias("app"), t("String", "CharAt", c, 0).alias("first"),
         t("String", "StartsWith", c, "Cust").alias("starts"), t("Number", "RangeLimit", F.col("c_acctbal"), 0.0, 5000.0).alias("clamped"), t("String", "UpperCase", F.col("c_mktsegment")).alias("up"),
     )
 
@@ -464,7 +411,7 @@ def transforms_strings(spark, sf_dir):
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-01-01' AS inside FROM orders")
 def transforms_dates(spark, sf_dir):
     d = F.col("o_orderdate")
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.transform("Date", "ISODate", d).alias("iso"), d.between(F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1996-01-01").cast("timestamp_ntz")).alias("inside"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.transform("Date", "ISODate", d).alias("iso"), text.transform("Date", "isBetween", d, F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1996-01-01").cast("timestamp_ntz")).alias("inside"))
 
 
 @query("SELECT n_nationkey, n_nationkey || ',' || n_name || ',' || n_regionkey AS line, n_name AS cell FROM nation")
@@ -500,13 +447,13 @@ def transforms_messages(spark, sf_dir):
 
 @query("""SELECT p_partkey, upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS title,
  split_part(p_name, ' ', 1) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS camel, replace(p_name, ' ', '-') AS dashed, split_part(p_name, ' ', 2) AS second,
- '&lt;' || p_name || '&gt;' AS xml, [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)] AS parts, p_name AS trimmed, lower(p_brand) = 'brand#13' OR lower(p_brand) LIKE 'brand#5%' AS listed FROM part""")
+ '&lt;' || p_name || '&gt;' AS xml, [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)] AS parts, p_name AS trimmed, lower(p_brand) LIKE 'brand#13%' OR lower(p_brand) LIKE 'brand#5%' AS listed FROM part""")
 def transforms_words(spark, sf_dir):
     c, t = F.col("p_name"), text.transform
     return table(spark, sf_dir, "part").select(
         "p_partkey", t("String", "Title", c).alias("title"), t("String", "Camelize", c).alias("camel"), t("String", "DelimiterOnCase", c, "-").alias("dashed"), t("String", "GetWord", c, 2).alias("second"),
         t("String", "XmlStringEncode", F.concat(F.lit("<"), c, F.lit(">"))).alias("xml"), t("String", "ArrayByDelimiter", c, " ").alias("parts"), t("String", "Trim", F.concat(F.lit(" \t"), c, F.lit("\n "))).alias("trimmed"),
-        (t("String", "StartsWithList", F.col("p_brand"), ["BRAND#5"], True) | (F.lower("p_brand") == "brand#13")).alias("listed"),
+        t("String", "StartsWithList", F.col("p_brand"), ["BRAND#5", "brand#13"], True).alias("listed"),
     )
 
 
@@ -602,13 +549,20 @@ def realtime_forecasts(spark, sf_dir):
  g AS (SELECT user_id, count(*) AS n, sum(value) AS s, min(value) AS lo, max(value) AS hi, avg(value) AS mean, stddev_pop(value) AS sd, max(value) FILTER (k = 1) AS x, median(value) FILTER (k <= 3) AS mid FROM r GROUP BY 1)
  SELECT CAST(user_id AS VARCHAR) AS key, n AS count, round(s, 4) AS sum, lo AS min, hi AS max, round(mean, 9) AS avg, round(mid, 9) AS median, sd > 0 AND abs(x - mean) > 3 * sd AS outlier FROM g""")
 def realtime_stream(spark, sf_dir):
-    """A stream over the events file, run to its end, as the table that it wrote."""
-    import uuid
-
-    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp"
-    at = f"{shared}/quern-stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = rt.realtime(stream, "user_id", "value", "event_id").writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).outputMode("append").start(f"{at}/out")
-    out.awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("key", "count", F.round("sum", 4).alias("sum"), "min", "max", F.round("avg", 9).alias("avg"), F.round("median", 9).alias("median"), "outlier")
+    """A stream over the events, be they a file or a folder of them, run to its end, as the table that it wrote."""
+    source = f"{sf_dir}/events.parquet"
+    schema, at = spark.read.parquet(source).schema, shared_path(spark, "stream")
+    stream = spark.readStream.schema(schema).parquet(*_folder(spark, source))
+    out = rt.realtime(stream, "user_id", "value", "event_id")
+    kind = out.schema
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).outputMode("append").start(f"{at}/out")
+    run.awaitTermination()
+    got = spark.read.schema(kind).parquet(f"{at}/out")
+    return got.select("key", "count", F.round("sum", 4).alias("sum"), "min", "max", F.round("avg", 9).alias("avg"), F.round("median", 9).alias("median"), "outlier")
+
+
+def _folder(spark, path: str) -> list[str]:
+    """What a stream reads: a folder as it is, a file by a pattern that only it has."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    one = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    return [path.replace("events.parquet", "{events.parquet}")] if one else [path]

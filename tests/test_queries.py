@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from quern.plans.queries import ORACLE, QUERIES
+from quern.plans.catalogue import ORACLE, QUERIES
 
 DIR = os.environ.get("QUERN_TEST_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
