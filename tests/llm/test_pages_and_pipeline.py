@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import json
 import os
@@ -145,13 +146,64 @@ def test_warc(spark, tmp_path, compression):
 
 
 def test_chain():
-    data = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 60\r\n\r\n" + b"WARC/1.0\r\nContent-Length: 2\r\n\r\nab\r\n\r\n".ljust(60, b".") + b"\r\n\r\n"
-    two = data + b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\nq\r\n\r\n"
-    at, to, _ = warc.candidates(two)
-    assert len(at) == 3 and warc.reachable(at, to).tolist() == [True, False, True]
-    assert [b for _, b in warc.records_of(two)][1] == b"q" and list(warc.records_of(b"")) == []
+    at, to = np.array([0, 30, 60, 100, 140]), np.array([60, 60, 100, 140, 200])
+    assert warc.reachable(at, to).tolist() == [True, False, True, True, True] and warc.reachable(at, to, 30).tolist() == [False, True, True, True, True]
+    assert warc.exits(at, to).tolist() == [200] * 5 and warc.exits(at, np.array([30, 61, 100, 150, 200])).tolist() == [61, 61, 150, 150, 200]
     n = 1000
-    assert warc.reachable(np.arange(n), np.arange(1, n + 1)).all()
+    assert warc.reachable(np.arange(n), np.arange(1, n + 1)).all() and not len(warc.reachable(np.zeros(0, int), np.zeros(0, int)))
+
+
+def record(block, kind="response", more="", length=None):
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\n{more}Content-Length: {len(block) if length is None else length}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Records without an id or type, magic inside payloads, members a record, damage, and files without records."""
+    inner = record(b"inner", more="WARC-Record-ID: <urn:x:in>\r\n")
+    good = [record(b"one", "warcinfo"), record(b"HTTP/1.1 200 OK\r\n\r\nbody " + inner + b" rest", more="WARC-Record-ID: <urn:x:2>\r\nContent-Type: application/http\r\n"), record(b"", "metadata"), record(inner * 3, "resource")]
+    (tmp_path / "a.warc").write_bytes(b"".join(good))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, good)))
+    (tmp_path / "c.warc").write_bytes(good[0] + record(b"longer than said", length=4) + good[2])
+    (tmp_path / "d.warc").write_bytes(b"")
+    (tmp_path / "e.warc").write_bytes(b"no archive " + good[0])
+    (tmp_path / "f.warc").write_bytes(good[0] + record(b"cut", length=999)[:-4])
+    (tmp_path / "g.warc").write_bytes(b"".join(good)[:-4])
+    got = {}
+    for r in warc.read_warc(spark, f"file://{tmp_path}").collect():
+        got.setdefault(r["file"].rpartition("/")[2][0], []).append(r)
+    for rows in got.values():
+        rows.sort(key=lambda r: r["at"])
+    payloads = [b"one", b"body " + inner + b" rest", b"", inner * 3]
+    for name in "abg":
+        rows = got[name]
+        assert [r["payload"] for r in rows] == payloads and [r["status"] for r in rows] == ["ok"] * 4 and rows[1]["record_id"] == "urn:x:2" and rows[0]["record_id"] is None, name
+        assert [r["at"] for r in rows] == np.cumsum([0, *map(len, good)])[:4].tolist()
+    assert [r["status"] for r in got["c"]] == ["ok", "ok", "broken"] and [r["status"] for r in got["f"]] == ["ok", "broken"] and "d" not in got and "e" not in got
+
+
+def test_a_file_of_many_tasks(spark, tmp_path):
+    """An archive that is no stream is read in ranges; chains go on from range to range, over magic in payloads."""
+    r = random.Random(9)
+    blocks = [r.randbytes(r.randint(0, 3000)) + r.choice((b"", b"", b"\r\n\r\nWARC/1.0\r\nContent-Length: 9\r\n\r\n" + b"x" * 40, record(b"y" * 5000))) for _ in range(200)]
+    (tmp_path / "long.warc").write_bytes(b"".join(record(b, "resource", f"WARC-Record-ID: <urn:x:{i}>\r\n") for i, b in enumerate(blocks)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)
+    try:
+        assert warc.fragments(spark, f"file://{tmp_path}").rdd.getNumPartitions() > 5
+        got = {int(r["record_id"].removeprefix("urn:x:")): r for r in warc.read_warc(spark, f"file://{tmp_path}").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {i: bytes(r["payload"]) for i, r in got.items()} == dict(enumerate(blocks)) and {r["status"] for r in got.values()} == {"ok"}
+
+
+def test_warc_without_pages_and_with_long_ones(spark, tmp_path):
+    long = "é" * 3_000_000
+    warc.write_warc(pages(spark, []), f"file://{tmp_path}/none")
+    assert warc.read_warc(spark, f"file://{tmp_path}/none").collect() == []
+    clash = pages(spark, [(1, None, long), (2, None, long), (None, None, None)]).withColumnsRenamed({"text": "digest"}).withColumns({"n": F.lit(1), "first": F.lit(2), "body": F.lit(3), "id": F.lit(4)})
+    warc.write_warc(clash, f"file://{tmp_path}/long")
+    got = sorted((r["record_id"], r["payload_bytes"], r["record_type"], r["refers"]) for r in warc.read_warc(spark, f"file://{tmp_path}/long", payloads=False).collect())
+    assert got == [("", 0, "response", None), ("1", 6_000_000, "response", None), ("2", 6_000_000, "revisit", "1")]
 
 
 ITEM = "If Alice has 12 apples and gives 5 apples to Bob while 12 birds watch, how many apples are left with her now?"
