@@ -409,9 +409,8 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], _NAMES)
 
 
-def sort_cores(batches, most: int):
-    """Of rows of _CONTEXT that are sorted by key: windows that a smaller document has (text null, their places in at),
-    and the contexts of cores that more than most rows have, as rows of the nodes of their halves."""
+def sort_cores(batches):
+    """Of rows of _CONTEXT that are sorted by key: windows that a smaller document has, as rows with their places in at."""
     block: list[list[tuple]] = []  # whole groups
     out: list[tuple] = []
     size = 0
@@ -425,42 +424,25 @@ def sort_cores(batches, most: int):
             for k, start in c:
                 if rows[k][1] > least:
                     late.setdefault(k, []).append(start)
-        for k, starts in late.items():
-            out.append((None, rows[k][1], None, None, None, [x + s for s in starts for x in rows[k][5]], None))
-
-    def pass_on(r: tuple) -> None:
-        _, doc, a, b, pre, at, text = r
-        for key, c, d, p, start, part in split_nodes(text, pre + a, halves(a, b)):
-            out.append((key, doc, c, d, p, [x + start for x in at], part))
+        out.extend((None, rows[k][1], None, None, None, [x + s for s in starts for x in rows[k][5]], None) for k, starts in late.items())
 
     group: list[tuple] = []
-    crowded = False
 
     def close() -> None:
-        nonlocal size, group
-        if len(group) > 1 and not crowded:
-            block.append(group)
+        nonlocal size
+        if len(group) > 1:
+            block.append(list(group))
             size += sum(len(r[6]) + 1 for r in group)
             if size >= BLOCK:
                 run()
                 size = 0
-        group = []
+        group.clear()
 
-    last = None
     for batch in batches:
         for r in zip(*(batch.column(n).to_pylist() for n in _NAMES)):
-            if r[0] != last:
+            if group and r[0] != group[0][0]:
                 close()
-                last, crowded = r[0], False
-            if crowded:
-                pass_on(r)
-            elif r[2] < r[3] and len(group) >= most:
-                crowded = True
-                for g in (*group, r):
-                    pass_on(g)
-                group = []
-            else:
-                group.append(r)
+            group.append(r)
             if len(out) >= 5000:
                 yield _batch(out)
                 out.clear()
@@ -469,6 +451,16 @@ def sort_cores(batches, most: int):
     yield _batch(out)
 
 
+def split_cores(batches):
+    """Rows of _CONTEXT as those of the halves of their nodes."""
+    for batch in batches:
+        out = []
+        for _, doc, a, b, pre, at, text in zip(*(batch.column(n).to_pylist() for n in _NAMES)):
+            for key, c, d, p, start, part in split_nodes(text, pre + a, halves(a, b)):
+                out.append((key, doc, c, d, p, [x + start for x in at], part))
+        yield _batch(out)
+
+
 def removed_windows(docs: DataFrame, most: int | None = None) -> DataFrame:
     """Rows (doc, at, more): runs of more + 1 windows from byte at on that an earlier document has. docs: doc, text."""
     spark = docs.sparkSession
@@ -509,16 +501,18 @@ def removed_windows(docs: DataFrame, most: int | None = None) -> DataFrame:
     n = max(8, spark.sparkContext.defaultParallelism, buckets // 4)
     late = []
     while True:
-        by_key = contexts.where("a < b").repartition(n, "key").sortWithinPartitions("key")
-        got = written(by_key.mapInArrow(lambda batches: sort_cores(batches, most), _CONTEXT), "cores")
-        late.append(got.where("text IS NULL").select("doc", "at"))
-        single = contexts.where("a = b").select("doc", "at", "text")  # a node of one window: equal cores are equal windows
-        if single.limit(1).count():
+        wide, single = contexts.where("a < b"), contexts.where("a = b")
+        if single.limit(1).count():  # a node of one window: equal cores are equal windows
             first = written(single.groupBy("text").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("text", "first"), "first")
             late.append(single.join(first.hint("merge"), "text").where("doc > first").select("doc", "at"))
-        contexts = got.where("text IS NOT NULL")
-        if not contexts.limit(1).count():
+        # crowded cores never meet in a task: their rows are split where they are
+        crowded = written(wide.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"), "crowded")
+        more = crowded.limit(1).count() > 0
+        few = wide.join(crowded.hint("merge"), "key", "left_anti").select(*_NAMES) if more else wide
+        late.append(written(few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(sort_cores, _CONTEXT).select("doc", "at"), "late"))
+        if not more:
             break
+        contexts = written(wide.join(crowded.hint("merge"), "key", "left_semi").select(*_NAMES).mapInArrow(split_cores, _CONTEXT), "contexts")
     for x in late:
         settled = settled.unionAll(x.select("doc", "at", F.transform("at", lambda _: F.lit(0)).alias("more")))
     return settled
