@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import formats, registry, text
 from ..operators import arrays, indicators, learn, matrix
@@ -98,8 +97,6 @@ def typed_join(spark, sf_dir):
 
 # --- statistics
 
-_V = "CAST(l_quantity AS DOUBLE)"
-
 
 @query("SELECT l_returnflag, round(avg(l_quantity), 6) AS avg, min(l_quantity) AS min, max(l_quantity) AS max, round(sum(l_quantity), 4) AS sum, max(l_quantity) - min(l_quantity) AS range, round(var_pop(l_quantity), 6) AS variance, round(stddev_pop(l_quantity), 6) AS std_dev, round(var_samp(l_quantity), 6) AS sample_variance, round(stddev_samp(l_quantity), 6) AS sample_std_dev, median(l_quantity) AS median, round(skewness(l_quantity) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1)), 6) AS skew FROM lineitem GROUP BY 1")
 def stats_summary(spark, sf_dir):
@@ -166,9 +163,6 @@ def stats_autocovariance(spark, sf_dir):
     return out.select("user_id", F.round("autocovariance", 5).alias("autocovariance"), F.round("autocorrelation", 6).alias("autocorrelation"))
 
 
-_POINTS = "SELECT n_nationkey AS id, [CAST(n_nationkey AS DOUBLE), CAST(n_regionkey AS DOUBLE)] AS p FROM nation"
-
-
 def _points(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.array("n_nationkey", "n_regionkey").alias("p"))
 
@@ -179,7 +173,7 @@ def points_distances(spark, sf_dir):
 
 
 for _e in ("min", "max"):
-    QUERIES[f"points_{_e}_distances"] = lambda spark, sf_dir, e=_e: st.distances(_points(spark, sf_dir), "id", "p", e).withColumn("distance", F.round("distance", 6))
+    QUERIES[f"points_{_e}_distances"] = lambda spark, sf_dir, e=_e: st.distances(_points(spark, sf_dir), "id", "p", e).select("i", "j", F.round("distance", 6).alias("distance"))
     ORACLE[f"points_{_e}_distances"] = f"WITH d AS ({ORACLE['points_distances']}) SELECT * FROM d WHERE distance = (SELECT {_e}(distance) FROM d)"
 
 

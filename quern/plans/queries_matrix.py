@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import arrays, matrix
 from ..operators import statistics as st
-from .queries import _A, _M, _M3, _matrix, _matrix3, query, table
+from .queries import _M, _M3, ORACLE, QUERIES, _matrix, _matrix3, query, table
 
 
 def _labelled(results: dict[str, DataFrame]) -> DataFrame:
@@ -159,9 +159,6 @@ def matrix_singular_values(spark, sf_dir):
 
 # --- vectors and points
 
-_ORDERED = "F.transform(F.array_sort(F.collect_list(F.struct('o_orderkey', 'o_totalprice'))), lambda s: s['o_totalprice'])"
-
-
 def _vectors(spark, sf_dir) -> DataFrame:
     sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))), lambda s: F.floor(s["o_totalprice"] / 1000).cast("double"))
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(sorted_.alias("a")).where(F.size("a") >= 4)
@@ -200,16 +197,13 @@ def _grid(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(k.alias("id"), F.array((k % 7).cast("double"), F.col("n_regionkey").cast("double"), k.cast("double")).alias("p"))
 
 
-for _e in ("min", "max"):
+def _extreme(which: str):
+    return lambda spark, sf_dir: st.distances(_grid(spark, sf_dir), "id", "p", which, [0, 1]).withColumn("distance", F.round("distance", 6))
 
-    @query(f"WITH {_POINTS}, d AS (SELECT a.id AS i, b.id AS j, round(sqrt(power(a.p[1] - b.p[1], 2) + power(a.p[2] - b.p[2], 2)), 6) AS distance, a.p, b.p AS q FROM p a JOIN p b ON a.id < b.id) SELECT * FROM d WHERE distance = (SELECT {_e}(distance) FROM d)")
-    def extreme(spark, sf_dir, e=_e):
-        return st.distances(_grid(spark, sf_dir), "id", "p", e, [0, 1]).withColumn("distance", F.round("distance", 6))
 
-    from .queries import ORACLE, QUERIES
-
-    for registry in (ORACLE, QUERIES):
-        registry[f"points_{_e}_distances_of_columns"] = registry.pop("extreme")
+for _e in ("min", "max"):
+    QUERIES[f"points_{_e}_distances_of_columns"] = _extreme(_e)
+    ORACLE[f"points_{_e}_distances_of_columns"] = f"WITH {_POINTS}, d AS (SELECT a.id AS i, b.id AS j, round(sqrt(power(a.p[1] - b.p[1], 2) + power(a.p[2] - b.p[2], 2)), 6) AS distance, a.p, b.p AS q FROM p a JOIN p b ON a.id < b.id) SELECT * FROM d WHERE distance = (SELECT {_e}(distance) FROM d)"
 
 
 @query("""SELECT 'l_quantity' AS i, 'l_extendedprice' AS j, round(corr(l_quantity, l_extendedprice), 6) AS r, count(*) AS n, round(sum(l_quantity), 2) AS sum_i FROM lineitem
