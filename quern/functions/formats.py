@@ -130,6 +130,14 @@ def html_table(rows: Column, header: bool = False) -> Column:
     return F.concat(F.lit("<table>"), F.array_join(F.transform(rows, line), ""), F.lit("</table>"))
 
 
+def array_of(df: DataFrame, column: str) -> Column:
+    """A column that must hold arrays; an error for any other."""
+    kind = df.schema[column].dataType.simpleString()
+    if not kind.startswith("array<"):
+        raise ValueError(f'"{column}" is no array but {kind}')
+    return F.col(column)
+
+
 def json_lines(array: Column) -> Column:
     """A line of JSON an entry; null entries are null lines."""
     one = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
@@ -148,7 +156,7 @@ def header(df: DataFrame, delimiter: str = ",") -> str:
 
 def messages(df: DataFrame, array: str, most: int = 1000, id_col: str | None = None) -> DataFrame:
     """A row an entry, numbered; an error for an array of more than most entries."""
-    guarded = F.when(F.size(array) > most, F.raise_error(F.lit("too many messages"))).otherwise(F.col(array))
+    guarded = F.when(F.size(array_of(df, array)) > most, F.raise_error(F.lit("too many messages"))).otherwise(F.col(array))
     keep = [c for c in df.columns if c != array]
     out = df.select(*keep, F.posexplode(guarded).alias("index", "value"))
     return out if id_col is None else out.withColumn("message_id", F.concat_ws(":", F.col(id_col).cast("string"), "index"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import decisions as de
 from ..operators import indicators, learn
+from ..operators import statistics as st
+from ..sources.shared import shared_path
 from ..streaming import realtime as rt
-from .queries import _LATEST, _PRICES, _SMOOTHED, _WIN, _graph, _latest, _prices, query, table
+from .queries import _LATEST, _PRICES, _SMOOTHED, _WIN, _folder, _graph, _latest, _prices, query, table
 
 _T = """t AS (SELECT conv_id, turn, coalesce(text, '') AS t, regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+') AS w FROM conversations),
  s AS (SELECT conv_id, turn, t, CAST(length(t) AS INTEGER) AS length, CAST(len(w) AS INTEGER) AS word_count, CAST(len(regexp_extract_all(t, '[.!?]+')) AS INTEGER) AS sentence_count, contains(t, '?') AS has_question, contains(t, '!') AS has_exclamation, regexp_matches(t, '[0-9]') AS has_numbers,
@@ -225,3 +227,14 @@ def realtime_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     label = lambda kind, df: df.select(F.lit(kind).alias("kind"), "user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
     return label("session", rt.sessions(e, "ts", "1 hour", ["user_id"])).unionAll(label("tumbling", rt.tumbling(e, "ts", "6 hours", ["user_id"])))
+
+
+@query("SELECT user_id, count(value) AS n, round(corr(value, event_id), 6) AS r FROM events GROUP BY 1 HAVING count(*) > 2")
+def realtime_pearson(spark, sf_dir):
+    """Pearson's sums kept by a stream over the events, run to its end."""
+    source, at = f"{sf_dir}/events.parquet", shared_path(spark, "pearson")
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(*_folder(spark, source))
+    sums = stream.groupBy("user_id").agg(F.count("value").alias("n"), F.round(st.pearson(F.col("value"), F.col("event_id")), 6).alias("r"))
+    run = sums.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{at}/out")).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{at}/out").where("n > 2")

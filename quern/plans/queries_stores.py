@@ -179,3 +179,30 @@ def checks_values(spark, sf_dir):
     e = checks.deep_equal
     rows = [("number", e(1.001, 1.0, 0.01)), ("beyond", e(1.1, 1.0, 0.01)), ("nested", e({"a": [1, {"b": 2.0}]}, {"a": [1, {"b": 2.01}]}, 0.01)), ("infinite", e(float("inf"), "Infinity")), ("nan", e("NaN", float("nan"))), ("text", e("1", 1)), ("pattern", checks.matches("abc", "^a.c$"))]
     return spark.createDataFrame(rows, T.StructType([T.StructField("what", T.StringType()), T.StructField("equal", T.BooleanType())]))
+
+
+@query("""SELECT 'listed' AS what, unnest(['a.txt', 'b.txt', 'sub']) AS name, unnest([12, 5, 0]) AS size UNION ALL SELECT 'below', unnest(['a.txt', 'b.txt', 'c.txt']), unnest([12, 5, 5]) UNION ALL SELECT 'matched', 'b.txt', 5
+ UNION ALL SELECT 'read', 'lo, w', 5 UNION ALL SELECT 'cut', 'hel', 3 UNION ALL SELECT 'gone', 'false', 0 UNION ALL SELECT 'dated', '86400000', 0 UNION ALL SELECT 'mode', 'rw-r-----', 0""")
+def files_and_folders(spark, sf_dir):
+    """Written, appended to, copied, renamed, listed, cut and removed."""
+    from ..sources.files import Files
+
+    f = Files(spark)
+    at = f.temporary_folder(shared_path(spark, "files-"))
+    f.make_folder(f"{at}/sub")
+    f.write(f"{at}/a.txt", b"hello")
+    f.copy(f"{at}/a.txt", f"{at}/x.txt")
+    f.copy(f"{at}/a.txt", f"{at}/sub/c.txt")
+    f.rename(f"{at}/x.txt", f"{at}/b.txt")
+    f.append(f"{at}/a.txt", b", world")
+    f.set_times(f"{at}/b.txt", 86_400_000)
+    f.set_mode(f"{at}/b.txt", "640")
+    size = F.when(F.col("folder"), 0).otherwise(F.col("size")).cast("int").alias("size")
+    label = lambda what, df: df.select(F.lit(what).alias("what"), "name", size)
+    out = label("listed", f.list(at)).unionAll(label("below", f.list(at, recursive=True))).unionAll(label("matched", f.glob(f"{at}/b*")))
+    rows = [("read", f.read(f"{at}/a.txt", 3, 5).decode(), 5)]
+    f.truncate(f"{at}/a.txt", 3)
+    stat = f.stat(f"{at}/b.txt")
+    rows += [("cut", f.read(f"{at}/a.txt").decode(), f.stat(f"{at}/a.txt")["size"]), ("dated", str(stat["modified"]), 0), ("mode", stat["mode"], 0)]
+    f.remove(at, recursive=True)
+    return out.unionAll(spark.createDataFrame([*rows, ("gone", str(f.exists(at)).lower(), 0)], "what string, name string, size int"))

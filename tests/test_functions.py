@@ -84,6 +84,11 @@ def test_workbook_objects():
     assert book["Sheets"]["s"]["C1"] == {"t": "n", "v": 1.5} and book["Sheets"]["s"]["!ref"] == "A1:C2" and formats.workbook_rows(book) == {"s": [["a", None, 1.5], [True, None, None]], "none": []}
 
 
+def test_messages_need_an_array(spark):
+    with pytest.raises(ValueError, match="no array"):
+        formats.messages(spark.createDataFrame([(1, "x")], "id int, a string"), "a")
+
+
 def test_messages(spark):
     df = spark.createDataFrame([(1, [5, 6])], "id int, a array<int>")
     assert [tuple(r) for r in formats.messages(df, "a", id_col="id").collect()] == [(1, 0, 5, "1:0"), (1, 1, 6, "1:1")]
