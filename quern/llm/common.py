@@ -1,26 +1,18 @@
-"""Small pieces that several operators share: the shared folder, written intermediates, edges to components."""
+"""Small pieces that several operators share: written intermediates and their removal, edges to components."""
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quern.shared.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("quern.shared.dir", path)
-    return path.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/quern-{what}-{uuid.uuid4().hex}"
+#: Tables that the operator at work has written.
+_SCRATCH: contextvars.ContextVar[list | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -29,6 +21,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quern_path = path
+    if (held := _SCRATCH.get()) is not None:
+        held.append(out)
     return out
 
 
@@ -41,6 +35,28 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def scratch():
+    """Deletes, at its end, all that was written within, but for what keep(df) was called with: tables that a result reads."""
+    held: list[DataFrame] = []
+    kept: list[str] = []
+    outer = _SCRATCH.set(held)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._quern_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(outer)
+        for df in held:
+            if df._quern_path not in kept:
+                forget(df)
+            elif (above := _SCRATCH.get()) is not None:
+                above.append(df)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

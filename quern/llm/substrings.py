@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .common import table, written
+from .common import scratch, table, written
 from .quality import _BYTE, _mix, _powers, string_slices
 
 LENGTH, GRAM = 50, 24
@@ -537,7 +537,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     """
     all_ = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     named = all_.where(F.col("doc").isNotNull()).withColumn("doc", F.col("doc").cast("bigint"))
-    windows = removed_windows(named).groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("more")).alias("more"))
+    with scratch() as keep:
+        windows = keep(written(removed_windows(named), "removed")).groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("more")).alias("more"))
 
     def finish(texts: pa.Array, at: pa.Array, more: pa.Array) -> pa.Array:
         rows = []

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, table, written
+from ..sources.shared import shared_path
+from .common import scratch, table, written
 
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 LEAST = 100
@@ -215,41 +216,42 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     No task holds more than a range's offsets and one record's bytes. Records whose payload has a separator are put together
     from their fragments by a second reading.
     """
-    all_ = candidates(spark, path, payloads)
-    ranges = all_.where("status = 'range'").select("file", "block", "to")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = written(ranges.select("file", "block", F.coalesce(F.sum("to").over(before), F.lit(0)).alias("base"), F.max("block").over(Window.partitionBy("file")).alias("last"), "to"), "warc-ranges")
-    based = ranges.select("file", "block", "base", (F.col("base") + F.col("to")).alias("end"), (F.col("block") == F.col("last")).alias("final"))
-    found = all_.where("status <> 'range'").join(based.hint("shuffle_hash"), ["file", "block"])
-    found = found.withColumns({"at": F.col("at") + F.col("base"), "to": F.col("to") + F.col("base")}).drop("base")
-    enter = entries(found.select("file", "block", "at", "to"), ranges).withColumn("entry", F.lit(True))
-    found = found.join(enter.hint("merge"), ["file", "at"], "left").select(*_FIELDS, "end", "final", "entry")
-
-    def keep(key, t):
-        t = t.sort_by("at")
-        at, to = (t[k].to_numpy() for k in ("at", "to"))
-        start = np.flatnonzero(t["entry"].to_numpy(zero_copy_only=False) == True)  # noqa: E712
-        if not len(start):
-            return t.select(list(_FIELDS)).slice(0, 0)
-        on = reachable(at, to, int(at[start[0]]))
-        last, end, final = int(np.flatnonzero(on)[-1]), t["end"][0].as_py(), t["final"][0].as_py()
-        # a range's end counts a separator, which the last one's hasn't; a file may end with or without the last gap
-        over = int(to[last]) - (end - len(_GAP) - len(_MAGIC))
-        stop = int(to[last]) if over <= len(_GAP) or not final else int(at[last])
-        on[last] &= stop == to[last]
-        out = t.select(list(_FIELDS)).filter(pa.array(on))
-        if over not in (0, len(_GAP)) if final else over < len(_GAP):
-            lost = _batch([{"file": key[0].as_py(), "block": key[1].as_py(), "at": stop, "status": "broken"}])
-            out = pa.concat_tables([out, pa.Table.from_batches([lost])])
-        return out
-
-    kept = found.groupBy("file", "block").applyInArrow(keep, _ROWS)
-    kept = written(kept, "warc-records")
-    result = [c for c in _FIELDS if c not in ("block", "to")]
-    out = kept.where("status <> 'spans'").select(*result)
-    spans = kept.where("status = 'spans'")
-    if spans.limit(1).count():
-        out = out.unionAll(_together(spark, path, spans, ranges.select("file", "block", "base"), payloads).select(*result))
+    with scratch() as keep:
+        all_ = candidates(spark, path, payloads)
+        ranges = all_.where("status = 'range'").select("file", "block", "to")
+        before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = keep(written(ranges.select("file", "block", F.coalesce(F.sum("to").over(before), F.lit(0)).alias("base"), F.max("block").over(Window.partitionBy("file")).alias("last"), "to"), "warc-ranges"))
+        based = ranges.select("file", "block", "base", (F.col("base") + F.col("to")).alias("end"), (F.col("block") == F.col("last")).alias("final"))
+        found = all_.where("status <> 'range'").join(based.hint("shuffle_hash"), ["file", "block"])
+        found = found.withColumns({"at": F.col("at") + F.col("base"), "to": F.col("to") + F.col("base")}).drop("base")
+        enter = entries(found.select("file", "block", "at", "to"), ranges).withColumn("entry", F.lit(True))
+        found = found.join(enter.hint("merge"), ["file", "at"], "left").select(*_FIELDS, "end", "final", "entry")
+
+        def on_chain(key, t):
+            t = t.sort_by("at")
+            at, to = (t[k].to_numpy() for k in ("at", "to"))
+            start = np.flatnonzero(t["entry"].to_numpy(zero_copy_only=False) == True)  # noqa: E712
+            if not len(start):
+                return t.select(list(_FIELDS)).slice(0, 0)
+            on = reachable(at, to, int(at[start[0]]))
+            last, end, final = int(np.flatnonzero(on)[-1]), t["end"][0].as_py(), t["final"][0].as_py()
+            # a range's end counts a separator, which the last one's hasn't; a file may end with or without the last gap
+            over = int(to[last]) - (end - len(_GAP) - len(_MAGIC))
+            stop = int(to[last]) if over <= len(_GAP) or not final else int(at[last])
+            on[last] &= stop == to[last]
+            out = t.select(list(_FIELDS)).filter(pa.array(on))
+            if over not in (0, len(_GAP)) if final else over < len(_GAP):
+                lost = _batch([{"file": key[0].as_py(), "block": key[1].as_py(), "at": stop, "status": "broken"}])
+                out = pa.concat_tables([out, pa.Table.from_batches([lost])])
+            return out
+
+        kept = found.groupBy("file", "block").applyInArrow(on_chain, _ROWS)
+        kept = keep(written(kept, "warc-records"))
+        result = [c for c in _FIELDS if c not in ("block", "to")]
+        out = kept.where("status <> 'spans'").select(*result)
+        spans = kept.where("status = 'spans'")
+        if spans.limit(1).count():
+            out = out.unionAll(_together(spark, path, spans, ranges.select("file", "block", "base"), payloads).select(*result))
     return out
 
 
