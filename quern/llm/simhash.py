@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .common import components, forget, table, written
+from .common import components, scratch, table, written
+from .quality import SLICE, string_slices
 
 SHINGLE, TAU, GROUPS, SEED = 3, 2, 3, 42
 #: Up to this many candidates the plain thresholds (0, 0, 0) can't be beaten: any other choice probes more keys.
@@ -57,7 +58,7 @@ def fingerprint_of(text: str | None, k: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", k: int = SHINGLE) -> DataFrame:
     """docs with a signed 64-bit fingerprint of the whole text. Null and wordless texts have fingerprint 0."""
-    f = arrow_udf(lambda texts: pa.array([fingerprint_of(t, k) for t in texts.to_pylist()], pa.int64()), "bigint")
+    f = arrow_udf(lambda texts: pa.array([fingerprint_of(t, k) for i, j, _, _ in string_slices(texts, SLICE) for t in texts.slice(i, j - i).to_pylist()], pa.int64()), "bigint")
     return docs.withColumn(out, f(F.col(text).cast("string")))
 
 
@@ -116,13 +117,14 @@ def _cheapest(costs: list[dict[int, Column]], total: int) -> Column:
 
 
 def links(fps: DataFrame, tau: int = TAU, m: int = GROUPS, plain: int = PLAIN, most: int = MOST) -> DataFrame:
-    """Pairs (a, b) whose classes are those of all pairs of fps.fp (distinct) that differ in at most tau = 2 bits.
+    """Pairs (a, b) whose classes are those of all pairs of fps.fp (distinct) that differ in at most tau bits, 1 or 2, by m
+    groups, tau + 1 of them.
 
-    Every emitted pair is verified to differ in at most two bits. Pairs inside dense families may be left out where
-    others connect the same fingerprints, so the connected components are exact.
+    Every emitted pair is verified to differ in at most two bits, at tau = 1 in one. At tau = 2, pairs inside dense families
+    may be left out where others connect the same fingerprints, so the connected components are exact.
     """
-    if tau != 2:
-        raise ValueError("the way over points one bit away needs tau = 2")
+    if tau not in (1, 2) or m != tau + 1:
+        raise ValueError("the way over points one bit away needs tau = 1 or 2, and a group more")
     groups = bit_groups(correlation(fps), m)
     masks = [_signed(sum(1 << b for b in g)) for g in groups]
     index = written(fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("g"), F.col("fp").bitwiseAND(F.lit(k)).alias("key")) for i, k in enumerate(masks)))).alias("s")).select("fp", "s.*"), "signatures")
@@ -156,6 +158,10 @@ def links(fps: DataFrame, tau: int = TAU, m: int = GROUPS, plain: int = PLAIN, m
     pairs = pairs.unionAll(asked.join(target.hint("merge"), ["g", "key"]).where("a <> b").where(near("a", "b")).select("a", "b"))
 
     dense = chosen.where(F.col("cost") > most)
+    if tau == 1:  # the points one bit away are the others, where they are fingerprints
+        beside = dense.select(F.col("fp").alias("a"), F.explode(F.array(*(F.lit(_signed(1 << b)) for b in range(64)))).alias("flip"))
+        met = beside.select("a", F.col("a").bitwiseXOR(F.col("flip")).alias("b")).join(fps.select(F.col("fp").alias("b")).hint("merge"), "b").select("a", "b")
+        return pairs.unionAll(met)
     points = F.array(F.lit(0).cast("bigint"), *(F.lit(_signed(1 << b)) for b in range(64)))
     met = dense.select("fp", F.explode(points).alias("flip")).groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("point")).agg(F.array_sort(F.collect_list("fp")).alias("all"))
     met = met.where(F.size("all") > 1).select(F.col("all")[0].alias("a"), F.explode(F.slice("all", 2, 64)).alias("b"))
@@ -170,26 +176,126 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     is answered too, but never names a component unless its class has no other. An empty table gives an empty result.
     Only id_col and text are read, so other columns can't clash.
     """
-    fp = written(fingerprints(docs.select(id_col, text), text, "fp", k).select(id_col, "fp"), "fingerprints")
-    classes = written(fp.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
-    pairs = links(classes.select("fp")).distinct()
-    reps = classes.where(F.col("rep").isNotNull())
-    e = pairs.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")).hint("merge"), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")).hint("merge"), "b")
-    named = components(e.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    labels = classes.join(named.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    with scratch() as keep:
+        fp = keep(written(fingerprints(docs.select(id_col, text), text, "fp", k).select(id_col, "fp"), "fingerprints"))
+        classes = written(fp.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
+        pairs = links(classes.select("fp")).distinct()
+        reps = classes.where(F.col("rep").isNotNull())
+        e = pairs.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")).hint("merge"), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")).hint("merge"), "b")
+        named = components(e.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        labels = classes.join(named.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+        labels = keep(written(labels, "labels"))
     return fp.join(labels.hint("merge"), "fp").select(id_col, "fp", "component_id")
 
 
+# --- near-duplicates by similarity: fingerprints of windows propose, shingles decide
+
+#: Words in a shingle, the least similarity of near-duplicates, windows of a document and words in one.
+WORDS, SIMILAR, WINDOWS, SPAN = 5, 0.8, 6, 24
+
+
+def window_prints(text: str | None, k: int = WORDS, windows: int = WINDOWS, span: int = SPAN) -> tuple[list[int], int]:
+    """(fingerprints, distinct shingles): of the windows of span words that begin at the least shingle hashes, so that copies
+    with other words in some places share most of them; of the whole text if it is no longer than that."""
+    hashes = shingle_hashes(text or "", k)
+    n, wide = len(hashes), span - k + 1
+    h = np.array(hashes, "<u8")
+    least, at = np.unique(h, return_index=True)
+    if n <= wide:
+        starts = [0]
+    else:
+        starts = sorted({min(int(i), n - wide) for i in at[:windows]})
+    prints = set()
+    for i in starts:
+        some = hashes[i : i + wide]
+        prints.add(int(np.packbits(bit_counts(some) * 2 > len(some), bitorder="little").view("<i8")[0]))
+    return sorted(prints), len(least)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets of shingle hashes; 1 of two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, similar: float = SIMILAR, windows: int = WINDOWS, span: int = SPAN) -> DataFrame:
+    """Per row with an id: id_col and component_id, the smallest id that links reach; linked texts are equal or have at
+    least similar of their distinct shingles of k words in common.
+
+    Equal texts are one, named by their smallest id. Fingerprints of some windows of each text are linked at 1 bit by the
+    generalised pigeonhole principle, whose two groups of 32 bits few other fingerprints share by chance. Texts with linked windows and sizes that similar allows are compared with the
+    smallest id among them, by all their shingles: no pairs of a group are made. Two similar texts are missed if no window
+    of both is linked, or if other texts stand between them in every one; tests hold the share to 0.9 at least. Null, empty
+    and wordless texts are equal texts. Rows that repeat an id are one document, of which the least text counts. An empty
+    table gives an empty result. Only id_col and text are read, so other columns can't clash.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def measure(texts: pa.Array) -> pa.Array:
+        rows = [window_prints(t, k, windows, span) for i, j, _, _ in string_slices(texts, SLICE) for t in texts.slice(i, j - i).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.int32())], ["prints", "n"])
+
+    with scratch() as keep:
+        named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+        measured = named.select("id", F.sha2("t", 256).alias("same"), arrow_udf(measure, "struct<prints:array<bigint>,n:int>")("t").alias("m"))
+        measured = measured.select("id", "same", "m.*")
+        one = written(measured.groupBy("id").agg(F.min(F.struct("same", "prints", "n")).alias("s")).select("id", "s.*"), "windows")
+        classes = written(one.groupBy("same").agg(F.min("id").alias("rep"), F.min(F.struct("prints", "n")).alias("s")).select("same", "rep", "s.*"), "texts")
+        prints = written(classes.select("rep", "n", F.explode("prints").alias("fp")), "prints")
+        # a window's classes are its own fingerprint and those linked to it, so windows that are linked share one
+        distinct = written(prints.select("fp").distinct(), "distinct")
+        near = written(links(distinct).distinct(), "linked")
+        near = near.select(F.col("a").alias("fp"), F.col("b").alias("class")).unionAll(near.select(F.col("b").alias("fp"), F.col("a").alias("class")))
+        of = prints.select("rep", "n", F.col("fp").alias("class")).unionAll(prints.join(near.hint("merge"), "fp").select("rep", "n", "class"))
+        # sizes within similar of each other share a cell of one of two grids at least
+        width = -2 * np.log(similar)
+        size = F.log(F.greatest(F.col("n"), F.lit(1))) / width
+        cells = of.select("rep", "n", "class", F.explode(F.array(F.floor(size), F.floor(size + 0.5) + (1 << 20))).alias("cell"))
+        cells = written(cells, "cells")
+        first = cells.groupBy("class", "cell").agg(F.min(F.struct("rep", "n")).alias("f"), F.count("*").alias("c")).where("c > 1")
+        first = written(first.select("class", "cell", F.col("f.rep").alias("first"), F.col("f.n").alias("m")), "firsts")
+        fits = F.least("n", "m") >= F.lit(similar) * F.greatest("n", "m")
+        pairs = written(cells.join(first.hint("merge"), ["class", "cell"]).where((F.col("rep") > F.col("first")) & fits).select("rep", "first").distinct(), "pairs")
+
+        def shingles(texts: pa.Array) -> pa.Array:
+            rows = [np.unique(np.array(shingle_hashes(t or "", k), "<u8")).view("<i8") for i, j, _, _ in string_slices(texts, SLICE) for t in texts.slice(i, j - i).to_pylist()]
+            return pa.array(rows, pa.list_(pa.int64()))
+
+        def compare(a: pa.Array, b: pa.Array) -> pa.Array:
+            whole = lambda x: np.sort(x.values.to_numpy(zero_copy_only=False).view("<u8"))
+            return pa.array([similarity(whole(x), whole(y)) for x, y in zip(a, b)], pa.float64())
+
+        ids = pairs.select(F.explode(F.array("rep", "first")).alias("id")).distinct().join(one.select("id", "same").hint("merge"), "id")
+        rows = named.withColumn("same", F.sha2("t", 256)).join(written(ids, "compared").hint("merge"), ["id", "same"], "left_semi").dropDuplicates(["id", "same"])
+        sets = written(rows.select("id", arrow_udf(shingles, "array<bigint>")("t").alias("s")), "shingles")
+        scored = pairs.join(sets.withColumnsRenamed({"id": "rep", "s": "a"}).hint("merge"), "rep").join(sets.withColumnsRenamed({"id": "first", "s": "b"}).hint("merge"), "first")
+        edges = scored.select("rep", "first", arrow_udf(compare, "double")("a", "b").alias("similarity")).where(F.col("similarity") >= similar)
+        named_by = components(edges.select(F.col("rep").alias("a"), F.col("first").alias("b")))
+        label = classes.join(named_by.withColumnsRenamed({"node": "rep", "component": "c"}).hint("merge"), "rep", "left").select("same", F.coalesce("c", "rep").cast(kind).alias("component_id"))
+        result = keep(written(one.select("id", "same").join(written(label, "labels").hint("merge"), "same").select(F.col("id").alias(id_col), "component_id"), "components"))
+    return result
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_groups(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id stays. Rows without an id stay.
-
-    Rows that repeat an id are one document and one row of them stays.
-    """
-    kept = simhash_groups(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept.hint("merge"), "doc_id", "left_semi")
-    return named.select(*docs.columns).dropDuplicates(["doc_id"]).unionAll(docs.where(F.col("doc_id").isNull()))
+    """Pipeline stage: of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the
+    smallest id stays. Rows without an id stay. Rows that repeat an id are one document, of which the row with the least
+    text, then the least other columns (by their hashes) stays, whatever the order they are read in. An empty table stays one."""
+    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    same, row = _fresh("same", docs.columns), _fresh("row", docs.columns)
+    marked = docs.where(F.col("doc_id").isNotNull()).withColumns({same: F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256), row: F.xxhash64(*docs.columns)})
+    least = marked.groupBy("doc_id").agg(F.min(F.struct(same, row)).alias("s")).select("doc_id", f"s.{same}", f"s.{row}")
+    least = written(least.join(kept.hint("merge"), "doc_id", "left_semi"), "kept")
+    named = marked.join(least.hint("merge"), ["doc_id", same, row], "left_semi").dropDuplicates(["doc_id", same, row])
+    return named.select(*docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+
+
+def _fresh(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name

@@ -245,21 +245,21 @@ def test_simhash(docs):
     assert got == plain.linked([(d, plain.fingerprint(t)) for d, t in ROWS])
 
 
-@pytest.mark.parametrize(("plain_cost", "most"), [(20, 130), (0, 130), (0, 0), (2, 40)])
-def test_links(spark, plain_cost, most):
-    """Families of near fingerprints, some dense, by each of the three ways."""
+@pytest.mark.parametrize(("plain_cost", "most", "far"), [(20, 130, 2), (0, 130, 2), (0, 0, 2), (2, 40, 2), (20, 130, 1), (0, 130, 1), (0, 0, 1)])
+def test_links(spark, plain_cost, most, far):
+    """Families of near fingerprints, some dense, by each of the three ways, at two bits and at one."""
     r = random.Random(7)
     fps = set()
     for size in (1, 1, 5, 60, 150):
         centre = r.getrandbits(64)
         fps |= {centre ^ sum(1 << b for b in r.sample(range(12 if size > 50 else 64), r.randint(0, 3))) for _ in range(size)}
     signed = [x - (1 << 64) if x >> 63 else x for x in sorted(fps)]
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), plain=plain_cost, most=most)
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), tau=far, m=far + 1, plain=plain_cost, most=most)
     pairs = edges.collect()
     mask = (1 << 64) - 1
-    assert all(((a & mask) ^ (b & mask)).bit_count() <= 2 for a, b in pairs)
+    assert all(((a & mask) ^ (b & mask)).bit_count() <= far for a, b in pairs)
     label = {r["node"]: r["component"] for r in components(edges).collect()}
-    want = plain.linked([(x, x & mask) for x in sorted(signed)])
+    want = plain.linked([(x, x & mask) for x in sorted(signed)], far)
     assert {x: label.get(x, x) for x in signed} == want
 
 
@@ -399,6 +399,26 @@ def test_language(spark):
     assert language.dictionaries(df.limit(0)) == {} and language.language_id(df, {}).first()["language"]["lang_pred"] == "und"
 
 
+def test_language_against_plain(spark):
+    """Sizes by a plain use of the compressor; what isn't a letter says nothing; very long texts count whole."""
+    r = random.Random(6)
+    dicts = {k: language.letters(" ".join(r.choice(v.split()) for _ in range(3000))) for k, v in (("de", "der die und ist nicht mit einer auch schön"), ("en", "the and is not with a also nice over"), ("fr", "le la et est pas avec une aussi"))}
+    texts = [None, "", "²½ ²", "Ⅷ ①", "\u0301", "the and 5² is", "der die", "la et pas", "x", "the " * 4000 + "der die und ist nicht mit einer " * 9000, *(t for _, t in ROWS)]
+    got = language.language_id(spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id int, text string, language string"), dicts).collect()
+    for row in got:
+        want, size = plain.language(texts[row["doc_id"]], dicts)
+        assert row["language"]["lang_pred"] == want, row["doc_id"]
+    by = {g["doc_id"]: g["language"]["lang_pred"] for g in got}
+    assert [by[i] for i in range(5)] == ["und"] * 5 and by[9] == "de"
+
+
+def test_language_sample(spark):
+    """A dictionary has a share of every sampled document, from anywhere in it."""
+    rows = [(i, "start " * 100 + "finish " * 100, "en") for i in range(300)] + [(i, "kurz", "de") for i in range(900, 903)]
+    got = language.dictionaries(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), docs=100, size=9000)
+    assert len(got["en"]) <= 9000 and got["en"].count(b"start") > 100 and got["en"].count(b"finish") > 100 and got["de"] == b"kurz kurz kurz"
+
+
 def test_language_held_out(spark):
     if not os.path.isdir(DIR.replace("0.001", "0.01")):
         pytest.skip("no tables")
@@ -407,6 +427,27 @@ def test_language_held_out(spark):
     assert {r["doc_id"] for r in got.select("doc_id").collect()} == {i for i in range(1000) if language.crc(i) == 2}
 
 
+def test_intermediates_go(spark, docs, tmp_path):
+    """What an operator wrote on its way is gone when it returns, but for what its result reads."""
+    from quern.llm import common
+
+    before = spark.conf.get("quern.shared.dir", None)
+    seen = []
+
+    def path(session, what):
+        seen.append(f"file://{tmp_path}/{what}-{len(seen)}")
+        return seen[-1]
+
+    original, common.shared_path = common.shared_path, path
+    try:
+        got = simhash.simhash_groups(docs)
+        left = {f"{tmp_path}/{x}" for x in os.listdir(tmp_path)}
+        assert len(seen) > 5 and len(left) == 2 and got.count() == len(ROWS)
+    finally:
+        common.shared_path = original
+    assert before == spark.conf.get("quern.shared.dir", None)
+
+
 # --- empty tables
 
 
