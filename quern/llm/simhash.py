@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         prints = written(classes.select("rep", "n", F.explode("prints").alias("fp")), "prints")
         # a window's classes are its own fingerprint and those linked to it, so windows that are linked share one
         distinct = written(prints.select("fp").distinct(), "distinct")
-        near = written(links(distinct).distinct(), "linked")
+        near = written(links(distinct, tau=1, m=2).distinct(), "linked")
         near = near.select(F.col("a").alias("fp"), F.col("b").alias("class")).unionAll(near.select(F.col("b").alias("fp"), F.col("a").alias("class")))
         of = prints.select("rep", "n", F.col("fp").alias("class")).unionAll(prints.join(near.hint("merge"), "fp").select("rep", "n", "class"))
         # sizes within similar of each other share a cell of one of two grids at least
