@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import zlib
 from collections.abc import Sequence
 
@@ -21,8 +22,8 @@ from .common import table, vocabulary, written
 
 CAPACITY, END = 1024, 2
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Branch-and-bound nodes at most; the best solution so far stands after that.
-NODES = 3000
+#: Branch-and-bound nodes at most; the best solution so far stands after that. Best fit ends branches of up to FEW pieces.
+NODES, FEW = 10_000, 64
 
 Bins = list[tuple[tuple[int, ...], int]]  # (lengths in the bin, how many such bins)
 
@@ -100,81 +101,139 @@ def best_fit(counts: Sequence[int], capacity: int) -> Bins:
     return [(tuple(g), m) for groups in open_.values() for g, m in groups]
 
 
-def fillings(room: int, counts: np.ndarray, width: int = 4) -> list[tuple[int, ...]]:
-    """Undominated fillings of room, least waste first: no other filling's items could hold theirs.
+def bound(counts: np.ndarray, capacity: int) -> int:
+    """Bins that counts by length need at least: Martello and Toth's L2, over all thresholds k. Lengths above capacity - k
+    are alone; the other large ones share with lengths of k to half, whose tokens beyond that room need bins of their own."""
+    n, tokens = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(counts * np.arange(capacity + 1))))
+    k = np.arange(1, capacity // 2 + 1)
+    half = capacity // 2
+    alone, large = n[-1] - n[capacity - k + 1], n[capacity - k + 1] - n[half + 1]
+    room = large * capacity - (tokens[capacity - k + 1] - tokens[half + 1])
+    rest = tokens[half + 1] - tokens[k]
+    return int(max((alone + large + np.maximum(0, -(-(rest - room) // capacity))).max(initial=0), -(-int(tokens[-1]) // capacity)))
 
-    A pair is dominated by the largest single length that fits unless it is longer; of the pairs with one length, that
-    with the longest partner dominates. Longer fillings take the best such end after each first length.
+
+def fillings(room: int, counts: np.ndarray):
+    """The undominated fillings of room by counts by length, lazily: least waste first, then fewest items, then longest.
+
+    One filling dominates another if its items could hold the other's, part by part. So a filling is passed over if an item
+    that is left fits into its waste, or could take the place of one to three of its items.
     """
     have = np.flatnonzero(counts[: room + 1] > 0)
     have = have[have > 0]
     if not len(have):
-        return [()]
-    fit = np.zeros(room + 1, np.int64)  # the longest length there is that fits
-    fit[have] = have
-    fit = np.maximum.accumulate(fit)
-    one = int(fit[room])
-    found = {(one,): one}
-    if one == room:
-        return [(one,)]
-    rest = room - have
-    second = np.where(rest >= 0, fit[np.maximum(rest, 0)], 0)
-    second = np.where((second == have) & (counts[have] < 2), fit[np.maximum(have - 1, 0)] * (rest >= have), second)
-    total = have + second
-    for k in np.argsort(-total, kind="stable")[:width]:
-        a, b = int(have[k]), int(second[k])
-        if b and a + b > one:
-            items, left = [a, b], room - a - b
-            used = {a: 1}
-            used[b] = used.get(b, 0) + 1
-            while left and (c := int(fit[left])):
-                while c and counts[c] <= used.get(c, 0):
-                    c = int(fit[c - 1])
-                if not c:
-                    break
-                items.append(c)
-                used[c] = used.get(c, 0) + 1
-                left -= c
-            if all(counts[x] >= m for x, m in used.items()):
-                found[tuple(sorted(items, reverse=True))] = sum(items)
-    return sorted(found, key=lambda x: (-found[x], len(x), tuple(-y for y in x)))[:width]
+        yield ()
+        return
+    left = np.concatenate(([0], np.cumsum(counts)))  # items shorter than
+    shortest, longest = int(have[0]), int(have[-1])
+    reach = 1  # sums of items, if there were any number of each
+    for n in have.tolist():
+        part, step = reach, n
+        while step <= room:
+            part |= part << step
+            step *= 2
+        reach = part & ((1 << (room + 1)) - 1)
+    own = counts.tolist()
+
+    def sums(total: int, items: int, most: int, used: dict[int, int]):
+        """Multisets of so many items of at most most that make total, longest first."""
+        if items == 1:
+            if shortest <= total <= most and own[total] > used.get(total, 0):
+                yield (total,)
+            return
+        for n in range(min(most, total - (items - 1) * shortest), -(-total // items) - 1, -1):
+            if own[n] > used.get(n, 0) and reach >> (total - n) & 1:
+                used[n] = used.get(n, 0) + 1
+                for rest in sums(total - n, items - 1, n, used):
+                    yield (n, *rest)
+                used[n] -= 1
+
+    def dominated(way: tuple[int, ...], waste: int) -> bool:
+        for size in (1, 2, 3):
+            for part in {x for x in itertools.combinations(way, size)}:
+                low = sum(part) + (size == 1)
+                high = min(sum(part) + waste, len(own) - 1)
+                if low <= high and int(left[high + 1] - left[low]) > sum(low <= x <= high for x in way):
+                    return True
+        return False
+
+    for total in range(room, 0, -1):
+        if not reach >> total & 1:
+            continue
+        if room - total >= shortest and int(left[room - total + 1]) > total // shortest:
+            return  # whatever is chosen now, an item fits beside it
+        for items in range(-(-total // longest), total // shortest + 1):
+            for way in sums(total, items, longest, {}):
+                waste = room - total
+                if int(left[waste + 1]) > sum(x <= waste for x in way):
+                    continue
+                if not dominated(way, waste):
+                    yield way
+
+
+def _order(way: tuple[int, ...]):
+    return -sum(way), len(way), tuple(-x for x in way)
 
 
 def bin_completion(counts: Sequence[int], capacity: int = CAPACITY, nodes: int = NODES) -> Bins:
     """Fewest bins for counts by length: complete the bin of the largest length in each undominated way, and bound.
 
-    A branch dies once its bins and the least that its remaining tokens need reach the incumbent, which best fit starts.
-    Equal choices are made as often as the counts allow, so a node stands for many bins. After nodes nodes the best so
-    far is returned; the result doesn't depend on the machine.
+    Equal bins are made as often as the counts allow first, then once less, and so on, so a node stands for many bins; bins
+    of one largest length are made in the order of their fillings, so none is made twice. A branch dies once its bins and
+    the bound of what is left reach the incumbent, which best fit starts; best fit also ends branches of few pieces. The
+    search is complete; after nodes nodes the best so far is returned. The result doesn't depend on the machine.
     """
     left = np.zeros(capacity + 1, np.int64)
     left[: len(counts)] = counts
+    left[0] = 0
     best = best_fit(left, capacity)
     most = sum(m for _, m in best)
-    size = np.arange(capacity + 1)
-    least = max(-(-int((left * size).sum()) // capacity), int(left[capacity // 2 + 1 :].sum()))
-    budget = nodes
-    stack: list[tuple[np.ndarray, Bins, int, int]] = [(left, [], 0, int((left * size).sum()))]
-    while stack and most > least and budget:
-        now, bins, used, tokens = stack.pop()
-        if not tokens:
-            if used < most:
-                best, most = bins, used
-            continue
-        if used + -(-tokens // capacity) >= most:
-            continue
-        budget -= 1
+    least = bound(left, capacity)
+    bins: Bins = []
+
+    def ways(now: np.ndarray, after):
+        """(filling with the largest length, how many bins), from the best on."""
         top = int(np.flatnonzero(now)[-1])
-        now = now.copy()
-        now[top] -= 1
-        ways = fillings(capacity - top, now)
-        now[top] += 1
-        for way in reversed(ways):
+        rest = now.copy()
+        rest[top] -= 1
+        for way in fillings(capacity - top, rest):
+            if after is not None and _order(way) <= after:
+                continue
             items = (top, *way)
             need = np.bincount(items, minlength=capacity + 1)
             held = np.flatnonzero(need)
-            m = int((now[held] // need[held]).min())
-            stack.append((now - m * need, [*bins, (items, m)], used + m, tokens - m * sum(items)))
+            for m in range(int((now[held] // need[held]).min()), 0, -1):
+                yield items, need, m, _order(way)
+
+    stack = [(left, 0, ways(left, None))] if left.any() and most > least else []
+    while stack and nodes:
+        now, used, following = stack[-1]
+        choice = next(following, None)
+        if choice is None:
+            stack.pop()
+            if bins:
+                bins.pop()
+            continue
+        nodes -= 1
+        items, need, m, order = choice
+        rest = now - m * need
+        if not rest.any():
+            if used + m < most:
+                best, most = [*bins, (items, m)], used + m
+                if most <= least:
+                    break
+            continue
+        if used + m + bound(rest, capacity) >= most:
+            continue
+        if int(rest.sum()) <= FEW:
+            end = best_fit(rest, capacity)
+            total = used + m + sum(x for _, x in end)
+            if total < most:
+                best, most = [*bins, (items, m), *end], total
+                if most <= least:
+                    break
+        bins.append((items, m))
+        stack.append((rest, used + m, ways(rest, order if rest[items[0]] else None)))
     return best
 
 
@@ -228,5 +287,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the kept documents as packed pieces."""
+    """Pipeline stage, the last: the kept documents as packed pieces. A null or empty text is its end token; rows that repeat
+    an id, or have none, are packed each; an empty table gives no piece."""
     return pack(docs)
