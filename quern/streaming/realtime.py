@@ -32,14 +32,30 @@ def outliers(df: DataFrame, k: float = 3.0, score: str = "standardized") -> Data
 
 
 def median_outliers(df: DataFrame, key: str, order: list[str], value: str, k: float = 3.0, term: int = 3) -> DataFrame:
-    """Rows whose value is more than k running deviations from the median of the key's last term rows."""
-    w = Window.partitionBy(key).orderBy(*order)
-    x = F.col(value).cast("double")
-    recent = F.array_sort(F.collect_list(x).over(w.rowsBetween(1 - term, 0)))
-    n = F.size(recent)
-    median = (F.get(recent, F.floor((n - 1) / 2).cast("int")) + F.get(recent, F.floor(n / 2).cast("int"))) / 2
-    sd = F.stddev_pop(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumns({"median": median, "deviation": sd}).where(F.abs(x - F.col("median")) > k * F.col("deviation"))
+    """Rows whose value is more than k running deviations from the median of the key's last term rows.
+
+    A key's second value is always one deviation from that median, so at k = 1 the last digit decides, there and in any other
+    tie. The deviation is therefore Welford's update as DuckDB and most others write it, by the mean before and the mean after;
+    Spark's own stddev_pop rounds otherwise.
+    """
+    from ..operators.scan import scan
+
+    def step(state: list, x: float | None) -> tuple:
+        n, mean, m2, recent = state
+        recent = [*recent, x][-term:]
+        if x is not None:
+            n += 1
+            after = mean + (x - mean) / n
+            m2 += (x - mean) * (x - after)
+            mean = after
+        state[:] = n, mean, m2, recent
+        some = sorted((v for v in recent if v is not None), key=lambda v: (v != v, v))
+        half = len(some) - 1
+        return (some[half // 2] + some[(half + 1) // 2]) / 2 if some else None, math.sqrt(m2 / n) if n else None
+
+    made = scan(df, [key], order, [value], lambda: [0, 0.0, 0.0, []], step, ["__median", "__deviation"])
+    out = made.withColumns({"median": F.col("__median"), "deviation": F.col("__deviation")}).where(F.abs(F.col(value).cast("double") - F.col("__median")) > k * F.col("__deviation"))
+    return out.drop("__median", "__deviation")
 
 
 def cross_normalised(latest: DataFrame, value: str = "normalised") -> DataFrame:

@@ -33,6 +33,21 @@ def test_metrics_and_changes(spark):
     assert rt.cross_normalised(rt.latest(rt.metrics(df, "k", ["t"], "x"), "k", "t")).first()["value"] == pytest.approx(0)
 
 
+def test_median_outliers_at_ties(spark):
+    """A key's second value is one deviation from the median: which side it falls to is that of the SQL, to the last digit."""
+    import duckdb
+
+    rows = [(2 * i + j, i, j, None if (i + j) % 41 == 0 else (i * 37 + j * 5003) % 12289 / 100) for i in range(400) for j in range(2 + i % 5)]
+    df = spark.createDataFrame(rows, "id long, k long, t long, x double")
+    got = sorted((r["k"], r["t"], r["median"]) for r in rt.median_outliers(df, "k", ["t"], "x", 1.0).collect())
+    e = duckdb.connect()
+    e.execute("CREATE TABLE e (id BIGINT, k BIGINT, t BIGINT, x DOUBLE)")
+    e.executemany("INSERT INTO e VALUES (?, ?, ?, ?)", rows)
+    w = "OVER (PARTITION BY k ORDER BY t ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+    sql = f"SELECT k, t, mid FROM (SELECT *, median(x) {w.format(2)} AS mid, stddev_pop(x) {w.format('UNBOUNDED')} AS sd FROM e) WHERE abs(x - mid) > sd ORDER BY k, t"
+    assert len(got) > 200 and got == e.execute(sql).fetchall()
+
+
 def test_rates(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:01",), ("2024-01-01 00:00:02",)], "ts string").select(F.col("ts").cast("timestamp"))
     got = rt.rates(df, "ts", spans=("10 seconds",))["10 seconds"]
