@@ -10,12 +10,13 @@ exact, and neither makes pairs that grow with the square of a group.
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
@@ -188,28 +189,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return fp.join(labels.hint("merge"), "fp").select(id_col, "fp", "component_id")
 
 
-# --- near-duplicates by similarity: fingerprints of windows propose, shingles decide
+# --- near-duplicates by similarity: prefixes of shingles propose, all shingles decide
 
-#: Words in a shingle, the least similarity of near-duplicates, windows of a document and words in one.
-WORDS, SIMILAR, WINDOWS, SPAN = 5, 0.8, 6, 24
+#: Words in a shingle, the least similarity of near-duplicates.
+WORDS, SIMILAR = 5, 0.8
+#: Share of all shingles, by hash, that are counted. It changes the work only: what a text has too few of is made up by others.
+COUNTED = 0.5
+#: Members of a group that are compared with each other in one piece.
+BLOCK = 1000
 
 
-def window_prints(text: str | None, k: int = WORDS, windows: int = WINDOWS, span: int = SPAN) -> tuple[list[int], int]:
-    """(fingerprints, distinct shingles): of the windows of span words that begin at the least shingle hashes, so that copies
-    with other words in some places share most of them; of the whole text if it is no longer than that."""
-    hashes = shingle_hashes(text or "", k)
-    n, wide = len(hashes), span - k + 1
-    h = np.array(hashes, "<u8")
-    least, at = np.unique(h, return_index=True)
-    if n <= wide:
-        starts = [0]
-    else:
-        starts = sorted({min(int(i), n - wide) for i in at[:windows]})
-    prints = set()
-    for i in starts:
-        some = hashes[i : i + wide]
-        prints.add(int(np.packbits(bit_counts(some) * 2 > len(some), bitorder="little").view("<i8")[0]))
-    return sorted(prints), len(least)
+def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
+    """Sorted distinct shingle hashes; those of a text without words are one of their own, so that such texts are equal."""
+    return np.unique(np.array(shingle_hashes(text or "", k) or [0], "<u8"))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -218,62 +210,129 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, similar: float = SIMILAR, windows: int = WINDOWS, span: int = SPAN) -> DataFrame:
-    """Per row with an id: id_col and component_id, the smallest id that links reach; linked texts are equal or have at
-    least similar of their distinct shingles of k words in common.
+def leading(s: np.ndarray, similar: float = SIMILAR, counted: float = COUNTED) -> tuple[int, np.ndarray]:
+    """(spare, hashes): all of the set's hashes in the counted share, and the least others where a prefix needs more.
 
-    Equal texts are one, named by their smallest id. Fingerprints of some windows of each text are linked at 1 bit by the
-    generalised pigeonhole principle, whose two groups of 32 bits few other fingerprints share by chance. Texts with linked windows and sizes that similar allows are compared with the
-    smallest id among them, by all their shingles: no pairs of a group are made. Two similar texts are missed if no window
-    of both is linked, or if other texts stand between them in every one; tests hold the share to 0.9 at least. Null, empty
-    and wordless texts are equal texts. Rows that repeat an id are one document, of which the least text counts. An empty
-    table gives an empty result. Only id_col and text are read, so other columns can't clash.
+    A text of n shingles shares ceil(similar n) of them at least with any similar text, so under any order of all shingles
+    two similar texts share one among the first n - ceil(similar n) + 1 of each. The order has the counted share first, by
+    frequency, then the others by hash; spare hashes, the last of them in that order, aren't in the prefix.
+    """
+    n = len(s)
+    prefix = n - math.ceil(similar * n - 1e-9) + 1
+    inside = n if counted >= 1 else int(np.searchsorted(s, np.uint64(int(counted * 2**64))))
+    some = min(n, max(inside, prefix))
+    return some - min(prefix, some), s[:some]
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Counts of the hashes by their last bits, about as many counts as hashes: those of two sets differ by no more, in sum,
+    than the sets do."""
+    width = 1 << min(max(math.ceil(math.log2(max(len(s), 1))), 6), 12)
+    return np.minimum(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width), 255).astype(np.uint8)
+
+
+def close(sizes: np.ndarray, labels: np.ndarray, sides: np.ndarray, sketches: list[np.ndarray], one_side: bool, similar: float = SIMILAR):
+    """Index pairs of unequal labels (and, unless one_side, unequal sides) whose sizes and sketches don't rule out similarity."""
+    most = (1 - similar) / (1 + similar)
+    widths = np.array([len(x) for x in sketches])
+    for width in sorted(set(widths.tolist())):
+        at = np.flatnonzero((widths == width) | (widths == 2 * width))  # sizes that similar allows (over 0.5) have these
+        at = at[np.argsort(sizes[at], kind="stable")]
+        n, label, side = sizes[at], labels[at], sides[at]
+        counts = np.stack([sketches[i].astype(np.int16).reshape(-1, width).sum(0, dtype=np.int16) for i in at])
+        ends = np.searchsorted(n, n / similar + 1e-6, "right")
+        for i in np.flatnonzero(widths[at] == width):
+            j = np.arange(i + 1, ends[i])
+            j = j[(label[j] != label[i]) & (one_side | (side[j] != side[i]))]
+            for part in (j[x : x + 4096] for x in range(0, len(j), 4096)):
+                apart = np.abs(counts[part] - counts[i]).sum(1, dtype=np.int64)
+                for m in part[apart <= most * (n[part] + n[i]) + 1e-6]:
+                    yield at[i], at[m]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, similar: float = SIMILAR, counted: float = COUNTED, block: int = BLOCK) -> DataFrame:
+    """Per row with an id: id_col and component_id, the smallest id that links reach; texts are linked if they are equal or
+    have at least similar (over 0.5) of their distinct shingles of k words in common. No link is lost.
+
+    Equal texts are one, named by their smallest id. Texts that share a shingle of their prefixes (see leading) form a group:
+    the rarest shingles come first, and those that one text alone has can't be shared, so few texts are in any. Each member
+    is compared with the group's most shared one. What these links join needs no further comparison; members that they leave
+    apart are compared in blocks, by sketches that rule out pairs and then by all shingles. So no pairs of a group of copies
+    are made, but members that stay apart cost the square of their number, in sketches. Null, empty and wordless texts are
+    similar. Rows that repeat an id are one document, of which the least text counts. An empty table gives an empty result.
+    Only id_col and text are read, so other columns can't clash.
     """
-    spark = docs.sparkSession
+    if not 0.5 < similar <= 1:
+        raise ValueError("similar is over 0.5 and at most 1")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def measure(texts: pa.Array) -> pa.Array:
-        rows = [window_prints(t, k, windows, span) for i, j, _, _ in string_slices(texts, SLICE) for t in texts.slice(i, j - i).to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.int32())], ["prints", "n"])
+        rows = [leading(shingle_set(t, k), similar, counted) for i, j, _, _ in string_slices(texts, SLICE) for t in texts.slice(i, j - i).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].view("<i8") for r in rows], pa.list_(pa.int64()))], ["spare", "h"])
+
+    def shingles(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t, k).view("<i8") for i, j, _, _ in string_slices(texts, SLICE) for t in texts.slice(i, j - i).to_pylist()], pa.list_(pa.int64()))
+
+    whole = lambda x: np.sort(x.values.to_numpy(zero_copy_only=False).view("<u8"))
+
+    def compare(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([similarity(whole(x), whole(y)) for x, y in zip(a, b)], pa.float64())
+
+    def sketched(sets: pa.Array) -> pa.Array:
+        return pa.array([sketch(whole(x)).tobytes() for x in sets], pa.binary())
+
+    def apart(t: pa.Table) -> pa.Table:
+        one = t.column("low")[0] == t.column("high")[0]
+        sketches = [np.frombuffer(x, np.uint8) for x in t.column("sketch").to_pylist()]
+        labels = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        found = list(close(t.column("n").to_numpy(), labels, t.column("own").to_numpy(), sketches, one, similar))
+        ids = t.column("id").combine_chunks()
+        return pa.table({"a": ids.take(pa.array([i for i, _ in found], pa.int64())), "b": ids.take(pa.array([j for _, j in found], pa.int64()))})
 
     with scratch() as keep:
         named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-        measured = named.select("id", F.sha2("t", 256).alias("same"), arrow_udf(measure, "struct<prints:array<bigint>,n:int>")("t").alias("m"))
-        measured = measured.select("id", "same", "m.*")
-        one = written(measured.groupBy("id").agg(F.min(F.struct("same", "prints", "n")).alias("s")).select("id", "s.*"), "windows")
-        classes = written(one.groupBy("same").agg(F.min("id").alias("rep"), F.min(F.struct("prints", "n")).alias("s")).select("same", "rep", "s.*"), "texts")
-        prints = written(classes.select("rep", "n", F.explode("prints").alias("fp")), "prints")
-        # a window's classes are its own fingerprint and those linked to it, so windows that are linked share one
-        distinct = written(prints.select("fp").distinct(), "distinct")
-        near = written(links(distinct, tau=1, m=2).distinct(), "linked")
-        near = near.select(F.col("a").alias("fp"), F.col("b").alias("class")).unionAll(near.select(F.col("b").alias("fp"), F.col("a").alias("class")))
-        of = prints.select("rep", "n", F.col("fp").alias("class")).unionAll(prints.join(near.hint("merge"), "fp").select("rep", "n", "class"))
-        # sizes within similar of each other share a cell of one of two grids at least
-        width = -2 * np.log(similar)
-        size = F.log(F.greatest(F.col("n"), F.lit(1))) / width
-        cells = of.select("rep", "n", "class", F.explode(F.array(F.floor(size), F.floor(size + 0.5) + (1 << 20))).alias("cell"))
-        cells = written(cells, "cells")
-        first = cells.groupBy("class", "cell").agg(F.min(F.struct("rep", "n")).alias("f"), F.count("*").alias("c")).where("c > 1")
-        first = written(first.select("class", "cell", F.col("f.rep").alias("first"), F.col("f.n").alias("m")), "firsts")
-        fits = F.least("n", "m") >= F.lit(similar) * F.greatest("n", "m")
-        pairs = written(cells.join(first.hint("merge"), ["class", "cell"]).where((F.col("rep") > F.col("first")) & fits).select("rep", "first").distinct(), "pairs")
-
-        def shingles(texts: pa.Array) -> pa.Array:
-            rows = [np.unique(np.array(shingle_hashes(t or "", k), "<u8")).view("<i8") for i, j, _, _ in string_slices(texts, SLICE) for t in texts.slice(i, j - i).to_pylist()]
-            return pa.array(rows, pa.list_(pa.int64()))
-
-        def compare(a: pa.Array, b: pa.Array) -> pa.Array:
-            whole = lambda x: np.sort(x.values.to_numpy(zero_copy_only=False).view("<u8"))
-            return pa.array([similarity(whole(x), whole(y)) for x, y in zip(a, b)], pa.float64())
-
-        ids = pairs.select(F.explode(F.array("rep", "first")).alias("id")).distinct().join(one.select("id", "same").hint("merge"), "id")
-        rows = named.withColumn("same", F.sha2("t", 256)).join(written(ids, "compared").hint("merge"), ["id", "same"], "left_semi").dropDuplicates(["id", "same"])
+        every = written(named.select("id", F.sha2("t", 256).alias("same")), "digests")
+        one = written(every.groupBy("id").agg(F.min("same").alias("same")), "texts")
+        if one.count() < every.count():
+            named = named.withColumn("same", F.sha2("t", 256)).join(one.hint("merge"), ["id", "same"], "left_semi").dropDuplicates(["id", "same"]).select("id", "t")
+        classes = written(one.groupBy("same").agg(F.min("id").alias("rep")), "classes")
+
+        # shingles that more than one row has, then those that more than one text has
+        # (a window, as a join would make the hashes twice; explode_outer, as explode's own filter would; no set is empty)
+        hashes = named.select("id", arrow_udf(measure, "struct<spare:int,h:array<bigint>>")("t").alias("m")).select("id", "m.spare", F.explode_outer("m.h").alias("h"))
+        many = hashes.withColumn("rows", F.count("*").over(Window.partitionBy("h"))).where("rows > 1").drop("rows")
+        shared = written(many.join(classes.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi"), "shared")
+        often = written(shared.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "frequencies")
+        of = Window.partitionBy("id")
+        ranked = shared.join(often.hint("merge"), "h").withColumns({"place": F.row_number().over(of.orderBy(F.desc("n"), F.desc("h"))), "all": F.count("*").over(of)})
+        prefixes = written(ranked.where("place > spare").select("id", "h", (F.col("all") - F.col("spare")).alias("w")), "prefixes")
+
+        # groups with the same members are one
+        groups = prefixes.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct(-F.col("w"), "id")).alias("f"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("c > 1")
+        groups = written(groups.groupBy("c", "f", "x", "y").agg(F.min("h").alias("h")).select("h", F.col("f.id").alias("first")), "groups")
+        members = written(prefixes.join(groups.hint("merge"), "h").select("h", "id", "first"), "members")
+        ids = written(members.select("id").distinct().join(one.hint("merge"), "id"), "compared")
+        rows = named.withColumn("same", F.sha2("t", 256)).join(ids.hint("merge"), ["id", "same"], "left_semi")
         sets = written(rows.select("id", arrow_udf(shingles, "array<bigint>")("t").alias("s")), "shingles")
-        scored = pairs.join(sets.withColumnsRenamed({"id": "rep", "s": "a"}).hint("merge"), "rep").join(sets.withColumnsRenamed({"id": "first", "s": "b"}).hint("merge"), "first")
-        edges = scored.select("rep", "first", arrow_udf(compare, "double")("a", "b").alias("similarity")).where(F.col("similarity") >= similar)
-        named_by = components(edges.select(F.col("rep").alias("a"), F.col("first").alias("b")))
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            scored = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "x"}).hint("merge"), "a").join(sets.withColumnsRenamed({"id": "b", "s": "y"}).hint("merge"), "b")
+            return written(scored.select("a", "b", arrow_udf(compare, "double")("x", "y").alias("similarity")).where(F.col("similarity") >= similar).select("a", "b"), "links")
+
+        edges = linked(written(members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "pairs"))
+        joined = written(components(edges), "joined")
+        labelled = written(members.join(joined.withColumnRenamed("node", "id").hint("merge"), "id", "left").where("id <> first").select("h", "id", F.coalesce("component", "id").alias("label")), "labelled")
+        open_ = written(labelled.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).where("low <> high").select("h", F.ceil(F.col("c") / block).cast("int").alias("pieces")), "open")
+        sketches = written(sets.select("id", F.size("s").alias("n"), arrow_udf(sketched, "binary")("s").alias("sketch")), "sketches")
+        dealt = labelled.join(open_.hint("merge"), "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+        dealt = dealt.join(sketches.hint("merge"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        dealt = dealt.select("h", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "label", "n", "sketch")
+        more = dealt.groupBy("h", "low", "high").applyInArrow(apart, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        edges = edges.unionAll(linked(written(more, "pairs")))
+
+        named_by = components(edges)
         label = classes.join(named_by.withColumnsRenamed({"node": "rep", "component": "c"}).hint("merge"), "rep", "left").select("same", F.coalesce("c", "rep").cast(kind).alias("component_id"))
-        result = keep(written(one.select("id", "same").join(written(label, "labels").hint("merge"), "same").select(F.col("id").alias(id_col), "component_id"), "components"))
+        result = keep(written(one.join(written(label, "labels").hint("merge"), "same").select(F.col("id").alias(id_col), "component_id"), "components"))
     return result
 
 

@@ -303,6 +303,39 @@ def test_near_duplicates_by_similarity(spark):
     assert [got[i] for i in range(5)] == [0, 0, 0, 3, 3] or [got[i] for i in range(5)] == [0, 0, 2, 3, 3]
 
 
+@pytest.mark.parametrize("how", [{}, {"counted": 0.2, "block": 3}, {"counted": 1.0}])
+def test_near_duplicates_lose_no_link(spark, how):
+    """Components are those of all pairs of 0.8 similarity: short and long texts, families whose members are similar to some
+    others only, texts between texts, shared passages, other white space and case, nulls and repeated rows."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 7)))
+    passage, texts = [word() for _ in range(60)], [None, "", " \n", "one two", "One  two", "one two three four five", "one two three four five six"]
+    for n in (6, 12, 30, 60, 150, 400, 900):
+        for _ in range(6):
+            base = [*(passage if r.random() < 0.5 else []), *(word() for _ in range(n))]
+            family = [base]
+            for _ in range(r.choice((1, 3, 12))):
+                other = list(r.choice(family))
+                for _ in range(r.randint(1, max(1, len(other) // 40))):
+                    at = r.randrange(len(other))
+                    other[at : at + r.randint(0, 2)] = [word() for _ in range(r.randint(0, 2))]
+                family.append(other)
+            texts += [" ".join(x) for x in family]
+    texts += [" ".join([*passage, word(), word()]) for _ in range(30)] + [texts[-1].upper(), texts[9].replace(" ", "\n"), texts[20], texts[20]]
+    r.shuffle(texts)
+    rows = [(3 * i, t) for i, t in enumerate(texts)]
+    sets = [plain.shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and plain.jaccard(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(plain.documents(spark, [*rows, rows[3], (None, texts[5])]), **how).collect()}
+    assert len(got) == len(rows) and {i: 3 * x for i, x in zip((d for d, _ in rows), label)} == got
+    assert 30 < len(set(label)) < len(texts) - 60
+
+
 def test_near_duplicate_stage_of_repeated_ids(spark):
     """Which row of an id stays doesn't depend on their order."""
     rows = [(5, "one text of this id"), (5, "another text of this id"), (6, "a third"), (None, "a third")]
